@@ -1,0 +1 @@
+"""Empty on purpose: every operator works on a finished table, so there is no streaming surface."""
