@@ -42,12 +42,14 @@ class HistogramModel:
             got = {r["attr_idx"]: r for r in self.prof.select("attr_idx", "cdf", "edges").collect()}
             cdf = {i: literal_array(got[i]["cdf"]) for i in range(len(meta))}
             edges = {i: literal_array(got[i]["edges"] or [0.0]) for i in range(len(meta))}
+        # One digest per cell serves both draws. Bins are projected first because a number reads its bin twice.
+        rows = rows.withColumns({f"__h{i}": cell_digest(seed, "hist", keys, c.name) for i, c in enumerate(meta.columns)})
+        rows = rows.withColumns({f"__b{i}": invert_cdf(cdf[i], uniform(F.col(f"__h{i}"), 0)) for i in range(len(meta))})
         out: list[Column] = []
         for i, c in enumerate(meta.columns):
-            hexed = cell_digest(seed, "hist", keys, c.name)
-            b = invert_cdf(cdf[i], uniform(hexed, 0))
+            b = F.col(f"__b{i}")
             if c.numeric:
-                out.append(value_in_bin(edges[i], b, uniform(hexed, 1), c.kind == INTEGER).alias(c.name))
+                out.append(value_in_bin(edges[i], b, uniform(F.col(f"__h{i}"), 1), c.kind == INTEGER).alias(c.name))
             else:
                 out.append(F.element_at(literal_array(c.labels), b + 1).alias(c.name))
         return rows.select(*keys, "copy", "row", *out)
