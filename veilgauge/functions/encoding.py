@@ -133,10 +133,14 @@ def cut(col: Column, edges: Sequence) -> Column:
     return expr.otherwise(F.lit(OUT_OF_BINS))
 
 
-def bin_columns(df: DataFrame, meta: TableMeta) -> DataFrame:
+def bin_columns(df: DataFrame, meta: TableMeta, keep_null: bool = False) -> DataFrame:
     """Replace columns whose derived metadata has bins by their bin labels; labels are left alone."""
     kinds = dict(df.dtypes)
-    todo = {c.name: cut(F.col(c.name), c.bins) for c in meta.discrete if c.binned and kinds[c.name] != "string"}
+    todo = {}
+    for c in meta.discrete:
+        if c.binned and kinds[c.name] != "string":
+            label = cut(F.col(f"`{c.name}`"), c.bins)
+            todo[c.name] = F.when(F.col(f"`{c.name}`").isNotNull(), label) if keep_null else label
     return df.withColumns(todo) if todo else df
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from veilgauge.functions.encoding import code_label, code_vector, label_code
 from veilgauge.meta import TableMeta
 from veilgauge.operators.gaussian import gaussian_moments
-from veilgauge.operators.joining import attach, hold
+from veilgauge.operators.joining import attach, durable
 from veilgauge.operators.membership import train_many
 
 
@@ -128,7 +128,7 @@ class ForestAttribute:
         data = self._vectors(df).select(*keys, "vector", code.cast("double").alias("label")).where("label >= 0")
         if not keys:
             return [((), self._one(data))]
-        data = hold(data)
+        data = durable(data)
         tables = [tuple(r) for r in data.select(*keys).distinct().orderBy(*keys).collect()]
 
         def one(key):

@@ -453,16 +453,16 @@ class BayesianNet:
         keys = list(keys)
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
         coded = binning.encode(df, keys)
-        prof = hold(profile(df, binning, keys))
+        prof = durable(profile(df, binning, keys))
         if network is None:
             facts = table_facts(prof, keys)
             if self.degree == 1:
                 network = tree_structure(coded, binning, facts, keys, self.seed, self.structure_epsilon)
             else:
                 network = network_structure(coded, binning, facts, keys, self.seed, self.degree, self.structure_epsilon)
-        network = hold(network)
+        network = durable(network)
         cells = cell_counts(coded, network, binning, keys, self.degree, self.noise_scale, self.seed)
-        cpt = hold(conditional_distributions(cells, network, binning, keys, self.degree))
+        cpt = durable(conditional_distributions(cells, network, binning, keys, self.degree))
         return BayesModel(binning, tuple(keys), self.degree, network, cpt, prof)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from veilgauge.functions.keyed import invert_cdf, normal, uniform
 from veilgauge.meta import TableMeta
 from veilgauge.operators.generate import cell_digest, row_frame
-from veilgauge.operators.joining import attach, hold
+from veilgauge.operators.joining import attach, durable
 
 REGULARISER = 1e-6  # fixed value: added to the diagonal of a covariance
 
@@ -103,7 +103,7 @@ class Gaussian:
             schema = T.StructType([*moments.schema.fields, T.StructField("factor", T.ArrayType(T.DoubleType()))])
             parts = moments.mapInPandas(_factor, schema)
             parts = parts.select(*keys, F.lit(0).alias("component"), F.lit(1.0).alias("weight"), "means", "factor")
-            return GaussianModel(self.meta, tuple(keys), hold(parts))
+            return GaussianModel(self.meta, tuple(keys), durable(parts))
         if keys:
             raise ValueError("mixtures of several components are fitted to one table at a time")
         from pyspark.ml.clustering import GaussianMixture

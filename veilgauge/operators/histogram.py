@@ -13,7 +13,7 @@ from veilgauge.functions.keyed import invert_cdf, uniform
 from veilgauge.meta import INTEGER, TableMeta
 from veilgauge.operators.distributions import Binning, profile
 from veilgauge.operators.generate import cell_digest, row_frame, value_in_bin
-from veilgauge.operators.joining import attach, hold
+from veilgauge.operators.joining import attach, durable
 
 
 @dataclass(frozen=True)
@@ -70,4 +70,4 @@ class IndependentHistogram:
 
     def fit(self, df: DataFrame, keys: Sequence[str] = ()) -> HistogramModel:
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
-        return HistogramModel(binning, tuple(keys), hold(profile(df, binning, keys)))
+        return HistogramModel(binning, tuple(keys), durable(profile(df, binning, keys)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 from functools import reduce
 
@@ -29,12 +30,19 @@ def release() -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's checkpoint folder."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
+    """Write a stage's result to the cluster's checkpoint folder and go on from there.
 
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilgauge-"))
+    The folder is the one the session names; a folder of this machine is made up only when Spark runs in local mode.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+            folder = tempfile.mkdtemp(prefix="veilgauge-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 

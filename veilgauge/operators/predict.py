@@ -54,9 +54,9 @@ class PredictTask:
 
     def fit(self, df: DataFrame) -> PredictTask:
         self.meta.check(df.columns)
+        df = bin_columns(df, self.meta, keep_null=True)
         self.fills = impute_values(df, self.meta)
-        # A numeric quasi-identifier is filled as it comes and becomes the label of its bin, as it is published.
-        data = self._encode(bin_columns(impute(df, self.meta, values=self.fills), self.meta))
+        data = self._encode(impute(df, self.meta, values=self.fills))
         c = self.meta[self.label]
         y = F.col(f"`{self.label}`").cast("double") if c.numeric else label_code(F.col(f"`{self.label}`"), c.labels, append_null=False).cast("double")
         data = data.select("vector", y.alias("label")).where("label is not null")
@@ -77,8 +77,8 @@ class PredictTask:
 
         The label column may be null in the input; its own nulls are not filled.
         """
-        keep = df.withColumn("__label", F.col(f"`{self.label}`"))
-        out = self.model.transform(self._encode(bin_columns(impute(keep, self.meta, values=self.fills), self.meta)))
+        keep = bin_columns(df, self.meta, keep_null=True).withColumn("__label", F.col(f"`{self.label}`"))
+        out = self.model.transform(self._encode(impute(keep, self.meta, values=self.fills)))
         c = self.meta[self.label]
         guess = F.col("prediction") if c.numeric else code_label(F.col("prediction"), c.labels)
         out = out.withColumn("predicted", guess).withColumn(self.label, F.col("__label"))
