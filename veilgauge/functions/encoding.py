@@ -184,5 +184,11 @@ def bin_by_array(col: Column, edges: Column) -> Column:
 
 def camel(col: Column) -> Column:
     """``a_b`` or ``a-b`` to ``AB`` with capitals; names without a separator stay as they are."""
-    parts = F.transform(F.split(col, "[_-]"), lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(s.substr(F.lit(2), F.length(s)))))
-    return F.when(col.rlike("[_-]"), F.array_join(parts, "")).otherwise(col)
+
+    def joined(sep: str) -> Column:
+        def capital(s: Column) -> Column:
+            return F.concat(F.upper(F.substring(s, 1, 1)), F.lower(s.substr(F.lit(2), F.length(s))))
+
+        return F.array_join(F.transform(F.split(col, sep), capital), "")
+
+    return F.when(F.contains(col, F.lit("_")), joined("_")).when(F.contains(col, F.lit("-")), joined("-")).otherwise(col)

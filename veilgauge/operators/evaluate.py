@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.functions.encoding import camel
+from veilgauge.operators.joining import attach
+from veilgauge.operators.quantiles import spread
 
 RAW = "Raw"
 LINKAGE_BY = ("dataset", "target_id", "model", "feature_set", "run")
@@ -100,16 +102,17 @@ def average_gain(gains: DataFrame, feature_set: str | None = None) -> DataFrame:
     return rows.groupBy("model", "target_id").agg(F.avg("privacy_gain").alias("privacy_gain"), F.count("*").alias("games"))
 
 
-def accuracy_spread(totals: DataFrame) -> DataFrame:
-    """Letter-value quantiles of accuracy per model and label over games without a target.
+LETTERS = (0.125, 0.25, 0.5, 0.75, 0.875)
 
-    The facts of one model and label are one row per game and copy set, so the distinct values are few.
-    """
-    levels = [0.125, 0.25, 0.5, 0.75, 0.875]
-    out = totals.where(F.col("target_id") == "OUT").groupBy("model", "label_var").agg(
-        F.percentile("accuracy", F.array(*[F.lit(q) for q in levels])).alias("q"), F.avg("accuracy").alias("mean")
-    )
-    return out.select("model", "label_var", "mean", *[F.col("q")[i].alias(f"q{int(q * 1000)}") for i, q in enumerate(levels)])
+
+def accuracy_spread(totals: DataFrame) -> DataFrame:
+    """Mean and letter-value quantiles of accuracy per model and label over games without a target."""
+    by = ["model", "label_var"]
+    rows = totals.where(F.col("target_id") == "OUT")
+    quantile_of = spread(rows, "accuracy", LETTERS, by)
+    means = rows.groupBy(*by).agg(F.avg("accuracy").alias("mean"))
+    out = attach(means, quantile_of, by)
+    return out.select(*by, "mean", *[F.col(f"q{i}").alias(f"q{int(q * 1000)}") for i, q in enumerate(LETTERS)])
 
 
 def camel_names(df: DataFrame, col: str) -> DataFrame:

@@ -73,7 +73,7 @@ def naive(df: DataFrame, meta: TableMeta, keys: Sequence[str] = ()) -> DataFrame
 
 def naive_array(df: DataFrame, vector: str, keys: Sequence[str] = ()) -> DataFrame:
     """Mean, median and population variance over all numbers of all rows of a numeric matrix (NaN and null ignored)."""
-    cells = df.select(*keys, F.explode(vector).cast("double").alias("x"))
+    cells = df.select(*keys, F.explode(F.col(vector).cast("array<double>")).alias("x"))
     cells = cells.where(F.col("x").isNotNull() & ~F.isnan("x"))
     sums = cells.groupBy(*keys).agg(F.avg("x").alias("mean"), F.var_pop("x").alias("variance"))
     mid = quantiles(cells, ["x"], 0.5, keys).withColumnRenamed("x", "median")
@@ -126,6 +126,16 @@ def _dummies(meta: TableMeta) -> list[tuple]:
     return [(c, lab) for c in meta.discrete for lab in c.labels[1:]]
 
 
+def indicator_columns(df: DataFrame, meta: TableMeta, keep: Sequence[str] = ()) -> DataFrame:
+    """Numbers and label indicators of each row side by side, first label of every column left out."""
+    meta.check(df.columns)
+    numbers = [F.col(f"`{c.name}`").cast("double").alias(c.name) for c in meta.numeric]
+    marks = [
+        F.when(F.col(f"`{c.name}`") == lab, 1.0).otherwise(0.0).alias(f"{c.name}_{lab}") for c, lab in _dummies(meta)
+    ]
+    return df.select(*keep, *numbers, *marks)
+
+
 def correlation_names(meta: TableMeta) -> list[str]:
     cols = [c.name for c in meta.numeric] + [f"{c.name}_{lab}" for c, lab in _dummies(meta)]
     return [f"{a}~{b}" for a, b in combinations(cols, 2)]

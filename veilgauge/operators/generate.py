@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veilgauge.functions.keyed import digest, uniform
+from veilgauge.functions.keyed import digest
 from veilgauge.operators.joining import attach, hold
 
 ROWS_PER_TASK = 4_000_000
@@ -51,4 +51,14 @@ def value_in_bin(edges: Column, b: Column, u: Column, integer: bool) -> Column:
     return F.bround(x).cast("bigint") if integer else x
 
 
-__all__ = ["cell_digest", "row_frame", "uniform", "value_in_bin"]
+def candidate_keys(spark: SparkSession, n: int, kind: str, low: float = 0.0, high: float = 1.0, prefix: str = "") -> DataFrame:
+    """``n`` different key values: whole numbers from 0, even steps from ``low`` below ``high``, or a prefix and a number."""
+    i = F.col("id")
+    values = {
+        "Integer": i,
+        "Float": F.lit(float(low)) + i * F.lit((high - low) / max(n, 1)),
+        "Categorical": F.concat(F.lit(prefix), i.cast("string")),
+    }
+    if kind not in values:
+        raise ValueError(f"unknown kind {kind!r}")
+    return spark.range(n).select(i.alias("row"), values[kind].alias("key"))

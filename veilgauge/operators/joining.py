@@ -29,12 +29,8 @@ def release() -> None:
         _held.pop().unpersist()
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write a stage's result to the cluster's checkpoint folder and go on from there.
-
-    The folder is the one the session names; a folder of this machine is made up only when Spark runs in local mode.
-    """
-    spark = df.sparkSession
+def checkpoint_folder(spark) -> str:
+    """The checkpoint folder the session names; one is made up only in local mode when none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,6 +39,12 @@ def durable(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
             folder = tempfile.mkdtemp(prefix="veilgauge-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write a stage's result to the checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -27,6 +27,21 @@ def quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequence[str]
     return refined_quantiles(df, cols, q, keys)
 
 
+def spread(df: DataFrame, col: str, levels: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """One row per table with several quantiles of one column, named ``q0, q1, …``."""
+    keys = list(keys)
+    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if largest <= GROUP_LIMIT:
+        qs = F.array(*[F.lit(float(q)) for q in levels])
+        out = df.groupBy(*keys).agg(F.percentile(F.col(f"`{col}`").cast("double"), qs).alias("__q"))
+        return out.select(*keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(levels))])
+    parts = [refined_quantiles(df, [col], q, keys).withColumnRenamed(col, f"q{i}") for i, q in enumerate(levels)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = attach(out, p, keys)
+    return out
+
+
 def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
     """Exact quantiles by narrowing a bracket.
 

@@ -91,7 +91,11 @@ def _nest(facts: DataFrame, levels: list[str], leaf: Column, lines: bool) -> Dat
 def _zipped(order: list[str], **cols: str) -> Column:
     """Struct of parallel arrays, in a fixed order of rows."""
     rows = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols.values()])])))
-    return F.struct(*[F.transform(rows, lambda r, c=c: r[c]).alias(name) for name, c in cols.items()])
+    return F.struct(*[F.transform(rows, _field(c)).alias(name) for name, c in cols.items()])
+
+
+def _field(name: str):
+    return lambda row: row[name]
 
 
 def linkage_documents(facts: DataFrame, lines: bool = True) -> DataFrame:
