@@ -148,20 +148,36 @@ def _steps(col: Column, inner: Sequence, op) -> Column:
     return reduce(add, [op(col, e).cast("int") for e in inner], F.lit(0))
 
 
-def left_closed_bin(col: Column, edges: Sequence) -> Column:
+def bin_position(col: Column, c: ColumnMeta, n: int, right_closed: bool = False) -> Column:
+    """Bin of a number inside the column's range; larger values get the last bin, smaller ones are not checked.
+
+    For real columns the bin is computed and then corrected against the two edges next to it, which gives the same
+    answer as comparing with every edge but compiles to little code. Whole-number edges may repeat, so they are compared.
+    """
+    if c.kind == INTEGER and not right_closed:
+        return _steps(col, c.edges(n)[1:-1], lambda x, e: x >= F.lit(e))
+    low, step = float(c.low), (c.high - c.low) / n
+    x = col.cast("double")
+    guess = F.floor((x - F.lit(low)) / F.lit(step)).cast("int")
+
+    def edge(i: Column) -> Column:
+        return F.lit(low) + i * F.lit(step)
+
+    if right_closed:
+        fixed = guess + (x > edge(guess + 1)).cast("int") - (x <= edge(guess)).cast("int")
+    else:
+        fixed = guess + (x >= edge(guess + 1)).cast("int") - (x < edge(guess)).cast("int")
+    return F.least(F.greatest(fixed, F.lit(0)), F.lit(n - 1))
+
+
+def left_closed_bin(col: Column, c: ColumnMeta, n: int) -> Column:
     """Bin of a number as generators see it: below the range -1, above it the last bin, null stays null."""
-    return F.when(
-        col.isNotNull(),
-        F.when(col < edges[0], F.lit(-1)).otherwise(_steps(col, edges[1:-1], lambda x, e: x >= F.lit(e))),
-    )
+    return F.when(col < F.lit(c.low), F.lit(-1)).when(col.isNotNull(), bin_position(col, c, n))
 
 
-def right_closed_bin(col: Column, edges: Sequence) -> Column:
+def right_closed_bin(col: Column, c: ColumnMeta, n: int) -> Column:
     """Bin of a number as histogram features see it: the lowest edge belongs to bin 0, outside gives null."""
-    return F.when(
-        (col >= F.lit(edges[0])) & (col <= F.lit(edges[-1])),
-        _steps(col, edges[1:-1], lambda x, e: x > F.lit(e)),
-    )
+    return F.when((col >= F.lit(c.low)) & (col <= F.lit(c.high)), bin_position(col, c, n, right_closed=True))
 
 
 def edge_array(low: Column, high: Column, n: int, integer: bool) -> Column:

@@ -6,6 +6,10 @@ partitionings and lost executors therefore give the same rows, and SQL can repro
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,3 +47,8 @@ def once(value: Column, then) -> Column:
 def invert_cdf(cdf: Column, u: Column) -> Column:
     """Position drawn from an ascending cumulative array; the last cell takes any rounding remainder."""
     return once(u, lambda v: F.least(F.size(F.filter(cdf, lambda c: c <= v)), F.size(cdf) - 1))
+
+
+def invert_constants(cdf: Sequence[float], u: Column) -> Column:
+    """:func:`invert_cdf` for a cumulative array known when the plan is made: plain comparisons, all in generated code."""
+    return reduce(add, [(u >= F.lit(c)).cast("int") for c in cdf[:-1]], F.lit(0))

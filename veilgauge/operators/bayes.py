@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 from veilgauge.functions.encoding import literal_array
 from veilgauge.functions.keyed import SCALE, digest, invert_cdf, laplace, uniform
 from veilgauge.meta import INTEGER, TableMeta
-from veilgauge.operators.distributions import MAX_CELLS, Binning, profile, with_probabilities
+from veilgauge.operators.distributions import COMPACT_CELLS, MAX_CELLS, Binning, profile, weight, weighted, with_probabilities
 from veilgauge.operators.generate import cell_digest, row_frame, value_in_bin
 from veilgauge.operators.information import candidate_information, pair_information
-from veilgauge.operators.joining import attach, durable, hold
+from veilgauge.operators.joining import attach, durable
 
 CHECKPOINT_EVERY = 20
 
@@ -163,7 +163,6 @@ def network_structure(
     keys = list(keys)
     d, names = len(binning.meta), binning.meta.names
     spark = coded.sparkSession
-    coded = hold(coded)
     root = digest(seed, "root", *keys, F.col("name"))
     tables = facts.select(*keys, "rows", "binary")
     listed = tables.select(*keys, F.posexplode(literal_array(names)).alias("pos", "name"))
@@ -251,10 +250,10 @@ def cell_counts(
     )
     needs = network.select(*keys, tabs.alias("tabs"))
     facts = attach(coded, needs, keys, "inner", width=1024)
-    facts = facts.select(*keys, "bins", F.explode("tabs").alias("t"))
+    facts = facts.select(*keys, "bins", *weighted(coded), F.explode("tabs").alias("t"))
     cell = F.aggregate("t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * radix + F.element_at("bins", a + 1))
-    counts = facts.select(*keys, F.col("t.tab").alias("tab"), cell.alias("cell")).where("cell is not null")
-    counts = counts.groupBy(*keys, "tab", "cell").agg(F.count("*").alias("n"))
+    counts = facts.select(*keys, F.col("t.tab").alias("tab"), cell.alias("cell"), *weighted(coded)).where("cell is not null")
+    counts = counts.groupBy(*keys, "tab", "cell").agg(weight(coded).alias("n"))
     sizes = literal_array(binning.sizes)
     space = needs.select(*keys, F.explode("tabs").alias("t")).select(*keys, "t.*")
     size_of = F.transform("attrs", lambda a: F.element_at(sizes, a + 1))
@@ -452,7 +451,10 @@ class BayesianNet:
         """Fit one network per table. A given ``network`` skips the search."""
         keys = list(keys)
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
-        coded = binning.encode(df, keys)
+        coded = binning.compact(df, keys)
+        if binning.cells <= COMPACT_CELLS:
+            # Bounded by the domain, and read by the search and by the counting.
+            coded = durable(coded)
         prof = durable(profile(df, binning, keys))
         if network is None:
             facts = table_facts(prof, keys)

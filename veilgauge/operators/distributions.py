@@ -8,11 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgauge.functions.encoding import bin_by_array, edge_array, label_code, left_closed_bin, literal_array
+from veilgauge.functions.encoding import bin_by_array, bin_position, edge_array, literal_array
 from veilgauge.meta import INTEGER, NULL_LABEL, TableMeta
 from veilgauge.operators.joining import attach
 
 MAX_CELLS = 2_000_000
+COMPACT_CELLS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -51,30 +52,65 @@ class Binning:
             return F.col(f"__edges_{i}")
         return literal_array([float(e) for e in self.meta.columns[i].edges(self.bins)])
 
-    def code(self, i: int) -> Column:
+    def code(self, i: int, clip: bool = True) -> Column:
+        """Code of a value, null for nulls and values outside the domain.
+
+        With ``clip`` a number above its range belongs to the last bin, as in the codes networks are built on; without,
+        it is outside, as in distributions.
+        """
         c = self.meta.columns[i]
         col = F.col(f"`{c.name}`")
         if not c.numeric:
-            code = label_code(col, c.labels, append_null=False).cast("int")
-            return F.when(col.isNotNull(), code) if NULL_LABEL not in c.labels else code
+            found = F.array_position(literal_array(c.labels), F.coalesce(col, F.lit(NULL_LABEL)) if NULL_LABEL in c.labels else col)
+            known = F.coalesce(col, F.lit(NULL_LABEL)).isin(list(c.labels))
+            return F.when(known, (found - 1).cast("int"))
         if self.infer_ranges:
             return bin_by_array(col.cast("double"), self.edges(i))
-        return left_closed_bin(col, c.edges(self.bins))
-
-    def counted(self, i: int) -> Column:
-        """Code used for counting: null stays null, values outside the domain become -1."""
-        c = self.meta.columns[i]
-        if not c.numeric or self.infer_ranges:
-            return self.code(i)
-        return F.when(F.col(f"`{c.name}`") > F.lit(c.high), F.lit(-1)).otherwise(self.code(i))
+        inside = col >= F.lit(c.low)
+        return F.when(inside if clip else inside & (col <= F.lit(c.high)), bin_position(col, c, self.bins))
 
     def encode(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         """``keys`` plus ``bins``, an array of codes in metadata order; null marks values outside every bin."""
         self.meta.check(df.columns)
         if self.infer_ranges:
             df = attach(df, self.ranges(df, keys), keys)
-        codes = [F.when(self.code(i) >= 0, self.code(i)) for i in range(len(self.meta))]
-        return df.select(*keys, F.array(*codes).alias("bins"))
+        return df.select(*keys, F.array(*[self.code(i) for i in range(len(self.meta))]).alias("bins"))
+
+    @property
+    def cells(self) -> int:
+        total = 1
+        for s in self.sizes:
+            total *= s + 1
+        return total
+
+    def compact(self, df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+        """:meth:`encode` with a weight ``n``: equal rows are counted first when the domain bounds how many there can be.
+
+        The product of the domain sizes, known from the metadata, limits the distinct rows of a table. When that is small
+        everything later works on the counted rows instead of the data.
+        """
+        coded = self.encode(df, keys)
+        if self.cells > COMPACT_CELLS:
+            return coded.withColumn("n", F.lit(1).cast("bigint"))
+        packed = F.lit(0).cast("bigint")
+        for i, s in enumerate(self.sizes):
+            packed = packed * (s + 1) + F.coalesce(F.element_at("bins", i + 1), F.lit(s))
+        counts = coded.select(*keys, packed.alias("__c")).groupBy(*keys, "__c").agg(F.count("*").alias("n"))
+        digits, rest = [], "__c"
+        for i, s in reversed(list(enumerate(self.sizes))):
+            digit = F.expr(f"cast(({rest}) % {s + 1} as int)")
+            digits.append(F.when(digit < s, digit))
+            rest = f"({rest}) div {s + 1}"
+        return counts.select(*keys, F.array(*reversed(digits)).alias("bins"), "n")
+
+
+def weight(coded: DataFrame) -> Column:
+    """Number of data rows behind coded rows."""
+    return F.sum("n") if "n" in coded.columns else F.count("*")
+
+
+def weighted(coded: DataFrame) -> list[str]:
+    return ["n"] if "n" in coded.columns else []
 
 
 def profile(df: DataFrame, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
@@ -90,8 +126,9 @@ def profile(df: DataFrame, binning: Binning, keys: Sequence[str] = ()) -> DataFr
     edges = [f"__edges_{i}" for i, c in enumerate(meta.columns) if c.numeric] if binning.infer_ranges else []
     cells = []
     for i in range(len(meta)):
-        code = binning.counted(i)
-        cell = F.when(code.isNull(), F.lit(radix - 1)).when(code < 0, F.lit(radix - 2)).otherwise(code)
+        col = F.col(f"`{meta.columns[i].name}`")
+        other = F.when(col.isNull(), F.lit(radix - 1)).otherwise(F.lit(radix - 2))
+        cell = F.coalesce(binning.code(i, clip=False), other)
         cells.append((cell + F.lit(i * radix)).cast("int"))
     counts = source.select(*keys, F.explode(F.array(*cells)).alias("__cell")).groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
     per_table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__cell", "__n"))).alias("__m"))
@@ -187,7 +224,8 @@ def frequency(coded: DataFrame, attrs: Sequence[int], sizes: Sequence[int], keys
     code = F.lit(0).cast("bigint")
     for a, s in zip(attrs, sizes):
         code = code * s + F.element_at("bins", a + 1)
-    counts = coded.select(*keys, code.alias("cell")).where("cell is not null").groupBy(*keys, "cell").agg(F.count("*").alias("n"))
+    counts = coded.select(*keys, code.alias("cell"), *weighted(coded)).where("cell is not null")
+    counts = counts.groupBy(*keys, "cell").agg(weight(coded).alias("n"))
     cells = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("cell")
     tables = coded.select(*keys).distinct() if keys else coded.sparkSession.range(1)
     skeleton = tables.select(*keys, cells)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions.encoding import label_code, literal_array, right_closed_bin
 from veilgauge.functions.keyed import once
 from veilgauge.meta import NULL_LABEL, TableMeta
+from veilgauge.operators.distributions import COMPACT_CELLS
 from veilgauge.operators.joining import attach
 from veilgauge.operators.quantiles import quantiles
 
@@ -97,9 +98,7 @@ def histogram(df: DataFrame, meta: TableMeta, keys: Sequence[str] = (), nbins: i
     meta.check(df.columns)
     cells, at, numeric_blocks = [], 0, []
     for c in meta.numeric:
-        step = (c.high - c.low) / nbins
-        edges = [float(c.low + i * step) for i in range(nbins)] + [float(c.high)]
-        cells.append(F.lit(at) + right_closed_bin(F.col(f"`{c.name}`").cast("double"), edges))
+        cells.append(F.lit(at) + right_closed_bin(F.col(f"`{c.name}`"), c, nbins))
         numeric_blocks.append((at, nbins))
         at += nbins
     for c in meta.discrete:
@@ -141,40 +140,84 @@ def correlation_names(meta: TableMeta) -> list[str]:
     return [f"{a}~{b}" for a, b in combinations(cols, 2)]
 
 
+def _number_sums(flat: DataFrame, n_num: int, width: int, keys: list[str]) -> DataFrame:
+    """Sums of products of all pairs of numbers (``p = i * width + j``), over rows that have both."""
+    slots = [(i, j) for i in range(n_num) for j in range(i, n_num)]
+    pairs = F.array(
+        *[F.struct(F.lit(i * width + j).alias("p"), F.col(f"x{i}").alias("x"), F.col(f"x{j}").alias("y")) for i, j in slots]
+    )
+    rows = flat.select(*keys, F.explode(pairs).alias("e")).select(*keys, "e.*").where("x is not null and y is not null")
+    return rows.groupBy(*keys, "p").agg(
+        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
+        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("y") * F.col("y")).alias("syy"),
+        (F.max("x") > F.min("x")).alias("vx"), (F.max("y") > F.min("y")).alias("vy"),
+    )
+
+
+def _label_sums(flat: DataFrame, n_num: int, start: list[int], width: int, combos: int, keys: list[str]) -> DataFrame:
+    """Sums of products that involve an indicator, and the number of rows under ``p = -1``.
+
+    When the metadata bounds the combinations of labels, rows are first reduced to one per combination (how often it
+    occurs, and the count and sum of each number in it) and pairs are formed from those. Code 0 is the label left out.
+    """
+    labels = [f"c{k}" for k in range(len(start))]
+    if combos <= COMPACT_CELLS:
+        rows = flat.groupBy(*keys, *labels).agg(
+            F.count("*").alias("w"), *[f(f"x{i}").alias(f"{n}{i}") for i in range(n_num) for n, f in (("k", F.count), ("s", F.sum))]
+        )
+    else:
+        one = [F.col(f"x{i}").isNotNull().cast("bigint").alias(f"k{i}") for i in range(n_num)]
+        rows = flat.select(*keys, *labels, F.lit(1).cast("bigint").alias("w"), *one, *[F.col(f"x{i}").alias(f"s{i}") for i in range(n_num)])
+
+    def entry(p: Column, n: Column, sx: Column) -> Column:
+        return F.struct(p.cast("int").alias("p"), n.alias("n"), sx.alias("sx"))
+
+    zero = F.lit(0.0)
+    entries = [entry(F.lit(-1), F.col("w"), zero)]
+    for k, at in enumerate(start):
+        mine = F.col(f"c{k}") + at
+        here = F.col(f"c{k}") > 0
+        entries.append(F.when(here, entry(mine * width + mine, F.col("w"), zero)))
+        for m in range(k + 1, len(start)):
+            there = F.col(f"c{m}") > 0
+            entries.append(F.when(here & there, entry(mine * width + F.col(f"c{m}") + start[m], F.col("w"), zero)))
+        for i in range(n_num):
+            entries.append(F.when(here, entry(F.lit(i * width) + mine, F.col(f"k{i}"), F.coalesce(f"s{i}", zero))))
+    long = rows.select(*keys, F.explode(F.array(*entries)).alias("e")).where("e is not null").select(*keys, "e.*")
+    out = long.groupBy(*keys, "p").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"))
+    # With an indicator for y (and a number for x): sum of y, of y² and the count of rows with y = 1 are the same.
+    between = (F.col("p") >= 0) & (F.col("p") < n_num * width)
+    count = F.col("n").cast("double")
+    return out.select(
+        *keys, "p", "n", F.when(between, F.col("sx")).otherwise(count).alias("sx"), count.alias("sy"),
+        F.when(between, F.col("sx")).otherwise(count).alias("sxy"), count.alias("sxx"), count.alias("syy"),
+        F.lit(True).alias("vx"), F.lit(True).alias("vy"),
+    )
+
+
 def correlations(df: DataFrame, meta: TableMeta, keys: Sequence[str] = ()) -> DataFrame:
     """Pearson correlations of numbers and label indicators (first label left out), strict upper triangle by rows.
 
-    Undefined correlations are 0. A row has one non-zero indicator per label column at most, so it contributes its
-    non-zero cells and their pairs to partial sums; every other product is zero and is never formed. Numbers are
-    shifted by the middle of their range to keep the sums small. Nulls are left out pair by pair.
+    Undefined correlations are 0. A row has one non-zero indicator per label column at most, so only products of
+    non-zero cells are summed; every other product is zero and is never formed. Numbers are shifted by the middle of
+    their range to keep the sums small. Nulls are left out pair by pair.
     """
     keys = list(keys)
     meta.check(df.columns)
     n_num = len(meta.numeric)
     width = n_num + len(_dummies(meta))
-    cells: list[Column] = []
-    for i, c in enumerate(meta.numeric):
-        x = F.col(f"`{c.name}`").cast("double") - F.lit((c.low + c.high) / 2)
-        cells.append(F.when(x.isNotNull(), F.struct(F.lit(i).alias("i"), x.alias("x"))))
-    at = n_num
+    numbers = [F.col(f"`{c.name}`").cast("double") - F.lit((c.low + c.high) / 2) for c in meta.numeric]
+    codes, start, at, combos = [], [], n_num, 1
     for c in meta.discrete:
         code = label_code(F.col(f"`{c.name}`"), c.labels, append_null=False).cast("int")
-        cells.append(F.when(code > 0, F.struct((code + (at - 1)).alias("i"), F.lit(1.0).alias("x"))))
+        codes.append(F.greatest(code, F.lit(0)))
+        start.append(at - 1)
         at += len(c.labels) - 1
-    slots = [F.col(f"c{i}") for i in range(len(cells))]
-    row = df.select(*keys, *[e.alias(f"c{i}") for i, e in enumerate(cells)])
-    pairs = [
-        F.struct((a["i"] * width + b["i"]).alias("p"), a["x"].alias("x"), b["x"].alias("y"))
-        for n, a in enumerate(slots) for b in slots[n:]
-    ]
-    everyone = F.struct(F.lit(-1).alias("p"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    sums = row.select(*keys, F.explode(F.array(everyone, *pairs)).alias("e")).where("e.p is not null").select(*keys, "e.*")
-    sums = sums.groupBy(*keys, "p").agg(
-        F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"),
-        F.sum(F.col("x") * F.col("y")).alias("sxy"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
-        F.sum(F.col("y") * F.col("y")).alias("syy"),
-        (F.max("x") > F.min("x")).alias("vx"), (F.max("y") > F.min("y")).alias("vy"),
-    )
+        combos *= len(c.labels)
+    flat = df.select(*keys, *[x.alias(f"x{i}") for i, x in enumerate(numbers)], *[x.alias(f"c{i}") for i, x in enumerate(codes)])
+    sums = _label_sums(flat, n_num, start, width, combos, keys)
+    if n_num:
+        sums = sums.unionByName(_number_sums(flat, n_num, width, keys))
     entry = F.struct("p", F.struct("n", "sx", "sy", "sxy", "sxx", "syy", "vx", "vy"))
     diagonal = (F.col("p") < 0) | (F.col("p") % (width + 1) == 0)
     packed = sums.groupBy(*keys).agg(

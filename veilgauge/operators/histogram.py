@@ -9,13 +9,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.functions.encoding import literal_array
-from veilgauge.functions.keyed import invert_cdf, uniform
+from veilgauge.functions.keyed import invert_cdf, invert_constants, uniform
 from veilgauge.meta import INTEGER, TableMeta
 from veilgauge.operators.distributions import Binning, profile
 from veilgauge.operators.generate import cell_digest, row_frame, value_in_bin
 from veilgauge.operators.joining import attach, durable
 
 
+# Above this many cells the comparisons would make the generated method too long to be compiled.
+INLINE_CELLS = 200
+
+
 @dataclass(frozen=True)
 class HistogramModel:
     binning: Binning
@@ -25,6 +29,7 @@ class HistogramModel:
     def generate(self, n: int, seed: int = 42, copies: int = 1) -> DataFrame:
         """``keys, copy, row`` and the columns of the table."""
         keys, meta = list(self.keys), self.binning.meta
+        known, cdf = {}, {}
         spark = self.prof.sparkSession
         if keys:
             wide = self.prof.groupBy(*keys).agg(
@@ -40,11 +45,17 @@ class HistogramModel:
             # One table: its profile is one bounded row per column, so it goes into the plan as constants.
             rows = row_frame(spark, n, copies)
             got = {r["attr_idx"]: r for r in self.prof.select("attr_idx", "cdf", "edges").collect()}
-            cdf = {i: literal_array(got[i]["cdf"]) for i in range(len(meta))}
+            known = {i: list(got[i]["cdf"]) for i in range(len(meta))}
             edges = {i: literal_array(got[i]["edges"] or [0.0]) for i in range(len(meta))}
         # One digest per cell serves both draws. Bins are projected first because a number reads its bin twice.
         rows = rows.withColumns({f"__h{i}": cell_digest(seed, "hist", keys, c.name) for i, c in enumerate(meta.columns)})
-        rows = rows.withColumns({f"__b{i}": invert_cdf(cdf[i], uniform(F.col(f"__h{i}"), 0)) for i in range(len(meta))})
+        rows = rows.withColumns({f"__u{i}": uniform(F.col(f"__h{i}"), 0) for i in range(len(meta))})
+        if known and sum(self.binning.sizes) <= INLINE_CELLS:
+            bins = {f"__b{i}": invert_constants(known[i], F.col(f"__u{i}")) for i in known}
+        else:
+            cdf = cdf or {i: literal_array(known[i]) for i in known}
+            bins = {f"__b{i}": invert_cdf(cdf[i], F.col(f"__u{i}")) for i in range(len(meta))}
+        rows = rows.withColumns(bins)
         out: list[Column] = []
         for i, c in enumerate(meta.columns):
             b = F.col(f"__b{i}")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgauge.operators.distributions import weight, weighted
+
 
 def _score(joint: DataFrame, by: Sequence[str]) -> DataFrame:
     """MI in nats and both entropies from joint counts ``x, y, n`` within ``by``."""
@@ -29,14 +31,21 @@ def _score(joint: DataFrame, by: Sequence[str]) -> DataFrame:
 def pair_information(coded: DataFrame, d: int, radix: int, keys: Sequence[str] = ()) -> DataFrame:
     """``(i, j, mi, hx, hy)`` for all column pairs ``i < j`` of a ``bins`` array, in one job.
 
-    A row contributes one packed number per column pair to the partial aggregate; nothing is joined.
+    A row (or counted row, see ``Binning.compact``) contributes one packed number per column pair to the partial
+    aggregate; nothing is joined.
     """
-    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    # A missing code becomes so negative that every pair with it is negative too; no null checks per pair are compiled.
+    missing = -(2**50)
+    flat = coded.select(
+        *keys, *weighted(coded),
+        *[F.coalesce(F.element_at("bins", i + 1).cast("bigint"), F.lit(missing)).alias(f"b{i}") for i in range(d)],
+    )
     packed = [
-        ((F.lit(i * d + j).cast("bigint") * radix + F.element_at("bins", i + 1)) * radix + F.element_at("bins", j + 1))
-        for i, j in pairs
+        F.lit((i * d + j) * radix * radix) + F.col(f"b{i}") * radix + F.col(f"b{j}")
+        for i in range(d) for j in range(i + 1, d)
     ]
-    counts = coded.select(*keys, F.explode(F.array(*packed)).alias("c")).where("c is not null").groupBy(*keys, "c").agg(F.count("*").alias("n"))
+    counts = flat.select(*keys, *weighted(coded), F.explode(F.array(*packed)).alias("c")).where("c >= 0")
+    counts = counts.groupBy(*keys, "c").agg(weight(coded).alias("n"))
     pair = F.floor(F.col("c") / (radix * radix))
     joint = counts.select(
         *keys,
@@ -57,13 +66,13 @@ def normalised(pairs: DataFrame) -> DataFrame:
 
 def candidate_information(coded: DataFrame, radix: int, keys: Sequence[str] = ()) -> DataFrame:
     """``(child, parents, mi)`` for rows that carry ``cands``, an array of ``(child, parents)`` to score."""
-    one = coded.select(*keys, "bins", F.explode("cands").alias("cand"))
+    one = coded.select(*keys, "bins", *weighted(coded), F.explode("cands").alias("cand"))
     x = F.aggregate(
         F.col("cand.parents"), F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("bins", p + 1)
     )
     joint = one.select(
         *keys, F.col("cand.child").alias("child"), F.col("cand.parents").alias("parents"), x.alias("x"),
-        F.expr("element_at(bins, cand.child + 1)").alias("y"),
+        F.expr("element_at(bins, cand.child + 1)").alias("y"), *weighted(coded),
     ).where("x is not null and y is not null")
-    joint = joint.groupBy(*keys, "child", "parents", "x", "y").agg(F.count("*").alias("n"))
+    joint = joint.groupBy(*keys, "child", "parents", "x", "y").agg(weight(coded).alias("n"))
     return _score(joint, [*keys, "child", "parents"]).drop("hx", "hy")

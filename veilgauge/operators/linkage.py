@@ -7,36 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilgauge.operators.joining import attach
+
 
 def _groups(published: DataFrame, targets: DataFrame, on: Sequence[str], keys: Sequence[str], extra: Sequence = ()) -> DataFrame:
     """Sizes of the published combinations that some target has.
 
-    Targets are few and their combinations are broadcast when Spark sees they are small; published rows that match no
-    target are dropped before they are counted, and counting is partial per task.
+    Published rows that match no target are dropped where they are, and counting is partial per task, so a combination
+    with many rows is never brought together.
     """
     wanted = targets.select(*[F.col(f"`{c}`") for c in on]).distinct()
-    null_safe = [published[c].eqNullSafe(wanted[c]) for c in on]
-    cond = null_safe[0]
-    for c in null_safe[1:]:
-        cond = cond & c
-    hits = published.join(wanted, cond, "left_semi")
-    return hits.groupBy(*keys, *on).agg(F.count("*").alias("group_size"), *extra)
-
-
-def _pair(targets: DataFrame, groups: DataFrame, on: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    side = groups
-    for i, c in enumerate(on):
-        side = side.withColumnRenamed(c, f"__on_{i}")
-    cond = targets[on[0]].eqNullSafe(side["__on_0"])
-    for i, c in enumerate(on[1:], 1):
-        cond = cond & targets[c].eqNullSafe(side[f"__on_{i}"])
-    if not keys:
-        return targets.join(side, cond, "left").drop(*[f"__on_{i}" for i in range(len(on))])
-    # Many tables: every target is judged against the tables listed for it.
-    for k in keys:
-        side = side.withColumnRenamed(k, f"__key_{k}")
-        cond = cond & targets[k].eqNullSafe(side[f"__key_{k}"])
-    return targets.join(side, cond, "left").drop(*[f"__on_{i}" for i in range(len(on))], *[f"__key_{k}" for k in keys])
+    hits = attach(published, wanted, on, "left_semi", width=128)
+    return hits.groupBy(*keys, *[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("group_size"), *extra)
 
 
 def link_members(published: DataFrame, targets: DataFrame, on: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
@@ -44,7 +26,7 @@ def link_members(published: DataFrame, targets: DataFrame, on: Sequence[str], ke
 
     With ``keys`` the targets frame carries them too: one row per target and table to judge.
     """
-    out = _pair(targets, _groups(published, targets, on, keys), on, keys)
+    out = attach(targets, _groups(published, targets, on, keys), [*keys, *on], width=128)
     size = F.coalesce("group_size", F.lit(0))
     return out.withColumn("group_size", size).withColumn("linked", F.when(size == 1, 1))
 
@@ -52,6 +34,6 @@ def link_members(published: DataFrame, targets: DataFrame, on: Sequence[str], ke
 def link_attribute(published: DataFrame, targets: DataFrame, on: Sequence[str], sensitive: str, keys: Sequence[str] = ()) -> DataFrame:
     """Targets with the sensitive value of the one published row that has their known labels, null when not unique."""
     value = F.max(F.col(f"`{sensitive}`")).alias("__value")
-    out = _pair(targets, _groups(published, targets, on, keys, [value]), on, keys)
+    out = attach(targets, _groups(published, targets, on, keys, [value]), [*keys, *on], width=128)
     size = F.coalesce("group_size", F.lit(0))
     return out.withColumn("group_size", size).withColumn("linked", F.when(size == 1, F.col("__value"))).drop("__value")

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgauge.operators.joining import attach
+from veilgauge.operators.joining import attach, durable
 
 GROUP_LIMIT = 2_000_000
-BUCKETS = 4096
-LEVELS = 3
+BUCKETS = 65_536
+LEVELS = 2
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequence[str] = ()) -> DataFrame:
@@ -71,7 +71,9 @@ def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequen
     # A value belongs to the bracket when its bucket does, so the bracket of the next level is taken from values.
     current = values
     running = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
+    state = durable(state)
     for _ in range(levels):
+        # The bracket is a few numbers per table and column; writing it out keeps every pass over the data a single one.
         tagged = attach(current, state, by, "inner").withColumn("__b", bucket)
         counts = tagged.groupBy(*by, "__b").agg(
             F.count("*").alias("__k"), F.min("__x").alias("__bmin"), F.max("__x").alias("__bmax"),
@@ -84,6 +86,7 @@ def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequen
             F.min("__bmin").alias("__lo"), F.max("__bmax").alias("__hi"), F.first("__r0").alias("__r0"),
             F.first("__r1").alias("__r1"), F.first("__frac").alias("__frac"), F.min(start).alias("__below"),
         )
+        state = durable(state)
         kept = attach(current, state.select(*by, "__lo", "__hi"), by, "inner")
         current = kept.where(F.col("__x").between(F.col("__lo"), F.col("__hi"))).select(*by, "__x")
     final = attach(current.groupBy(*by, "__x").agg(F.count("*").alias("__k")), state, by, "inner")

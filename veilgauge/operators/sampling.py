@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions.keyed import digest
 from veilgauge.meta import TableMeta
 from veilgauge.operators.counts import label_counts
-from veilgauge.operators.joining import attach, table_values
+from veilgauge.operators.joining import attach
 
 OUT = "OUT"
 
@@ -24,7 +24,7 @@ def draw(df: DataFrame, n: int, seed: int, draws: int = 1, id_col: str = "id", t
     """
     cand = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     cand = cand.withColumn("__h", digest(seed, tag, "draw", F.col(id_col)))
-    cand = cand.withColumn("__p", F.conv(F.substring("__h", 1, 4), 16, 10).cast("int"))
+    cand = cand.withColumn("__p", F.substring("__h", 1, 4))
     running = Window.partitionBy("draw").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
     counts = cand.groupBy("draw", "__p").agg(F.count("*").alias("__k")).withColumn("__cum", F.sum("__k").over(running))
     last = counts.groupBy("draw").agg(
@@ -32,7 +32,7 @@ def draw(df: DataFrame, n: int, seed: int, draws: int = 1, id_col: str = "id", t
         F.max(F.when(F.col("__cum") < n, F.col("__cum"))).alias("__before"),
     )
     cand = attach(cand, last, ["draw"], bound=draws)
-    limit = F.coalesce("__last", F.lit(65535))
+    limit = F.coalesce("__last", F.lit("ffff"))
     ranked = cand.where(F.col("__p") <= limit).withColumn(
         "__rank", F.row_number().over(Window.partitionBy("draw", "__p").orderBy("__h", id_col))
     )
@@ -60,16 +60,15 @@ def pick_targets(df: DataFrame, n_random: int, listed: Sequence = (), seed: int
     return list(dict.fromkeys([*drawn, *listed]))
 
 
-def with_targets(drawn: DataFrame, targets: DataFrame, ids: Sequence, id_col: str = "id") -> DataFrame:
-    """Every drawn table once without any target and once per target with that record added.
+def with_targets(drawn: DataFrame, targets: DataFrame, ids: Sequence, draws: int = 1, id_col: str = "id") -> DataFrame:
+    """Every one of ``draws`` drawn tables once without any target and once per target with that record added.
 
     Adds ``target`` (``OUT`` or the target's id), ``dataset_id`` and ``label``. A table is the same set of rows in all
     its variants but for the one inserted record.
     """
     names = F.array(*[F.lit(t) for t in [OUT, *[str(i) for i in ids]]])
     base = drawn.withColumn("target", F.explode(names))
-    listed = drawn.agg(F.sort_array(F.collect_set("draw")).alias("draw"))
-    extra = table_values(targets, listed).withColumn("draw", F.explode("draw"))
+    extra = targets.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     extra = extra.withColumn("target", F.col(id_col).cast("string")).select(*base.columns)
     both = base.unionByName(extra)
     return both.withColumn("dataset_id", F.concat_ws(":", F.col("draw").cast("string"), "target")).withColumn(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from veilgauge.functions.encoding import bin_columns
 from veilgauge.meta import TableMeta
 from veilgauge.operators.counts import label_counts, modes
-from veilgauge.operators.joining import attach, hold
+from veilgauge.operators.joining import attach, durable, hold
 from veilgauge.operators.quantiles import quantiles
 
 
@@ -34,7 +34,8 @@ def impute_values(df: DataFrame, meta: TableMeta, keys: Sequence[str] = ()) -> D
 
 def impute(df: DataFrame, meta: TableMeta, keys: Sequence[str] = (), values: DataFrame | None = None) -> DataFrame:
     """Fill nulls per table. ``values`` re-uses fill values taken from another (training) table."""
-    values = impute_values(df, meta, keys) if values is None else values
+    # A row per table; written out so that later passes over the filled table do not compute the fills again.
+    values = durable(impute_values(df, meta, keys)) if values is None else values
     names = [c.name for c in meta.columns]
     fills = values.select(*keys, *[F.col(f"`{n}`").alias(f"__fill_{i}") for i, n in enumerate(names)])
     kinds = dict(df.dtypes)
@@ -55,7 +56,7 @@ def winsorise(df: DataFrame, cols: Sequence[str], max_quantile: float, keys: Seq
     whole = df.withColumns({c: F.col(f"`{c}`").cast("bigint") for c in cols})
     if max_quantile >= 1 or not cols:
         return whole
-    caps = quantiles(whole, cols, max_quantile, keys)
+    caps = durable(quantiles(whole, cols, max_quantile, keys))
     caps = caps.select(*keys, *[F.col(f"`{c}`").alias(f"__cap_{i}") for i, c in enumerate(cols)])
     capped = attach(whole, caps, keys)
     return capped.withColumns(

@@ -21,7 +21,7 @@ from veilgauge.operators.membership import MembershipAttack
 from veilgauge.operators.neighbours import nearest, vote
 from veilgauge.operators.predict import PredictTask
 from veilgauge.plans import games
-from veilgauge.plans.population import META, PRIORITY, SEGMENT, population, population_nulls, table, tables_by_priority
+from veilgauge.plans.population import META, PRIORITY, SEGMENT, population, population_nulls, table, as_tables
 from veilgauge.sources import results, tables
 
 QUIDS = ("status", "priority", "segment", "year")
@@ -53,7 +53,7 @@ def _spread(df: DataFrame, vector: str, n: int, keep: list[str]) -> DataFrame:
 
 
 def _by_table(spark, sf_dir, nulls: bool = False) -> DataFrame:
-    return tables_by_priority(population_nulls(spark, sf_dir) if nulls else population(spark, sf_dir))
+    return as_tables(population_nulls(spark, sf_dir) if nulls else population(spark, sf_dir))
 
 
 KEYS = ["dataset_id"]
@@ -242,7 +242,7 @@ def _tables(spark, sf_dir, draws: int, tag: str, nulls: bool = False) -> DataFra
     ids = sampling.pick_targets(df, 3, seed=SEED)
     rest = sampling.without(df, ids)
     drawn = sampling.draw(rest, _tenth(df), SEED, draws, tag=tag)
-    return sampling.with_targets(drawn, sampling.only(df, ids), ids)
+    return sampling.with_targets(drawn, sampling.only(df, ids), ids, draws)
 
 
 def game_members(spark, sf_dir):
@@ -291,7 +291,7 @@ def attr_profile(spark, sf_dir):
 def freq_full_domain(spark, sf_dir):
     binning = distributions.Binning(META, 10)
     df = population(spark, sf_dir).where("NOT (status = 'F' AND segment = 'BUILDING')")
-    return distributions.frequency(binning.encode(df), [0, 2, 4], [3, 5, 10])
+    return distributions.frequency(binning.compact(df), [0, 2, 4], [3, 5, 10])
 
 
 def normalise(spark, sf_dir):
@@ -301,7 +301,7 @@ def normalise(spark, sf_dir):
 
 def _info_coded(spark, sf_dir):
     binning = distributions.Binning(META.select(INFO_COLUMNS), 10)
-    return binning, binning.encode(population(spark, sf_dir))
+    return binning, binning.compact(population(spark, sf_dir))
 
 
 def _pairs(spark, sf_dir):
@@ -406,13 +406,13 @@ def bayes_structure(spark, sf_dir):
     df = population(spark, sf_dir)
     binning = distributions.Binning(META, 10)
     facts = bayes.table_facts(distributions.profile(df, binning))
-    net = bayes.tree_structure(binning.encode(df), binning, facts, [], SEED, None)
+    net = bayes.tree_structure(binning.compact(df), binning, facts, [], SEED, None)
     return bayes.structure_rows(net, NAMES).select("step", "child", F.array_join("parents", " ").alias("parents"))
 
 
 def cpt_fit(spark, sf_dir):
     df, binning, net = population(spark, sf_dir), distributions.Binning(META, 10), _fixed(spark)
-    cells = bayes.cell_counts(binning.encode(df), net, binning, [], 1)
+    cells = bayes.cell_counts(binning.compact(df), net, binning, [], 1)
     cpt = bayes.conditional_distributions(cells, net, binning, [], 1)
     out = bayes.distribution_rows(cpt, net, binning)
     return out.select("step", "child", "parent_codes", "bin", F.col("n").cast("bigint").alias("n"), F.round("prob", 9).alias("prob"))
@@ -427,7 +427,7 @@ def synth_bayes(spark, sf_dir):
 def privbayes_counts(spark, sf_dir):
     df, binning, net = population(spark, sf_dir), distributions.Binning(META, 10), _fixed(spark)
     scale = bayes.PrivBayes(META, epsilon=1.0).noise_scale
-    cells = bayes.cell_counts(binning.encode(df), net, binning, [], 1, scale, SEED)
+    cells = bayes.cell_counts(binning.compact(df), net, binning, [], 1, scale, SEED)
     return cells.select("tab", F.array_join(F.col("codes").cast("array<string>"), " ").alias("codes"), F.round("n", 6).alias("n"))
 
 

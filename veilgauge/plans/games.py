@@ -21,7 +21,7 @@ from veilgauge.operators.bayes import BayesianNet, PrivBayes
 from veilgauge.operators.evaluate import RAW
 from veilgauge.operators.gaussian import Gaussian
 from veilgauge.operators.histogram import IndependentHistogram
-from veilgauge.operators.joining import durable
+from veilgauge.operators.joining import attach, durable
 from veilgauge.operators.linkage import link_attribute, link_members
 from veilgauge.operators.membership import MembershipAttack, train_many
 from veilgauge.operators.predict import PredictTask
@@ -144,6 +144,13 @@ def _dims(tables: DataFrame, copies: int) -> DataFrame:
     return tables.select(*KEYS).distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
+def _ask(tables: DataFrame, probes: DataFrame, ids: Sequence) -> DataFrame:
+    """Which target is judged on which table: all of them on a table without target, otherwise the one inserted."""
+    everyone = F.array(*[F.lit(str(i)) for i in ids])
+    asked = tables.withColumn("target_id", F.explode(F.when(F.col("target") == OUT, everyone).otherwise(F.array("target"))))
+    return attach(asked, probes, ["target_id"], "inner", bound=len(ids))
+
+
 def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) -> DataFrame:
     """``dataset, target_id, model, run, feature_set, secret, guess, guess_source``: one row per attacked table.
 
@@ -153,11 +160,11 @@ def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     ids = pick_targets(population, c.n_targets, c.targets, c.seed)
     targets, rest = only(population, ids), without(population, ids)
     prior = durable(draw(rest, c.size_raw_a, c.seed, tag="prior").drop("draw"))
-    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids))
+    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids, c.n_iter))
     facts: list[DataFrame] = []
     for pub in c.publishers:
         splits = c.n_shadows if pub.generates else c.n_shadows * c.n_syn_a
-        shadow = durable(with_targets(draw(prior, c.size_raw_t, c.seed, splits, tag="shadow"), targets, ids))
+        shadow = durable(with_targets(draw(prior, c.size_raw_t, c.seed, splits, tag="shadow"), targets, ids, splits))
         copies_a, copies_t = (c.n_syn_a, c.n_syn_t) if pub.generates else (1, 1)
         pub_a = durable(publish_tables(pub, shadow, c.size_syn_t, copies_a, c.seed))
         pub_t = durable(publish_tables(pub, games, c.size_syn_t, copies_t, c.seed + 1))
@@ -166,7 +173,7 @@ def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
             cats = [m.name for m in pub.out_meta.discrete]
             asked = _where(games.select(*KEYS).distinct())
             probes = bin_columns(targets, pub.out_meta).select(F.col("id").cast("string").alias("target_id"), *cats)
-            asked = asked.join(F.broadcast(probes), (F.col("target") == OUT) | (F.col("target") == F.col("target_id")))
+            asked = _ask(asked, probes, ids)
             linked = durable(link_members(pub_t, asked, cats, KEYS).select(*KEYS, "target_id", "linked"))
         sets = list(c.feature_sets) + (["Ensemble"] if not pub.generates and "Ensemble" not in c.feature_sets else [])
         for name in sets:
@@ -200,7 +207,7 @@ def inference_game(population: DataFrame, meta: TableMeta, config: GameConfig) -
     c = config
     ids = pick_targets(population, c.n_targets, c.targets, c.seed)
     targets, rest = only(population, ids), without(population, ids)
-    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids))
+    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids, c.n_iter))
     published: list[tuple] = [(None, RAW, meta, games.withColumn("copy", F.lit(0)), 1)]
     for pub in c.publishers:
         copies = c.n_syn_t if pub.generates else 1
@@ -212,7 +219,7 @@ def inference_game(population: DataFrame, meta: TableMeta, config: GameConfig) -
             attack = LinearAttribute(out_meta, column) if kind == "LinReg" else ForestAttribute(out_meta, column, c.seed, threads=c.threads, **dict(c.attack_options))
             probes = bin_columns(targets, out_meta).withColumn("target_id", F.col("id").cast("string"))
             probes = probes.select("target_id", *out_meta.names)
-            rows = asked.join(F.broadcast(probes), (F.col("target") == OUT) | (F.col("target") == F.col("target_id")))
+            rows = _ask(asked, probes, ids)
             if pub is None or not pub.generates:
                 known = [m.name for m in out_meta.discrete if m.name != column]
                 rows = link_attribute(tables, rows, known, column, KEYS)
@@ -250,7 +257,7 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     ids = pick_targets(train, c.n_targets, c.targets, c.seed)
     targets, rest = only(train, ids), without(train, ids)
     record_ids = pick_targets(test, c.n_test_records, c.test_records, c.seed + 7)
-    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids))
+    games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids, c.n_iter))
     published: list[tuple] = [(RAW, meta, games.withColumn("copy", F.lit(0)), False)]
     for pub in c.publishers:
         copies = c.n_syn_t if pub.generates else 1

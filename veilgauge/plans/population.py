@@ -57,6 +57,6 @@ def population_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tables_by_priority(df: DataFrame) -> DataFrame:
+def as_tables(df: DataFrame) -> DataFrame:
     """The population as several tables: one ``dataset_id`` per order status and order year parity."""
     return df.withColumn("dataset_id", F.concat_ws("-", "status", (F.col("year") % 2).cast("string")))
