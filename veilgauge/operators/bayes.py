@@ -356,7 +356,9 @@ class BayesModel:
         keys, meta = list(self.keys), self.binning.meta
         tables = self.network.count() if keys else 1
         rows = row_frame(self.network.sparkSession, n, copies, self.network, keys)
-        rows = self._draw_many(rows, seed, tables) if keys else self._draw_one(rows, seed)
+        # One digest per cell serves both the draw of the bin and the place in it.
+        rows = rows.withColumns({f"__h{i}": cell_digest(seed, "net", keys, c.name) for i, c in enumerate(meta.columns)})
+        rows = self._draw_many(rows, tables) if keys else self._draw_one(rows)
         if self.binning.infer_ranges:
             edges = self.prof.groupBy(*keys).agg(
                 *[F.max(F.when(F.col("attr_idx") == i, F.col("edges"))).alias(f"__edges_{i}") for i, c in enumerate(meta.columns) if c.numeric]
@@ -366,15 +368,14 @@ class BayesModel:
         for i, c in enumerate(meta.columns):
             b = F.col(f"__b{i}")
             if c.numeric:
-                u = uniform(cell_digest(seed, "val", keys, c.name))
-                out.append(value_in_bin(self.binning.edges(i), b, u, c.kind == INTEGER).alias(c.name))
+                out.append(value_in_bin(self.binning.edges(i), b, uniform(F.col(f"__h{i}"), 1), c.kind == INTEGER).alias(c.name))
             else:
                 out.append(F.element_at(literal_array(c.labels), b + 1).alias(c.name))
         return rows.select(*keys, "copy", "row", *out)
 
-    def _draw_one(self, rows: DataFrame, seed: int) -> DataFrame:
+    def _draw_one(self, rows: DataFrame) -> DataFrame:
         """One table: its network and marginals (at most columns × bins numbers) are constants of the plan."""
-        radix, names = self.binning.radix, self.binning.meta.names
+        radix = self.binning.radix
         net = self.network.first()
         marginal = {r["attr_idx"]: r["cdf"] for r in self.prof.select("attr_idx", "cdf").collect()}
         for step, (attr, parents) in enumerate(zip(net["order"], net["parents"])):
@@ -383,14 +384,13 @@ class BayesModel:
                 code = code * radix + F.col(f"__b{p}")
             table = self.cpt.where(F.col("step") == step).select(F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
             rows = attach(rows.withColumn("__code", code), table, ["__code"], bound=radix ** len(parents), width=8 * radix + 64, row_key=["copy", "row"])
-            u = uniform(cell_digest(seed, "net", [], names[attr]))
-            pick = invert_cdf(F.coalesce(F.col("__cdf"), literal_array(marginal[attr])), u)
+            pick = invert_cdf(F.coalesce(F.col("__cdf"), literal_array(marginal[attr])), uniform(F.col(f"__h{attr}")))
             rows = rows.withColumn(f"__b{attr}", pick).drop("__code", "__cdf")
             if step and step % CHECKPOINT_EVERY == 0:
                 rows = durable(rows)
         return rows
 
-    def _draw_many(self, rows: DataFrame, seed: int, tables: int) -> DataFrame:
+    def _draw_many(self, rows: DataFrame, tables: int) -> DataFrame:
         """Many tables, each with its own network: step ``s`` draws whatever column comes ``s``-th in its table."""
         keys, meta = list(self.keys), self.binning.meta
         d, radix = len(meta), self.binning.radix
@@ -409,8 +409,8 @@ class BayesModel:
             table = self.cpt.where(F.col("step") == step).select(*keys, F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
             rows = attach(rows, table, [*keys, "__code"], bound=tables * radix**parents, width=width, row_key=["copy", "row"])
             rows = attach(rows, marginal, [*keys, "attr_idx"], bound=tables * d, width=width, row_key=["copy", "row"])
-            u = uniform(cell_digest(seed, "net", keys, F.element_at(literal_array(meta.names), F.col("attr_idx") + 1)))
-            pick = invert_cdf(F.coalesce("__cdf", "__marginal"), u)
+            hexed = F.element_at(F.array(*[F.col(f"__h{i}") for i in range(d)]), F.col("attr_idx") + 1)
+            pick = invert_cdf(F.coalesce("__cdf", "__marginal"), uniform(hexed))
             rows = rows.withColumn("drawn", F.concat("drawn", F.array(pick))).drop("__code", "__cdf", "__marginal", "attr_idx")
             if step and step % CHECKPOINT_EVERY == 0:
                 rows = durable(rows)

@@ -197,7 +197,7 @@ def network_rows(noise: float | None = None) -> str:
         ctes.append(f"u{s} AS (SELECT *, {u} AS u FROM {prev})")
         ctes.append(f"r{s} AS (SELECT q.* EXCLUDE (u), {pick(f'm{s}.cdf', 'q.u')} AS b_{child} FROM u{s} AS q JOIN m{s} ON {on})")
         prev = f"r{s}"
-    ws = ", ".join(f"{unif(hashed('val', 'copy', 'row', repr(c.name)))} AS w_{c.name}" for c in META.numeric)
+    ws = ", ".join(f"{unif(hashed('net', 'copy', 'row', repr(c.name)), 1)} AS w_{c.name}" for c in META.numeric)
     ctes.append(f"z AS (SELECT *, {ws} FROM {prev})")
     vals = ", ".join(f"{value_of(c, f'b_{c.name}', f'w_{c.name}')} AS {c.name}" for c in META.columns)
     return "WITH " + ",\n".join(ctes) + f"\nSELECT row, {vals} FROM z"
