@@ -33,7 +33,7 @@ def label_code(col: Column, labels: Sequence[str], append_null: bool = True) ->
 
 def code_label(code: Column, labels: Sequence[str]) -> Column:
     """Label at a code; codes outside the domain give null."""
-    return F.try_element_at(literal_array(labels), (code + 1).cast("int"))
+    return F.try_element_at(literal_array(labels), F.when(code >= 0, code + 1).cast("int"))
 
 
 def encode_codes(df: DataFrame, meta: TableMeta) -> DataFrame:

@@ -250,12 +250,12 @@ def cell_counts(
     )
     needs = network.select(*keys, tabs.alias("tabs"))
     facts = attach(coded, needs, keys, "inner", width=1024)
-    facts = facts.select(*keys, "bins", *weighted(coded), F.explode("tabs").alias("t"))
-    cell = F.aggregate("t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * radix + F.element_at("bins", a + 1))
-    counts = facts.select(*keys, F.col("t.tab").alias("tab"), cell.alias("cell"), *weighted(coded)).where("cell is not null")
+    facts = facts.select(*keys, "bins", *weighted(coded), F.explode("tabs").alias("__t"))
+    cell = F.aggregate("__t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * radix + F.element_at("bins", a + 1))
+    counts = facts.select(*keys, F.col("__t.tab").alias("tab"), cell.alias("cell"), *weighted(coded)).where("cell is not null")
     counts = counts.groupBy(*keys, "tab", "cell").agg(weight(coded).alias("n"))
     sizes = literal_array(binning.sizes)
-    space = needs.select(*keys, F.explode("tabs").alias("t")).select(*keys, "t.*")
+    space = needs.select(*keys, F.explode("tabs").alias("__t")).select(*keys, "__t.*")
     size_of = F.transform("attrs", lambda a: F.element_at(sizes, a + 1))
     space = space.withColumn("sizes", size_of)
     total = F.aggregate("sizes", F.lit(1), lambda acc, s: acc * s)
@@ -304,10 +304,10 @@ def conditional_distributions(cells: DataFrame, network: DataFrame, binning: Bin
     own = F.array(
         F.struct(F.col("tab").alias("step"), code(F.sequence(F.lit(1), last - 1)).alias("parent_code"), F.element_at("codes", last).alias("child"))
     )
-    rows = rows.select(*keys, "n", "__order", F.explode(F.when(F.col("tab") == 0, shared).otherwise(own)).alias("e"))
+    rows = rows.select(*keys, "n", "__order", F.explode(F.when(F.col("tab") == 0, shared).otherwise(own)).alias("__e"))
     sizes = literal_array(binning.sizes)
-    rows = rows.withColumn("size", F.element_at(sizes, F.element_at("__order", F.col("e.step") + 1) + 1))
-    rows = rows.select(*keys, "n", "size", "e.*")
+    rows = rows.withColumn("size", F.element_at(sizes, F.element_at("__order", F.col("__e.step") + 1) + 1))
+    rows = rows.select(*keys, "n", "size", "__e.*")
     sums = rows.groupBy(*keys, "step", "parent_code", "child").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
     dist = sums.groupBy(*keys, "step", "parent_code").agg(
         F.map_from_entries(F.collect_list(F.struct("child", "n"))).alias("m"), F.first("size").alias("size")

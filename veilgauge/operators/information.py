@@ -44,15 +44,15 @@ def pair_information(coded: DataFrame, d: int, radix: int, keys: Sequence[str] =
         F.lit((i * d + j) * radix * radix) + F.col(f"b{i}") * radix + F.col(f"b{j}")
         for i in range(d) for j in range(i + 1, d)
     ]
-    counts = flat.select(*keys, *weighted(coded), F.explode(F.array(*packed)).alias("c")).where("c >= 0")
-    counts = counts.groupBy(*keys, "c").agg(weight(coded).alias("n"))
-    pair = F.floor(F.col("c") / (radix * radix))
+    counts = flat.select(*keys, *weighted(coded), F.explode(F.array(*packed)).alias("__c")).where("__c >= 0")
+    counts = counts.groupBy(*keys, "__c").agg(weight(coded).alias("n"))
+    pair = F.floor(F.col("__c") / (radix * radix))
     joint = counts.select(
         *keys,
         F.floor(pair / d).cast("int").alias("i"),
         (pair % d).cast("int").alias("j"),
-        (F.floor(F.col("c") / radix) % radix).alias("x"),
-        (F.col("c") % radix).alias("y"),
+        (F.floor(F.col("__c") / radix) % radix).alias("x"),
+        (F.col("__c") % radix).alias("y"),
         "n",
     )
     return _score(joint, [*keys, "i", "j"])
@@ -66,13 +66,13 @@ def normalised(pairs: DataFrame) -> DataFrame:
 
 def candidate_information(coded: DataFrame, radix: int, keys: Sequence[str] = ()) -> DataFrame:
     """``(child, parents, mi)`` for rows that carry ``cands``, an array of ``(child, parents)`` to score."""
-    one = coded.select(*keys, "bins", *weighted(coded), F.explode("cands").alias("cand"))
+    one = coded.select(*keys, "bins", *weighted(coded), F.explode("cands").alias("__cand"))
     x = F.aggregate(
-        F.col("cand.parents"), F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("bins", p + 1)
+        F.col("__cand.parents"), F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("bins", p + 1)
     )
     joint = one.select(
-        *keys, F.col("cand.child").alias("child"), F.col("cand.parents").alias("parents"), x.alias("x"),
-        F.expr("element_at(bins, cand.child + 1)").alias("y"), *weighted(coded),
+        *keys, F.col("__cand.child").alias("child"), F.col("__cand.parents").alias("parents"), x.alias("x"),
+        F.expr("element_at(bins, __cand.child + 1)").alias("y"), *weighted(coded),
     ).where("x is not null and y is not null")
     joint = joint.groupBy(*keys, "child", "parents", "x", "y").agg(weight(coded).alias("n"))
     return _score(joint, [*keys, "child", "parents"]).drop("hx", "hy")

@@ -63,7 +63,7 @@ def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequen
     pos = F.lit(float(q)) * (F.col("__n") - 1)
     state = state.select(
         *by, "__lo", "__hi",
-        F.floor(pos).alias("__r0"), F.ceil(pos).alias("__r1"), (pos - F.floor(pos)).alias("__frac"),
+        F.floor(pos).alias("__r0"), F.ceil(pos).alias("__r1"), pos.alias("__pos"),
         F.lit(0).cast("bigint").alias("__below"),
     )
     spread = F.col("__hi") - F.col("__lo")
@@ -77,14 +77,14 @@ def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequen
         tagged = attach(current, state, by, "inner").withColumn("__b", bucket)
         counts = tagged.groupBy(*by, "__b").agg(
             F.count("*").alias("__k"), F.min("__x").alias("__bmin"), F.max("__x").alias("__bmax"),
-            *[F.first(c).alias(c) for c in ("__r0", "__r1", "__frac", "__below")],
+            *[F.first(c).alias(c) for c in ("__r0", "__r1", "__pos", "__below")],
         )
         ranked = counts.withColumn("__cum", F.sum("__k").over(running) + F.col("__below"))
         start = F.col("__cum") - F.col("__k")
         wanted = ranked.where((F.col("__cum") > F.col("__r0")) & (start <= F.col("__r1")))
         state = wanted.groupBy(*by).agg(
             F.min("__bmin").alias("__lo"), F.max("__bmax").alias("__hi"), F.first("__r0").alias("__r0"),
-            F.first("__r1").alias("__r1"), F.first("__frac").alias("__frac"), F.min(start).alias("__below"),
+            F.first("__r1").alias("__r1"), F.first("__pos").alias("__pos"), F.min(start).alias("__below"),
         )
         state = durable(state)
         kept = attach(current, state.select(*by, "__lo", "__hi"), by, "inner")
@@ -96,6 +96,7 @@ def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequen
     def at(rank: str):
         return F.min(F.when(F.col("__cum") > F.col(rank), F.col("__x")))
 
-    found = final.groupBy(*by).agg(at("__r0").alias("a"), at("__r1").alias("b"), F.first("__frac").alias("f"))
-    found = found.withColumn("v", F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))
+    found = final.groupBy(*by).agg(at("__r0").alias("a"), at("__r1").alias("b"), *[F.first(c).alias(c) for c in ("__r0", "__r1", "__pos")])
+    between = (F.col("__r1") - F.col("__pos")) * F.col("a") + (F.col("__pos") - F.col("__r0")) * F.col("b")
+    found = found.withColumn("v", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == i, F.col("v"))).alias(c) for i, c in enumerate(cols)])

@@ -29,7 +29,7 @@ def _read(spark: SparkSession, folder: str, prefix: str, levels: list[str], leaf
     ``<prefix><dataset>.json`` is one document in one file, or with ``lines`` a file or folder of JSON lines, each of
     them a document with part of the results.
     """
-    text = spark.read.option("wholetext", not lines).text(f"{folder}/{prefix}*.json")
+    text = spark.read.text(f"{folder}/{prefix}*.json", wholetext=not lines)
     name = F.regexp_extract(F.input_file_name(), r"_([^_/]*)\.json(?:/|$)", 1)
     df = text.select(name.alias("dataset"), F.from_json("value", _maps(len(levels), leaf)).alias("v"))
     for level in levels:
@@ -83,7 +83,7 @@ def _nest(facts: DataFrame, levels: list[str], leaf: Column, lines: bool) -> Dat
         if lines and i < len(levels) - 1:
             df = df.select("dataset", *levels[:i], F.create_map(here, "v").alias("v"))
         else:
-            entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(here.alias("k"), "v"))))
+            entries = F.map_from_entries(F.collect_list(F.struct(here.alias("k"), "v")))
             df = df.groupBy("dataset", *levels[:i]).agg(entries.alias("v"))
     return df.select("dataset", F.to_json("v").alias("value"))
 

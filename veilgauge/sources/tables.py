@@ -60,7 +60,7 @@ def load_table(
 
 
 def with_row_ids(df: DataFrame, prefix: str = "ID") -> DataFrame:
-    """``ID{i}`` by position: rows per scan partition are counted, then each partition starts at its offset."""
+    """``ID{i}`` by position, in place of any ``id`` column: rows per scan partition are counted, then each partition starts at its offset."""
     marked = df.withColumn("__pos", F.monotonically_increasing_id())
     part = F.shiftright("__pos", 33)
     marked = marked.withColumns({"__part": part, "__in": F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))})
@@ -68,7 +68,7 @@ def with_row_ids(df: DataFrame, prefix: str = "ID") -> DataFrame:
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     out = attach(marked, offsets, ["__part"], "inner")
-    return out.select(F.concat(F.lit(prefix), (F.col("__off") + F.col("__in")).cast("string")).alias("id"), *df.columns)
+    return out.select(F.concat(F.lit(prefix), (F.col("__off") + F.col("__in")).cast("string")).alias("id"), *[c for c in df.columns if c != "id"])
 
 
 def union_decode(parts: Sequence[DataFrame], meta: TableMeta) -> DataFrame:
