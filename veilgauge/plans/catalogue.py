@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -320,8 +322,6 @@ def nmi_pairs(spark, sf_dir):
 
 
 def mi_degree2(spark, sf_dir):
-    from itertools import combinations
-
     binning, coded = _info_coded(spark, sf_dir)
     d = len(INFO_COLUMNS)
     cands = [(c, list(ps)) for c in range(d) for ps in combinations([p for p in range(d) if p != c], 2)]
@@ -588,7 +588,12 @@ def _attack(kind: str, out: str, **options):
         attack = MembershipAttack(kind, SEED, options).fit(vectors)
         if out == "confidence":
             return attack.confidence(vectors).select("dataset_id", "label", F.round("confidence", 6).alias("confidence"))
-        return attack.attack(vectors).select("dataset_id", "label", "guess", "guess_source")
+        linked = None
+        if out == "linkage":
+            # A published table with a single row stands for a unique link; the last cells count rows per segment.
+            rows = F.aggregate(F.slice("features", -len(SEGMENT), len(SEGMENT)), F.lit(0.0), lambda a, x: a + x)
+            vectors, linked = vectors.withColumn("linked", F.when(rows == 1, 1)), "linked"
+        return attack.attack(vectors, linked=linked).select("dataset_id", "label", "guess", "guess_source")
 
     return query
 
@@ -651,7 +656,7 @@ def game_inference(spark, sf_dir):
 def game_utility(spark, sf_dir):
     tasks = (("RandForestClass", "segment"),)
     df, config = _game(spark, sf_dir, tasks=tasks, train="year <= 1998", test="year > 1998", n_test_records=3, attack_options=(("trees", 10), ("depth", 5)))
-    config = games.GameConfig(**{**config.__dict__, "size_raw_t": df.where("year <= 1998").count() // 10})
+    config = replace(config, size_raw_t=df.where("year <= 1998").count() // 10)
     return games.utility_game(df, META, config)[1]
 
 
@@ -680,7 +685,7 @@ def queries() -> dict:
     named = {f.__name__: f for f in _PLAIN}
     named["centre"] = centre_columns
     named["mia_train_rf"] = _attack("forest", "guess", numTrees=20, maxDepth=8)
-    named["mia_attack"] = _attack("forest", "guess", numTrees=20, maxDepth=8)
+    named["mia_attack"] = _attack("forest", "linkage", numTrees=20, maxDepth=8)
     named["mia_confidence"] = _attack("forest", "confidence", numTrees=20, maxDepth=8)
     named["mia_train_logreg"] = _attack("logistic", "guess")
     named["mia_train_svc"] = _attack("svc", "guess")

@@ -256,7 +256,7 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     test = durable(population.where(F.expr(c.test)) if c.test else population)
     ids = pick_targets(train, c.n_targets, c.targets, c.seed)
     targets, rest = only(train, ids), without(train, ids)
-    record_ids = pick_targets(test, c.n_test_records, c.test_records, c.seed + 7)
+    asked = durable(only(test, pick_targets(test, c.n_test_records, c.test_records, c.seed + 7)))
     games = durable(with_targets(draw(rest, c.size_raw_t, c.seed, c.n_iter, tag="game"), targets, ids, c.n_iter))
     published: list[tuple] = [(RAW, meta, games.withColumn("copy", F.lit(0)), False)]
     for pub in c.publishers:
@@ -282,15 +282,14 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
         task = PredictTask(TASK_KINDS[kind], out_meta, label, c.seed + copy, options).fit(mine)
         run, target = variant.split(":", 1)
         tags = {"dataset": c.dataset, "task": task.name, "model": name, "run": int(run), "target_id": target, "copy": copy}
-        scored = task.evaluate(test).select(*[F.lit(v).alias(k) for k, v in tags.items()], F.col("id").alias("record_id"), "score")
-        return scored
-
-    scored = [s for s in train_many(score_one, jobs, c.threads) if s is not None]
-    every = durable(_union(scored))
-    totals = every.groupBy("dataset", "task", "model", "run", "target_id", "copy").agg(
-        F.avg("score").alias("score"), F.count("*").alias("records")
-    )
-    return only(every, record_ids, "record_id"), totals
+        named = [F.lit(v).alias(k) for k, v in tags.items()]
+        # Scores of the whole test table are averaged where they arise; only the listed records are kept one by one.
+        one = task.evaluate(asked).select(*named, F.col("id").alias("record_id"), "score")
+        mean = task.evaluate(test).agg(F.avg("score").alias("score"), F.count("*").alias("records")).select(*named, "score", "records")
+        return one, mean
+
+    played = [s for s in train_many(score_one, jobs, c.threads) if s is not None]
+    return durable(_union([one for one, _ in played])), durable(_union([mean for _, mean in played]))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
