@@ -89,19 +89,15 @@ class Binning:
         The product of the domain sizes, known from the metadata, limits the distinct rows of a table. When that is small
         everything later works on the counted rows instead of the data.
         """
-        coded = self.encode(df, keys)
         if self.cells > COMPACT_CELLS:
-            return coded.withColumn("n", F.lit(1).cast("bigint"))
-        packed = F.lit(0).cast("bigint")
-        for i, s in enumerate(self.sizes):
-            packed = packed * (s + 1) + F.coalesce(F.element_at("bins", i + 1), F.lit(s))
-        counts = coded.select(*keys, packed.alias("__c")).groupBy(*keys, "__c").agg(F.count("*").alias("n"))
-        digits, rest = [], "__c"
-        for i, s in reversed(list(enumerate(self.sizes))):
-            digit = F.expr(f"cast(({rest}) % {s + 1} as int)")
-            digits.append(F.when(digit < s, digit))
-            rest = f"({rest}) div {s + 1}"
-        return counts.select(*keys, F.array(*reversed(digits)).alias("bins"), "n")
+            return self.encode(df, keys).withColumn("n", F.lit(1).cast("bigint"))
+        self.meta.check(df.columns)
+        if self.infer_ranges:
+            df = attach(df, self.ranges(df, keys), keys)
+        names = [f"__b{i}" for i in range(len(self.meta))]
+        flat = df.select(*keys, *[self.code(i).alias(n) for i, n in enumerate(names)])
+        counts = flat.groupBy(*keys, *names).agg(F.count("*").alias("n"))
+        return counts.select(*keys, F.array(*names).alias("bins"), "n")
 
 
 def weight(coded: DataFrame) -> Column:
