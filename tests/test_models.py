@@ -144,7 +144,7 @@ def test_membership_attack_separates(spark, kind):
     rng = np.random.default_rng(2)
     data = [(str(i), [float(v) for v in rng.normal(3.0 * (i % 2), 0.3, 4)], i % 2) for i in range(60)]
     df = spark.createDataFrame(data, "dataset_id string, features array<double>, label int")
-    options = {"forest": {"numTrees": 10, "maxDepth": 5}, "mlp": {"maxIter": 30}}.get(kind, {})
+    options = {"forest": {"numTrees": 10, "maxDepth": 5}, "mlp": {"maxIter": 30}, "svc": {"maxIter": 15}}.get(kind, {})
     attack = MembershipAttack(kind, 1, options).fit(df)
     out = attack.attack(df)
     assert out.count() == 60
