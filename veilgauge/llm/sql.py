@@ -16,6 +16,33 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM w LEFT JOIN kept USING (doc_id)
 """
 
+LOWER_WORDS = (
+    r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+)
+
+OP6 = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i : i + 3], ' ')) END) AS sh FROM w
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM w UNION SELECT reach.doc_id, b FROM reach JOIN links ON other = a)
+SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+OP10 = f"""
+WITH w AS (SELECT 0 AS kind, doc_id AS id, {LOWER_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, {LOWER_WORDS} FROM benchmark),
+s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) AS sh FROM w),
+n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, i.id AS item_id, any_value(n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
+FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 0 AND i.kind = 1 JOIN n ON n.item_id = i.id
+GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n)
+"""
+
 OP7 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i
@@ -34,4 +61,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op7_line_dedup": OP7}
+    return {"op2_substring_dedup": OP2, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op10_decontaminate": OP10}
