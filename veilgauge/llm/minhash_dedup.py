@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgauge.llm.common import staged, text_key
+from veilgauge.llm.common import discard, staged, text_key
 from veilgauge.llm.textscan import mix, pieces, seeds, shingle_sets
 
 BINS, BAND_SIZE = 128, 4
@@ -159,6 +159,7 @@ def components(links: DataFrame) -> DataFrame:
         if new.select("u").intersect(new.select("v")).isEmpty() and new.groupBy("u").count().filter("count > 1").isEmpty():
             root = new.select("v").distinct()
             return new.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(root.select(F.col("v").alias("node"), F.col("v").alias("comp")))
+        discard(edges)
         edges = new
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import decontaminate, line_dedup, minhash_dedup, substring_dedup
+from veilgauge.llm import decontaminate, line_dedup, minhash_dedup, mixing, sharding, substring_dedup
 from veilgauge.llm.common import parquet
 
 
@@ -27,10 +27,19 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(parquet(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sharding.assign_shards(parquet(spark, sf_dir, "documents"), shards=16)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contained_items(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op6_minhash_dedup, op7_line_dedup, op10_decontaminate)}
+    return {f.__name__: f for f in (op2_substring_dedup, op6_minhash_dedup, op7_line_dedup, op8_mix_sources, op9_shard, op10_decontaminate)}

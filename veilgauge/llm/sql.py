@@ -34,6 +34,41 @@ SELECT doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(other) AS co
 FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+OP8 = f"""
+WITH d AS (
+  SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+    ('0x' || substr(md5('42:pareto:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+  FROM documents
+),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5, 2, 1])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w
+  FROM d GROUP BY source
+),
+r AS (
+  SELECT *, 3.0::DOUBLE * source_size AS room, sum(source_size::DOUBLE) OVER () AS total,
+    coalesce(sum(3.0::DOUBLE * source_size) OVER o, 0) AS used, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS others
+  FROM s WINDOW o AS (ORDER BY 3.0::DOUBLE * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+f AS (SELECT *, room * others <= w * (total - used) AS stop FROM r),
+t AS (
+  SELECT source, source_size, CASE WHEN stop THEN room ELSE
+    w * (total - sum(CASE WHEN stop THEN room ELSE 0 END) OVER ()) / nullif(sum(CASE WHEN stop THEN 0 ELSE w END) OVER (), 0) END AS target
+  FROM f
+),
+c AS (
+  SELECT doc_id, size, source_size, target, d.source, u, floor(target / nullif(source_size, 0)) AS whole,
+    target / nullif(source_size, 0) - floor(target / nullif(source_size, 0)) AS p
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+),
+k AS (SELECT *, u / (1 - u) * (1 - p) / p AS odds FROM c WHERE p > 0),
+m AS (
+  SELECT doc_id, coalesce(sum(size) OVER (PARTITION BY source ORDER BY floor(odds / (1 + odds) * 281474976710656.0::DOUBLE), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 <= target - whole * source_size AS more FROM k
+)
+SELECT c.doc_id, size, source_size, target, (size * (coalesce(whole, 0) + CASE WHEN more THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c LEFT JOIN m ON c.doc_id = m.doc_id
+"""
+
 OP10 = f"""
 WITH w AS (SELECT 0 AS kind, doc_id AS id, {LOWER_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, {LOWER_WORDS} FROM benchmark),
 s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) AS sh FROM w),
@@ -61,4 +96,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op10_decontaminate": OP10}
+    return {"op2_substring_dedup": OP2, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op8_mix_sources": OP8, "op10_decontaminate": OP10}
