@@ -33,10 +33,16 @@ def discard(table: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_batches(spark) -> None:
+    """Let Spark hand texts to Python workers in Arrow batches of at most 16 MB, whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 * 2**20))
+
+
 def total_bytes(docs: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a text column."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0
 
 
 def parquet(spark, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

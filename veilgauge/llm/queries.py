@@ -7,15 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import decontaminate, line_dedup, minhash_dedup, mixing, sharding, substring_dedup
+from veilgauge.llm import chat, decontaminate, knn, line_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, toxicity
 from veilgauge.llm.common import parquet
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.resample(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_ratio", "noisy", "kept")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.remove_repeats(parquet(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op3_top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_scores(parquet(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+ODD_TEXT = r"\### Assistant: </turn> ok"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = parquet(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = spark.createDataFrame([(-7, 0, "user", ODD_TEXT), (-7, 1, "assistant", ODD_TEXT)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.format_conversations(rows.unionByName(odd)))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = minhash_dedup.near_duplicates(parquet(spark, sf_dir, "documents"), k=4, percent=80)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -42,4 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_substring_dedup, op6_minhash_dedup, op7_line_dedup, op8_mix_sources, op9_shard, op10_decontaminate)}
+    return {f.__name__: f for f in (
+        op1_quality, op2_substring_dedup, op3_top_scores, op4_chat_format, op5_toxicity,
+        op6_minhash_dedup, op7_line_dedup, op8_mix_sources, op9_shard, op10_decontaminate,
+    )}

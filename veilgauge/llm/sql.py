@@ -20,6 +20,29 @@ LOWER_WORDS = (
     r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 )
 
+OP3 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+OP4 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(15 + 2 * length(role) - length(regexp_replace(role, '[\\<#:]', '', 'g')) + 2 * length(text) - length(regexp_replace(text, '[\\<#]', '', 'g')))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
 OP6 = f"""
 WITH RECURSIVE w AS (SELECT doc_id, {LOWER_WORDS} AS w FROM documents),
 s AS (
@@ -96,4 +119,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op8_mix_sources": OP8, "op10_decontaminate": OP10}
+    return {"op2_substring_dedup": OP2, "op3_top_scores": OP3, "op4_chat_format": OP4, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op8_mix_sources": OP8, "op10_decontaminate": OP10}

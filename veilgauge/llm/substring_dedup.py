@@ -26,7 +26,8 @@ from veilgauge.llm.common import total_bytes
 from veilgauge.llm.textscan import pieces, windows, words_of
 
 WINDOW = 20
-BLOCK_WINDOWS = 2 * 2**20
+BLOCK_WINDOWS = 2**20
+BUCKET_WINDOWS = 2 * 2**20
 NO_ID = -(2**63)
 CELLS = "bucket int, doc long, key int, cell binary"
 FOUND = "doc long, key int, starts binary"
@@ -43,7 +44,7 @@ def _from_planes(raw: bytes, dtype, n: int) -> np.ndarray:
 
 
 def pack_starts(starts: np.ndarray) -> bytes:
-    return zstandard.compress(_planes(np.diff(starts, prepend=0).astype(np.uint32)), 1)
+    return zstandard.compress(_planes(np.diff(starts, prepend=starts.dtype.type(0)).astype(np.uint32)), 1)
 
 
 def unpack_starts(raw: bytes) -> np.ndarray:
@@ -54,7 +55,7 @@ def unpack_starts(raw: bytes) -> np.ndarray:
 def _pack_cell(value: np.ndarray, owner: np.ndarray, start: np.ndarray, doc: np.ndarray, key: np.ndarray) -> bytes:
     """Windows in order of document and position."""
     head = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1])
-    step = np.diff(start, prepend=0)
+    step = np.diff(start, prepend=start.dtype.type(0))
     step[head] = start[head]
     who = owner[head]
     count = np.diff(np.append(head, len(owner)))
@@ -105,9 +106,10 @@ def _cells(width: int, bits: int):
         doc = np.concatenate([h[0] for h in held])
         key = np.concatenate([h[1] for h in held])
         base = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        owner = np.concatenate([h[2] + b for h, b in zip(held, base)])
+        owner = np.concatenate([h[2] + np.int32(b) for h, b in zip(held, base)])
         start = np.concatenate([h[3] for h in held])
         value = np.concatenate([h[4] for h in held])
+        held.clear()
         rank = np.empty(len(doc), dtype=np.int64)
         rank[np.lexsort((key, doc))] = np.arange(len(doc))
         if (np.diff(rank) < 0).any() or (np.diff(doc) == 0).any():
@@ -148,7 +150,7 @@ def _cells(width: int, bits: int):
                     continue
                 owner = words.doc[at]
                 doc, key = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
-                held.append((doc, key, owner, at - words.first[owner], value))
+                held.append((doc, key, owner.astype(np.int32), (at - words.first[owner]).astype(np.int32), value))
                 n += len(at)
                 if n >= BLOCK_WINDOWS:
                     yield from flush(held)
@@ -186,7 +188,7 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc, key, starts``: packed first words of the windows that begin earlier elsewhere; several rows a document."""
-    bits = min(max(math.ceil(math.log2(max(total_bytes(docs) / 6 / BLOCK_WINDOWS, 1))), 6), 16)
+    bits = min(max(math.ceil(math.log2(max(total_bytes(docs) / 6 / BUCKET_WINDOWS, 1))), 6), 16)
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("key"), "text")
     return keyed.mapInArrow(_cells(width, bits), CELLS).groupBy("bucket").applyInArrow(_bucket, FOUND)
 

@@ -63,8 +63,15 @@ _bytes_powers, _roll_powers = Powers(_BASE), Powers(_ROLL)
 _TABLE = seeds(256, 1)
 _LOWER = _TABLE.copy()
 _LOWER[65:91] = _TABLE[97:123]
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, *range(9, 14)]] = True
+
+# Byte classes: 0 lies between tokens, and a token is a run of bytes of one other class.
+SPACED = np.ones(256, dtype=np.uint8)
+SPACED[[32, *range(9, 14)]] = 0
+_PUNCT = [i for i in range(33, 127) if not chr(i).isalnum() and chr(i) != "_"]
+LETTERS = SPACED.copy()
+LETTERS[_PUNCT] = 0
+WORD_OR_PUNCT = SPACED.copy()
+WORD_OR_PUNCT[_PUNCT] = 2
 
 
 def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
@@ -134,18 +141,18 @@ class Words:
         return hash_spans(self.data, self.start, self.end, lower)
 
 
-def words_of(column: pa.Array) -> Words:
+def words_of(column: pa.Array, classes: np.ndarray = SPACED) -> Words:
     data, offsets = content(column)
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return Words(data, offsets, none, none, np.zeros(len(offsets), dtype=np.int64))
-    letter = ~_SPACE[data]
-    begins, ends = letter.copy(), letter.copy()
-    begins[1:] &= ~letter[:-1]
-    ends[:-1] &= ~letter[1:]
-    edge = offsets[(offsets > 0) & (offsets < len(data))]  # a word never goes on in the next text
-    begins[edge] = letter[edge]
-    ends[edge - 1] = letter[edge - 1]
+    kind = classes[data]
+    differs = kind[1:] != kind[:-1]
+    begins, ends = kind != 0, kind != 0
+    inside = offsets[(offsets > 0) & (offsets < len(data))]  # a word never goes on in the next text
+    differs[inside - 1] = True
+    begins[1:] &= differs
+    ends[:-1] &= differs
     start = np.flatnonzero(begins)
     return Words(data, offsets, start, np.flatnonzero(ends) + 1, np.searchsorted(start, offsets))
 
