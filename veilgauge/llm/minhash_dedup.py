@@ -10,8 +10,9 @@ the probability of the sets' Jaccard similarity, and the number of agreements is
 **Links.** Equal sets become one node first, so a group of copies costs one row. Only the classes of linked nodes are asked for, so
 the pairs of a bucket are never listed: each bucket names a pivot, its other members are compared with the pivot on their full sets, and linked nodes
 are joined into components. A bucket whose members all belong to one component is done. The others go on without their pivot, whose
-pairs are all settled. After ``ROUNDS`` rounds the few pairs left *between* components of one bucket are compared directly, so no link is lost and no
-bucket is capped.
+pairs are all settled. What is left after ``ROUNDS`` rounds are large groups around the threshold. Buckets with common members are joined into clusters, a cluster is cut
+into blocks of some hundred nodes, and a task compares two blocks by one matrix product over the shingles they share; it emits no pairs, only links that
+join components. Blocks inside one component are not compared. So no link is lost and no bucket is capped.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from veilgauge.llm.common import discard, staged, text_key
 from veilgauge.llm.textscan import mix, pieces, seeds, shingle_sets
 
 BINS, BAND_SIZE = 128, 4
-ROUNDS = 3
+ROUNDS = 2
+BLOCK_NODES = 256
+COLUMNS = 4096
 U = np.uint64
 _ROUND_SEEDS = seeds(BINS, 11)
 _BAND_SEEDS = seeds(BINS, 12)
@@ -144,6 +147,64 @@ def _verify(k: int, percent: int):
     return run
 
 
+def _sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, owner and sizes of packed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    values, owner, at = [], [], 0
+    for piece in pieces(pa.record_batch([pa.array([unpack.decompress(t) for t in texts], pa.binary())], names=["text"])):
+        v, o, _ = shingle_sets(piece.column("text"), k, True)
+        values.append(v)
+        owner.append(o + at)
+        at += piece.num_rows
+    owner = np.concatenate([np.zeros(0, dtype=np.int64), *owner])
+    return np.concatenate([np.zeros(0, dtype=np.uint64), *values]), owner, np.bincount(owner, minlength=len(texts))
+
+
+def _common(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """Sizes of all intersections of ``n`` sets. Only shingles that at least two sets hold can count."""
+    known, column, count = np.unique(values, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    column, owner = column[shared], owner[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((n, n), dtype=np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        table = np.zeros((n, COLUMNS), dtype=np.float32)
+        table[owner[a:b], column[a:b] - lo] = 1
+        out += table @ table.T
+    return out.astype(np.int64)
+
+
+def _compare_blocks(k: int, percent: int):
+    """Links between components among the nodes of one or two blocks: as many as it takes to join them."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        values, owner, size = _sets(table.column("packed").to_pylist(), k)
+        common = _common(values, owner, len(node))
+        linked = 100 * common >= percent * (size[:, None] + size[None, :] - common)
+        _, label = np.unique(comp, return_inverse=True)
+        out = []
+        while True:
+            i, j = np.nonzero(linked & (label[:, None] < label[None, :]))
+            if not len(i):
+                break
+            _, first = np.unique(label[j], return_index=True)  # every component is joined to one below it
+            for x, y in zip(i[first], j[first]):
+                out.append((int(node[x]), int(node[y])))
+            below = {int(label[y]): int(label[x]) for x, y in zip(i[first], j[first])}
+            root = np.arange(label.max() + 1)
+            for one in sorted(below):
+                root[one] = root[below[one]]
+            label = root[label]
+        a, b = zip(*out) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, comp`` (smallest node reachable) for the nodes of ``links(a, b)``, by alternating large-star and small-star
     steps: each step keeps the components and shortens every path, so that a few steps end in stars."""
@@ -188,28 +249,43 @@ def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
         return two.select("a", "b", "text_a", "text_b").mapInArrow(_verify(k, percent), "a long, b long")
 
     links, comps = None, None
-    for turn in range(ROUNDS + 1):
+    for turn in range(ROUNDS):
         now = _labelled(members, comps)
-        if turn == ROUNDS:
-            one = now.select("band", F.col("node").alias("p"), F.col("comp").alias("c"))
-            two = now.select("band", F.col("node").alias("q"), F.col("comp").alias("d"))
-            pairs = one.join(two, "band").filter("p < q and c <> d").select("p", "q")
-        else:
-            order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
-            pivots = now.groupBy("band").agg(
-                F.min_by(F.struct("node", "comp"), order).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-            ).filter("lo <> hi").select("band", F.col("first.node").alias("pivot"), F.col("first.comp").alias("pivot_comp"))
-            now = staged(now.join(pivots, "band"))
-            members = now.filter("node <> pivot").select("band", "node")
-            pairs = now.filter("comp <> pivot_comp").select(F.col("node").alias("p"), F.col("pivot").alias("q"))
-        new = staged(check(pairs))
-        if new.isEmpty():
-            if pairs.isEmpty():
-                break
-            continue
+        order = F.col("node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        pivots = now.groupBy("band").agg(
+            F.min_by(F.struct("node", "comp"), order).alias("first"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        ).filter("lo <> hi").select("band", F.col("first.node").alias("pivot"), F.col("first.comp").alias("pivot_comp"))
+        now = staged(now.join(pivots, "band"))
+        members = now.filter("node <> pivot").select("band", "node")
+        new = staged(check(now.filter("comp <> pivot_comp").select(F.col("node").alias("p"), F.col("pivot").alias("q"))))
         links = new if links is None else links.unionByName(new)
         comps = components(links)
-    return comps
+    last = _between(_labelled(members, comps), texts, k, percent)
+    return comps if last is None else components(links.unionByName(last))
+
+
+def _between(members: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame | None:
+    """Links between components of one bucket, for ``band, node, comp``; None if no bucket has several."""
+    mixed = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("node").alias("least")).filter("lo <> hi")
+    left = staged(members.join(mixed.select("band", "least"), "band"))
+    if left.isEmpty():
+        return None
+    cluster = components(left.select(F.col("node").alias("a"), F.col("least").alias("b"))).withColumnRenamed("comp", "cluster")
+    rows = left.select("node", "comp").distinct().join(cluster, "node")
+    # Components of at least a block have blocks of their own (kind: the component), the others share blocks (kind: null).
+    large = rows.groupBy("cluster", "comp").agg(F.count("*").alias("n")).filter(F.col("n") >= BLOCK_NODES)
+    rows = rows.join(large.select("cluster", "comp", F.col("comp").alias("kind")), ["cluster", "comp"], "left")
+    size = rows.groupBy("cluster", F.struct("kind").alias("of")).agg(F.count("*").alias("n"))
+    rows = rows.withColumn("of", F.struct("kind")).join(size, ["cluster", "of"])
+    block = F.pmod(F.xxhash64("node", F.lit(5)), F.ceil(F.col("n") / BLOCK_NODES))
+    rows = staged(rows.select("cluster", "node", "comp", F.struct("kind", block.alias("no")).alias("block")))
+    blocks = rows.select("cluster", "block").distinct()
+    pairs = blocks.select("cluster", F.col("block").alias("x")).join(blocks.select("cluster", F.col("block").alias("y")), "cluster")
+    pairs = staged(pairs.filter((F.col("x") <= F.col("y")) & F.coalesce(F.col("x.kind") != F.col("y.kind"), F.lit(True))))
+    one = pairs.withColumn("block", F.col("x"))
+    two = pairs.filter(F.col("x") < F.col("y")).withColumn("block", F.col("y"))
+    sides = rows.join(one.unionByName(two), ["cluster", "block"]).join(texts, "node")
+    return staged(sides.groupBy("cluster", "x", "y").applyInArrow(_compare_blocks(k, percent), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

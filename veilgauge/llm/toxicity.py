@@ -2,11 +2,12 @@
 
 Known toxic documents (P) and unlabelled text (U) are all that is learned from. With the class prior ``c`` the risk is
 ``c * E_P[l(g, +)] + max(0, E_U[l(g, -)] - c * E_P[l(g, -)])``: the text without labels stands for the negatives, corrected for the toxic part
-in it, and the corrected part may not turn negative, which is where such models begin to overfit. When it does, the step goes the other way.
+in it, and the corrected part may not turn negative, which is where such models begin to overfit. The prior is the share of toxic labels times ``CAUTION``: too
+large a prior would take clean text for the toxic part. The cut between the two classes minimises the same estimate for counted errors.
 
-Features are the presence of hashed words. Only buckets whose document frequencies differ between P and U by some standard errors are used, at most a
-few thousand; they are found by counts in Spark.
-Several linear classifiers are trained on halves of the sample, one task each, and their margins are averaged. Both samples
+Features are the presence of hashed words and of runs of four bytes in words, which also find compounds of a root. Only buckets whose document frequencies differ between P and U by some standard errors are used, at most
+five hundred; they are found by counts in Spark.
+Several linear classifiers are trained on halves of the sample, one task each; the other half gives the cut. Their margins are averaged. Both samples
 are bounded by parameters; scoring runs over all documents in one scan.
 """
 
@@ -20,26 +21,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.llm.common import staged, text_key
-from veilgauge.llm.textscan import LETTERS, pieces, words_of
+from veilgauge.llm.textscan import LETTERS, Words, pieces, words_of
 
 BUCKET_BITS = 20
 TOXIC_ROWS = 4_000
 TEXT_ROWS = 16_000
-FEATURES = 2_000
+FEATURES = 500
 LEAST_DOCS = 5
 LEAST_Z = 4.0
 MODELS = 4
+CAUTION = 0.9
 STEPS = 300
 RATE = 0.1
 SHRINK = 1e-4
 U = np.uint64
-
-
-def presence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text index and bucket of each lower-cased word, once per text."""
+_SMALL = np.arange(256, dtype=np.uint32)
+_SMALL[65:91] += 32
+
+
+def _grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Place and bucket of every run of four bytes inside a word, A-Z in lower case."""
+    data = words.data
+    if len(data) < 4:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    inside = LETTERS[data] != 0
+    ok = inside[:-3] & inside[1:-2] & inside[2:-1] & inside[3:]
+    for j in (1, 2, 3):
+        edge = words.offsets - j
+        ok[edge[(edge >= 0) & (edge < len(ok))]] = False
+    small = _SMALL[data]
+    code = small[:-3] | (small[1:-2] << 8) | (small[2:-1] << 16) | (small[3:] << 24)
+    return np.flatnonzero(ok), (code * np.uint32(2654435761) >> np.uint32(32 - BUCKET_BITS)).astype(np.int64)
+
+
+def presence(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Text index and bucket, once per text, of each lower-cased word and of each four bytes of a word; only ``known`` buckets if given."""
     words = words_of(column, LETTERS)
-    bucket = (words.hashes(lower=True) >> U(64 - BUCKET_BITS)).astype(np.int64)
-    pair = np.unique((words.doc << BUCKET_BITS) | bucket)
+    bucket, doc = (words.hashes(lower=True) >> U(64 - BUCKET_BITS)).astype(np.int64), words.doc
+    at, gram = _grams(words)
+    if known is not None:
+        use = known[bucket]
+        bucket, doc = bucket[use], doc[use]
+        at = at[known[gram[at]]]
+    gram = gram[at]
+    owner = np.searchsorted(words.offsets, at, side="right") - 1
+    pair = np.unique(np.concatenate([(doc << BUCKET_BITS) | bucket, (owner << BUCKET_BITS) | gram]))
     return pair >> BUCKET_BITS, pair & (2**BUCKET_BITS - 1)
 
 
@@ -78,7 +104,7 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, width: int, prior: float, s
         if negative >= 0:
             r = as_negative + np.where(toxic, -prior * (1 - s) / n_p, 0.0)
         else:
-            r = -as_negative
+            r = np.where(toxic, -prior * (1 - s) / n_p, 0.0)
         grad = np.bincount(col, weights=r[row], minlength=width + 1) + SHRINK * w
         grad[width] = r.sum()
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
@@ -86,15 +112,34 @@ def train(rows: list[np.ndarray], toxic: np.ndarray, width: int, prior: float, s
     return w[:width], float(w[width])
 
 
+def best_offset(margin: np.ndarray, toxic: np.ndarray, prior: float) -> float:
+    """The margin to subtract: the cut of the least estimated error, ``c * P(missed) + max(0, U(found) - c * P(found))``, in the
+    middle of the gap between margins; of equal cuts the one with the widest gap."""
+    order = np.argsort(margin, kind="stable")
+    margin, toxic = margin[order], toxic[order]
+    missed = np.cumsum(toxic)[:-1] / toxic.sum()
+    found = 1 - np.cumsum(~toxic)[:-1] / (~toxic).sum()
+    risk = prior * missed + np.maximum(0, found - prior * (1 - missed))
+    gap = np.diff(margin)
+    risk = np.where(gap > 1e-9, np.round(risk, 12), np.inf)
+    if not np.isfinite(risk).any():
+        return 0.0
+    at = min(np.flatnonzero(risk == risk.min()), key=lambda i: (-gap[i], i))
+    return float((margin[at] + margin[at + 1]) / 2)
+
+
 def _train(prior: float, width: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("toxic", "ascending"), ("h", "ascending")])
         rows = [np.asarray(x, dtype=np.int64) for x in table.column("picked").to_pylist()]
         toxic = table.column("toxic").to_numpy().astype(bool)
-        if toxic.all() or not toxic.any():
-            w, b = np.zeros(width), -4.0
-        else:
-            w, b = train(rows, toxic, width, prior)
+        learn = table.column("learn").to_numpy().astype(bool)
+        some = [(toxic[part].any() and not toxic[part].all()) for part in (learn, ~learn)]
+        if not all(some):
+            learn = np.ones(len(rows), dtype=bool)
+        w, b = train([r for r, use in zip(rows, learn) if use], toxic[learn], width, prior)
+        other = ~learn if all(some) else learn
+        b -= best_offset(np.array([w[r].sum() + b for r, use in zip(rows, other) if use]), toxic[other], prior)
         return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "b": pa.array([b])})
 
     return run
@@ -105,11 +150,8 @@ def _score(model):
         weights, known, offset = model.value
         for batch in batches:
             for piece in pieces(batch):
-                words = words_of(piece.column("text"), LETTERS)
-                bucket = (words.hashes(lower=True) >> U(64 - BUCKET_BITS)).astype(np.int64)
-                use = np.flatnonzero(known[bucket])
-                pair = np.unique((words.doc[use] << BUCKET_BITS) | bucket[use])
-                total = np.bincount(pair >> BUCKET_BITS, weights=weights[pair & (2**BUCKET_BITS - 1)], minlength=piece.num_rows)
+                doc, bucket = presence(piece.column("text"), known)
+                total = np.bincount(doc, weights=weights[bucket], minlength=piece.num_rows)
                 score = 1 / (1 + np.exp(-np.clip(total + offset, -500, 500)))
                 yield pa.record_batch([piece.column("doc_id"), piece.column("key"), pa.array(score)], names=["doc_id", "key", "score"])
 
@@ -129,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, text_r
     weights, known = np.zeros(2**BUCKET_BITS), np.zeros(2**BUCKET_BITS, dtype=bool)
     if not prior:
         return weights, known, -4.0
-    prior = min(max(prior, 1e-4), 0.9)
+    prior = min(max(CAUTION * prior, 1e-4), 0.9)
     positive = staged(usable.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows).select("doc_id"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).filter(~held_out())
     n = rows.count()
@@ -158,7 +200,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, text_r
     lookup = docs.sparkSession.sparkContext.broadcast(index)
     picked = sample.mapInArrow(_pick(lookup), "toxic boolean, h long, picked array<int>")
     halves = picked.withColumn("model", F.explode(F.array(*map(F.lit, range(MODELS)))))
-    halves = halves.filter(F.pmod(F.xxhash64("h", "model"), F.lit(2)) == 0)
+    halves = halves.withColumn("learn", F.pmod(F.xxhash64("h", "model"), F.lit(2)) == 0)
     models = halves.groupBy("model").applyInArrow(_train(prior, len(chosen)), "w array<double>, b double").collect()
     if not models:
         return weights, known, -4.0
