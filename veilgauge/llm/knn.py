@@ -159,7 +159,8 @@ def top_scores(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     n, asked = whole.count(), queries.count()
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(asked / QUERY_ROWS))
     block = F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).cast("int")
-    queries = queries.withColumn("block", block).withColumn("home", F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(shards)).cast("int"))
+    home = F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(shards)).cast("int")
+    queries = staged(queries.withColumns({"block": block, "home": home}))
     points = whole.withColumn("shard", F.pmod(F.xxhash64("vec_id", "vector"), F.lit(shards)).cast("int"))
     points = points.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     keys = ["size", "shard", "block"]
