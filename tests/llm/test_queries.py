@@ -1,0 +1,25 @@
+"""Registered queries against their SQL, and the registry."""
+
+import pytest
+
+from oracle import compare, connect
+from veilgauge.llm.queries import queries
+from veilgauge.llm.sql import oracle_sql
+
+SQL, QUERIES = oracle_sql(), queries()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, sf_dir, name):
+    assert compare(QUERIES[name](spark, sf_dir), connect(sf_dir), SQL[name]) is None
+
+
+def test_one_query_for_each_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert set(SQL) <= set(QUERIES)
+
+
+def test_registered():
+    import __spark_entry__ as entry
+
+    assert {*QUERIES, "pipeline"} <= set(entry.queries())
