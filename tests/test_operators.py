@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilgauge.meta import ColumnMeta, TableMeta
+from veilgauge.meta import CATEGORICAL, FLOAT, ColumnMeta, TableMeta
 from veilgauge.operators import distributions, features, joining, quantiles, sampling, sanitise
 from veilgauge.operators.linkage import link_attribute, link_members
 from veilgauge.plans.population import META, as_tables, population, population_nulls
@@ -31,24 +31,34 @@ def test_salted_join_equals_broadcast_join(spark, monkeypatch, how):
     assert joining.attach(facts, lookup, ["k"], "inner").count() == sum(k in ("hot", None, "k5") for _, k in hot)
 
 
+@pytest.mark.parametrize("rank_rows", [5, 100_000])
 @pytest.mark.parametrize("q", [0.0, 0.25, 0.5, 0.99, 1.0])
-def test_refined_quantiles_are_exact(spark, q):
+def test_quantiles_are_exact(spark, monkeypatch, q, rank_rows):
+    monkeypatch.setattr(quantiles, "RANK_ROWS", rank_rows)
     rng = np.random.default_rng(3)
+    spread = 10.0 ** rng.uniform(-9, 9, 3000) * rng.choice([-1, 1], 3000)
     data = [("a", float(v), int(w)) for v, w in zip(rng.lognormal(0, 4, 3000), rng.integers(0, 3, 3000))]
-    data += [("b", 5.0, None), ("b", 5.0, 7), ("c", None, 1)]
+    data += [("d", float(v), None) for v in spread] + [("e", 1e-300, 1), ("e", 1e300, 2), ("e", float("inf"), 3), ("e", -0.0, 4)]
+    data += [("b", 5.0, None), ("b", 5.0, 7), ("c", None, 1), ("n", None, None)]
     df = spark.createDataFrame(data, "t string, x double, y int")
     want = df.groupBy("t").agg(*[F.percentile(F.col(c).cast("double"), q).alias(c) for c in "xy"])
-    got = quantiles.refined_quantiles(df, ["x", "y"], q, ["t"])
-    assert rows(got.select("t", "x", "y")) == rows(want)
-    whole = quantiles.refined_quantiles(df, ["x"], q).first()[0]
+    assert rows(quantiles.quantiles(df, ["x", "y"], q, ["t"]).select("t", "x", "y")) == rows(want)
+    whole = quantiles.quantiles(df, ["x"], q).first()[0]
     assert whole == df.agg(F.percentile("x", q)).first()[0]
 
 
-def test_large_groups_take_the_refined_path(spark, monkeypatch):
+def test_several_quantiles_at_once(spark):
     df = spark.range(100).select((F.col("id") % 7).alias("x"))
-    monkeypatch.setattr(quantiles, "GROUP_LIMIT", 10)
-    assert quantiles.quantiles(df, ["x"], 0.5).first()["x"] == 3.0
-    assert quantiles.spread(df, "x", [0.5, 1.0]).first()["q1"] == 6.0
+    assert tuple(quantiles.spread(df, "x", [0.0, 0.5, 1.0]).first()) == (0.0, 3.0, 6.0)
+    assert quantiles.quantiles(df.where("x < 0"), ["x"], 0.5).first()[0] is None
+
+
+def test_null_numbers_do_not_cost_the_label_fills(spark):
+    data = [("a", None, "red"), ("a", None, "red"), ("a", None, None), ("b", 2.0, None), ("b", None, "blue")]
+    df = spark.createDataFrame(data, "t string, x double, c string")
+    meta = TableMeta((ColumnMeta("x", FLOAT, low=0.0, high=9.0), ColumnMeta("c", CATEGORICAL, labels=("red", "blue"))))
+    out = rows(sanitise.impute(df, meta, ["t"]).select("t", "x", "c"))
+    assert out == rows(spark.createDataFrame([("a", None, "red")] * 3 + [("b", 2.0, "blue")] * 2, df.schema))
 
 
 # ---- sanitiser ----

@@ -1,102 +1,105 @@
-"""Exact quantiles with linear interpolation, per table, at any size."""
+"""Exact quantiles with linear interpolation, per table, by one path for every size."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgauge.operators.joining import attach, durable
 
-GROUP_LIMIT = 2_000_000
 BUCKETS = 65_536
-LEVELS = 2
+STEPS = 15  # buckets for each power of two
+LEVELS = 4
+RANK_ROWS = 100_000
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per table with the ``q`` quantile of each column (nulls ignored).
-
-    The built-in ``percentile`` gathers the distinct values of a group in one task, so it is used only when the
-    largest group has been counted and is small. Larger groups go through :func:`refined_quantiles`.
-    """
+    """One row per table with the ``q`` quantile of each column; nulls are ignored, a column of nulls gives null."""
     keys = list(keys)
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= GROUP_LIMIT:
-        return df.groupBy(*keys).agg(*[F.percentile(F.col(f"`{c}`").cast("double"), q).alias(c) for c in cols])
-    return refined_quantiles(df, cols, q, keys)
+    rows = quantile_rows(df, cols, [q], keys)
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == i, F.col("__v"))).alias(c) for i, c in enumerate(cols)])
 
 
 def spread(df: DataFrame, col: str, levels: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
     """One row per table with several quantiles of one column, named ``q0, q1, …``."""
     keys = list(keys)
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if largest <= GROUP_LIMIT:
-        qs = F.array(*[F.lit(float(q)) for q in levels])
-        out = df.groupBy(*keys).agg(F.percentile(F.col(f"`{col}`").cast("double"), qs).alias("__q"))
-        return out.select(*keys, *[F.col("__q")[i].alias(f"q{i}") for i in range(len(levels))])
-    parts = [refined_quantiles(df, [col], q, keys).withColumnRenamed(col, f"q{i}") for i, q in enumerate(levels)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = attach(out, p, keys)
-    return out
-
-
-def refined_quantiles(df: DataFrame, cols: Sequence[str], q: float, keys: Sequence[str] = (), levels: int = LEVELS) -> DataFrame:
-    """Exact quantiles by narrowing a bracket.
-
-    Each level counts equal-width buckets of the current bracket (a partial aggregate of at most ``BUCKETS`` rows per
-    table and column) and keeps only the buckets that hold the two ranks interpolated between. What is left is reduced
-    to distinct values with counts before the last ranking. The bucket number is monotone in the value, so no value is
-    ever misplaced.
+    rows = quantile_rows(df, [col], levels, keys)
+    return rows.groupBy(*keys).agg(*[F.max(F.when(F.col("__j") == j, F.col("__v"))).alias(f"q{j}") for j in range(len(levels))])
+
+
+def _magnitude(x: Column) -> Column:
+    """A bucket number that grows with the value, ``STEPS`` to a power of two, whatever the spread of the values."""
+    size = F.abs(x)
+    step = F.floor((F.log2(size) + 1075) * STEPS) + 1
+    top = F.lit(2100 * STEPS)
+    bucket = F.when(size == 0, F.lit(0)).when(F.isnan(x) | (size == float("inf")), top).otherwise(step)
+    return F.when(F.isnan(x), top + 1).when(x < 0, -bucket).otherwise(bucket).cast("bigint")
+
+
+def quantile_rows(df: DataFrame, cols: Sequence[str], levels: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, __c, __j, __v``: quantile ``levels[j]`` of column ``cols[c]`` for every table, null where it has no values.
+
+    One pass counts buckets of the values' magnitude, which are known beforehand and fine enough for any spread. The
+    bucket that holds a wanted rank is the bracket; its rows alone are reduced to distinct values and ranked. A bracket of more than
+    ``RANK_ROWS`` rows that are not all equal is first divided into ``BUCKETS`` equal widths, again and again, until it is small or one
+    value: each division leaves 16 bits less of a double. Counts are partial aggregates, so no column is ever brought
+    together.
     """
     keys = list(keys)
     by = [*keys, "__c"]
-    values = df.select(
-        *keys,
-        F.explode(
-            F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(cols)])
-        ).alias("__e"),
-    ).select(*keys, F.col("__e.c").alias("__c"), F.col("__e.x").alias("__x"))
-    values = values.where(F.col("__x").isNotNull())
-    state = values.groupBy(*by).agg(F.count("*").alias("__n"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
-    pos = F.lit(float(q)) * (F.col("__n") - 1)
-    state = state.select(
-        *by, "__lo", "__hi",
-        F.floor(pos).alias("__r0"), F.ceil(pos).alias("__r1"), pos.alias("__pos"),
-        F.lit(0).cast("bigint").alias("__below"),
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("x")) for i, c in enumerate(cols)])
+    values = df.select(*keys, F.explode(cells).alias("__e")).select(*keys, F.col("__e.c").alias("__c"), F.col("__e.x").alias("__x"))
+    asks = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(float(q)).alias("q")) for j, q in enumerate(levels)])
+    measure = [F.count("__x").alias("__k"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi")]
+
+    # Nulls have a bucket of their own with a count of 0, which keeps tables that have nothing else.
+    counts = values.groupBy(*by, _magnitude(F.col("__x")).alias("__b")).agg(*measure)
+    order = Window.partitionBy(*by).orderBy(F.col("__b").asc_nulls_first())
+    ranked = counts.withColumns(
+        {
+            "__cum": F.sum("__k").over(order.rowsBetween(Window.unboundedPreceding, 0)),
+            "__n": F.sum("__k").over(Window.partitionBy(*by)),
+            "__next": F.lead("__lo").over(order),
+        }
     )
-    spread = F.col("__hi") - F.col("__lo")
-    bucket = F.when(spread > 0, F.floor((F.col("__x") - F.col("__lo")) / spread * BUCKETS)).otherwise(F.lit(0))
-    # A value belongs to the bracket when its bucket does, so the bracket of the next level is taken from values.
-    current = values
-    running = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
-    state = durable(state)
-    for _ in range(levels):
-        # The bracket is a few numbers per table and column; writing it out keeps every pass over the data a single one.
-        tagged = attach(current, state, by, "inner").withColumn("__b", bucket)
-        counts = tagged.groupBy(*by, "__b").agg(
-            F.count("*").alias("__k"), F.min("__x").alias("__bmin"), F.max("__x").alias("__bmax"),
-            *[F.first(c).alias(c) for c in ("__r0", "__r1", "__pos", "__below")],
-        )
-        ranked = counts.withColumn("__cum", F.sum("__k").over(running) + F.col("__below"))
-        start = F.col("__cum") - F.col("__k")
-        wanted = ranked.where((F.col("__cum") > F.col("__r0")) & (start <= F.col("__r1")))
-        state = wanted.groupBy(*by).agg(
-            F.min("__bmin").alias("__lo"), F.max("__bmax").alias("__hi"), F.first("__r0").alias("__r0"),
-            F.first("__r1").alias("__r1"), F.first("__pos").alias("__pos"), F.min(start).alias("__below"),
-        )
-        state = durable(state)
-        kept = attach(current, state.select(*by, "__lo", "__hi"), by, "inner")
-        current = kept.where(F.col("__x").between(F.col("__lo"), F.col("__hi"))).select(*by, "__x")
-    final = attach(current.groupBy(*by, "__x").agg(F.count("*").alias("__k")), state, by, "inner")
-    upto = Window.partitionBy(*by).orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
-    final = final.withColumn("__cum", F.sum("__k").over(upto) + F.col("__below"))
-
-    def at(rank: str):
-        return F.min(F.when(F.col("__cum") > F.col(rank), F.col("__x")))
-
-    found = final.groupBy(*by).agg(at("__r0").alias("a"), at("__r1").alias("b"), *[F.first(c).alias(c) for c in ("__r0", "__r1", "__pos")])
-    between = (F.col("__r1") - F.col("__pos")) * F.col("a") + (F.col("__pos") - F.col("__r0")) * F.col("b")
-    found = found.withColumn("v", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(between))
-    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == i, F.col("v"))).alias(c) for i, c in enumerate(cols)])
+    ranked = ranked.withColumn("__a", F.explode(asks)).withColumn("__pos", F.col("__a.q") * (F.col("__n") - 1))
+    ranked = ranked.withColumn("__r", F.floor("__pos"))
+    here = (F.col("__cum") > F.col("__r")) & (F.col("__cum") - F.col("__k") <= F.col("__r")) & (F.col("__k") > 0)
+    names = [*by, "__j", "__pos", "__r", "__below", "__k", "__lo", "__hi", "__next"]
+    state = ranked.where(here | (F.col("__n") == 0)).withColumns({"__j": F.col("__a.j"), "__below": F.col("__cum") - F.col("__k")})
+    state = durable(state.select(*names))
+
+    for _ in range(LEVELS):
+        wide = (F.col("__k") > RANK_ROWS) & (F.col("__lo") < F.col("__hi"))
+        brackets = state.where(wide)
+        if brackets.isEmpty():
+            break
+        width = (F.col("__x") - F.col("__from")) / (F.col("__to") - F.col("__from"))
+        ends = brackets.select(*by, "__j", F.col("__lo").alias("__from"), F.col("__hi").alias("__to"))
+        inside = attach(values, ends, by, "inner").where(F.col("__x").between(F.col("__from"), F.col("__to")))
+        parts = inside.groupBy(*by, "__j", F.floor(width * BUCKETS).alias("__b")).agg(*measure)
+        order = Window.partitionBy(*by, "__j").orderBy("__b")
+        parts = parts.withColumns({"__run": F.sum("__k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__lo").over(order)})
+        old = brackets.select(*by, "__j", "__pos", "__r", "__below", F.col("__next").alias("__beyond"))
+        parts = attach(parts, old, [*by, "__j"], "inner")
+        parts = parts.withColumns({"__below": F.col("__below") + F.col("__run") - F.col("__k"), "__next": F.coalesce("__after", "__beyond")})
+        found = parts.where((F.col("__below") <= F.col("__r")) & (F.col("__below") + F.col("__k") > F.col("__r")))
+        state = durable(state.where(~F.coalesce(wide, F.lit(False))).unionByName(found.select(*names)))
+
+    ends = state.where(F.col("__k") > 0).select(*by, "__j", "__r", "__below", "__next", F.col("__lo").alias("__from"), F.col("__hi").alias("__to"))
+    inside = attach(values, ends.select(*by, "__j", "__from", "__to"), by, "inner")
+    inside = inside.where(F.col("__x").between(F.col("__from"), F.col("__to")))
+    distinct = inside.groupBy(*by, "__j", "__x").agg(F.count("*").alias("__m"))
+    order = Window.partitionBy(*by, "__j").orderBy("__x")
+    distinct = distinct.withColumns({"__run": F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__x").over(order)})
+    distinct = attach(distinct, ends.select(*by, "__j", "__r", "__below", "__next"), [*by, "__j"], "inner")
+    upto = F.col("__below") + F.col("__run")
+    hit = distinct.where((upto > F.col("__r")) & (upto - F.col("__m") <= F.col("__r")))
+    second = F.when(upto > F.col("__r") + 1, F.col("__x")).otherwise(F.coalesce("__after", "__next"))
+    pairs = hit.select(*by, "__j", F.col("__x").alias("__one"), second.alias("__two"))
+    both = attach(state.select(*by, "__j", "__pos", "__r"), pairs, [*by, "__j"])
+    between = (F.col("__r") + 1 - F.col("__pos")) * F.col("__one") + (F.col("__pos") - F.col("__r")) * F.col("__two")
+    exact = (F.col("__pos") == F.col("__r")) | (F.col("__one") == F.col("__two"))
+    return both.select(*by, "__j", F.when(exact, F.col("__one")).otherwise(between).alias("__v"))
