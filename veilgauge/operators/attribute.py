@@ -90,7 +90,7 @@ class LinearAttribute:
     def guess(self, targets: DataFrame, models: DataFrame, keys: Sequence[str] = (), secret: str | None = None) -> DataFrame:
         """Targets with ``model_guess`` and the ``likelihood`` of their real value (a density, so it may exceed 1)."""
         known = known_columns(self.meta, self.sensitive)
-        out = attach(targets, models.select(*keys, "means", "beta", "sigma"), keys, width=16 * len(self.meta))
+        out = attach(targets, models.select(*keys, "means", "beta", "sigma"), keys)
         out = out.withColumn("__x", code_vector(known))
         centred = F.zip_with("__x", F.slice("means", 1, len(known)), lambda x, m: x - m)
         part = F.aggregate(F.zip_with(centred, F.col("beta"), lambda x, b: x * b), F.lit(0.0), lambda a, v: a + v)

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from veilgauge.functions.encoding import literal_array
 from veilgauge.functions.keyed import SCALE, digest, invert_cdf, laplace, uniform
 from veilgauge.meta import INTEGER, TableMeta
-from veilgauge.operators.distributions import COMPACT_CELLS, MAX_CELLS, Binning, profile, weight, weighted, with_probabilities
+from veilgauge.operators.distributions import COMPACT_CELLS, Binning, numbered_cells, profile, weight, weighted, with_probabilities
 from veilgauge.operators.generate import cell_digest, row_frame, value_in_bin
 from veilgauge.operators.information import candidate_information, pair_information
 from veilgauge.operators.joining import attach, durable
@@ -176,7 +176,7 @@ def network_structure(
     schema = T.StructType([*[coded.schema[k] for k in keys], T.StructField("cands", cand_type)])
     for step in range(1, d):
         cands = state.select(*keys, "order").mapInPandas(_candidates(degree, d, keys), schema)
-        new = candidate_information(attach(coded, cands, keys, "inner", width=4096), binning.radix, keys)
+        new = candidate_information(attach(coded, cands, keys, "inner"), binning.radix, keys)
         scores = new if scores is None else scores.unionByName(new)
         scores = durable(scores)
         open_ = attach(scores, state.select(*keys, "order"), keys, "inner")
@@ -235,8 +235,8 @@ def cell_counts(
     keys = list(keys)
     radix, d = binning.radix, len(binning.meta)
     k = min(degree, d - 1)
-    if radix ** (k + 1) > MAX_CELLS:
-        raise ValueError(f"{radix}^{k + 1} cells per table are more than {MAX_CELLS}; use fewer bins or a lower degree")
+    if radix ** (k + 1) >= 2**63:
+        raise ValueError(f"codes of {k + 1} columns with up to {radix} values do not fit into 64 bits; use fewer bins or a lower degree")
     steps = F.sequence(F.lit(k + 1), F.lit(d - 1)) if d - 1 > k else F.array().cast("array<int>")
     tabs = F.concat(
         F.array(F.struct(F.lit(0).alias("tab"), F.slice("order", 1, k + 1).alias("attrs"))),
@@ -249,7 +249,7 @@ def cell_counts(
         ),
     )
     needs = network.select(*keys, tabs.alias("tabs"))
-    facts = attach(coded, needs, keys, "inner", width=1024)
+    facts = attach(coded, needs, keys, "inner")
     facts = facts.select(*keys, "bins", *weighted(coded), F.explode("tabs").alias("__t"))
     cell = F.aggregate("__t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * radix + F.element_at("bins", a + 1))
     counts = facts.select(*keys, F.col("__t.tab").alias("tab"), cell.alias("cell"), *weighted(coded)).where("cell is not null")
@@ -258,13 +258,13 @@ def cell_counts(
     space = needs.select(*keys, F.explode("tabs").alias("__t")).select(*keys, "__t.*")
     size_of = F.transform("attrs", lambda a: F.element_at(sizes, a + 1))
     space = space.withColumn("sizes", size_of)
-    total = F.aggregate("sizes", F.lit(1), lambda acc, s: acc * s)
-    space = space.withColumn("flat", F.explode(F.sequence(F.lit(0), total - 1)))
+    total = F.aggregate("sizes", F.lit(1).cast("bigint"), lambda acc, s: acc * s)
+    space = numbered_cells(space, total, "flat")
     # Mixed-base digits of the flat number, last column fastest.
     digits = F.transform(
         "sizes",
         lambda s, i: (
-            F.floor(F.col("flat") / F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1), lambda acc, x: acc * x)) % s
+            F.floor(F.col("flat") / F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1).cast("bigint"), lambda acc, x: acc * x)) % s
         ).cast("int"),
     )
     space = space.withColumn("codes", digits)
@@ -287,7 +287,7 @@ def conditional_distributions(cells: DataFrame, network: DataFrame, binning: Bin
     keys = list(keys)
     radix, k = binning.radix, min(degree, len(binning.meta) - 1)
     net = network.select(*keys, F.col("order").alias("__order"), F.col("parents").alias("__parents"))
-    rows = attach(cells, net, keys, "inner", width=1024)
+    rows = attach(cells, net, keys, "inner")
 
     def code(positions: Column) -> Column:
         return F.aggregate(positions, F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("codes", p))
@@ -363,7 +363,7 @@ class BayesModel:
             edges = self.prof.groupBy(*keys).agg(
                 *[F.max(F.when(F.col("attr_idx") == i, F.col("edges"))).alias(f"__edges_{i}") for i, c in enumerate(meta.columns) if c.numeric]
             )
-            rows = attach(rows, edges, keys, "inner", bound=tables, width=8 * len(meta) * self.binning.radix, row_key=["copy", "row"])
+            rows = attach(rows, edges, keys, "inner", bound=tables, width=8 * len(meta) * self.binning.radix)
         out = []
         for i, c in enumerate(meta.columns):
             b = F.col(f"__b{i}")
@@ -383,7 +383,7 @@ class BayesModel:
             for p in parents:
                 code = code * radix + F.col(f"__b{p}")
             table = self.cpt.where(F.col("step") == step).select(F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
-            rows = attach(rows.withColumn("__code", code), table, ["__code"], bound=radix ** len(parents), width=8 * radix + 64, row_key=["copy", "row"])
+            rows = attach(rows.withColumn("__code", code), table, ["__code"], bound=radix ** len(parents), width=8 * radix + 64)
             pick = invert_cdf(F.coalesce(F.col("__cdf"), literal_array(marginal[attr])), uniform(F.col(f"__h{attr}")))
             rows = rows.withColumn(f"__b{attr}", pick).drop("__code", "__cdf")
             if step and step % CHECKPOINT_EVERY == 0:
@@ -394,7 +394,7 @@ class BayesModel:
         """Many tables, each with its own network: step ``s`` draws whatever column comes ``s``-th in its table."""
         keys, meta = list(self.keys), self.binning.meta
         d, radix = len(meta), self.binning.radix
-        rows = attach(rows, self.network, keys, "inner", bound=tables, width=16 * d * (self.degree + 2), row_key=["copy", "row"])
+        rows = attach(rows, self.network, keys, "inner", bound=tables, width=16 * d * (self.degree + 2))
         marginal = self.prof.select(*keys, "attr_idx", F.col("cdf").alias("__marginal"))
         rows = rows.withColumn("drawn", F.array().cast("array<int>"))
         width = 8 * radix + 64
@@ -407,8 +407,8 @@ class BayesModel:
             attr = F.element_at("order", step + 1)
             rows = rows.withColumns({"__code": code, "attr_idx": attr})
             table = self.cpt.where(F.col("step") == step).select(*keys, F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
-            rows = attach(rows, table, [*keys, "__code"], bound=tables * radix**parents, width=width, row_key=["copy", "row"])
-            rows = attach(rows, marginal, [*keys, "attr_idx"], bound=tables * d, width=width, row_key=["copy", "row"])
+            rows = attach(rows, table, [*keys, "__code"], bound=tables * radix**parents, width=width)
+            rows = attach(rows, marginal, [*keys, "attr_idx"], bound=tables * d, width=width)
             hexed = F.element_at(F.array(*[F.col(f"__h{i}") for i in range(d)]), F.col("attr_idx") + 1)
             pick = invert_cdf(F.coalesce("__cdf", "__marginal"), uniform(hexed))
             rows = rows.withColumn("drawn", F.concat("drawn", F.array(pick))).drop("__code", "__cdf", "__marginal", "attr_idx")

@@ -12,7 +12,7 @@ from veilgauge.functions.encoding import bin_by_array, bin_position, edge_array,
 from veilgauge.meta import INTEGER, NULL_LABEL, TableMeta
 from veilgauge.operators.joining import attach
 
-MAX_CELLS = 2_000_000
+CELL_BLOCK = 65_536
 COMPACT_CELLS = 2_000_000
 
 
@@ -206,25 +206,30 @@ def normalise(df: DataFrame, value: str, by: Sequence[str], out: str = "prob") -
     return df.withColumn(out, share).drop("__inf", "__mass", "__sum", "__size")
 
 
+def numbered_cells(tables: DataFrame, total: Column, name: str) -> DataFrame:
+    """Every row of ``tables`` with each number from 0 below ``total``, made in blocks of bounded size."""
+    whole = total.cast("bigint")
+    blocks = tables.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((whole - 1) / CELL_BLOCK))))
+    first = F.col("__block") * CELL_BLOCK
+    numbers = F.sequence(first, F.least(first + CELL_BLOCK, whole) - 1)
+    return blocks.withColumn(name, F.explode(numbers)).drop("__block")
+
+
 def frequency(coded: DataFrame, attrs: Sequence[int], sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
     """Counts over the full domain of some columns of a ``bins`` array; combinations never seen count 0.
 
-    Columns ``c0, c1, …`` hold the codes. The domain is spelled out from the metadata, so its size is known beforehand
-    and refused above ``MAX_CELLS``.
+    Columns ``c0, c1, …`` hold the codes. The domain is spelled out from the metadata in blocks, which are made by many tasks.
     """
     total = 1
     for s in sizes:
         total *= s
-    if total > MAX_CELLS:
-        raise ValueError(f"full domain of {total} cells is larger than {MAX_CELLS}")
     code = F.lit(0).cast("bigint")
     for a, s in zip(attrs, sizes):
         code = code * s + F.element_at("bins", a + 1)
     counts = coded.select(*keys, code.alias("cell"), *weighted(coded)).where("cell is not null")
     counts = counts.groupBy(*keys, "cell").agg(weight(coded).alias("n"))
-    cells = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(total - 1).cast("bigint"))).alias("cell")
-    tables = coded.select(*keys).distinct() if keys else coded.sparkSession.range(1)
-    skeleton = tables.select(*keys, cells)
+    tables = coded.select(*keys).distinct() if keys else coded.sparkSession.range(1).select()
+    skeleton = numbered_cells(tables, F.lit(total), "cell")
     full = skeleton.join(counts, [*keys, "cell"], "left").fillna(0, ["n"])
     digits, rest = [], F.col("cell")
     for k, s in reversed(list(enumerate(sizes))):

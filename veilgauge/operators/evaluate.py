@@ -38,7 +38,7 @@ def inference_gain(facts: DataFrame, truth: DataFrame | None = None) -> DataFram
     are scored by correct guesses, numeric ones by likelihood capped at 1.
     """
     if truth is not None:
-        facts = facts.join(truth, ["target_id", "attribute"])
+        facts = attach(facts, truth, ["target_id", "attribute"], "inner")
     score = F.when(F.col("numeric"), F.least(F.col("prob_correct"), F.lit(1.0))).otherwise(
         (F.col("guess") == F.col("target_secret")).cast("double")
     )

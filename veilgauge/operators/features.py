@@ -261,7 +261,7 @@ def combine(parts: Sequence[DataFrame], keys: Sequence[str] = ()) -> DataFrame:
     """Feature vectors of several sets, one after the other."""
     wide = parts[0].withColumnRenamed("features", "f0")
     for i, p in enumerate(parts[1:], 1):
-        wide = attach(wide, p.withColumnRenamed("features", f"f{i}"), keys, width=8192)
+        wide = attach(wide, p.withColumnRenamed("features", f"f{i}"), keys)
     return wide.select(*keys, F.concat(*[F.col(f"f{i}") for i in range(len(parts))]).alias("features"))
 
 

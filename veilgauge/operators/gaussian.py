@@ -66,7 +66,7 @@ class GaussianModel:
             "cdf",
             F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.aggregate(F.slice("parts", F.lit(1), i), F.lit(0.0), lambda a, p: a + p["weight"])),
         )
-        rows = attach(rows, packed, keys, "inner", width=8 * len(cols) * (len(cols) + 2), row_key=["copy", "row"])
+        rows = attach(rows, packed, keys, "inner")
         which = invert_cdf(F.col("cdf"), uniform(cell_digest(seed, "component", keys, "component")))
         rows = rows.withColumn("part", F.element_at("parts", which + 1)).drop("parts", "cdf")
         for i, c in enumerate(cols):

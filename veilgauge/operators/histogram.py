@@ -38,7 +38,7 @@ class HistogramModel:
             )
             rows = row_frame(spark, n, copies, self.prof, keys)
             cells = sum(self.binning.sizes) * 16
-            rows = attach(rows, wide, keys, "inner", width=cells, row_key=["copy", "row"])
+            rows = attach(rows, wide, keys, "inner")
             cdf = {i: F.col(f"__cdf_{i}") for i in range(len(meta))}
             edges = {i: F.col(f"__e_{i}") for i in range(len(meta))}
         else:

@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 2**20
-SALTS = 32
 
 _held: list[DataFrame] = []
 
@@ -54,37 +54,40 @@ def table_values(facts: DataFrame, one_row: DataFrame) -> DataFrame:
     return facts.withColumn("__v", packed).select(*facts.columns, *[F.col(f"__v.`{c}`").alias(c) for c in one_row.columns])
 
 
-def attach(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    bound: int | None = None,
-    width: int = 64,
-    row_key: Sequence[str] = (),
-) -> DataFrame:
-    """Join ``lookup`` (unique on ``on``, nulls equal) to ``facts``.
-
-    ``bound`` is a proven row bound; without one the lookup is held and counted. Below the byte limit the lookup is
-    broadcast and the facts do not move. Above it both sides are shuffled on the keys and a salt, the lookup being
-    repeated per salt, so that a hot key is spread over ``SALTS`` tasks.
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes of one row as far as values vary in length; complex values count as long as their JSON."""
+    parts = []
+    for field in df.schema.fields:
+        col, kind = F.col(f"`{field.name}`"), field.dataType
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            size = F.octet_length(col)
+        elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.NumericType):
+            size = F.greatest(F.size(col), F.lit(0)) * 8
+        elif isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            size = F.octet_length(F.to_json(col))
+        else:
+            size = F.lit(0)
+        parts.append(F.coalesce(size, F.lit(0)) + 8)
+    return reduce(lambda a, b: a + b, parts, F.lit(16)).cast("bigint")
+
+
+def attach(facts: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", bound: int | None = None, width: int = 64) -> DataFrame:
+    """Join ``lookup`` to ``facts`` on columns of which nulls are equal.
+
+    The lookup is broadcast if its size is known to stay below ``BROADCAST_BYTES``: ``bound`` rows of ``width`` bytes where both are proven,
+    otherwise the bytes of its rows, which are summed. Beyond that both sides are shuffled by key once; adaptive execution splits the
+    partitions of hot keys on the side of the facts, so no row of the lookup has to be repeated for them beforehand.
     """
     on = list(on)
     if not on:
         return table_values(facts, lookup)
     if bound is None:
         lookup = hold(lookup)
-        bound = lookup.count()
+        size = lookup.agg(F.sum(row_bytes(lookup))).first()[0] or 0
+    else:
+        size = bound * width
     rest = [c for c in lookup.columns if c not in on]
     side = lookup.select(*[F.col(f"`{c}`").alias(f"__on_{i}") for i, c in enumerate(on)], *[F.col(f"`{c}`") for c in rest])
-    match = [F.col(f"`{c}`").eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)]
-    if bound * width <= BROADCAST_BYTES:
-        joined = facts.join(F.broadcast(side), reduce(lambda a, b: a & b, match), how)
-    else:
-        key = [F.col(f"`{c}`") for c in (row_key or facts.columns)]
-        seed = [] if row_key else [F.spark_partition_id()]
-        facts = facts.withColumn("__salt", F.pmod(F.xxhash64(*key, *seed), F.lit(SALTS)).cast("int"))
-        side = side.withColumn("__side_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        match.append(F.col("__salt") == F.col("__side_salt"))
-        joined = facts.join(side, reduce(lambda a, b: a & b, match), how).drop("__salt", "__side_salt")
+    match = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"__on_{i}")) for i, c in enumerate(on)])
+    joined = facts.join(F.broadcast(side) if size <= BROADCAST_BYTES else side, match, how)
     return joined.drop(*[f"__on_{i}" for i in range(len(on))])

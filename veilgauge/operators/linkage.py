@@ -17,7 +17,7 @@ def _groups(published: DataFrame, targets: DataFrame, on: Sequence[str], keys: S
     with many rows is never brought together.
     """
     wanted = targets.select(*[F.col(f"`{c}`") for c in on]).distinct()
-    hits = attach(published, wanted, on, "left_semi", width=128)
+    hits = attach(published, wanted, on, "left_semi")
     return hits.groupBy(*keys, *[F.col(f"`{c}`") for c in on]).agg(F.count("*").alias("group_size"), *extra)
 
 
@@ -26,7 +26,7 @@ def link_members(published: DataFrame, targets: DataFrame, on: Sequence[str], ke
 
     With ``keys`` the targets frame carries them too: one row per target and table to judge.
     """
-    out = attach(targets, _groups(published, targets, on, keys), [*keys, *on], width=128)
+    out = attach(targets, _groups(published, targets, on, keys), [*keys, *on])
     size = F.coalesce("group_size", F.lit(0))
     return out.withColumn("group_size", size).withColumn("linked", F.when(size == 1, 1))
 
@@ -34,6 +34,6 @@ def link_members(published: DataFrame, targets: DataFrame, on: Sequence[str], ke
 def link_attribute(published: DataFrame, targets: DataFrame, on: Sequence[str], sensitive: str, keys: Sequence[str] = ()) -> DataFrame:
     """Targets with the sensitive value of the one published row that has their known labels, null when not unique."""
     value = F.max(F.col(f"`{sensitive}`")).alias("__value")
-    out = attach(targets, _groups(published, targets, on, keys, [value]), [*keys, *on], width=128)
+    out = attach(targets, _groups(published, targets, on, keys, [value]), [*keys, *on])
     size = F.coalesce("group_size", F.lit(0))
     return out.withColumn("group_size", size).withColumn("linked", F.when(size == 1, F.col("__value"))).drop("__value")

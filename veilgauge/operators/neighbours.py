@@ -71,7 +71,3 @@ def vote(neighbours: DataFrame, test_id: str = "id") -> DataFrame:
         F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("prediction"), (F.max("n") / F.sum("n")).alias("confidence")
     )
 
-
-def label_share(neighbours: DataFrame, label: str, test_id: str = "id", names: Sequence[str] = ()) -> DataFrame:
-    """Share of the neighbours that carry the value of column ``label`` of the same row."""
-    return neighbours.groupBy(test_id, *names).agg(F.avg((F.col("label") == F.col(label)).cast("double")).alias("share"))

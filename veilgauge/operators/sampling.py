@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from veilgauge.functions.keyed import digest
 from veilgauge.meta import TableMeta
 from veilgauge.operators.counts import label_counts
-from veilgauge.operators.joining import attach
 
 OUT = "OUT"
 
@@ -20,7 +19,7 @@ def draw(df: DataFrame, n: int, seed: int, draws: int = 1, id_col: str = "id", t
 
     The rows with the smallest keyed hashes are taken. Hash prefixes are counted first (at most 65,536 counters per
     draw), which tells up to which prefix every row is in; only the chosen rows are then shuffled, by prefix, to rank
-    the rows of the last prefix. No draw is ever brought into one task.
+    the rows of the last prefix. No draw is ever brought into one task. Fewer than ``n`` rows are an error.
     """
     cand = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     cand = cand.withColumn("__h", digest(seed, tag, "draw", F.col(id_col)))
@@ -30,9 +29,14 @@ def draw(df: DataFrame, n: int, seed: int, draws: int = 1, id_col: str = "id", t
     last = counts.groupBy("draw").agg(
         F.min(F.when(F.col("__cum") >= n, F.col("__p"))).alias("__last"),
         F.max(F.when(F.col("__cum") < n, F.col("__cum"))).alias("__before"),
-    )
-    cand = attach(cand, last, ["draw"], bound=draws)
-    limit = F.coalesce("__last", F.lit("ffff"))
+        F.max("__cum").alias("__all"),
+    ).collect()
+    short = n if n and len(last) < draws else min((r["__all"] for r in last if r["__all"] < n), default=None)
+    if short is not None:
+        raise ValueError(f"{n} rows cannot be drawn without replacement: there are {min((r['__all'] for r in last), default=0)}")
+    ends = df.sparkSession.createDataFrame([tuple(r)[:3] for r in last], "draw int, __last string, __before bigint")
+    cand = cand.join(F.broadcast(ends), "draw")
+    limit = F.col("__last")
     ranked = cand.where(F.col("__p") <= limit).withColumn(
         "__rank", F.row_number().over(Window.partitionBy("draw", "__p").orderBy("__h", id_col))
     )

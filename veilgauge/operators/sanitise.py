@@ -43,8 +43,8 @@ def impute(df: DataFrame, meta: TableMeta, keys: Sequence[str] = (), values: Dat
     out = {}
     for i, n in enumerate(names):
         fill = F.col(f"__fill_{i}")
-        if kinds[n] == "string":
-            out[n] = F.coalesce(F.col(f"`{n}`"), fill)
+        if not meta[n].numeric:
+            out[n] = F.coalesce(F.col(f"`{n}`"), fill.cast(kinds[n]))
         else:
             # Medians of whole numbers may end in .5; the column becomes double so that nothing is lost.
             out[n] = F.coalesce(F.col(f"`{n}`").cast("double"), fill.cast("double"))
@@ -67,7 +67,7 @@ def winsorise(df: DataFrame, cols: Sequence[str], max_quantile: float, keys: Seq
     ).select(*df.columns)
 
 
-def drop_rare(df: DataFrame, cols: Sequence[str], threshold: int, keys: Sequence[str] = (), row_key: Sequence[str] = ()) -> DataFrame:
+def drop_rare(df: DataFrame, cols: Sequence[str], threshold: int, keys: Sequence[str] = ()) -> DataFrame:
     """Drop rows with any label seen at most ``threshold`` times in its column, counted once on the whole table."""
     if threshold < 1 or not cols:
         return df
@@ -76,11 +76,11 @@ def drop_rare(df: DataFrame, cols: Sequence[str], threshold: int, keys: Sequence
     for c in cols:
         if sizes.get(c):
             hits = rare.where(F.col("attr") == c).select(*keys, F.col("label").alias(c))
-            df = attach(df, hits, [*keys, c], "left_anti", bound=sizes[c], row_key=row_key)
+            df = attach(df, hits, [*keys, c], "left_anti")
     return df
 
 
-def k_anonymise(df: DataFrame, quids: Sequence[str], k: int, keys: Sequence[str] = (), row_key: Sequence[str] = ()) -> DataFrame:
+def k_anonymise(df: DataFrame, quids: Sequence[str], k: int, keys: Sequence[str] = ()) -> DataFrame:
     """Drop rows whose combination of quasi-identifiers occurs fewer than ``k`` times; nulls form groups too.
 
     Group sizes come from a partial aggregate and only the small groups are joined back, so rows never have to be
@@ -90,7 +90,7 @@ def k_anonymise(df: DataFrame, quids: Sequence[str], k: int, keys: Sequence[str]
         return df
     by = [*keys, *quids]
     small = df.groupBy(*[F.col(f"`{c}`") for c in by]).agg(F.count("*").alias("__n")).where(F.col("__n") < k).drop("__n")
-    return attach(df, small, by, "left_anti", row_key=row_key)
+    return attach(df, small, by, "left_anti")
 
 
 @dataclass(frozen=True)
@@ -125,5 +125,5 @@ class Sanitiser:
         df = winsorise(df, [c.name for c in meta.numeric], self.max_quantile, keys)
         df = bin_columns(df, meta)
         if self.thresh_rare >= 1:
-            df = drop_rare(df, [c.name for c in meta.discrete], self.thresh_rare, keys, row_key)
-        return k_anonymise(df, [q for q in self.quids or () if q in meta.names], self.anonymity_set_size, keys, row_key)
+            df = drop_rare(df, [c.name for c in meta.discrete], self.thresh_rare, keys)
+        return k_anonymise(df, [q for q in self.quids or () if q in meta.names], self.anonymity_set_size, keys)

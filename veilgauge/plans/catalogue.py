@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilgauge.functions import encoding as enc
 from veilgauge.meta import CATEGORICAL, ColumnMeta, TableMeta
-from veilgauge.operators import bayes, distributions, evaluate, features, information, sampling, sanitise
+from veilgauge.operators import bayes, distributions, evaluate, features, information, quantiles, sampling, sanitise
 from veilgauge.operators.attribute import ForestAttribute, LinearAttribute
 from veilgauge.operators.encode import centre, decode_with_ranges, encode_with_ranges
 from veilgauge.operators.gaussian import Gaussian
@@ -36,7 +36,7 @@ NETWORK = [
     ("status", []), ("priority", ["status"]), ("segment", ["priority"]), ("region", ["segment"]),
     ("year", ["status"]), ("total", ["year"]), ("balance", ["total"]),
 ]
-INFO_COLUMNS = ("status", "priority", "segment", "region", "year")
+INFO_COLUMNS = tuple(NAMES)
 
 
 def tidy(x: Column) -> Column:
@@ -74,10 +74,8 @@ def encode_codes(spark, sf_dir):
 
 
 def decode_codes(spark, sf_dir):
-    coded = population(spark, sf_dir).withColumns(
-        {n: F.pmod(F.col("id"), F.lit(m)) for n, m in zip(DISCRETE, (3, 7, 5, 6))}
-    )
-    return enc.decode_codes(coded, META).select("id", *[F.coalesce(n, F.lit("none")).alias(n) for n in DISCRETE])
+    coded = enc.encode_codes(population_nulls(spark, sf_dir), META)
+    return enc.decode_codes(coded, META).select("id", *DISCRETE)
 
 
 def union_decode(spark, sf_dir):
@@ -127,7 +125,7 @@ def load_results_linkage(spark, sf_dir):
 
 
 def encode_onehot(spark, sf_dir):
-    df = population_nulls(spark, sf_dir).where("balance is not null")
+    df = population_nulls(spark, sf_dir)
     return _spread(df.withColumn("v", enc.ordinal_onehot_vector(META)), "v", 17, ["id"])
 
 
@@ -198,6 +196,19 @@ def impute(spark, sf_dir):
     return sanitise.impute(_by_table(spark, sf_dir, nulls=True), META, KEYS).select("dataset_id", "id", "segment", F.round("balance", 6).alias("balance"))
 
 
+def impute_null_table(spark, sf_dir):
+    """One of the tables has no numbers at all; its labels are filled all the same."""
+    df = _by_table(spark, sf_dir, nulls=True)
+    df = df.withColumns({n: F.when(F.col("dataset_id") != "F-0", F.col(n)) for n in ("total", "balance")})
+    return sanitise.impute(df, META, KEYS).select("dataset_id", "id", "segment", *[F.round(n, 6).alias(n) for n in ("total", "balance")])
+
+
+def quantiles_refined(spark, sf_dir):
+    levels = [0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0]
+    found = quantiles.spread(_by_table(spark, sf_dir, nulls=True), "balance", levels, KEYS)
+    return found.select("dataset_id", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in range(len(levels))])
+
+
 def sanitise_cap(spark, sf_dir):
     return sanitise.winsorise(_by_table(spark, sf_dir), ["year", "total", "balance"], 0.99, KEYS).select("dataset_id", "id", "year", "total", "balance")
 
@@ -210,12 +221,12 @@ def sanitise_drop(spark, sf_dir):
 def sanitise_rare(spark, sf_dir):
     df = population(spark, sf_dir, nation=True)
     df = df.withColumn("cell", F.concat_ws("/", "status", "priority", "segment", "nation"))
-    return sanitise.drop_rare(df, ["cell", "nation"], 4, row_key=["id"]).select("id", "cell")
+    return sanitise.drop_rare(df, ["cell", "nation"], 4).select("id", "cell")
 
 
 def sanitise_k_anonymity(spark, sf_dir):
     df = population(spark, sf_dir, nation=True)
-    return sanitise.k_anonymise(df, ["status", "priority", "segment", "nation"], 5, row_key=["id"]).select("id", "status", "priority", "segment", "nation")
+    return sanitise.k_anonymise(df, ["status", "priority", "segment", "nation"], 5).select("id", "status", "priority", "segment", "nation")
 
 
 def sanitise_full(spark, sf_dir):
@@ -292,8 +303,7 @@ def attr_profile(spark, sf_dir):
 
 def freq_full_domain(spark, sf_dir):
     binning = distributions.Binning(META, 10)
-    df = population(spark, sf_dir).where("NOT (status = 'F' AND segment = 'BUILDING')")
-    return distributions.frequency(binning.encode(df), [0, 2, 4], [3, 5, 10])
+    return distributions.frequency(binning.encode(population(spark, sf_dir)), [0, 4, 5, 6], [3, 10, 10, 10])
 
 
 def normalise(spark, sf_dir):
@@ -463,13 +473,13 @@ def _link_sides(spark, sf_dir):
 
 def link_unique_member(spark, sf_dir):
     published, targets = _link_sides(spark, sf_dir)
-    out = link_members(published.where("total > 250000"), targets.select("id", *LINK_ON), LINK_ON)
+    out = link_members(published, targets.select("id", *LINK_ON), LINK_ON)
     return out.select("id", "group_size", F.coalesce("linked", F.lit(0)).alias("linked"))
 
 
 def link_unique_attribute(spark, sf_dir):
     published, targets = _link_sides(spark, sf_dir)
-    out = link_attribute(published.where("total > 250000"), targets.select("id", *LINK_ON), LINK_ON, "balance")
+    out = link_attribute(published, targets.select("id", *LINK_ON), LINK_ON, "balance")
     return out.select("id", "group_size", F.coalesce("linked", F.lit(-99999.0)).alias("linked"))
 
 
@@ -663,13 +673,13 @@ def game_utility(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """k-anonymous release of the population: labels and binned order year, small groups suppressed."""
     df = enc.bin_columns(population(spark, sf_dir), META.derive(quids=("year",)))
-    return sanitise.k_anonymise(df, list(QUIDS), 5, row_key=["id"])
+    return sanitise.k_anonymise(df, list(QUIDS), 5)
 
 
 _PLAIN = [
     load_typed, encode_codes, decode_codes, union_decode, infer_metadata, train_test_filter, results_json_roundtrip,
     load_results_linkage, encode_onehot, encode_scaled, encode_inferred_ranges, decode_scaled, bin_quids, bin_edges,
-    bin_encode, camel_names, candidate_key, impute, sanitise_cap, sanitise_drop, sanitise_rare,
+    bin_encode, camel_names, candidate_key, impute, impute_null_table, quantiles_refined, sanitise_cap, sanitise_drop, sanitise_rare,
     sanitise_k_anonymity, sanitise_full, sample_members, drop_targets, game_members, shadow_members, new_categories,
     hist_distribution, cat_distribution, cdf, attr_profile, freq_full_domain, normalise, mi_pairs, nmi_pairs, mi_degree2,
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,

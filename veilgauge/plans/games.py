@@ -31,9 +31,9 @@ from veilgauge.operators.sanitise import Sanitiser
 # Names in run configurations.
 GENERATORS = {
     "IndependentHistogram": lambda meta, *p: IndependentHistogram(meta, *p[:2]),
-    "BayesianNet": lambda meta, bins=10, degree=1, infer=False, _parallel=True, seed=42: BayesianNet(meta, bins, degree, infer, seed or 42),
+    "BayesianNet": lambda meta, bins=10, degree=1, infer=False, _parallel=True, seed=42: BayesianNet(meta, bins, degree, infer, 42 if seed is None else seed),
     "PrivBayes": lambda meta, bins=10, degree=1, epsilon=0.1, infer=False, _parallel=True, seed=42: PrivBayes(
-        meta, bins, degree, infer, seed or 42, epsilon
+        meta, bins, degree, infer, 42 if seed is None else seed, epsilon
     ),
     "GaussianMixtureModel": lambda meta, *p: Gaussian(meta, *p),
 }
@@ -100,6 +100,8 @@ class GameConfig:
             "nTestRecords": "n_test_records",
         }
         plain = {ours: doc[theirs] for theirs, ours in names.items() if theirs in doc}
+        # As many random test records as random targets, unless the configuration says otherwise.
+        plain.setdefault("n_test_records", plain.get("n_targets", 0))
         filters = doc.get("dataFilter") or {}
         return GameConfig(
             publishers=tuple(publishers_from(doc, meta)), targets=tuple(doc.get("Targets") or ()),

@@ -427,7 +427,7 @@ def linked(value: str, none: str) -> str:
     on = " AND ".join(f"t.{c} = g.{c}" for c in LINK_ON)
     n = "greatest(1, (SELECT count(*) // 4 FROM pop))"
     return (
-        f"WITH {POP}, {binned}, {drawn('pb', n, 1, 'probe')}, g AS (SELECT {', '.join(LINK_ON)}, count(*) AS n, max(balance) AS v FROM pb WHERE total > 250000 GROUP BY ALL) "
+        f"WITH {POP}, {binned}, {drawn('pb', n, 1, 'probe')}, g AS (SELECT {', '.join(LINK_ON)}, count(*) AS n, max(balance) AS v FROM pb GROUP BY ALL) "
         f"SELECT t.id, coalesce(g.n, 0) AS group_size, CASE WHEN g.n = 1 THEN {value} ELSE {none} END AS linked FROM dr AS t LEFT JOIN g ON {on}"
     )
 
@@ -444,9 +444,7 @@ def oracle_sql() -> dict[str, str]:
     cols = ", ".join(NAMES)
     q["load_typed"] = f"WITH {POP} SELECT id, {cols} FROM pop"
     q["encode_codes"] = f"WITH {POPN} SELECT id, " + ", ".join(f"{code(c.name, c.labels, True)} AS {c.name}" for c in META.discrete) + " FROM popn"
-    q["decode_codes"] = f"WITH {POP} SELECT id, " + ", ".join(
-        f"coalesce({lst([*META[n].labels, 'NaN'])}[CAST(id % {m} + 1 AS BIGINT)], 'none') AS {n}" for n, m in zip(DISCRETE, (3, 7, 5, 6))
-    ) + " FROM pop"
+    q["decode_codes"] = f"WITH {POPN} SELECT id, " + ", ".join(f"coalesce({n}, 'NaN') AS {n}" for n in DISCRETE) + " FROM popn"
     q["union_decode"] = f"WITH {POPN} SELECT id, " + ", ".join(f"coalesce({n}, 'NaN') AS {n}" for n in DISCRETE) + " FROM popn"
     all_cols = [*NAMES, "nation"]
     kinds = {c.name: c.kind for c in META.columns} | {"nation": "Categorical"}
@@ -468,7 +466,7 @@ def oracle_sql() -> dict[str, str]:
     vec = []
     for c in META.columns:
         vec += [f"CAST({c.name} AS DOUBLE)"] if c.numeric else ([f"CAST({code(c.name, c.labels, True)} AS DOUBLE)"] if c.kind == "Ordinal" else onehot(c))
-    q["encode_onehot"] = f"WITH {POPN} " + wide(vec, "id", "popn WHERE balance IS NOT NULL")
+    q["encode_onehot"] = f"WITH {POPN} " + wide(vec, "id", "popn")
     scaled = []
     for c in META.columns:
         if c.name != "segment":
@@ -515,6 +513,14 @@ def oracle_sql() -> dict[str, str]:
     )
 
     q["impute"] = f"WITH {POPN}, {tab('popn')}, {imputed('tab', ['segment', 'balance'], 'dataset_id')} SELECT dataset_id, id, segment, round(balance, 6) AS balance FROM imp"
+    bare = tab("popn").replace("SELECT *", "SELECT * REPLACE (CASE WHEN status <> 'F' OR year % 2 <> 0 THEN total END AS total, CASE WHEN status <> 'F' OR year % 2 <> 0 THEN balance END AS balance)")
+    q["impute_null_table"] = (
+        f"WITH {POPN}, {bare}, {imputed('tab', ['segment', 'total', 'balance'], 'dataset_id')} "
+        "SELECT dataset_id, id, segment, round(total, 6) AS total, round(balance, 6) AS balance FROM imp"
+    )
+    q["quantiles_refined"] = f"WITH {POPN}, {tab('popn')} SELECT dataset_id, " + ", ".join(
+        f"round(quantile_cont(balance, {p}), 6) AS q{i}" for i, p in enumerate((0, 0.01, 0.25, 0.5, 0.9, 0.99, 1))
+    ) + " FROM tab GROUP BY dataset_id"
     q["sanitise_cap"] = f"WITH {POP}, {tab('pop')}, {capped('tab', ['year', 'total', 'balance'], 0.99, 'dataset_id, id', 'dataset_id')} SELECT dataset_id, id, year, total, balance FROM cap"
     q["sanitise_drop"] = (
         f"WITH {POPN}, {imputed('popn', ['status', 'priority', 'segment', 'total', 'balance'])}, "
@@ -559,10 +565,10 @@ def oracle_sql() -> dict[str, str]:
         )
     q["attr_profile"] = f"WITH {POPN} " + " UNION ALL ".join(parts)
     q["freq_full_domain"] = (
-        f"WITH {POP}, {CODED.replace('FROM pop)', 'FROM pop WHERE NOT (status = ' + repr('F') + ' AND segment = ' + repr('BUILDING') + '))')}, "
-        "x AS (SELECT b_status AS c0, b_segment AS c1, b_year AS c2, count(*) AS n FROM coded GROUP BY ALL) "
-        "SELECT CAST(a.range AS INTEGER) AS c0, CAST(b.range AS INTEGER) AS c1, CAST(c.range AS INTEGER) AS c2, coalesce(n, 0) AS n FROM range(0, 3) AS a CROSS JOIN range(0, 5) AS b "
-        "CROSS JOIN range(0, 10) AS c LEFT JOIN x ON x.c0 = a.range AND x.c1 = b.range AND x.c2 = c.range"
+        f"WITH {POP}, {CODED}, x AS (SELECT b_status AS c0, b_year AS c1, b_total AS c2, b_balance AS c3, count(*) AS n FROM coded GROUP BY ALL) "
+        "SELECT CAST(a.range AS INTEGER) AS c0, CAST(b.range AS INTEGER) AS c1, CAST(c.range AS INTEGER) AS c2, CAST(d.range AS INTEGER) AS c3, coalesce(n, 0) AS n "
+        "FROM range(0, 3) AS a CROSS JOIN range(0, 10) AS b CROSS JOIN range(0, 10) AS c CROSS JOIN range(0, 10) AS d "
+        "LEFT JOIN x ON x.c0 = a.range AND x.c1 = b.range AND x.c2 = c.range AND x.c3 = d.range"
     )
     q["normalise"] = (
         f"WITH {POP}, v AS (SELECT segment, priority, greatest(sum(balance - 4450), 0) AS m FROM pop GROUP BY ALL) SELECT segment, priority, "
@@ -584,7 +590,7 @@ def oracle_sql() -> dict[str, str]:
     delta_large = "(2e0 / n * ln((n + 1e0) / 2e0) + (1 - 1e0 / n) * ln(1 + 2e0 / (n - 1)))"
     delta_small = "(ln(n) / n + (n - 1e0) / n * ln(n / (n - 1e0)))"
     q["exp_mechanism"] = (
-        f"{info}, s AS (SELECT a, b, mi / (2 * (4 * (CASE WHEN b = 'segment' THEN {delta_small} ELSE {delta_large} END) / 0.5e0)) AS score "
+        f"{info}, s AS (SELECT a, b, mi / (2 * ({len(INFO_COLUMNS) - 1} * (CASE WHEN b = 'segment' THEN {delta_small} ELSE {delta_large} END) / 0.5e0)) AS score "
         "FROM info CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM pop)) SELECT a, b, round(score, 6) AS score, "
         "round(exp(score - max(score) OVER w) / sum(exp(score - mx)) OVER w, 9) AS prob FROM (SELECT *, max(score) OVER (PARTITION BY a) AS mx FROM s) WINDOW w AS (PARTITION BY a)"
     )

@@ -13,7 +13,7 @@ from veilgauge.meta import CATEGORICAL, FLOAT, INTEGER, ORDINAL, ColumnMeta, Tab
 from veilgauge.operators.counts import label_counts
 from veilgauge.operators.joining import attach, hold
 
-MAX_LABELS = 100_000
+DRIVER_LABELS = 100_000
 
 
 def typed(df: DataFrame, meta: TableMeta, keep: Sequence[str] = ()) -> DataFrame:
@@ -79,11 +79,10 @@ def union_decode(parts: Sequence[DataFrame], meta: TableMeta) -> DataFrame:
     return decode_codes(whole, meta)
 
 
-def profile_columns(df: DataFrame, ordinal: Iterable[str] = (), discrete: Iterable[str] = ()) -> DataFrame:
+def profile_columns(df: DataFrame, ordinal: Iterable[str] = (), discrete: Iterable[str] = (), max_labels: int | None = None) -> DataFrame:
     """One row per column: ``name, type, min, max, size, labels`` (labels sorted).
 
-    Labels are counted before they are gathered, and a column with more than ``MAX_LABELS`` of them is refused, since a
-    domain has to fit into metadata.
+    With ``max_labels`` a column with more distinct labels is refused before they are gathered.
     """
     ordinal, discrete = set(ordinal), set(discrete)
     kinds: dict[str, str] = {}
@@ -103,9 +102,9 @@ def profile_columns(df: DataFrame, ordinal: Iterable[str] = (), discrete: Iterab
     numbers = [n for n in kinds if n not in labelled]
     if labelled:
         counts = hold(label_counts(df, labelled).where(F.col("label").isNotNull()))
-        for r in counts.groupBy("attr").agg(F.count("*").alias("n")).collect():
-            if r["n"] > MAX_LABELS:
-                raise ValueError(f"column {r['attr']!r} has {r['n']} labels; a domain may have {MAX_LABELS}")
+        if max_labels is not None:
+            for r in counts.groupBy("attr").agg(F.count("*").alias("n")).where(F.col("n") > max_labels).collect():
+                raise ValueError(f"column {r['attr']!r} has {r['n']} labels; at most {max_labels} are asked for")
         out = counts.groupBy("attr").agg(F.sort_array(F.collect_list("label")).alias("labels")).select(
             F.col("attr").alias("name"), empty.cast("double").alias("min"), empty.cast("double").alias("max"),
             F.size("labels").alias("size"), "labels",
@@ -125,11 +124,13 @@ def profile_columns(df: DataFrame, ordinal: Iterable[str] = (), discrete: Iterab
     )
 
 
-def infer_metadata(df: DataFrame, ordinal: Iterable[str] | dict = (), discrete: Iterable[str] = (), bins: dict | None = None) -> TableMeta:
-    """Metadata of a table. A dict gives ordinal columns an explicit label order instead of the sorted one."""
+def infer_metadata(
+    df: DataFrame, ordinal: Iterable[str] | dict = (), discrete: Iterable[str] = (), bins: dict | None = None, max_labels: int = DRIVER_LABELS
+) -> TableMeta:
+    """Metadata of a table, which the driver holds: a column may have ``max_labels`` labels. A dict gives ordinal columns an explicit label order instead of the sorted one."""
     given = ordinal if isinstance(ordinal, dict) else {}
     cols = []
-    for r in profile_columns(df, list(ordinal), discrete).orderBy("position").collect():
+    for r in profile_columns(df, list(ordinal), discrete, max_labels).orderBy("position").collect():
         whole = r["type"] == INTEGER
         span = (int(r["min"]), int(r["max"])) if whole and r["min"] is not None else (r["min"], r["max"])
         labels = given.get(r["name"]) or r["labels"]
