@@ -236,6 +236,14 @@ def test_csv_ids_follow_position(spark, tmp_path):
     path.write_text("n,f,c\n1,0.5,a\n2,NaN,b\n3,,a\n")
     got = tables.load_table(spark, str(path), meta).orderBy("id").collect()
     assert [tuple(r) for r in got] == [("ID0", 1, 0.5, "a"), ("ID1", 2, None, "b"), ("ID2", 3, None, "a")]
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    for i, rows_ in enumerate((40, 3, 500, 1)):
+        (folder / f"part-{i}.csv").write_text("n,f,c\n" + "".join(f"{j % 10},0.{i},a\n" for j in range(rows_)))
+    several = tables.load_table(spark, str(folder), meta).collect()
+    order = sorted((int(r["id"][2:]), r["f"], r["n"]) for r in several)
+    assert [o[0] for o in order] == list(range(544))
+    assert [o[1:] for o in order] == [(i / 10, j % 10) for i, n in enumerate((40, 3, 500, 1)) for j in range(n)]
     many = tables.with_row_ids(spark.range(1000, numPartitions=7).withColumn("v", F.lit(1))).select("id").distinct().count()
     assert many == 1000
 

@@ -492,7 +492,7 @@ def linkage_gain(spark, sf_dir):
     return _gain_columns(evaluate.linkage_gain(_linkage_facts(spark, sf_dir)))
 
 
-def inference_gain(spark, sf_dir):
+def _inference_sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     base = population(spark, sf_dir).select(
         F.col("status").alias("dataset"), F.col("region").alias("target_id"), F.col("year").alias("run"),
         F.when(F.col("priority") == PRIORITY[0], evaluate.RAW).otherwise(F.col("priority")).alias("model"),
@@ -507,7 +507,30 @@ def inference_gain(spark, sf_dir):
             F.struct(F.lit("total").alias("attribute"), F.lit("0").alias("target_secret")),
         )).alias("t"),
     ).select("target_id", "t.*")
-    out = evaluate.inference_gain(label.unionByName(number), truth)
+    return label.unionByName(number), truth
+
+
+def inference_gain(spark, sf_dir):
+    return _inference_columns(evaluate.inference_gain(*_inference_sides(spark, sf_dir)))
+
+
+def load_results_inference(spark, sf_dir):
+    facts, truth = _inference_sides(spark, sf_dir)
+    folder = scratch(spark, "json")
+    results.write_json(facts, folder, results.INFERENCE)
+    back = results.read_inference(spark, folder, lines=True).withColumn("numeric", F.col("attribute") == "total")
+    return _inference_columns(evaluate.inference_gain(back.withColumn("run", F.col("run").cast("bigint")), truth))
+
+
+def load_results_utility(spark, sf_dir):
+    folder = scratch(spark, "json")
+    results.write_json(evaluate.utility_records(_utility_facts(spark, sf_dir)), folder, results.UTILITY_TARGETS)
+    back = results.read_utility_targets(spark, folder, lines=True)
+    keys = ["dataset", "task", "model", F.col("run").cast("bigint").alias("run"), "target_id", "record_id"]
+    return back.select(*keys, F.round("accuracy", 9).alias("accuracy"))
+
+
+def _inference_columns(out: DataFrame) -> DataFrame:
     keys = ["dataset", "target_id", "attribute", "run", "model"]
     return out.select(*keys, *[F.coalesce(F.round(c, 9), F.lit(-9.0)).alias(c) for c in out.columns if c not in keys])
 
@@ -685,7 +708,7 @@ _PLAIN = [
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,
     feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, privbayes_counts,
     synth_privbayes, exp_mechanism, synth_gaussian, link_unique_member, link_unique_attribute, linkage_gain,
-    inference_gain, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
+    inference_gain, load_results_inference, load_results_utility, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
     shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, attr_forest, game_linkage,
     game_inference, game_utility,
 ]

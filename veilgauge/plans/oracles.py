@@ -628,11 +628,14 @@ def oracle_sql() -> dict[str, str]:
 
     q["link_unique_member"] = linked("1", "0")
     q["link_unique_attribute"] = linked("g.v", "-99999e0")
-    q["inference_gain"] = INFERENCE
+    q["inference_gain"] = q["load_results_inference"] = INFERENCE
     q["utility_gain"] = (
         f"WITH {POP}, {UTIL_FACTS} SELECT dataset, task, model, run, target_id, record_id, round(avg(score), 9) AS accuracy, 'record' AS level FROM facts GROUP BY ALL "
         "UNION ALL SELECT dataset, task, model, run, target_id, 'all' AS record_id, round(avg(score), 9), 'total' FROM facts GROUP BY ALL"
     )
+    q["load_results_utility"] = (
+        f"WITH {POP}, {UTIL_FACTS} SELECT dataset, task, model, run, target_id, record_id, round(avg(score), 9) AS accuracy FROM facts GROUP BY ALL"
+    )
     q["utility_advantage"] = (
         f"WITH {POP}, {UTIL_FACTS} SELECT task, model, round(avg(score) FILTER (WHERE presence = 1), 9) AS p_in, round(avg(score) FILTER (WHERE presence = 0), 9) AS p_out, "
         "round(avg(score) FILTER (WHERE presence = 1) - avg(score) FILTER (WHERE presence = 0), 9) AS utility_advantage FROM facts GROUP BY ALL"

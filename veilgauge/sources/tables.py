@@ -56,19 +56,27 @@ def load_table(
     if id_col is not None:
         named = typed(raw, meta, keep=[id_col] if id_col not in meta.names else [])
         return named if id_col == "id" else named.withColumn("id", F.col(f"`{id_col}`")).select("id", *meta.names)
-    return with_row_ids(raw).transform(lambda df: typed(df, meta, keep=["id"]))
-
-
-def with_row_ids(df: DataFrame, prefix: str = "ID") -> DataFrame:
-    """``ID{i}`` by position, in place of any ``id`` column: rows per scan partition are counted, then each partition starts at its offset."""
-    marked = df.withColumn("__pos", F.monotonically_increasing_id())
-    part = F.shiftright("__pos", 33)
-    marked = marked.withColumns({"__part": part, "__in": F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))})
-    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    out = attach(marked, offsets, ["__part"], "inner")
-    return out.select(F.concat(F.lit(prefix), (F.col("__off") + F.col("__in")).cast("string")).alias("id"), *[c for c in df.columns if c != "id"])
+    return with_row_ids(raw, of_files=True).transform(lambda df: typed(df, meta, keep=["id"]))
+
+
+def with_row_ids(df: DataFrame, prefix: str = "ID", of_files: bool = False) -> DataFrame:
+    """``ID{i}`` by position, in place of any ``id`` column.
+
+    Rows of each scan partition are counted, then each starts at its offset. ``of_files`` is for a frame read straight from files:
+    the pieces counted are then blocks of files in the order of path and place, however a scan deals them out.
+    """
+    names = [c for c in df.columns if c != "id"]
+    place = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")] if of_files else [F.spark_partition_id(), F.lit(0)]
+    parts = [c.alias(f"__part_{i}") for i, c in enumerate(place)]
+    marked = df.select(*[F.col(f"`{c}`") for c in names], *parts, F.monotonically_increasing_id().alias("__pos"))
+    keys = ["__part_0", "__part_1"]
+    # One row for each piece; a piece's rows are consecutive within its scan partition.
+    counts = marked.groupBy(*keys).agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    out = attach(marked, offsets, keys, "inner")
+    at = F.col("__off") + F.col("__pos") - F.col("__first")
+    return out.select(F.concat(F.lit(prefix), at.cast("string")).alias("id"), *[F.col(f"`{c}`") for c in names])
 
 
 def union_decode(parts: Sequence[DataFrame], meta: TableMeta) -> DataFrame:
