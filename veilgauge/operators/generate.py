@@ -51,9 +51,9 @@ def value_in_bin(edges: Column, b: Column, u: Column, integer: bool) -> Column:
     return F.bround(x).cast("bigint") if integer else x
 
 
-def candidate_keys(spark: SparkSession, n: int, kind: str, low: float = 0.0, high: float = 1.0, prefix: str = "") -> DataFrame:
-    """``n`` different key values: whole numbers from 0, even steps from ``low`` below ``high``, or a prefix and a number."""
-    i = F.col("id")
+def key_value(n: int, kind: str, low: float = 0.0, high: float = 1.0, prefix: str = "", number: str = "id") -> Column:
+    """Key value of one of ``n`` numbered rows: whole numbers from 0, even steps from ``low`` below ``high``, or a prefix and a number."""
+    i = F.col(number)
     values = {
         "Integer": i,
         "Float": F.lit(float(low)) + i * F.lit((high - low) / max(n, 1)),
@@ -61,4 +61,9 @@ def candidate_keys(spark: SparkSession, n: int, kind: str, low: float = 0.0, hig
     }
     if kind not in values:
         raise ValueError(f"unknown kind {kind!r}")
-    return spark.range(n).select(i.alias("row"), values[kind].alias("key"))
+    return values[kind]
+
+
+def candidate_keys(spark: SparkSession, n: int, kind: str, low: float = 0.0, high: float = 1.0, prefix: str = "") -> DataFrame:
+    """``n`` different key values (:func:`key_value`)."""
+    return spark.range(n).select(F.col("id").alias("row"), key_value(n, kind, low, high, prefix).alias("key"))

@@ -15,7 +15,7 @@ from veilgauge.operators import bayes, distributions, evaluate, features, inform
 from veilgauge.operators.attribute import ForestAttribute, LinearAttribute
 from veilgauge.operators.encode import centre, decode_with_ranges, encode_with_ranges
 from veilgauge.operators.gaussian import Gaussian
-from veilgauge.operators.generate import candidate_keys
+from veilgauge.operators.generate import key_value
 from veilgauge.operators.histogram import IndependentHistogram
 from veilgauge.operators.joining import checkpoint_folder, durable, release
 from veilgauge.operators.linkage import link_attribute, link_members
@@ -183,10 +183,9 @@ def camel_names(spark, sf_dir):
 
 def candidate_key(spark, sf_dir):
     span = population(spark, sf_dir).agg(F.count("*").alias("n"), F.min("total").alias("lo"), F.max("total").alias("hi")).first()
-    whole = candidate_keys(spark, span["n"], "Integer").withColumnRenamed("key", "whole")
-    real = candidate_keys(spark, span["n"], "Float", span["lo"], span["hi"]).withColumnRenamed("key", "real")
-    text = candidate_keys(spark, span["n"], CATEGORICAL, prefix="key").withColumnRenamed("key", "text")
-    return whole.join(real, "row").join(text, "row").withColumn("real", F.round("real", 6))
+    real = key_value(span["n"], "Float", span["lo"], span["hi"])
+    columns = [key_value(span["n"], "Integer").alias("whole"), F.round(real, 6).alias("real"), key_value(span["n"], CATEGORICAL, prefix="key").alias("text")]
+    return spark.range(span["n"]).select(F.col("id").alias("row"), *columns)
 
 
 # ---- sanitising -------------------------------------------------------------------------------------------------
@@ -617,8 +616,11 @@ def _many_tables(spark, sf_dir) -> DataFrame:
 
 def _attack(kind: str, out: str, **options):
     def query(spark, sf_dir):
-        vectors = _many_tables(spark, sf_dir)
-        attack = MembershipAttack(kind, SEED, options).fit(vectors)
+        # Fitted on the tables of the years up to 1995, asked about those of the later years.
+        every = _many_tables(spark, sf_dir)
+        late = F.split_part("dataset_id", F.lit("-"), F.lit(2)) > "1995"
+        attack = MembershipAttack(kind, SEED, options).fit(every.where(~late))
+        vectors = every.where(late)
         if out == "confidence":
             return attack.confidence(vectors).select("dataset_id", "label", F.round("confidence", 6).alias("confidence"))
         linked = None
