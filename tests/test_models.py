@@ -3,8 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from veilgauge.meta import ColumnMeta, TableMeta
-from veilgauge.operators import bayes, joining
+from veilgauge.functions.keyed import digest, uniform
+from veilgauge.meta import CATEGORICAL, FLOAT, ColumnMeta, TableMeta
+from veilgauge.operators import bayes, forests, joining
 from veilgauge.operators.attribute import ForestAttribute, LinearAttribute, with_links
 from veilgauge.operators.distributions import Binning, profile
 from veilgauge.operators.gaussian import Gaussian
@@ -232,3 +233,46 @@ def test_tasks_learn(spark, kind, label):
         assert score[0] > 0.95
     with pytest.raises(ValueError):
         PredictTask("linear", meta, "c")
+
+
+def test_forests_of_many_tables(spark):
+    """Separable tables are learned, tables without rows give nulls, and the forests do not depend on partitions."""
+    rng = np.random.default_rng(5)
+    meta = TableMeta((ColumnMeta("a", CATEGORICAL, labels=("x", "y", "z")), ColumnMeta("v", FLOAT, low=0.0, high=10.0), ColumnMeta("s", CATEGORICAL, labels=("no", "yes"))))
+    data = []
+    for t in range(6):
+        for i in range(120):
+            a, v = "xyz"[rng.integers(3)], float(rng.uniform(0, 10))
+            said = (a == "x") if t % 2 else (v > 5)
+            data.append((f"t{t}", i, a, v, "yes" if said else "no"))
+    df = spark.createDataFrame(data, "t string, i int, a string, v double, s string")
+    attack = ForestAttribute(meta, "s", 3, trees=12, depth=5)
+    out = attack.guess(df, attack.fit(df, ["t"]), ["t"]).toPandas()
+    assert len(out) == len(df.collect()) and (out.model_guess == out.s).mean() > 0.93
+    assert out.groupby("t").apply(lambda g: (g.model_guess == g.s).mean(), include_groups=False).min() > 0.85
+    assert ((out.likelihood >= 0) & (out.likelihood <= 1)).all()
+    other = spark.createDataFrame([("none", 0, "x", 1.0, "no"), ("t0", 1, None, None, None)], df.schema)
+    got = {r.t: (r.model_guess, r.likelihood) for r in attack.guess(other, attack.fit(df, ["t"]), ["t"]).collect()}
+    assert got["none"] == (None, None) and got["t0"][0] in ("no", "yes") and got["t0"][1] == 0.0
+
+
+def test_first_cut_is_the_best_gini_cut(spark):
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 6, (200, 3))
+    label = ((codes[:, 1] > 2) ^ (rng.random(200) < 0.1)).astype(int)
+    rows_ = spark.createDataFrame([("t", i, c.tolist(), int(y)) for i, (c, y) in enumerate(zip(codes, label))], "t string, row long, codes array<int>, label int")
+    model = forests.grow(rows_, ["t"], 3, 2, 3, 1, 9, per_node=3)
+    boot = rows_.select("row", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("tree"), F.lit("t").alias("t"))
+    u = uniform(digest(9, "bootstrap", "t", "row", "tree"))
+    weight = boot.select("row", "tree", u.alias("u")).toPandas()
+    weight["w"] = sum((weight.u >= c).astype(int) for c in forests.DRAWS)
+    for s in model.splits.collect():
+        w = weight[weight.tree == s.tree].sort_values("row").w.to_numpy()
+
+        def value(f, b):
+            parts = [np.bincount(label[m], w[m], 2) for m in (codes[:, f] <= b, codes[:, f] > b)]
+            return sum((p**2).sum() / p.sum() for p in parts if p.sum())
+
+        best = max(((value(f, b), -f, -b) for f in range(3) for b in range(5)))
+        assert (s.f, s.b) == (-best[1], -best[2])
+    assert model.splits.count() == 3 and model.leaves.count() == 6

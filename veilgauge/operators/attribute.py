@@ -16,9 +16,12 @@ from pyspark.sql import types as T
 
 from veilgauge.functions.encoding import code_label, code_vector, label_code
 from veilgauge.meta import TableMeta
+from veilgauge.operators import forests
+from veilgauge.operators.distributions import Binning
 from veilgauge.operators.gaussian import gaussian_moments
 from veilgauge.operators.joining import attach, durable
-from veilgauge.operators.membership import train_many
+
+BINS = 32
 
 
 def known_columns(meta: TableMeta, sensitive: str) -> TableMeta:
@@ -102,14 +105,13 @@ class LinearAttribute:
 
 @dataclass(frozen=True)
 class ForestAttribute:
-    """Random forest on the centred codes and numbers of all other columns, one forest per table."""
+    """Random forest on the codes and numbers of all other columns: Spark ML for one table, :mod:`.forests` for many."""
 
     meta: TableMeta
     sensitive: str
     seed: int = 42
     trees: int = 100
     depth: int = 30
-    threads: int = 4
 
     def __post_init__(self):
         if self.meta[self.sensitive].numeric:
@@ -121,51 +123,47 @@ class ForestAttribute:
         filled = F.transform(code_vector(known), lambda x: F.coalesce(x, F.lit(0.0)))
         return df.withColumn("vector", array_to_vector(filled))
 
-    def fit(self, df: DataFrame, keys: Sequence[str] = ()) -> list[tuple[tuple, object]]:
-        """``[(key values, model)]``. Each forest is a distributed fit; several run at a time."""
+    def _coded(self, df: DataFrame) -> Column:
+        """Small integers for the forests of many tables: labels by position, numbers in ``BINS`` equal bins, -1 for anything else."""
+        binning = Binning(known_columns(self.meta, self.sensitive), BINS)
+        return F.array(*[F.coalesce(binning.code(i), F.lit(-1)).cast("int") for i in range(len(binning.meta))])
+
+    def fit(self, df: DataFrame, keys: Sequence[str] = ()):
+        """A Spark ML model for one table; with keys, one forest for each table, all grown in the same jobs."""
         labels = self.meta[self.sensitive].labels
         code = label_code(F.col(f"`{self.sensitive}`"), labels, append_null=False)
-        data = self._vectors(df).select(*keys, "vector", code.cast("double").alias("label")).where("label >= 0")
         if not keys:
-            return [((), self._one(data))]
-        data = durable(data)
-        tables = [tuple(r) for r in data.select(*keys).distinct().orderBy(*keys).collect()]
-
-        def one(key):
-            rows = data
-            for k, v in zip(keys, key):
-                rows = rows.where(F.col(k) == v)
-            return key, self._one(rows)
-
-        return train_many(one, tables, self.threads)
+            return self._one(self._vectors(df).select("vector", code.cast("double").alias("label")).where("label >= 0"))
+        rows = df.select(*keys, self._coded(df).alias("codes"), code.cast("int").alias("label")).where("label >= 0")
+        rows = durable(rows).withColumn("row", F.monotonically_increasing_id())
+        return forests.grow(rows, keys, len(self.meta) - 1, len(labels), self.trees, self.depth, self.seed)
 
     def _one(self, rows: DataFrame):
         return RandomForestClassifier(
             featuresCol="vector", labelCol="label", numTrees=self.trees, maxDepth=self.depth, seed=self.seed
         ).fit(rows)
 
-    def guess(self, targets: DataFrame, models, keys: Sequence[str] = (), secret: str | None = None) -> DataFrame:
+    def guess(self, targets: DataFrame, model, keys: Sequence[str] = (), secret: str | None = None) -> DataFrame:
         """Targets with ``model_guess`` (a label) and the ``likelihood`` of their real label.
 
-        Probabilities are read by label, so labels a forest never saw get 0. With keys, targets carry the table keys.
+        Probabilities are read by label, so labels a forest never saw get 0. With keys, targets carry the table keys; those of tables
+        without a forest stay, with nulls.
         """
         labels = self.meta[self.sensitive].labels
         real = label_code(F.col(f"`{secret or self.sensitive}`"), labels, append_null=False)
-        parts = []
-        for key, model in models:
-            rows = targets
-            for k, v in zip(keys, key):
-                rows = rows.where(F.col(k) == v)
-            out = model.transform(self._vectors(rows))
+        if not keys:
+            out = model.transform(self._vectors(targets))
             p = F.try_element_at(vector_to_array("probability"), (F.when(real >= 0, real) + 1).cast("int"))
-            out = out.withColumn("likelihood", F.coalesce(p, F.lit(0.0)))
-            parts.append(
-                out.withColumn("model_guess", code_label(F.col("prediction"), labels)).drop("vector", "rawPrediction", "probability", "prediction")
-            )
-        whole = parts[0]
-        for p in parts[1:]:
-            whole = whole.unionByName(p)
-        return whole
+            out = out.withColumns({"likelihood": F.coalesce(p, F.lit(0.0)), "model_guess": code_label(F.col("prediction"), labels)})
+            return out.drop("vector", "rawPrediction", "probability", "prediction")
+        asked = durable(targets).withColumn("__row", F.monotonically_increasing_id())
+        probs = forests.probabilities(model, asked.select(*keys, F.col("__row").alias("row"), self._coded(asked).alias("codes")))
+        out = attach(asked, durable(probs.withColumnRenamed("row", "__row")), ["__row"])
+        p = F.try_element_at("probs", (F.when(real >= 0, real) + 1).cast("int"))
+        best = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
+        found = F.col("probs").isNotNull()
+        out = out.withColumns({"likelihood": F.when(found, F.coalesce(p, F.lit(0.0))), "model_guess": F.when(found, code_label(best, labels))})
+        return out.drop("__row", "probs")
 
 
 def with_links(guesses: DataFrame, linked: str = "linked") -> DataFrame:

@@ -218,7 +218,7 @@ def inference_game(population: DataFrame, meta: TableMeta, config: GameConfig) -
     for pub, name, out_meta, tables, copies in published:
         asked = _where(_dims(games, copies))
         for column, kind in c.sensitive:
-            attack = LinearAttribute(out_meta, column) if kind == "LinReg" else ForestAttribute(out_meta, column, c.seed, threads=c.threads, **dict(c.attack_options))
+            attack = LinearAttribute(out_meta, column) if kind == "LinReg" else ForestAttribute(out_meta, column, c.seed, **dict(c.attack_options))
             probes = bin_columns(targets, out_meta).withColumn("target_id", F.col("id").cast("string"))
             probes = probes.select("target_id", *out_meta.names)
             rows = _ask(asked, probes, ids)
