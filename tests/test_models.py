@@ -118,10 +118,14 @@ def test_private_networks_of_higher_degree_for_many_tables(spark):
     assert made.groupBy("t", "copy").count().select("count").distinct().collect() == [(50,)]
 
 
-def test_larger_domains_are_refused(spark):
-    _, meta = chain(spark, 10)
+def test_wide_domains_beside_narrow_ones(spark):
+    labels = tuple(f"p{i}" for i in range(1500))
+    meta = TableMeta((ColumnMeta("part", CATEGORICAL, labels=labels), ColumnMeta("even", CATEGORICAL, labels=("y", "n"))))
+    df = spark.range(3000).select(F.concat(F.lit("p"), F.col("id") % 1500).alias("part"), F.when(F.col("id") % 2 == 0, "y").otherwise("n").alias("even"))
+    made = bayes.BayesianNet(meta, 10, 1).fit(df).generate(500)
+    assert made.where((F.substring("part", 2, 9).cast("int") % 2 == 0) == (F.col("even") == "y")).count() == 500
     with pytest.raises(ValueError):
-        bayes.BayesianNet(meta, 2000, 2).fit(chain(spark, 50)[0])
+        bayes.BayesianNet(chain(spark, 10)[1], 2**21, 2).fit(chain(spark, 50)[0])
 
 
 def test_gaussian(spark, sf_dir):

@@ -235,8 +235,6 @@ def cell_counts(
     keys = list(keys)
     radix, d = binning.radix, len(binning.meta)
     k = min(degree, d - 1)
-    if radix ** (k + 1) >= 2**63:
-        raise ValueError(f"codes of {k + 1} columns with up to {radix} values do not fit into 64 bits; use fewer bins or a lower degree")
     steps = F.sequence(F.lit(k + 1), F.lit(d - 1)) if d - 1 > k else F.array().cast("array<int>")
     tabs = F.concat(
         F.array(F.struct(F.lit(0).alias("tab"), F.slice("order", 1, k + 1).alias("attrs"))),
@@ -451,6 +449,9 @@ class BayesianNet:
         """Fit one network per table. A given ``network`` skips the search."""
         keys = list(keys)
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
+        wide = min(self.degree, len(self.meta) - 1) + 1
+        if binning.radix**wide >= 2**63:
+            raise ValueError(f"codes of {wide} columns with up to {binning.radix} values do not fit into 64 bits; use fewer bins or a lower degree")
         coded = binning.compact(df, keys)
         if binning.cells <= COMPACT_CELLS:
             # Bounded by the domain, and read by the search and by the counting.
