@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilgauge.operators.joining import attach, durable
+from veilgauge.operators.joining import attach, durable, row_bytes
 
 BUCKETS = 65_536
 STEPS = 15  # buckets for each power of two
@@ -73,33 +73,37 @@ def quantile_rows(df: DataFrame, cols: Sequence[str], levels: Sequence[float], k
 
     for _ in range(LEVELS):
         wide = (F.col("__k") > RANK_ROWS) & (F.col("__lo") < F.col("__hi"))
-        brackets = state.where(wide)
-        if brackets.isEmpty():
+        # The brackets are a few numbers per table, column and level; their size is measured once for all joins below.
+        size, open_ = state.agg(F.sum(row_bytes(state)), F.count_if(wide)).first()
+        if not open_:
             break
+        brackets = state.where(wide)
         width = (F.col("__x") - F.col("__from")) / (F.col("__to") - F.col("__from"))
         ends = brackets.select(*by, "__j", F.col("__lo").alias("__from"), F.col("__hi").alias("__to"))
-        inside = attach(values, ends, by, "inner").where(F.col("__x").between(F.col("__from"), F.col("__to")))
+        inside = attach(values, ends, by, "inner", size, 1).where(F.col("__x").between(F.col("__from"), F.col("__to")))
         parts = inside.groupBy(*by, "__j", F.floor(width * BUCKETS).alias("__b")).agg(*measure)
         order = Window.partitionBy(*by, "__j").orderBy("__b")
         parts = parts.withColumns({"__run": F.sum("__k").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__lo").over(order)})
         old = brackets.select(*by, "__j", "__pos", "__r", "__below", F.col("__next").alias("__beyond"))
-        parts = attach(parts, old, [*by, "__j"], "inner")
+        parts = attach(parts, old, [*by, "__j"], "inner", size, 1)
         parts = parts.withColumns({"__below": F.col("__below") + F.col("__run") - F.col("__k"), "__next": F.coalesce("__after", "__beyond")})
         found = parts.where((F.col("__below") <= F.col("__r")) & (F.col("__below") + F.col("__k") > F.col("__r")))
         state = durable(state.where(~F.coalesce(wide, F.lit(False))).unionByName(found.select(*names)))
 
+    size = state.agg(F.sum(row_bytes(state))).first()[0] if open_ else size
+    size = size or 0
     ends = state.where(F.col("__k") > 0).select(*by, "__j", "__r", "__below", "__next", F.col("__lo").alias("__from"), F.col("__hi").alias("__to"))
-    inside = attach(values, ends.select(*by, "__j", "__from", "__to"), by, "inner")
+    inside = attach(values, ends.select(*by, "__j", "__from", "__to"), by, "inner", size, 1)
     inside = inside.where(F.col("__x").between(F.col("__from"), F.col("__to")))
     distinct = inside.groupBy(*by, "__j", "__x").agg(F.count("*").alias("__m"))
     order = Window.partitionBy(*by, "__j").orderBy("__x")
     distinct = distinct.withColumns({"__run": F.sum("__m").over(order.rowsBetween(Window.unboundedPreceding, 0)), "__after": F.lead("__x").over(order)})
-    distinct = attach(distinct, ends.select(*by, "__j", "__r", "__below", "__next"), [*by, "__j"], "inner")
+    distinct = attach(distinct, ends.select(*by, "__j", "__r", "__below", "__next"), [*by, "__j"], "inner", size, 1)
     upto = F.col("__below") + F.col("__run")
     hit = distinct.where((upto > F.col("__r")) & (upto - F.col("__m") <= F.col("__r")))
     second = F.when(upto > F.col("__r") + 1, F.col("__x")).otherwise(F.coalesce("__after", "__next"))
     pairs = hit.select(*by, "__j", F.col("__x").alias("__one"), second.alias("__two"))
-    both = attach(state.select(*by, "__j", "__pos", "__r"), pairs, [*by, "__j"])
+    both = attach(state.select(*by, "__j", "__pos", "__r"), pairs, [*by, "__j"], "left", size, 1)
     between = (F.col("__r") + 1 - F.col("__pos")) * F.col("__one") + (F.col("__pos") - F.col("__r")) * F.col("__two")
     exact = (F.col("__pos") == F.col("__r")) | (F.col("__one") == F.col("__two"))
     return both.select(*by, "__j", F.when(exact, F.col("__one")).otherwise(between).alias("__v"))
