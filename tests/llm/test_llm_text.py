@@ -225,6 +225,15 @@ def test_contained_items_like_plain(spark, make_docs):
     assert want and sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_items_of_one_shingle_are_never_missed(spark, make_docs):
+    rng = random.Random(10)
+    items = [(i, f"a{i} b{i} c{i} d{i} e{i}") for i in range(400)]
+    rows = [(i, " ".join([prose(rng, 40 + i), *(t for _, t in items)])) for i in range(20)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.contained_items(make_docs(rows), bench).select("doc_id", "item_id").collect()
+    assert sorted(tuple(r) for r in found) == [(d, i) for d in range(20) for i in range(400)]
+
+
 def test_empty_tables(spark, make_docs):
     none = make_docs([(1, "x")]).filter("doc_id < 0")
     bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")

@@ -1,12 +1,10 @@
-"""Benchmark items inside documents: containment search with MinHash sketches for document sizes, verified exactly.
+"""Benchmark items inside documents: exact containment search by the rarest shingles of each item.
 
-Containment ``|item & document| / |item|`` is turned into a question of equal minima: with the documents partitioned by
-the size of their shingle sets (powers of two), a partition of at most *u* shingles is sketched with ``2 * u`` bins, each keeping its
-smallest hash. An item's shingle that the document holds is then the minimum of its bin in both with a chance of about 0.8, however long the
-document is, and three independent placements leave a share of less than 0.01 unseen by all of them; an item is a candidate as soon as
-one of its shingles agrees. Each candidate is verified on the document's full set.
+A document that holds at least *need* of an item's *n* shingles lacks at most ``n - need`` of them, so it holds one of any ``n - need + 1``.
+These are chosen as the item's rarest, by the number of items that hold them; a document with one of them is a candidate, whatever the
+sizes of both, and no other document can hold the item. Each candidate is verified on the document's full set.
 
-Items are the stated query set: they are sketched for all partitions and sent to the documents in blocks of bounded, measured
+Items are the stated query set: they are sent to the documents in blocks of bounded, measured
 size, one scan of the documents for each block. Documents are never shuffled.
 """
 
@@ -20,35 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilgauge.llm.common import text_key
-from veilgauge.llm.textscan import mix, pieces, seeds, shingle_sets
+from veilgauge.llm.textscan import pieces, shingle_sets
 
 SHINGLE = 5
 PERCENT = 80
-PLACEMENTS = 3
 BLOCK_BYTES = 8 * 2**20
-U = np.uint64
-_SEEDS = seeds(PLACEMENTS, 21)
 PAIRS = "doc_id long, key long, item_id long, n_item long, n_shared long"
 
 
-def _level(size: np.ndarray) -> np.ndarray:
-    """Size partition: the least power of two that is not smaller."""
-    return np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64)
-
-
-def _minima(values: np.ndarray, owner: np.ndarray, level: np.ndarray, placement: int) -> np.ndarray:
-    """Indices of the elements that are the smallest of their bin in their set; ``level`` is the set's size partition."""
-    hashed = mix(values ^ _SEEDS[placement])
-    bins = (hashed >> U(32)) & ((U(2) << level.astype(np.uint64)) - U(1))
-    order = np.lexsort((hashed, bins, owner))
-    o, b = owner[order], bins[order]
-    return order[np.concatenate([[True], (o[1:] != o[:-1]) | (b[1:] != b[:-1])])]
-
-
 class Items:
-    """One block of items: distinct shingles, the items of each, and which of them are sketch values by size partition."""
+    """One block of items: distinct shingles, the items of each, and which of them are searched for."""
 
-    def __init__(self, ids: list, texts: list) -> None:
+    def __init__(self, ids: list, texts: list, percent: int) -> None:
         self.ids = ids
         owner, values = [], []
         at = 0
@@ -64,17 +45,14 @@ class Items:
         order = np.argsort(self.group, kind="stable")
         self.by_shingle = self.owner[order]
         self.start = np.searchsorted(self.group[order], np.arange(len(self.known) + 1))
-        self.in_sketch: dict[tuple[int, int], np.ndarray] = {}
-
-    def sketched(self, level: int, placement: int) -> np.ndarray:
-        """For each item shingle: is it the minimum of its bin in its item's sketch for this partition?"""
-        if (level, placement) not in self.in_sketch:
-            flags = np.zeros(len(self.values), dtype=bool)
-            if len(flags):
-                flags[_minima(self.values, self.owner, np.full(len(flags), level), placement)] = True
-            order = np.argsort(self.group, kind="stable")
-            self.in_sketch[level, placement] = flags[order]
-        return self.in_sketch[level, placement]
+        rare = np.lexsort((self.values, np.diff(self.start)[self.group], self.owner))
+        rank = np.arange(len(rare)) - (np.cumsum(self.size) - self.size)[self.owner[rare]]
+        need = np.maximum(-(-percent * self.size // 100), 1)
+        searched = np.zeros(len(rare), dtype=bool)
+        searched[rare] = rank <= (self.size - need)[self.owner[rare]]
+        self.searched = searched[order]
+        self.rare = np.zeros(len(self.known), dtype=bool)
+        self.rare[self.group[searched]] = True
 
     def pairs(self, owner: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every (document, item, slot) for documents' occurrences of known shingles."""
@@ -86,32 +64,24 @@ class Items:
 def _search(block, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts = block.value
-        items = Items(ids, texts)
+        items = Items(ids, texts, percent)
         for batch in batches:
             for piece in pieces(batch):
-                values, owner, first = shingle_sets(piece.column("text"), SHINGLE, False)
+                values, owner, _ = shingle_sets(piece.column("text"), SHINGLE, False)
                 if not len(values) or not len(items.known):
                     continue
-                level = _level(np.diff(first))
                 place = np.minimum(np.searchsorted(items.known, values), len(items.known) - 1)
                 is_known = items.known[place] == values
-                found = []
-                for p in range(PLACEMENTS):
-                    # Only bins that hold an item's shingle can agree; their documents' minima are taken over all shingles.
-                    hit = _contested(values, owner, level, is_known, p)
-                    doc, item, slot = items.pairs(owner[hit], place[hit])
-                    ok = np.zeros(len(doc), dtype=bool)
-                    for one in np.unique(level[doc]) if len(doc) else ():
-                        here = level[doc] == one
-                        ok[here] = items.sketched(int(one), p)[slot[here]]
-                    found.append(doc[ok] * len(ids) + item[ok])
-                candidates = np.unique(np.concatenate(found))
+                hit = np.flatnonzero(is_known)
+                hit = hit[items.rare[place[hit]]]
+                doc, item, slot = items.pairs(owner[hit], place[hit])
+                candidates = np.unique((doc * len(ids) + item)[items.searched[slot]])
                 if not len(candidates):
                     continue
+                is_known &= np.isin(owner, candidates // len(ids))
                 doc, item, _ = items.pairs(owner[is_known], place[is_known])
-                pair, shared = np.unique(doc * len(ids) + item, return_counts=True)
-                use = np.isin(pair, candidates)
-                pair, shared = pair[use], shared[use]
+                pair = doc * len(ids) + item
+                pair, shared = np.unique(pair[np.isin(pair, candidates)], return_counts=True)
                 doc, item = pair // len(ids), pair % len(ids)
                 good = 100 * shared >= percent * items.size[item]
                 doc, item, shared = doc[good], item[good], shared[good]
@@ -129,25 +99,6 @@ def _search(block, percent: int):
     return run
 
 
-def _contested(values: np.ndarray, owner: np.ndarray, level: np.ndarray, is_known: np.ndarray, placement: int) -> np.ndarray:
-    """Indices of the documents' known shingles that are the minimum of their bin among all shingles of the document."""
-    hashed = mix(values ^ _SEEDS[placement])
-    bits = level[owner].astype(np.uint64)
-    bins = (hashed >> U(32)) & ((U(2) << bits) - U(1))
-    cell = mix((owner.astype(np.uint64) << U(40)) ^ bins)
-    hit = np.flatnonzero(is_known)
-    order = hit[np.argsort(cell[hit], kind="stable")]
-    wanted = cell[order]
-    if not len(wanted):
-        return hit
-    at = np.minimum(np.searchsorted(wanted, cell), len(wanted) - 1)
-    rival = np.flatnonzero(wanted[at] == cell)
-    cells, where = np.unique(cell[rival], return_inverse=True)
-    least = np.full(len(cells), ~U(0))
-    np.minimum.at(least, where, hashed[rival])
-    return rival[is_known[rival] & (hashed[rival] == least[where])]
-
-
 def contained_items(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``doc_id, key, item_id, n_item, n_shared``: each document row with each item that it contains.
 
