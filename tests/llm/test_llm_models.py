@@ -86,6 +86,23 @@ def test_toxicity_finds_unseen_insults(spark, make_docs, judged):
     assert toxicity.score(make_docs(judged).filter("doc_id < 0"), labels).isEmpty()
 
 
+def test_every_word_that_tells_toxic_text_counts(spark, make_docs):
+    """More telling words than any fixed number of features, each in a few documents."""
+    rng = random.Random(4)
+    own = ["".join(chr(97 + int(c)) for c in f"{i:03d}") for i in range(120)]
+    rows = [(i, prose(rng, 12)) for i in range(9000)] + [(10_000 + i, " ".join([prose(rng, 12), *(own[i % 120] + c for c in "vwxyz")])) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i >= 10_000)) for i, _ in rows], "doc_id long, toxic int")
+    _, known, _ = toxicity.fit(make_docs(rows), labels)
+    assert known.sum() > 600
+
+
+def test_all_unlabelled_text_is_learned_from(spark, make_docs, judged):
+    """Small blocks: the models of all blocks together know the classes."""
+    labels = spark.createDataFrame([(i, int(i >= 400)) for i, _ in judged if i % 3], "doc_id long, toxic int")
+    out = toxicity.score(make_docs(judged), labels, text_rows=60).filter("held_out").collect()
+    assert np.mean([r.predicted == int(r.doc_id >= 400) for r in out]) > 0.95
+
+
 def test_scores_ignore_held_out_labels(spark, make_docs, judged):
     labels = spark.createDataFrame([(i, int(i >= 400)) for i, _ in judged], "doc_id long, toxic int")
     flipped = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")).cast("int"))

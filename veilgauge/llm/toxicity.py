@@ -5,10 +5,11 @@ Known toxic documents (P) and unlabelled text (U) are all that is learned from.
 in it, and the corrected part may not turn negative, which is where such models begin to overfit. The prior is the share of toxic labels times ``CAUTION``: too
 large a prior would take clean text for the toxic part. The cut between the two classes minimises the same estimate for counted errors.
 
-Features are the presence of hashed words and of runs of four bytes in words, which also find compounds of a root. Only buckets whose document frequencies differ between P and U by some standard errors are used, at most
-five hundred; they are found by counts in Spark.
-Several linear classifiers are trained on halves of the sample, one task each; the other half gives the cut. Their margins are averaged. Both samples
-are bounded by parameters; scoring runs over all documents in one scan.
+Features are the presence of hashed words and of runs of four bytes in words, which also find compounds of a root. Every bucket whose document frequencies differ between P and U by some standard errors is used;
+the frequencies of U are counted over all documents that are not held out.
+The documents are dealt into blocks of about ``text_rows``, and linear classifiers are trained on each block and the toxic sample, at least ``MODELS`` in
+all and one task each: half of the rows gives the weights, the other half the cut. Their margins are averaged, so all unlabelled text is learned from, in tasks of bounded size. Only the toxic
+sample is bounded by a parameter; scoring runs over all documents in one scan.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from veilgauge.llm.textscan import LETTERS, Words, pieces, words_of
 BUCKET_BITS = 20
 TOXIC_ROWS = 4_000
 TEXT_ROWS = 16_000
-FEATURES = 500
 LEAST_DOCS = 5
 LEAST_Z = 4.0
 MODELS = 4
@@ -69,21 +69,32 @@ def presence(column: pa.Array, known: np.ndarray | None = None) -> tuple[np.ndar
     return pair >> BUCKET_BITS, pair & (2**BUCKET_BITS - 1)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of each bucket, summed over a task's rows."""
+    seen = {False: np.zeros(2**BUCKET_BITS, dtype=np.int64), True: np.zeros(2**BUCKET_BITS, dtype=np.int64)}
     for batch in batches:
         for piece in pieces(batch):
+            toxic = piece.column("toxic").to_numpy(zero_copy_only=False).astype(bool)
             doc, bucket = presence(piece.column("text"))
-            offsets = np.searchsorted(doc, np.arange(piece.num_rows + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bucket.astype(np.int32)))
-            yield pa.record_batch([*(piece.column(c) for c in ("toxic", "h")), lists], names=["toxic", "h", "buckets"])
+            for side, counts in seen.items():
+                counts += np.bincount(bucket[toxic[doc] == side], minlength=len(counts))
+    some = np.flatnonzero(seen[False] + seen[True])
+    if len(some):
+        yield pa.record_batch([pa.array(some), pa.array(seen[True][some]), pa.array(seen[False][some])], names=["bucket", "p", "u"])
 
 
 def _pick(lookup):
+    """The used buckets of each text, numbered from 0."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = lookup.value
+        known = index >= 0
         for batch in batches:
-            lists = [lookup.value[x.values.to_numpy(zero_copy_only=False)] for x in batch.column("buckets")]
-            picked = pa.array([x[x >= 0] for x in lists], pa.list_(pa.int32()))
-            yield pa.record_batch([batch.column("toxic"), batch.column("h"), picked], names=["toxic", "h", "picked"])
+            for piece in pieces(batch):
+                doc, bucket = presence(piece.column("text"), known)
+                offsets = np.searchsorted(doc, np.arange(piece.num_rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(index[bucket]))
+                yield pa.record_batch([*(piece.column(c) for c in ("toxic", "h")), lists], names=["toxic", "h", "picked"])
 
     return run
 
@@ -131,7 +142,9 @@ def best_offset(margin: np.ndarray, toxic: np.ndarray, prior: float) -> float:
 def _train(prior: float, width: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("toxic", "ascending"), ("h", "ascending")])
-        rows = [np.asarray(x, dtype=np.int64) for x in table.column("picked").to_pylist()]
+        picked = table.column("picked").combine_chunks()
+        ends = np.cumsum(picked.value_lengths().to_numpy(zero_copy_only=False))
+        rows = np.split(picked.flatten().to_numpy(zero_copy_only=False).astype(np.int64), ends[:-1])
         toxic = table.column("toxic").to_numpy().astype(bool)
         learn = table.column("learn").to_numpy().astype(bool)
         some = [(toxic[part].any() and not toxic[part].all()) for part in (learn, ~learn)]
@@ -175,32 +188,30 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, text_r
     positive = staged(usable.filter("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(toxic_rows).select("doc_id"))
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).filter(~held_out())
     n = rows.count()
-    share = int(2**63 * min(1.0, text_rows / max(n, 1)))
     p = rows.join(F.broadcast(positive), "doc_id").select(F.lit(True).alias("toxic"), "h", "text")
-    u = rows.filter(F.col("h").bitwiseAND(F.lit(2**63 - 1)) < F.lit(min(share, 2**63 - 1))).limit(2 * text_rows)
-    u = u.select(F.lit(False).alias("toxic"), "h", "text")
-    sample = staged(p.unionByName(u).mapInArrow(_features, "toxic boolean, h long, buckets array<int>"))
-    n_p = sample.filter("toxic").count()
-    n_u = sample.filter("not toxic").count()
-    if not n_p or not n_u:
+    u = rows.select(F.lit(False).alias("toxic"), "h", "text")
+    n_p = p.count()
+    if not n_p or not n:
         return weights, known, -4.0
-    seen = sample.select("toxic", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(
-        F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")
-    ).filter(F.col("p") + F.col("u") >= LEAST_DOCS)
-    rate = (F.col("p") + F.col("u")) / (n_p + n_u)
-    error = F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n_u))
-    z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.nullif(error, F.lit(0.0))
-    differ = seen.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.col("z").desc(), "bucket").limit(FEATURES)
-    chosen = [r[0] for r in differ.select("bucket").collect()]
+    seen = p.unionByName(u).select("toxic", "text").mapInArrow(_frequencies, "bucket long, p long, u long")
+    seen = seen.groupBy("bucket").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter(F.col("p") + F.col("u") >= LEAST_DOCS)
+    rate = (F.col("p") + F.col("u")) / (n_p + n)
+    error = F.sqrt(rate * (1 - rate) * (1 / n_p + 1 / n))
+    z = F.abs(F.col("p") / n_p - F.col("u") / n) / F.nullif(error, F.lit(0.0))
+    chosen = sorted(r[0] for r in seen.filter(z >= LEAST_Z).select("bucket").collect())
     if not chosen:
         return weights, known, -4.0
-    chosen.sort()
     index = np.full(2**BUCKET_BITS, -1, dtype=np.int32)
     index[chosen] = np.arange(len(chosen))
     lookup = docs.sparkSession.sparkContext.broadcast(index)
-    picked = sample.mapInArrow(_pick(lookup), "toxic boolean, h long, picked array<int>")
-    halves = picked.withColumn("model", F.explode(F.array(*map(F.lit, range(MODELS)))))
-    halves = halves.withColumn("learn", F.pmod(F.xxhash64("h", "model"), F.lit(2)) == 0)
+    blocks = -(-n // text_rows)
+    each = -(-MODELS // blocks)
+    block = F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks))
+    kind = "toxic boolean, h long, picked array<int>"
+    positives = p.mapInArrow(_pick(lookup), kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    every = positives.unionByName(u.mapInArrow(_pick(lookup), kind).withColumn("block", block.cast("int")))
+    halves = every.withColumn("part", F.explode(F.array(*map(F.lit, range(each))))).withColumn("model", F.col("block") * each + F.col("part"))
+    halves = halves.select("model", "toxic", "h", "picked", (F.pmod(F.xxhash64("h", "model"), F.lit(2)) == 0).alias("learn"))
     models = halves.groupBy("model").applyInArrow(_train(prior, len(chosen)), "w array<double>, b double").collect()
     if not models:
         return weights, known, -4.0
@@ -212,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, text_r
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """``doc_id, key, score, held_out, predicted`` for each row of ``docs``; ``score`` is from 0 to 1, ``predicted`` is 1 from 0.5 up.
 
-    Learned from at most ``toxic_rows`` toxic labels and about ``text_rows`` unlabelled texts, both chosen by hashes; rows whose id has a CRC-32 of remainder 0
+    Learned from at most ``toxic_rows`` toxic labels, chosen by hashes, and all other text in blocks of about ``text_rows``; rows whose id has a CRC-32 of remainder 0
     modulo 5 are not learned from at all. A score depends on the text alone.
 
     Null and empty texts have no words and get the score of the offset. Null ids are scored, never learned from. Ids labelled twice are toxic if
