@@ -53,3 +53,15 @@ def test_utility_game(pop):
     got = totals.collect()
     assert len(got) == 4 and {r["records"] for r in got} == {pop.where("year > 1998").count()}
     assert all(0 <= r["score"] <= 1 for r in got)
+
+
+def test_utility_of_a_suppressed_table_is_null(pop):
+    nothing = Sanitiser(META, 10, 0, 1, 10_000, (), QUIDS)
+    train_id = pop.where("year <= 1998").agg(F.min("id")).first()[0]
+    c = config(publishers=(nothing,), tasks=(("RandForestClass", "segment"),), targets=(train_id,), train="year <= 1998", test="year > 1998", n_test_records=3, n_syn_t=1, attack_options=(("trees", 2), ("depth", 2)))
+    records, totals = games.utility_game(pop, META, c)
+    lost = records.where(F.col("model") == nothing.name).collect()
+    assert len(lost) == 3 * 2 and {r["score"] for r in lost} == {None}
+    assert records.where("model = 'Raw' AND score IS NOT NULL").count() == 3 * 2
+    got = totals.where(F.col("model") == nothing.name).collect()
+    assert len(got) == 2 and all(r["score"] is None and r["records"] > 0 for r in got)

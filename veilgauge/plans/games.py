@@ -251,7 +251,7 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     """Scores per test record and mean scores over the whole test table, for every published table.
 
     Both frames carry ``dataset, task, model, run, target_id, copy``; the first has ``record_id, score``, the second
-    ``score`` (mean of one training) and ``records``.
+    ``score`` (mean of one training) and ``records``. A table of which nothing was published has all its rows, with null scores.
     """
     c = config
     train = population.where(F.expr(c.train)) if c.train else population
@@ -277,20 +277,22 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
         name, out_meta, tables, generates, kind, label, variant, copy = job
         # Without a generator there is one published table; repeats differ by the seed of the learner only.
         mine = tables.where((F.col("dataset_id") == variant) & (F.col("copy") == (copy if generates else 0)))
-        if mine.limit(1).count() == 0:
-            return None
         options = dict(c.attack_options) if TASK_KINDS[kind] == "forest" else {}
         options = {{"trees": "numTrees", "depth": "maxDepth"}.get(k, k): v for k, v in options.items()}
-        task = PredictTask(TASK_KINDS[kind], out_meta, label, c.seed + copy, options).fit(mine)
+        task = PredictTask(TASK_KINDS[kind], out_meta, label, c.seed + copy, options)
         run, target = variant.split(":", 1)
         tags = {"dataset": c.dataset, "task": task.name, "model": name, "run": int(run), "target_id": target, "copy": copy}
         named = [F.lit(v).alias(k) for k, v in tags.items()]
         # Scores of the whole test table are averaged where they arise; only the listed records are kept one by one.
+        if mine.limit(1).count() == 0:
+            none = F.lit(None).cast("double").alias("score")
+            return asked.select(*named, F.col("id").alias("record_id"), none), test.agg(F.count("*").alias("records")).select(*named, none, "records")
+        task = task.fit(mine)
         one = task.evaluate(asked).select(*named, F.col("id").alias("record_id"), "score")
         mean = task.evaluate(test).agg(F.avg("score").alias("score"), F.count("*").alias("records")).select(*named, "score", "records")
         return one, mean
 
-    played = [s for s in train_many(score_one, jobs, c.threads) if s is not None]
+    played = train_many(score_one, jobs, c.threads)
     return durable(_union([one for one, _ in played])), durable(_union([mean for _, mean in played]))
 
 
