@@ -83,7 +83,7 @@ def test_sanitiser_post_conditions(spark, sf_dir):
 
 def test_rare_labels_are_counted_on_the_whole_table(spark):
     df = spark.createDataFrame([(1, "a", "x"), (2, "a", "x"), (3, "a", "y"), (4, "b", "y"), (5, "b", "x")], "id int, p string, q string")
-    kept = sanitise.drop_rare(df, ["p", "q"], 2, row_key=["id"])
+    kept = sanitise.drop_rare(df, ["p", "q"], 2)
     # b and y are seen twice; dropping them leaves three a's although fewer x's remain afterwards.
     assert [r[0] for r in kept.orderBy("id").collect()] == [1, 2]
 
@@ -96,9 +96,9 @@ def test_null_quasi_identifiers_form_a_group(spark):
 def test_small_groups_beyond_the_broadcast_limit(spark, sf_dir, monkeypatch):
     df = population(spark, sf_dir, nation=True)
     by = ["status", "priority", "segment", "nation"]
-    want = rows(sanitise.k_anonymise(df, by, 3, row_key=["id"]).select("id"))
+    want = rows(sanitise.k_anonymise(df, by, 3).select("id"))
     monkeypatch.setattr(joining, "BROADCAST_BYTES", -1)
-    assert rows(sanitise.k_anonymise(df, by, 3, row_key=["id"]).select("id")) == want
+    assert rows(sanitise.k_anonymise(df, by, 3).select("id")) == want
 
 
 def test_mode_takes_the_smallest_on_ties(spark):
