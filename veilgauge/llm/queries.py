@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilgauge.llm import chat, decontaminate, knn, line_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, toxicity
+from veilgauge.llm import (
+    chat, decontaminate, filter_audit, knn, line_dedup, minhash_dedup, mixing, prefix_trie, quality, quality_rules, sharding, substring_dedup, toxicity,
+)
 from veilgauge.llm.common import parquet
 
 
@@ -64,8 +66,25 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", "n_item", "n_shared")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(parquet(spark, sf_dir, "documents"), parquet(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.turn_lists(parquet(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(prefix_trie.build(prefix_trie.with_shared_heads(turns))).select(
+        "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"
+    )
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.verdicts(parquet(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality, op2_substring_dedup, op3_top_scores, op4_chat_format, op5_toxicity,
-        op6_minhash_dedup, op7_line_dedup, op8_mix_sources, op9_shard, op10_decontaminate,
+        op6_minhash_dedup, op7_line_dedup, op8_mix_sources, op9_shard, op10_decontaminate, op11_filter_audit,
+        op12_prefix_trie, op13_quality_rules,
     )}

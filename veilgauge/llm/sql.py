@@ -118,5 +118,90 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP11 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (
+  SELECT part, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+    doc_id > min(doc_id) OVER (PARTITION BY t) AS e, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM d LEFT JOIN labels USING (doc_id)
+),
+rows AS (SELECT part, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda x, i: [a, b, c, d, e][i]) AS failed, count(*)::BIGINT AS n FROM f GROUP BY ALL),
+orders AS (
+  SELECT '' AS o UNION ALL SELECT o || x FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x) WHERE NOT contains(o, x)
+),
+steps AS (SELECT o AS filter_order, unnest(range(1, 6)) AS step FROM orders WHERE length(o) = 5),
+seen AS (
+  SELECT part, filter_order, step::INTEGER AS step, good, toxic, n, len(failed) AS fails, list_contains(failed, filter_order[step]) AS own,
+    len(list_filter(failed, lambda x: contains(left(filter_order, (step - 1)::INTEGER), x))) > 0 AS earlier FROM rows, steps
+),
+counts AS (
+  SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE NOT own AND NOT earlier), 0)::BIGINT AS kept,
+    coalesce(sum(n) FILTER (WHERE own AND NOT earlier), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE own AND earlier), 0)::BIGINT AS redundant,
+    coalesce(sum(n) FILTER (WHERE own AND fails = 1), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE own AND NOT earlier AND good), 0)::BIGINT AS good_lost,
+    coalesce(sum(n) FILTER (WHERE own AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+  FROM seen GROUP BY ALL
+)
+SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counts
+"""
+
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), list_transform(range(8), lambda z: 0::BIGINT)), lambda v, z: xor(v >> 1, 3988292384::BIGINT * (v & 1)))
+  ), 4294967295::BIGINT)"""
+
+OP12 = f"""
+WITH t AS (
+  SELECT conv_id, md5(length(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_key, length(coalesce(text, ''))::BIGINT AS chars, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+c AS (SELECT conv_id, list({{'k': turn_key, 'n': chars}} ORDER BY turn NULLS FIRST, turn_key) AS turns FROM t GROUP BY conv_id),
+h AS (SELECT *, {CRC32} % 6 AS h FROM c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(b.turns[1 : h.h], []), h.turns[h.h + 1 :]) AS turns FROM h LEFT JOIN c b ON b.conv_id = h.conv_id - h.conv_id % 100
+),
+p AS (
+  SELECT conv_id, d, len(turns) AS size, md5(array_to_string(list_transform(turns[1 : d], lambda x: x.k), ',')) AS path,
+    md5(array_to_string(list_transform(turns[1 : d - 1], lambda x: x.k), ',')) AS above, CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS chars
+  FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM r)
+),
+n AS (
+  SELECT d, path, any_value(above) AS above, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, any_value(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE size = d), '')) AS ends_sha256 FROM p GROUP BY d, path
+),
+kids AS (SELECT d - 1 AS d, above AS path, count(*)::BIGINT AS n_children FROM n WHERE d > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (d, path)),
+below AS (
+  SELECT p.d, p.path, count(*) FILTER (WHERE m.n_children = 0)::BIGINT AS n_leaves, sum((m.n_convs - 1) * m.chars)::BIGINT AS saved_tokens
+  FROM m JOIN p ON p.conv_id = m.conv_id AND p.d <= m.d GROUP BY ALL
+)
+SELECT m.conv_id, m.d::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN below USING (d, path) LEFT JOIN n u ON u.d = m.d - 1 AND u.path = m.above
+"""
+
+OP13 = fr"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+runs AS (SELECT doc_id, unnest(range(1, len(w) - 3)) AS s, w FROM w WHERE len(w) >= 5),
+keyed AS (SELECT doc_id, s, md5(array_to_string(w[s : s + 4], ' ')) AS h FROM runs),
+twice AS (SELECT doc_id, s FROM keyed QUALIFY count(*) OVER (PARTITION BY doc_id, h) > 1),
+covered AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + 5)) AS i FROM twice) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM w),
+m AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper,
+    len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  FROM w JOIN l USING (doc_id) LEFT JOIN covered USING (doc_id)
+),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words OR 100 * n_upper > 30 * word_chars
+    OR 100 * n_dup_lines > 30 * n_lines) AS kept
+FROM b
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op3_top_scores": OP3, "op4_chat_format": OP4, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7, "op8_mix_sources": OP8, "op10_decontaminate": OP10}
+    return {
+        "op2_substring_dedup": OP2, "op3_top_scores": OP3, "op4_chat_format": OP4, "op6_minhash_dedup": OP6, "op7_line_dedup": OP7,
+        "op8_mix_sources": OP8, "op10_decontaminate": OP10, "op11_filter_audit": OP11, "op12_prefix_trie": OP12, "op13_quality_rules": OP13,
+    }
