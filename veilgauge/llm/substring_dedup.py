@@ -22,15 +22,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgauge.llm.common import total_bytes
-from veilgauge.llm.textscan import pieces, windows, words_of
+from veilgauge.llm.common import text_key, total_bytes
+from veilgauge.llm.textscan import mix, pieces, windows, words_of
 
 WINDOW = 20
 BLOCK_WINDOWS = 2**20
 BUCKET_WINDOWS = 2 * 2**20
+CELL_WINDOWS = 16
 NO_ID = -(2**63)
-CELLS = "bucket int, doc long, key int, cell binary"
-FOUND = "doc long, key int, starts binary"
+CELLS = "bucket int, doc long, key long, cell binary"
+FOUND = "doc long, key long, starts binary"
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -68,10 +69,10 @@ def _pack_cell(value: np.ndarray, owner: np.ndarray, start: np.ndarray, doc: np.
 def _unpack_cell(raw: bytes):
     n, heads, size = np.frombuffer(raw[:12], dtype=np.uint32).astype(int)
     meta = zstandard.decompress(raw[12 : 12 + size])
-    cuts = np.cumsum([0, 8 * heads, 4 * heads, 4 * heads, 4 * n])
+    cuts = np.cumsum([0, 8 * heads, 8 * heads, 4 * heads, 4 * n])
     doc, key, count, step = (
         _from_planes(meta[a:b], t, m)
-        for a, b, t, m in zip(cuts[:-1], cuts[1:], (np.int64, np.int32, np.uint32, np.uint32), (heads, heads, heads, n))
+        for a, b, t, m in zip(cuts[:-1], cuts[1:], (np.int64, np.int64, np.uint32, np.uint32), (heads, heads, heads, n))
     )
     total = np.cumsum(step.astype(np.int64))
     first = np.cumsum(count.astype(np.int64)) - count
@@ -102,6 +103,9 @@ def _rows(doc: np.ndarray, key: np.ndarray, start: np.ndarray):
 
 
 def _cells(width: int, bits: int):
+    # With many buckets a block has to be larger, so that a cell still holds some windows.
+    block = min(max(BLOCK_WINDOWS, CELL_WINDOWS << bits), 4 * BLOCK_WINDOWS)
+
     def flush(held) -> Iterator[pa.RecordBatch]:
         doc = np.concatenate([h[0] for h in held])
         key = np.concatenate([h[1] for h in held])
@@ -119,12 +123,13 @@ def _cells(width: int, bits: int):
         later = later[np.lexsort((start[later], rank[owner[later]]))]
         docs, keys, packed = _rows(doc[owner[later]], key[owner[later]], start[later])
         if packed:
-            spread = (np.asarray(docs).astype(np.uint64) % np.uint64(2**bits)).astype(np.int32)
+            # Settled lists pass through any bucket; their texts spread them, also where all ids are null.
+            spread = (mix(np.asarray(keys).view(np.uint64) ^ mix(np.asarray(docs).view(np.uint64))) >> np.uint64(64 - bits)).astype(np.int32)
             yield pa.record_batch(
                 [pa.array(spread), pa.array(docs), pa.array(keys), pa.array(packed, pa.binary())], names=["bucket", "doc", "key", "cell"]
             )
         first = first[np.lexsort((start[first], rank[owner[first]]))]
-        bucket = (value[first] >> np.uint64(64 - bits)).astype(np.uint16)
+        bucket = (value[first] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         first, bucket = first[order], bucket[order]
         edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
@@ -136,7 +141,7 @@ def _cells(width: int, bits: int):
                 cells.append(_pack_cell(value[pick], owner[pick], start[pick], doc, key))
         none = [None] * len(cells)
         yield pa.record_batch(
-            [pa.array(which, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int32()), pa.array(cells, pa.binary())],
+            [pa.array(which, pa.int32()), pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(cells, pa.binary())],
             names=["bucket", "doc", "key", "cell"],
         )
 
@@ -152,7 +157,7 @@ def _cells(width: int, bits: int):
                 doc, key = (piece.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "key"))
                 held.append((doc, key, owner.astype(np.int32), (at - words.first[owner]).astype(np.int32), value))
                 n += len(at)
-                if n >= BLOCK_WINDOWS:
+                if n >= block:
                     yield from flush(held)
                     held, n = [], 0
         if held:
@@ -188,8 +193,8 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """``doc, key, starts``: packed first words of the windows that begin earlier elsewhere; several rows a document."""
-    bits = min(max(math.ceil(math.log2(max(total_bytes(docs) / 6 / BUCKET_WINDOWS, 1))), 6), 16)
-    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("key"), "text")
+    bits = min(max(math.ceil(math.log2(max(total_bytes(docs) / 6 / BUCKET_WINDOWS, 1))), 6), 30)
+    keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("key"), "text")
     return keyed.mapInArrow(_cells(width, bits), CELLS).groupBy("bucket").applyInArrow(_bucket, FOUND)
 
 
@@ -253,8 +258,8 @@ def remove_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     document: equal starts remove nothing from each other, so that a row given twice stays twice. Other columns are not read.
     """
     found = repeated_windows(docs, width).groupBy("doc", "key").agg(F.collect_list("starts").alias("found"))
-    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.hash("text").alias("key"), "text")
-    texts = keyed.mapInArrow(_squeeze, "doc_id long, doc long, key int, packed binary")
+    keyed = docs.select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("key"), "text")
+    texts = keyed.mapInArrow(_squeeze, "doc_id long, doc long, key long, packed binary")
     joined = texts.join(found, ["doc", "key"], "left").select("doc_id", "packed", "found")
     out = "doc_id long, n_words long, n_removed long, removed array<struct<first long, end long>>, kept string"
     return joined.mapInArrow(_cut(width), out)
