@@ -2,10 +2,10 @@
 
 Each line that may be dropped becomes ``(hash, document, position)``. The rows are range-partitioned and sorted by hash,
 then document (largest first), then position. The range bounds are made of all three columns, so that a line which a third of
-all documents hold is spread over as many tasks as its rows deserve. A task streams its rows once and keeps a
-handful of them: a run of equal hashes is decided when its fifth document comes by. Only a run that goes on in a neighbouring
-task is left open, at most two for each task, and these are decided by one more small aggregate. Text never moves: the result is one compressed bitmap
-for each document.
+all documents hold is spread over as many tasks as its rows deserve. A task streams its rows once and keeps those of the run of equal hashes that it
+is in: the run is decided when its fifth document comes by. A run that goes on in a neighbouring task is left open, and so is one that has
+more than ``PENDING`` rows in fewer documents (one document may hold a line very often): at most two runs for each task and one for each ``PENDING`` rows. These
+are decided by one more small aggregate. Text never moves: the result is one compressed bitmap for each document.
 """
 
 from __future__ import annotations
@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilgauge.llm.common import staged, text_key
+from veilgauge.llm.common import staged, text_key, total_bytes
 from veilgauge.llm.textscan import hash_spans, pieces, words_of
 
 MIN_CHARS = 40
 MIN_DOCS = 5
+PENDING = 200_000
+PART_BYTES = 256 * 2**20
 LINE_ROWS = "h long, doc long, key long, pos int"
 MARKED = LINE_ROWS + ", open int"
 DROP, OPEN, SEEN = 0, 1, 2
@@ -80,7 +82,7 @@ def _stream(min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "doc", "key", "pos"]
         carry: list[np.ndarray] | None = None
-        first_hash: int | None = None
+        open_hash: int | None = None  # a run of which this task decides nothing
         hot: tuple[int, np.ndarray] | None = None  # a run of this task that is decided and may go on
 
         def out(cols, open_) -> pa.RecordBatch:
@@ -91,9 +93,9 @@ def _stream(min_docs: int):
             if not batch.num_rows:
                 continue
             cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in names]
-            if first_hash is None:
-                first_hash = int(cols[0][0])
-            here = cols[0] == first_hash
+            if open_hash is None:
+                open_hash = int(cols[0][0])
+            here = cols[0] == open_hash
             if here.any():
                 yield out([c[here] for c in cols], OPEN)
                 cols = [c[~here] for c in cols]
@@ -124,6 +126,10 @@ def _stream(min_docs: int):
                 hot = (int(h[-1]), doc[np.flatnonzero(last & new_doc)][:min_docs])
             else:
                 carry = [c[last] for c in cols]
+                if len(carry[0]) > PENDING:
+                    open_hash = int(h[-1])
+                    yield out(carry, OPEN)
+                    carry = None
             if drop.any():
                 yield out([c[drop] for c in cols], DROP)
         if carry is not None:
@@ -139,11 +145,11 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     """``doc, key, pos`` of every line to drop (``doc``: the id, or the smallest long for a null id)."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), text_key().alias("key"), "text")
     lines = keyed.mapInArrow(_lines(min_chars), LINE_ROWS)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes(docs) // PART_BYTES), 1)
     order = [F.col("h"), F.col("doc").desc(), F.col("pos"), F.col("key")]
     marked = staged(lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_stream(min_docs), MARKED))
     undecided = marked.filter(F.col("open") != DROP)
-    # At most two runs of each task are open, so this has at most 2 * parts rows.
+    # Two runs of each task are open at most, and one more for each PENDING rows, so this is small.
     shared = undecided.select("h", "doc").distinct().groupBy("h").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
     shared = shared.filter(F.col("n") >= min_docs).select("h", "last")
     late = undecided.filter(F.col("open") == OPEN).join(F.broadcast(shared), "h").filter(F.col("doc") != F.col("last"))
