@@ -94,10 +94,14 @@ FROM c LEFT JOIN m ON c.doc_id = m.doc_id
 
 OP10 = f"""
 WITH w AS (SELECT 0 AS kind, doc_id AS id, {LOWER_WORDS} AS w FROM documents UNION ALL SELECT 1, item_id, {LOWER_WORDS} FROM benchmark),
-s AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(w[i : i + 4], ' '))) AS sh FROM w),
+k AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE kind = 1 AND len(w) > 0),
+s AS (
+  SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS sh
+  FROM w JOIN k ON kind = 0 OR k = least(len(w), 5)
+),
 n AS (SELECT id AS item_id, count(*) AS n FROM s WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, i.id AS item_id, any_value(n)::BIGINT AS n_item, count(*)::BIGINT AS n_shared
-FROM s d JOIN s i ON d.sh = i.sh AND d.kind = 0 AND i.kind = 1 JOIN n ON n.item_id = i.id
+FROM s d JOIN s i ON d.sh = i.sh AND d.k = i.k AND d.kind = 0 AND i.kind = 1 JOIN n ON n.item_id = i.id
 GROUP BY d.id, i.id HAVING 100 * count(*) >= 80 * any_value(n)
 """
 
