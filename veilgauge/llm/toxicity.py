@@ -8,7 +8,7 @@ large a prior would take clean text for the toxic part. The cut between the two
 Features are the presence of hashed words and of runs of four bytes in words, which also find compounds of a root. Every bucket whose document frequencies differ between P and U by some standard errors is used;
 the frequencies of U are counted over all documents that are not held out.
 The documents are dealt into blocks of about ``text_rows``, and linear classifiers are trained on each block and the toxic sample, at least ``MODELS`` in
-all and one task each: half of the rows gives the weights, the other half the cut. Their margins are averaged, so all unlabelled text is learned from, in tasks of bounded size. Only the toxic
+all and one task each: half of the rows gives the weights, the other half the cut. Their weights are averaged by one aggregate, so all unlabelled text is learned from, in tasks of bounded size. Only the toxic
 sample is bounded by a parameter; scoring runs over all documents in one scan.
 """
 
@@ -153,7 +153,8 @@ def _train(prior: float, width: int):
         w, b = train([r for r, use in zip(rows, learn) if use], toxic[learn], width, prior)
         other = ~learn if all(some) else learn
         b -= best_offset(np.array([w[r].sum() + b for r, use in zip(rows, other) if use]), toxic[other], prior)
-        return pa.table({"w": pa.array([w.tolist()], pa.list_(pa.float64())), "b": pa.array([b])})
+        used = np.flatnonzero(w)
+        return pa.table({"j": pa.array(np.append(used, width)), "w": pa.array(np.append(w[used], b))})
 
     return run
 
@@ -212,12 +213,17 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, text_r
     every = positives.unionByName(u.mapInArrow(_pick(lookup), kind).withColumn("block", block.cast("int")))
     halves = every.withColumn("part", F.explode(F.array(*map(F.lit, range(each))))).withColumn("model", F.col("block") * each + F.col("part"))
     halves = halves.select("model", "toxic", "h", "picked", (F.pmod(F.xxhash64("h", "model"), F.lit(2)) == 0).alias("learn"))
-    models = halves.groupBy("model").applyInArrow(_train(prior, len(chosen)), "w array<double>, b double").collect()
-    if not models:
+    models = halves.groupBy("model").applyInArrow(_train(prior, len(chosen)), "j long, w double")
+    # Summed in Spark: at most one number for each bucket comes to the driver, however many blocks there are.
+    total = {j: (w, n) for j, w, n in models.groupBy("j").agg(F.sum("w"), F.count("*")).collect()}
+    if not total:
         return weights, known, -4.0
-    weights[chosen] = np.mean([m[0] for m in models], axis=0)
+    offset, n_models = total.pop(len(chosen))
+    place = np.array(chosen)
+    for j, (w, _) in total.items():
+        weights[place[j]] = w / n_models
     known[chosen] = True
-    return weights, known, float(np.mean([m[1] for m in models]))
+    return weights, known, offset / n_models
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
