@@ -15,6 +15,14 @@ def text_key(column: str = "text") -> Column:
     return F.xxhash64(F.col(column))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores in front as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there: later steps read it instead of
     computing it again, also after the loss of an executor."""

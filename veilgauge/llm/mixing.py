@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgauge.functions.keyed import digest, uniform
-from veilgauge.llm.common import staged, text_key
+from veilgauge.llm.common import free_name, staged, text_key
+from veilgauge.operators.joining import attach, row_bytes
 
 WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
@@ -58,11 +59,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, most: int
     return table.select("source", "source_size", F.when(F.col("full"), F.col("room")).otherwise(share).alias("target"))
 
 
-def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join on keys of which nulls are equal."""
-    named = table.select(*[F.col(k).alias(f"__{k}") for k in keys], *[c for c in table.columns if c not in keys])
-    on = [rows[k].eqNullSafe(named[f"__{k}"]) for k in keys]
-    return rows.join(named, on).drop(*[f"__{k}" for k in keys])
+def _beside(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a table of one row for each source, on keys of which nulls are equal. The table is measured first: as long as it is small, which
+    hundred thousands of sources are, the rows stay where they are, so that no source gathers in a task."""
+    table = staged(table)
+    n, size = table.agg(F.count("*"), F.sum(row_bytes(table))).first()
+    return attach(rows, table, keys, how, bound=n, width=-(-(size or 0) // max(n, 1)))
 
 
 def _copies(rows: DataFrame, most: int) -> DataFrame:
@@ -118,9 +120,7 @@ def mix(
         # The last range that begins within the budget; all before it lie within.
         last = ranges.filter(F.col("base") <= F.col("budget")).groupBy("source", "budget").agg(F.max(F.struct("range", "base")).alias("c"))
         cut = staged(last.select("source", "budget", F.col("c.base").alias("base"), F.col("c.range").alias("head")))
-    cuts = cut.select("source", "budget", "base", "head")
-    named = cuts.select(F.col("source").alias("__source"), "budget", "base", "head")
-    marked = rows.join(named, rows["source"].eqNullSafe(named["__source"]), "left").drop("__source")
+    marked = _beside(rows, cut.select("source", "budget", "base", "head"), ["source"], "left")
     place = F.shiftright("rank", LEVELS[-1])
     at_cut = marked.filter(place == F.col("head"))
     order = Window.partitionBy("source", "head").orderBy("rank", "doc_id", "key").rowsBetween(Window.unboundedPreceding, -1)
@@ -136,8 +136,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, each as often as the mix takes it."""
     taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies"))
     # Equal rows share their copies: the sum over them, dealt out evenly again, keeps the mix as it is.
-    taken = taken.groupBy("__id", "__key").agg(F.sum("__copies").alias("__sum"), F.count("*").alias("__n")).filter("__sum > 0")
-    on = docs["doc_id"].eqNullSafe(taken["__id"]) & (text_key() == taken["__key"])
-    joined = docs.join(taken, on)
-    twin = F.when(F.col("__n") == 1, F.col("__sum")).otherwise(F.floor((F.col("__sum") + F.col("__n") - 1) / F.col("__n")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), twin.cast("int")))).select(*[docs[c] for c in docs.columns])
+    taken = taken.groupBy("__id", "__key").agg(F.sum("__copies").alias("__sum"), F.count("*").alias("__rows")).filter("__sum > 0")
+    each = F.when(F.col("__rows") == 1, F.col("__sum")).otherwise(F.floor((F.col("__sum") + F.col("__rows") - 1) / F.col("__rows")))
+    copy = free_name(docs, "copy")
+    taken = taken.select("__id", "__key", F.sequence(F.lit(1), each.cast("int")).alias(copy))
+    joined = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"]) & (text_key() == taken["__key"]))
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(taken[copy]).alias(copy)).drop(copy)
