@@ -8,8 +8,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,11 +15,9 @@ from pyspark.sql import types as T
 from veilgauge.functions.encoding import code_label, code_vector, label_code
 from veilgauge.meta import TableMeta
 from veilgauge.operators import forests
-from veilgauge.operators.distributions import Binning
 from veilgauge.operators.gaussian import gaussian_moments
 from veilgauge.operators.joining import attach, durable
-
-BINS = 32
+from veilgauge.operators.learners import likeliest
 
 
 def known_columns(meta: TableMeta, sensitive: str) -> TableMeta:
@@ -105,7 +101,10 @@ class LinearAttribute:
 
 @dataclass(frozen=True)
 class ForestAttribute:
-    """Random forest on the codes and numbers of all other columns: Spark ML for one table, :mod:`.forests` for many."""
+    """Random forest on the codes and numbers of all other columns, one for each table, all grown in the same jobs (:mod:`.forests`).
+
+    Labels are cut between their codes, numbers between their own values or quantiles; nulls stay left of every cut.
+    """
 
     meta: TableMeta
     sensitive: str
@@ -117,50 +116,27 @@ class ForestAttribute:
         if self.meta[self.sensitive].numeric:
             raise ValueError(f"classification needs a label column, {self.sensitive!r} is numeric")
 
-    def _vectors(self, df: DataFrame) -> DataFrame:
-        # Shifting a column by a constant moves the cut points of a tree and nothing else, so columns are not centred.
+    def fit(self, df: DataFrame, keys: Sequence[str] = (), row: Column | None = None) -> forests.Forests:
+        """``row`` tells the rows of a table apart: their ``id``, the number ``row`` that a generator gave them, or all their values, unless given."""
         known = known_columns(self.meta, self.sensitive)
-        filled = F.transform(code_vector(known), lambda x: F.coalesce(x, F.lit(0.0)))
-        return df.withColumn("vector", array_to_vector(filled))
+        labels = self.meta[self.sensitive].labels
+        code = label_code(F.col(f"`{self.sensitive}`"), labels, append_null=False).cast("int")
+        rows = df.select(*keys, (forests.row_id(df) if row is None else row).alias("row"), code_vector(known).alias("features"), code.alias("label"))
+        return forests.grow(durable(rows.where("label >= 0")), keys, len(known), len(labels), self.trees, self.depth, self.seed)
 
-    def _coded(self, df: DataFrame) -> Column:
-        """Small integers for the forests of many tables: labels by position, numbers in ``BINS`` equal bins, -1 for anything else."""
-        binning = Binning(known_columns(self.meta, self.sensitive), BINS)
-        return F.array(*[F.coalesce(binning.code(i), F.lit(-1)).cast("int") for i in range(len(binning.meta))])
+    def guess(self, targets: DataFrame, model: forests.Forests, keys: Sequence[str] = (), secret: str | None = None) -> DataFrame:
+        """Targets with ``model_guess`` (a label, the first of equally likely ones) and the ``likelihood`` of their real label.
 
-    def fit(self, df: DataFrame, keys: Sequence[str] = ()):
-        """A Spark ML model for one table; with keys, one forest for each table, all grown in the same jobs."""
-        labels = self.meta[self.sensitive].labels
-        code = label_code(F.col(f"`{self.sensitive}`"), labels, append_null=False)
-        if not keys:
-            return self._one(self._vectors(df).select("vector", code.cast("double").alias("label")).where("label >= 0"))
-        rows = df.select(*keys, self._coded(df).alias("codes"), code.cast("int").alias("label")).where("label >= 0")
-        rows = durable(rows).withColumn("row", F.monotonically_increasing_id())
-        return forests.grow(rows, keys, len(self.meta) - 1, len(labels), self.trees, self.depth, self.seed)
-
-    def _one(self, rows: DataFrame):
-        return RandomForestClassifier(
-            featuresCol="vector", labelCol="label", numTrees=self.trees, maxDepth=self.depth, seed=self.seed
-        ).fit(rows)
-
-    def guess(self, targets: DataFrame, model, keys: Sequence[str] = (), secret: str | None = None) -> DataFrame:
-        """Targets with ``model_guess`` (a label) and the ``likelihood`` of their real label.
-
-        Probabilities are read by label, so labels a forest never saw get 0. With keys, targets carry the table keys; those of tables
-        without a forest stay, with nulls.
+        Labels a forest never saw get 0. Targets of tables without a forest stay, with nulls.
         """
+        known = known_columns(self.meta, self.sensitive)
         labels = self.meta[self.sensitive].labels
         real = label_code(F.col(f"`{secret or self.sensitive}`"), labels, append_null=False)
-        if not keys:
-            out = model.transform(self._vectors(targets))
-            p = F.try_element_at(vector_to_array("probability"), (F.when(real >= 0, real) + 1).cast("int"))
-            out = out.withColumns({"likelihood": F.coalesce(p, F.lit(0.0)), "model_guess": code_label(F.col("prediction"), labels)})
-            return out.drop("vector", "rawPrediction", "probability", "prediction")
         asked = durable(targets).withColumn("__row", F.monotonically_increasing_id())
-        probs = forests.probabilities(model, asked.select(*keys, F.col("__row").alias("row"), self._coded(asked).alias("codes")))
-        out = attach(asked, durable(probs.withColumnRenamed("row", "__row")), ["__row"])
+        probs = forests.probabilities(model, asked.select(*keys, F.col("__row").alias("row"), code_vector(known).alias("features")), len(known))
+        out = asked.join(durable(probs.select(F.col("row").alias("__row"), "probs")), "__row", "left")
         p = F.try_element_at("probs", (F.when(real >= 0, real) + 1).cast("int"))
-        best = (F.array_position("probs", F.array_max("probs")) - 1).cast("int")
+        best = likeliest(F.col("probs"))
         found = F.col("probs").isNotNull()
         out = out.withColumns({"likelihood": F.when(found, F.coalesce(p, F.lit(0.0))), "model_guess": F.when(found, code_label(best, labels))})
         return out.drop("__row", "probs")

@@ -1,62 +1,122 @@
-"""Random forests for many tables in one job.
+"""Random forests for one table or many in one job.
+
+Trees see the numbers themselves. A numeric column can be cut at each of its values if a table has few of them, else at exact quantiles of the
+table's rows; undefined values stay left of every cut. A row becomes one small code for each column, the number of cuts below it.
 
 All trees of all tables grow together, one level at a time: rows carry their table, tree and node, and one aggregate over
-(table, tree, node, feature, bin) counts labels for every open node. The best cut of each node is a grouped maximum of these counts. Models are rows, and
-scoring is one join of the asked rows with the trees of their tables. Bootstrap weights and the features that a node may
-use are keyed numbers, so a forest is the same whenever it is grown.
+(table, tree, node, feature, code) counts labels for every open node. The best cut of each node is a grouped maximum of these counts. Bootstrap weights are
+keyed by the row's own id and the features that a node may use by the node, so a forest does not depend on how the rows are partitioned.
+
+Models are rows, one for each tree. Scoring packs trees into blocks of bounded size and sends each block to the asked rows, which are never shuffled.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veilgauge.functions.keyed import digest, uniform
 from veilgauge.operators.joining import attach, durable
+from veilgauge.operators.quantiles import quantile_rows
 
 LEAST_GAIN = 1e-9
+CUTS = 32
+BLOCK_BYTES = 64 * 2**20
 # Chances that Poisson(1) is at most 0, 1, ... 7.
 DRAWS = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(8)]
 
 
 @dataclass(frozen=True)
 class Forests:
-    """``splits``: keys, tree, node, f, b (codes of feature f above b go right); ``leaves``: keys, tree, node, counts per label."""
+    """``trees``: keys, tree, and for its nodes in ascending order ``node, f, cut`` (values of feature ``f`` above ``cut`` go right to ``2 * node + 1``,
+    the others to ``2 * node``), for its leaves ``leaf`` and ``counts`` (labels of each leaf in turn). ``tables``: keys with their number ``t``."""
 
     keys: tuple[str, ...]
-    trees: int
-    depth: int
     classes: int
-    splits: DataFrame
-    leaves: DataFrame
+    trees: DataFrame
+
+
+def row_id(df: DataFrame) -> Column:
+    """What tells the rows of a table apart wherever they are stored: their id, the number a generator gave them, or all their values."""
+    for name in ("id", "row"):
+        if name in df.columns:
+            return F.col(name).cast("string")
+    return F.md5(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)])))
+
+
+def cut_points(rows: DataFrame, keys: Sequence[str], width: int, most: int = CUTS) -> DataFrame:
+    """``keys, cuts``: ascending cuts of each feature of ``features``, as an array of arrays. A feature with up to ``most`` distinct values is cut at each of them but
+    the largest, any other one at the distinct ones of its ``most - 1`` inner quantiles."""
+    by = [*keys, "f"]
+    values = rows.select(*keys, F.posexplode("features").alias("f", "v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    # The estimate merges maxima, so it does not depend on the order of rows; at twice the number it never hides a feature with few values.
+    size = durable(values.groupBy(*by).agg(F.approx_count_distinct("v").alias("d")))
+    few = attach(values, size.where(F.col("d") <= 2 * most).drop("d"), by, "left_semi")
+    listed = few.groupBy(*by).agg(F.sort_array(F.collect_set("v")).alias("c"))
+    listed = durable(listed)
+    small = listed.where(F.size("c") <= most).select(*by, F.slice("c", F.lit(1), F.size("c") - 1).alias("c"))
+    wide = attach(values, small.drop("c"), by, "left_anti")
+    parts = small
+    if not size.join(small.select(*by), by, "left_anti").isEmpty():
+        edges = quantile_rows(wide, ["v"], [j / most for j in range(1, most)], by)
+        parts = small.unionByName(edges.groupBy(*by).agg(F.sort_array(F.collect_set("__v")).alias("c")))
+    listed = F.collect_list(F.struct("f", "c"))
+    none = F.array().cast("array<double>")
+    found = parts.groupBy(*keys).agg(F.map_from_entries(listed).alias("m")) if keys else parts.agg(F.map_from_entries(listed).alias("m"))
+    every = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda f: F.coalesce(F.try_element_at("m", f), none))
+    return durable(found.select(*keys, every.alias("cuts")))
+
 
+def features_of(seed: int, by: Sequence[Column | str], node: Column, width: int, per_node: int) -> Column:
+    """``per_node`` different features for a node, each set of them as likely as any other (Floyd's draw)."""
 
-def grow(rows: DataFrame, keys: Sequence[str], features: int, classes: int, trees: int, depth: int, seed: int, per_node: int | None = None) -> Forests:
-    """One forest for each table of ``keys, row, codes, label``: ``codes`` are small integers per feature, ``row`` tells a
-    table's rows apart. A node looks at ``per_node`` features, the square root of all unless given, and cuts by Gini impurity; ties go to
+    def take(got: Column, j: Column) -> Column:
+        t = F.floor(uniform(digest(seed, "feature", *by, node, j)) * (j + 1)).cast("int")
+        return F.concat(got, F.array(F.when(F.array_contains(got, t), j).otherwise(t)))
+
+    return F.aggregate(F.sequence(F.lit(width - per_node), F.lit(width - 1)), F.array().cast("array<int>"), take)
+
+
+def bootstrap_weight(seed: int, by: Sequence[Column | str], row: Column | str, tree: Column | str) -> Column:
+    u = uniform(digest(seed, "bootstrap", *by, row, tree))
+    return reduce(add, [(u >= F.lit(c)).cast("int") for c in DRAWS])
+
+
+def grow(
+    rows: DataFrame, keys: Sequence[str], width: int, classes: int, trees: int, depth: int, seed: int, per_node: int | None = None, most: int = CUTS
+) -> Forests:
+    """One forest for each table of ``keys, row, features, label``: ``features`` are ``width`` numbers, ``row`` is an id of the row within its table that does not depend on where it
+    is stored (equal rows may share it). A node looks at ``per_node`` features, the square root of all unless given, and cuts by Gini impurity; ties go to
     the first feature and the lowest cut."""
     keys = list(keys)
     by = [*keys, "tree", "node"]
-    per_node = per_node or max(1, round(math.sqrt(features)))
-    active = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    u = uniform(digest(seed, "bootstrap", *keys, "row", "tree"))
-    weight = reduce(add, [(u >= F.lit(c)).cast("bigint") for c in DRAWS])
-    active = active.withColumns({"w": weight, "node": F.lit(1).cast("bigint")}).where(F.col("w") > 0)
-    active = durable(active.select(*by, "codes", "label", "w"))
+    per_node = min(per_node or max(1, round(math.sqrt(width))), width)
+    cuts = cut_points(rows, keys, width, most)
+    coded = attach(rows, cuts, keys) if keys else rows.withColumn("cuts", cuts.select("cuts").scalar())
+
+    def code(x: Column, i: Column) -> Column:
+        below = F.size(F.filter(F.element_at("cuts", i + 1), lambda c: c < x))
+        return F.when(x.isNull() | F.isnan(x), F.lit(-1)).otherwise(below).cast("int")
+
+    coded = coded.select(*keys, "row", F.transform("features", code).alias("codes"), F.col("label").cast("int").alias("label"))
+    coded = durable(coded.where(F.col("label").between(0, classes - 1)))
+    active = coded.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    active = active.withColumns({"w": bootstrap_weight(seed, keys, "row", "tree"), "node": F.lit(1).cast("bigint")}).where("w > 0")
+    active = active.withColumn("looks", features_of(seed, [*keys, "tree"], F.lit(1), width, per_node))
+    columns = [*by, "codes", "label", "w", "looks"]
+    active = durable(active.select(*columns))
     splits, leaves = [], []
     names = [f"n{i}" for i in range(classes)]
     for level in range(depth + 1):
-        mixed = F.transform(
-            F.sequence(F.lit(0), F.lit(features - 1)), lambda f: F.struct(F.xxhash64(F.lit(seed), *[F.col(c) for c in by], f).alias("h"), f.alias("f"))
-        )
-        chosen = F.slice(F.array_sort(mixed), 1, per_node)
-        cells = active.select(*by, "codes", "label", "w", F.explode(chosen).alias("c")).withColumn("f", F.col("c.f"))
+        cells = active.select(*by, "codes", "label", "w", F.explode("looks").alias("f"))
         cells = cells.withColumn("b", F.element_at("codes", F.col("f") + 1))
         counts = cells.groupBy(*by, "f", "b").agg(*[F.sum(F.when(F.col("label") == i, F.col("w")).otherwise(0)).alias(n) for i, n in enumerate(names)])
         upto = Window.partitionBy(*by, "f").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
@@ -71,17 +131,35 @@ def grow(rows: DataFrame, keys: Sequence[str], features: int, classes: int, tree
             F.max_by(F.struct("f", "b", "gain"), F.struct("gain", -F.col("f"), -F.col("b"))).alias("s"), F.max("total").alias("counts")
         )
         cut = (F.col("s.gain") > LEAST_GAIN) & F.lit(level < depth)
-        best = durable(best.select(*by, "s.f", "s.b", "counts", cut.alias("cut")))
-        leaves.append(best.where(~F.col("cut")).select(*by, "counts"))
-        found = best.where("cut").select(*by, "f", "b")
-        if found.isEmpty():
+        best = durable(best.select(*by, "s.f", "s.b", "counts", cut.alias("split")))
+        leaves.append(best.where(~F.col("split")).select(*by, "counts"))
+        found = best.where("split").select(*by, "f", "b")
+        if level == depth or found.isEmpty():
             break
         splits.append(found)
-        moved = attach(active, found, by, "inner")
-        goes = (F.element_at("codes", F.col("f") + 1) > F.col("b")).cast("bigint")
-        active = durable(moved.withColumn("node", 2 * F.col("node") + goes).select(*by, "codes", "label", "w"))
+        child = [features_of(seed, [*keys, "tree"], 2 * F.col("node") + side, width, per_node) for side in (0, 1)]
+        moved = attach(active.drop("looks"), found.withColumns({"__l": child[0], "__r": child[1]}), by, "inner")
+        goes = F.element_at("codes", F.col("f") + 1) > F.col("b")
+        moved = moved.withColumns({"node": 2 * F.col("node") + goes.cast("bigint"), "looks": F.when(goes, F.col("__r")).otherwise(F.col("__l"))})
+        active = durable(moved.select(*columns))
     none = leaves[0].where("false").select(*by, F.lit(0).alias("f"), F.lit(0).alias("b"))
-    return Forests(tuple(keys), trees, depth, classes, reduce(DataFrame.unionByName, splits, none), reduce(DataFrame.unionByName, leaves))
+    inner = reduce(DataFrame.unionByName, splits, none)
+    inner = attach(inner, cuts, keys) if keys else inner.withColumn("cuts", cuts.select("cuts").scalar())
+    value = F.coalesce(F.try_element_at(F.element_at("cuts", F.col("f") + 1), F.col("b") + 1), F.lit(float("-inf")))
+    inner = inner.select(*by, "f", F.when(F.col("b") >= 0, value).otherwise(F.lit(float("-inf"))).alias("cut"))
+    one = [*keys, "tree"]
+    cut_rows = inner.groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("node", "f", "cut"))).alias("s"))
+    ends = reduce(DataFrame.unionByName, leaves).groupBy(*one).agg(F.sort_array(F.collect_list(F.struct("node", "counts"))).alias("e"))
+    packed = attach(ends, cut_rows, one)
+    return Forests(
+        tuple(keys), classes,
+        durable(
+            packed.select(
+                *one, F.coalesce("s.node", F.array().cast("array<bigint>")).alias("node"), F.coalesce("s.f", F.array().cast("array<int>")).alias("f"),
+                F.coalesce("s.cut", F.array().cast("array<double>")).alias("cut"), F.col("e.node").alias("leaf"), F.flatten("e.counts").alias("counts"),
+            )
+        ),
+    )
 
 
 def _sum(values: Column) -> Column:
@@ -94,21 +172,85 @@ def _purity(counts: Column) -> Column:
     return F.when(_sum(counts) > 0, squares / _sum(counts)).otherwise(0.0)
 
 
-def probabilities(forests: Forests, asked: DataFrame) -> DataFrame:
-    """``row, probs`` for rows ``keys, row, codes``: shares of each label, averaged over the trees of the row's table. Rows of tables
-    without a forest are left out; ``row`` is unique over all tables here."""
-    by = [*forests.keys, "tree"]
-    cuts = forests.splits.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("node", F.struct("f", "b")))).alias("cuts"))
-    ends = forests.leaves.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("node", "counts"))).alias("ends"))
-    trees = durable(attach(ends, cuts, by))
-    rows = asked.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(forests.trees - 1))))
-    rows = attach(rows, trees, by, "inner")
-
-    def step(node: Column, _: Column) -> Column:
-        cut = F.try_element_at("cuts", node)
-        return F.when(cut.isNull(), node).otherwise(2 * node + (F.element_at("codes", cut["f"] + 1) > cut["b"]).cast("bigint"))
-
-    node = F.aggregate(F.sequence(F.lit(1), F.lit(max(forests.depth, 1))), F.lit(1).cast("bigint"), step)
-    rows = rows.withColumn("counts", F.try_element_at("ends", node))
-    share = [F.avg(F.element_at("counts", i + 1) / _sum(F.col("counts"))) for i in range(forests.classes)]
-    return rows.groupBy("row").agg(F.array(*share).alias("probs"))
+def _leaves(tree: dict, x: np.ndarray) -> np.ndarray:
+    """Index of the leaf of each row of ``x``."""
+    nodes, at = tree["node"], np.ones(len(x), dtype=np.int64)
+    open_ = np.arange(len(x)) if len(nodes) else np.zeros(0, dtype=np.int64)
+    while len(open_):
+        place = np.minimum(np.searchsorted(nodes, at[open_]), len(nodes) - 1)
+        inner = nodes[place] == at[open_]
+        open_, place = open_[inner], place[inner]
+        at[open_] = 2 * at[open_] + (x[open_, tree["f"][place]] > tree["cut"][place])
+    return np.searchsorted(tree["leaf"], at)
+
+
+def _shares(block, classes: int, width: int, by: list[str]):
+    """Summed label shares of each asked row over the trees of its table in a block. Without keys every row is asked of the one table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forests = block.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            flat = batch.column("features").flatten().to_numpy(zero_copy_only=False).astype(float)
+            x = flat.reshape(n, width)
+            t = batch.column("__t").to_numpy(zero_copy_only=False)
+            total, trees = np.zeros((n, classes)), np.zeros(n, dtype=np.int32)
+            for one in np.unique(t).tolist():
+                rows = np.flatnonzero(t == one)
+                for tree in forests.get(one, ()):
+                    with np.errstate(invalid="ignore"):
+                        total[rows] += tree["share"][_leaves(tree, x[rows])]
+                    trees[rows] += 1
+            offsets = pa.array(np.arange(0, (n + 1) * classes, classes, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(total.ravel()))
+            yield pa.record_batch([batch.column("__t"), batch.column("row"), lists, pa.array(trees)], names=["__t", "row", "total", "trees"]).select([*by, "total", "trees"])
+
+    return run
+
+
+def _plain(row, classes: int) -> dict:
+    counts = np.array(row["counts"]).reshape(-1, classes)
+    return {
+        "node": np.array(row["node"], dtype=np.int64), "f": np.array(row["f"], dtype=np.int64), "cut": np.array(row["cut"], dtype=float),
+        "leaf": np.array(row["leaf"], dtype=np.int64), "share": counts / counts.sum(axis=1, keepdims=True),
+    }
+
+
+def blocks_of(forests: Forests) -> tuple[DataFrame, DataFrame, int]:
+    """``keys, __t`` of every table, its trees as ``__t, __block`` and the model, and the number of blocks: tables in order, cut where ``BLOCK_BYTES`` are reached."""
+    keys = list(forests.keys)
+    tables = forests.trees.select(*keys).distinct() if keys else forests.trees.limit(1).select(F.lit(0).alias("__one"))
+    tables = durable(durable(tables).withColumn("__t", F.monotonically_increasing_id())).select(*keys, "__t")
+    size = (F.size("node") * 20 + F.size("leaf") * 8 * (1 + forests.classes) + 64).cast("long")
+    trees = attach(forests.trees, tables, keys, "inner", tables.count()) if keys else forests.trees.withColumn("__t", tables.select("__t").scalar())
+    trees = trees.withColumn("__size", size)
+    total = trees.agg(F.sum("__size")).first()[0] or 0
+    blocks = max(-(-total // BLOCK_BYTES), 1)
+    # Trees are dealt out by number, so that a block holds a like share of every table.
+    return tables, trees.withColumn("__block", F.pmod(F.xxhash64("__t", "tree"), F.lit(blocks))), blocks
+
+
+def probabilities(forests: Forests, asked: DataFrame, width: int) -> DataFrame:
+    """``keys, row, probs`` for rows ``keys, row, features``: shares of each label, averaged over the trees of the row's table. Rows of tables
+    without a forest are left out; rows that agree in keys and ``row`` have to be equal."""
+    keys = list(forests.keys)
+    tables, trees, blocks = blocks_of(forests)
+    n = tables.count()
+    asked = attach(asked, tables, keys, "inner", n) if keys else asked.withColumn("__t", tables.select("__t").scalar())
+    asked = asked.where("__t is not null").select("__t", "row", "features")
+    kind = dict(asked.dtypes)["row"]
+    parts = []
+    for b in range(blocks):
+        held: dict[int, list] = {}
+        for r in trees.where(F.col("__block") == b).orderBy("__t", "tree").toLocalIterator():
+            held.setdefault(r["__t"], []).append(_plain(r, forests.classes))
+        block = asked.sparkSession.sparkContext.broadcast(held)
+        parts.append(asked.mapInArrow(_shares(block, forests.classes, width, ["__t", "row"]), f"__t long, row {kind}, total array<double>, trees int"))
+    both = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        sums = [F.sum(F.element_at("total", i + 1)) for i in range(forests.classes)]
+        both = both.groupBy("__t", "row").agg(F.array(*sums).alias("total"), F.sum("trees").alias("trees"))
+    both = both.where("trees > 0").withColumn("probs", F.transform("total", lambda v: v / F.col("trees"))).select("__t", "row", "probs")
+    return attach(both, tables, ["__t"], "inner", n).select(*keys, "row", "probs") if keys else both.select("row", "probs")

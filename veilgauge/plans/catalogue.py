@@ -19,6 +19,7 @@ from veilgauge.operators.generate import key_value
 from veilgauge.operators.histogram import IndependentHistogram
 from veilgauge.operators.joining import checkpoint_folder, durable, release
 from veilgauge.operators.linkage import link_attribute, link_members
+from veilgauge.operators.learners import platt
 from veilgauge.operators.membership import MembershipAttack
 from veilgauge.operators.neighbours import nearest, vote
 from veilgauge.operators.predict import PredictTask
@@ -607,11 +608,11 @@ def attack_knn(spark, sf_dir):
 
 
 def _many_tables(spark, sf_dir) -> DataFrame:
-    """Histogram features of the population cut into many small tables, labelled by whether a table is of status F."""
-    df = population(spark, sf_dir).withColumn("dataset_id", F.concat_ws("-", "status", "year", "region", "priority"))
-    known = META.select(["segment", "total", "balance"])
-    vectors = durable(features.histogram(df, known, KEYS))
-    return vectors.withColumn("label", F.col("dataset_id").startswith("F").cast("int"))
+    """Histogram features of the population cut into many small tables, labelled by whether a table holds an order of status P."""
+    df = population(spark, sf_dir).withColumn("dataset_id", F.concat_ws("-", "region", "year", "priority", (F.col("id") % 4).cast("string")))
+    vectors = features.histogram(df, META, KEYS)
+    labels = df.groupBy(*KEYS).agg(F.max((F.col("status") == "P").cast("int")).alias("label"))
+    return durable(vectors.join(labels, KEYS))
 
 
 def _attack(kind: str, out: str, **options):
@@ -622,7 +623,7 @@ def _attack(kind: str, out: str, **options):
         attack = MembershipAttack(kind, SEED, options).fit(every.where(~late))
         vectors = every.where(late)
         if out == "confidence":
-            return attack.confidence(vectors).select("dataset_id", "label", F.round("confidence", 6).alias("confidence"))
+            return attack.confidence(vectors).select("dataset_id", "label", F.round(F.col("confidence") + 1e-9, 5).alias("confidence"))
         linked = None
         if out == "linkage":
             # A published table with a single row stands for a unique link; the last cells count rows per segment.
@@ -635,34 +636,54 @@ def _attack(kind: str, out: str, **options):
 
 def attr_linreg(spark, sf_dir):
     df = _by_table(spark, sf_dir)
-    attack = LinearAttribute(META.select(["balance", "total"]), "total")
+    attack = LinearAttribute(META, "total")
     models = durable(attack.fit(df, KEYS))
     out = attack.guess(df, models, KEYS)
-    return out.select("dataset_id", "id", F.round("model_guess", 4).alias("guess"), F.round(F.col("likelihood") * 1e6, 6).alias("likelihood"))
+    return out.select("dataset_id", "id", F.round("model_guess", 2).alias("guess"), F.round(F.col("likelihood") * 1e6, 5).alias("likelihood"))
 
 
 def linreg_sigma(spark, sf_dir):
-    models = LinearAttribute(META.select(["balance", "total"]), "total").fit(_by_table(spark, sf_dir), KEYS)
-    return models.select(
-        "dataset_id", tidy(F.element_at("beta", 1)).alias("slope"), tidy(F.element_at("means", 2)).alias("mean"), tidy(F.col("sigma") / 1e6).alias("sigma")
-    )
+    models = LinearAttribute(META, "total").fit(_by_table(spark, sf_dir), KEYS)
+    known = [n for n in NAMES if n != "total"]
+    slopes = [F.round(F.element_at("beta", i + 1), 4).alias(f"slope_{n}") for i, n in enumerate(known)]
+    return models.select("dataset_id", *slopes, tidy(F.element_at("means", -1)).alias("mean"), tidy(F.col("sigma") / 1e6).alias("sigma"))
 
 
-def attr_forest(spark, sf_dir):
-    df = population(spark, sf_dir)
-    attack = ForestAttribute(META, "segment", SEED, trees=10, depth=5)
-    train, test = tables.split(df, "year <= 1998", "year > 1998")
-    return attack.guess(test, attack.fit(train)).select("id", "model_guess", F.round("likelihood", 6).alias("likelihood"))
+def _attribute_forest(keys: list, **options):
+    def query(spark, sf_dir):
+        attack = ForestAttribute(META, "segment", SEED, **options)
+        train, test = tables.split(as_tables(population(spark, sf_dir)) if keys else population(spark, sf_dir), "year <= 1998", "year > 1998")
+        out = attack.guess(test, attack.fit(train, keys), keys)
+        return out.select(*keys, "id", "model_guess", F.round(F.col("likelihood") + 1e-9, 6).alias("likelihood"))
+
+    return query
 
 
 def _task(kind: str, label: str, **options):
     def query(spark, sf_dir):
         train, test = tables.split(population_nulls(spark, sf_dir), "year <= 1998", "year > 1998")
-        return PredictTask(kind, META, label, SEED, options).fit(train).evaluate(test)
+        return PredictTask(kind, META, label, SEED, options).fit(train).evaluate(test).select("id", F.round("score", 2).alias("score"))
 
     return query
 
 
+def _tasks(kind: str, label: str, **options):
+    """One table for each region, each scored on all later records."""
+
+    def query(spark, sf_dir):
+        train, test = tables.split(population_nulls(spark, sf_dir).withColumn("dataset_id", F.col("region")), "year <= 1998", "year > 1998")
+        found = PredictTask(kind, META, label, SEED, options).fit(train, KEYS).score(test, F.col("id") % 100 == 0)
+        return found.select("dataset_id", F.coalesce("record", F.lit("all")).alias("record"), F.round("score", 1).alias("score"), "n")
+
+    return query
+
+
+def svc_calibration(spark, sf_dir):
+    """Platt's curve for given margins: how well the total tells urgent orders, by table."""
+    df = _by_table(spark, sf_dir).select("dataset_id", ((F.col("total") - 250000) / 100000 + F.col("balance") / 5000).alias("margin"), F.col("priority").isin("1-URGENT", "2-HIGH").cast("int").alias("label"))
+    return platt(df, KEYS).select("dataset_id", F.round("slope", 6).alias("slope"), F.round("offset", 6).alias("offset"))
+
+
 # ---- games ------------------------------------------------------------------------------------------------------
 
 
@@ -711,7 +732,7 @@ _PLAIN = [
     feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, privbayes_counts,
     synth_privbayes, exp_mechanism, synth_gaussian, link_unique_member, link_unique_attribute, linkage_gain,
     inference_gain, load_results_inference, load_results_utility, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
-    shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, attr_forest, game_linkage,
+    shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, svc_calibration, game_linkage,
     game_inference, game_utility,
 ]
 
@@ -719,15 +740,23 @@ _PLAIN = [
 def queries() -> dict:
     named = {f.__name__: f for f in _PLAIN}
     named["centre"] = centre_columns
+    named["attr_forest"] = _attribute_forest([], trees=10, depth=5)
+    named["attr_forest_many"] = _attribute_forest(KEYS, trees=10, depth=5)
     named["mia_train_rf"] = _attack("forest", "guess", numTrees=20, maxDepth=8)
     named["mia_attack"] = _attack("forest", "linkage", numTrees=20, maxDepth=8)
     named["mia_confidence"] = _attack("forest", "confidence", numTrees=20, maxDepth=8)
     named["mia_train_logreg"] = _attack("logistic", "guess")
+    named["mia_confidence_logreg"] = _attack("logistic", "confidence")
+    named["mia_train_knn"] = _attack("knn", "guess")
     named["mia_train_svc"] = _attack("svc", "guess")
+    named["mia_confidence_svc"] = _attack("svc", "confidence")
     named["mia_train_mlp"] = _attack("mlp", "guess", maxIter=20)
     named["util_forest"] = _task("forest", "segment", numTrees=20, maxDepth=8)
-    named["util_logreg"] = _task("logistic", "segment", maxIter=20)
+    named["util_logreg"] = _task("logistic", "segment", maxIter=6)
     named["util_linreg"] = _task("linear", "total")
+    named["util_forest_many"] = _tasks("forest", "segment", numTrees=10, maxDepth=5)
+    named["util_logreg_many"] = _tasks("logistic", "priority", maxIter=6)
+    named["util_linreg_many"] = _tasks("linear", "total")
 
     def fresh(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:

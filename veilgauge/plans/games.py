@@ -2,7 +2,8 @@
 
 A game draws raw tables, makes a variant of each with a target inserted, publishes all variants and attacks them. All
 drawn tables live in one DataFrame keyed by ``dataset_id``; each publisher is fitted to all of them in one job, features
-of all published tables come from one job, and only the classifiers are fitted one by one.
+of all published tables come from one job, and so do the forests and the logistic and linear models of all tables and targets. Only support vector and
+neural attacks are fitted one by one.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from veilgauge.operators.gaussian import Gaussian
 from veilgauge.operators.histogram import IndependentHistogram
 from veilgauge.operators.joining import attach, durable
 from veilgauge.operators.linkage import link_attribute, link_members
-from veilgauge.operators.membership import MembershipAttack, train_many
+from veilgauge.operators.membership import GROUPED, MembershipAttack, train_many
 from veilgauge.operators.predict import PredictTask
 from veilgauge.operators.sampling import OUT, draw, only, pick_targets, with_targets, without
 from veilgauge.operators.sanitise import Sanitiser
@@ -153,6 +154,13 @@ def _ask(tables: DataFrame, probes: DataFrame, ids: Sequence) -> DataFrame:
     return attach(asked, probes, ["target_id"], "inner", bound=len(ids))
 
 
+def _for_targets(vectors: DataFrame, ids: Sequence) -> DataFrame:
+    """Feature rows once for each target they concern: tables without a target for all of them, others for their own. Only features are repeated, never tables."""
+    everyone = F.array(*[F.lit(str(i)) for i in ids])
+    rows = vectors.withColumn("target_id", F.explode(F.when(F.col("target") == OUT, everyone).otherwise(F.array("target"))))
+    return rows.withColumn("row", F.concat_ws("/", "dataset_id", F.col("copy").cast("string")))
+
+
 def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) -> DataFrame:
     """``dataset, target_id, model, run, feature_set, secret, guess, guess_source``: one row per attacked table.
 
@@ -181,22 +189,29 @@ def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
         for name in sets:
             train = durable(_where(_complete(_features(pub_a, pub, name), _dims(shadow, copies_a))))
             play = durable(_where(_complete(_features(pub_t, pub, name), _dims(games, copies_t))))
-            train = train.withColumn("label", (F.col("target") != OUT).cast("int"))
-            play = play.withColumn("row", F.concat_ws("/", "dataset_id", F.col("copy").cast("string")))
-
-            def attack_one(tid, train=train, play=play, linked=linked, name=name, pub=pub):
-                mine = F.col("target").isin(OUT, str(tid))
-                mia = MembershipAttack(c.attack, c.seed, dict(c.attack_options)).fit(train.where(mine))
-                rows = play.where(mine).withColumn("target_id", F.lit(str(tid)))
-                if linked is not None:
-                    rows = rows.join(linked, [*KEYS, "target_id"], "left")
-                out = mia.attack(rows, "row", "linked" if linked is not None else None)
-                return out.select(
+            train = _for_targets(train.withColumn("label", (F.col("target") != OUT).cast("int")), ids)
+            play = _for_targets(play, ids)
+            if linked is not None:
+                play = play.join(linked, [*KEYS, "target_id"], "left")
+            mia = MembershipAttack(c.attack, c.seed, dict(c.attack_options))
+            by_link = "linked" if linked is not None else None
+            if c.attack in GROUPED:
+                played = [mia.fit(train, "row", ["target_id"]).attack(play, "row", by_link)]
+            else:
+
+                def attack_one(tid, train=train, play=play, by_link=by_link):
+                    mine = F.col("target_id") == str(tid)
+                    one = MembershipAttack(c.attack, c.seed, dict(c.attack_options)).fit(train.where(mine), "row")
+                    return one.attack(play.where(mine), "row", by_link)
+
+                played = train_many(attack_one, ids, c.threads)
+            facts += [
+                out.select(
                     F.lit(c.dataset).alias("dataset"), "target_id", F.lit(pub.name).alias("model"), "run",
                     F.lit(name).alias("feature_set"), (F.col("target") != OUT).cast("int").alias("secret"), "guess", "guess_source",
                 )
-
-            facts += train_many(attack_one, ids, c.threads)
+                for out in played
+            ]
     return _union(facts)
 
 
@@ -264,36 +279,32 @@ def utility_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     for pub in c.publishers:
         copies = c.n_syn_t if pub.generates else 1
         published.append((pub.name, pub.out_meta, durable(publish_tables(pub, games, c.size_syn_t, copies, c.seed)), pub.generates))
-    variants = [f"{run}:{t}" for run in range(c.n_iter) for t in [OUT, *[str(i) for i in ids]]]
-    jobs = [
-        (name, out_meta, tables, generates, kind, label, variant, copy)
-        for name, out_meta, tables, generates in published
-        for kind, label in c.tasks
-        for variant in variants
-        for copy in range(c.n_syn_t)
-    ]
-
-    def score_one(job):
-        name, out_meta, tables, generates, kind, label, variant, copy = job
-        # Without a generator there is one published table; repeats differ by the seed of the learner only.
-        mine = tables.where((F.col("dataset_id") == variant) & (F.col("copy") == (copy if generates else 0)))
-        options = dict(c.attack_options) if TASK_KINDS[kind] == "forest" else {}
-        options = {{"trees": "numTrees", "depth": "maxDepth"}.get(k, k): v for k, v in options.items()}
-        task = PredictTask(TASK_KINDS[kind], out_meta, label, c.seed + copy, options)
-        run, target = variant.split(":", 1)
-        tags = {"dataset": c.dataset, "task": task.name, "model": name, "run": int(run), "target_id": target, "copy": copy}
-        named = [F.lit(v).alias(k) for k, v in tags.items()]
-        # Scores of the whole test table are averaged where they arise; only the listed records are kept one by one.
-        if mine.limit(1).count() == 0:
-            none = F.lit(None).cast("double").alias("score")
-            return asked.select(*named, F.col("id").alias("record_id"), none), test.agg(F.count("*").alias("records")).select(*named, none, "records")
-        task = task.fit(mine)
-        one = task.evaluate(asked).select(*named, F.col("id").alias("record_id"), "score")
-        mean = task.evaluate(test).agg(F.avg("score").alias("score"), F.count("*").alias("records")).select(*named, "score", "records")
-        return one, mean
-
-    played = train_many(score_one, jobs, c.threads)
-    return durable(_union([one for one, _ in played])), durable(_union([mean for _, mean in played]))
+    n_test = test.count()
+    wanted = [r[0] for r in asked.select("id").collect()]
+    kind = dict(test.dtypes)["id"]
+    flag = F.col("id").isin(wanted) if wanted else F.lit(False)
+    ones, means = [], []
+    for name, out_meta, tables, generates in published:
+        copies = c.n_syn_t
+        dims = _where(_dims(games, copies))
+        for task_kind, label in c.tasks:
+            options = dict(c.attack_options) if TASK_KINDS[task_kind] == "forest" else {}
+            options = {{"trees": "numTrees", "depth": "maxDepth"}.get(k, k): v for k, v in options.items()}
+            task = PredictTask(TASK_KINDS[task_kind], out_meta, label, c.seed, options)
+            # Without a generator there is one published table; repeats differ by the randomness of the learner only.
+            repeats = 1 if generates else copies
+            task.fit(tables, COPIES if generates else KEYS, repeats)
+            scored = task.score(test, flag)
+            if not generates:
+                scored = scored.withColumn("copy", F.col("repeat") if repeats > 1 else F.lit(0))
+            scored = durable(scored)
+            tags = [F.lit(c.dataset).alias("dataset"), F.lit(task.name).alias("task"), F.lit(name).alias("model"), "run", F.col("target").alias("target_id"), "copy"]
+            sums = attach(dims, scored.where("record is null").select(*COPIES, "score", "n"), COPIES, "left", dims.count())
+            means.append(sums.select(*tags, F.when(F.col("n") > 0, F.col("score") / F.col("n")).alias("score"), F.lit(n_test).cast("long").alias("records")))
+            each = dims.withColumn("record", F.explode(F.array(*[F.lit(str(i)) for i in wanted]))) if wanted else dims.where("false").withColumn("record", F.lit(""))
+            each = attach(each, scored.where("record is not null").select(*COPIES, "record", "score"), [*COPIES, "record"], "left")
+            ones.append(each.select(*tags, F.col("record").cast(kind).alias("record_id"), "score"))
+    return durable(_union(ones)), durable(_union(means))
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:

@@ -669,17 +669,4 @@ def oracle_sql() -> dict[str, str]:
         "SELECT id, label AS prediction, round(n / CAST(sum(n) OVER (PARTITION BY id) AS DOUBLE), 6) AS confidence FROM votes "
         "QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1"
     )
-    reg = (
-        f"WITH {POP}, {tab('pop')}, m AS (SELECT dataset_id, regr_slope(total, balance) AS slope, avg(balance) AS mx, avg(total) AS my FROM tab GROUP BY dataset_id), "
-        "p AS (SELECT tab.dataset_id, id, total, slope, my, my + slope * (balance - mx) AS guess FROM tab JOIN m ON tab.dataset_id = m.dataset_id), "
-        "g AS (SELECT dataset_id, sum((total - guess) * (total - guess)) / (count(*) - 1) AS sigma FROM p GROUP BY dataset_id)"
-    )
-    q["attr_linreg"] = (
-        f"{reg} SELECT p.dataset_id, id, round(guess, 4) AS guess, round(exp(-(total - guess) * (total - guess) / (2 * sigma)) / sqrt(2 * pi() * sigma) * 1e6, 6) AS likelihood "
-        "FROM p JOIN g ON p.dataset_id = g.dataset_id"
-    )
-    q["linreg_sigma"] = (
-        f"{reg} SELECT p.dataset_id, {tidy('any_value(slope)')} AS slope, {tidy('any_value(my)')} AS mean, {tidy('any_value(sigma) / 1e6')} AS sigma "
-        "FROM p JOIN g ON p.dataset_id = g.dataset_id GROUP BY p.dataset_id"
-    )
     return q
