@@ -189,3 +189,36 @@ def test_one_scan_scores_like_each_table_alone(spark, monkeypatch, kind, label):
     else:
         assert totals["t0", 0] != totals["t0", 1] or totals["t1", 0] != totals["t1", 1]
         assert all(0.4 * 240 < v[0] <= 240 == v[1] for v in totals.values())
+
+
+def test_variants_of_histograms_are_counted_not_copied(spark, sf_dir):
+    from veilgauge.operators import sampling
+    from veilgauge.operators.histogram import IndependentHistogram
+    from veilgauge.plans.population import META, population_nulls
+
+    df = population_nulls(spark, sf_dir)
+    ids = sampling.pick_targets(df, 3, seed=1)
+    drawn = sampling.draw(sampling.without(df, ids), 100, 5, 2)
+    publisher = IndependentHistogram(META)
+    plain = publisher.fit(sampling.with_targets(drawn, sampling.only(df, ids), ids, 2), ["dataset_id"]).prof
+    found = publisher.fit_variants(drawn, sampling.only(df, ids), ids, 2).prof
+    columns = ["dataset_id", "attr_idx", "counts", "nulls", "outside", "total", "cdf"]
+    assert sorted(map(str, plain.select(columns).collect())) == sorted(map(str, found.select(columns).collect()))
+    infers = IndependentHistogram(META, 10, True).fit_variants(drawn, sampling.only(df, ids), ids, 2)
+    assert infers.prof.select("dataset_id").distinct().count() == 8
+
+
+def test_draws_are_permutations(spark):
+    from veilgauge.operators import sampling
+
+    for total in (1, 2, 3, 17, 64, 100):
+        got = spark.range(total).select(F.explode(F.sequence(F.lit(0), F.lit(1))).alias("d"), "id").select("d", sampling.shuffled(F.col("id"), total, 7, "x", "d").alias("p")).collect()
+        for d in (0, 1):
+            assert sorted(r["p"] for r in got if r["d"] == d) == list(range(total))
+    df = spark.range(5, 2005).withColumn("v", F.col("id") * 2)
+    firsts = np.array([r["id"] for r in sampling.draw(df.repartition(5), 1, 3, 1500).collect()])
+    assert abs(firsts.mean() - 1004.5) < 60 and len(set(firsts.tolist())) > 900
+    plan = sampling.draw(df, 10, 3, 50)._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan
+    with pytest.raises(ValueError):
+        sampling.draw(df, 2001, 3)

@@ -109,27 +109,37 @@ def weighted(coded: DataFrame) -> list[str]:
     return ["n"] if "n" in coded.columns else []
 
 
-def profile(df: DataFrame, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
-    """One row per table and column: ``counts, probs, cdf`` over the whole domain, edges or labels, missing share.
-
-    All columns are counted in one pass; a table contributes at most its domain sizes to the shuffle.
-    """
+def cell_counts(df: DataFrame, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, __cell, __n``: how often each cell of each column is hit, for all columns in one pass; a table contributes at most its domain sizes to
+    the shuffle. Such counts add up: those of a table with one more record are its own and the record's."""
     keys = list(keys)
-    meta, sizes = binning.meta, binning.sizes
+    meta = binning.meta
     meta.check(df.columns)
-    radix = max(sizes) + 2
+    radix = max(binning.sizes) + 2
     source = attach(df, binning.ranges(df, keys), keys) if binning.infer_ranges else df
-    edges = [f"__edges_{i}" for i, c in enumerate(meta.columns) if c.numeric] if binning.infer_ranges else []
     cells = []
     for i in range(len(meta)):
         col = F.col(f"`{meta.columns[i].name}`")
         other = F.when(col.isNull(), F.lit(radix - 1)).otherwise(F.lit(radix - 2))
         cell = F.coalesce(binning.code(i, clip=False), other)
         cells.append((cell + F.lit(i * radix)).cast("int"))
-    counts = source.select(*keys, F.explode(F.array(*cells)).alias("__cell")).groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
+    return source.select(*keys, F.explode(F.array(*cells)).alias("__cell")).groupBy(*keys, "__cell").agg(F.count("*").alias("__n"))
+
+
+def profile(df: DataFrame, binning: Binning, keys: Sequence[str] = ()) -> DataFrame:
+    """One row per table and column: ``counts, probs, cdf`` over the whole domain, edges or labels, missing share."""
+    ranges = binning.ranges(df, keys) if binning.infer_ranges else None
+    return profile_of_counts(cell_counts(df, binning, keys), binning, keys, ranges)
+
+
+def profile_of_counts(counts: DataFrame, binning: Binning, keys: Sequence[str] = (), ranges: DataFrame | None = None) -> DataFrame:
+    """:func:`profile` from :func:`cell_counts`."""
+    keys = list(keys)
+    meta, sizes = binning.meta, binning.sizes
+    radix = max(sizes) + 2
     per_table = counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__cell", "__n"))).alias("__m"))
-    if edges:
-        per_table = attach(per_table, binning.ranges(df, keys), keys)
+    if ranges is not None:
+        per_table = attach(per_table, ranges, keys)
     attrs = []
     for i, c in enumerate(meta.columns):
         attrs.append(

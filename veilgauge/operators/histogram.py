@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from veilgauge.functions.encoding import literal_array
 from veilgauge.functions.keyed import invert_cdf, invert_constants, uniform
 from veilgauge.meta import INTEGER, TableMeta
-from veilgauge.operators.distributions import Binning, profile
+from veilgauge.operators.distributions import Binning, cell_counts, profile, profile_of_counts
 from veilgauge.operators.generate import cell_digest, row_frame, value_in_bin
 from veilgauge.operators.joining import attach, durable
+from veilgauge.operators.sampling import OUT, with_targets
 
 
 # Above this many cells the comparisons would make the generated method too long to be compiled.
@@ -82,3 +83,17 @@ class IndependentHistogram:
     def fit(self, df: DataFrame, keys: Sequence[str] = ()) -> HistogramModel:
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
         return HistogramModel(binning, tuple(keys), durable(profile(df, binning, keys)))
+
+    def fit_variants(self, drawn: DataFrame, targets: DataFrame, ids: Sequence, draws: int, id_col: str = "id") -> HistogramModel:
+        """What :meth:`fit` gives for the tables of :func:`..sampling.with_targets`, without making them: the rows of each draw are counted once, and the
+        table with a target has these counts and the target's. Only counts are repeated for the targets."""
+        if self.infer_ranges:
+            return self.fit(with_targets(drawn, targets, ids, draws, id_col), ["dataset_id"])
+        binning = Binning(self.meta, self.histogram_bins)
+        names = F.array(*[F.lit(t) for t in [OUT, *[str(i) for i in ids]]])
+        base = durable(cell_counts(drawn, binning, ["draw"])).withColumn("target", F.explode(names))
+        own = cell_counts(targets.withColumn("target", F.col(id_col).cast("string")), binning, ["target"])
+        own = own.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        both = base.unionByName(own).withColumn("dataset_id", F.concat_ws(":", F.col("draw").cast("string"), "target"))
+        counts = both.groupBy("dataset_id", "__cell").agg(F.sum("__n").alias("__n"))
+        return HistogramModel(binning, ("dataset_id",), durable(profile_of_counts(counts, binning, ["dataset_id"])))

@@ -4,44 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilgauge.functions.keyed import digest
+from veilgauge.functions.keyed import digest, once
 from veilgauge.meta import TableMeta
 from veilgauge.operators.counts import label_counts
+from veilgauge.operators.joining import attach, durable
 
 OUT = "OUT"
 
 
+ROUNDS, WALKS = 4, 128
+
+
+def numbered(ids: DataFrame, id_col: str = "id") -> tuple[DataFrame, int]:
+    """``__pos, id`` with positions 0, 1, … in the order of the ids, and how many there are. Ids are sorted by range; only the counts of the ranges are collected."""
+    ranged = ids.select(id_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    ranged = durable(ranged.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}))
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, ranged.groupBy("__part").count().collect())):
+        offsets.append((part, before))
+        before += n
+    starts = ids.sparkSession.createDataFrame(offsets, "__part int, __before bigint")
+    placed = ranged.join(F.broadcast(starts), "__part")
+    return placed.select((F.col("__before") + F.col("__at")).alias("__pos"), id_col), before
+
+
+def shuffled(position: Column, total: int, seed: int, tag: str, *parts: Column | str) -> Column:
+    """Where a keyed permutation of ``0 … total - 1`` sends a position: a Feistel network over the next power of four, applied again until the value is
+    below ``total`` (which fails after ``WALKS`` times with a chance of under 1e-15)."""
+    half = max(1, -(-max(total - 1, 1).bit_length() // 2))
+    mask = F.lit(2**half - 1).cast("bigint")
+
+    def turn(value: Column) -> Column:
+        start = F.struct(F.shiftright(value, half).alias("l"), value.bitwiseAND(mask).alias("r"))
+
+        def step(s: Column, i: Column) -> Column:
+            mixed = F.conv(F.substring(digest(seed, tag, *parts, i, s["r"]), 1, 12), 16, 10).cast("bigint").bitwiseAND(mask)
+            return F.struct(s["r"].alias("l"), s["l"].bitwiseXOR(mixed).alias("r"))
+
+        end = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, step)
+        return once(end, lambda e: F.shiftleft(e["l"], half).bitwiseOR(e["r"]))
+
+    first = turn(position.cast("bigint"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), first, lambda v, _: F.when(v < total, v).otherwise(turn(v)))
+
+
 def draw(df: DataFrame, n: int, seed: int, draws: int = 1, id_col: str = "id", tag: str = "draw") -> DataFrame:
-    """``n`` whole rows per draw, without replacement, with a ``draw`` column.
+    """``n`` whole rows per draw, without replacement, with a ``draw`` column; ids are unique and not null.
 
-    The rows with the smallest keyed hashes are taken. Hash prefixes are counted first (at most 65,536 counters per
-    draw), which tells up to which prefix every row is in; only the chosen rows are then shuffled, by prefix, to rank
-    the rows of the last prefix. No draw is ever brought into one task. Fewer than ``n`` rows are an error.
+    Rows are numbered in the order of their ids. A draw is the image of ``0 … n - 1`` under a permutation of these numbers keyed by the draw, so the wanted positions are
+    computed instead of ranked: ``n * draws`` of them are joined with the numbered ids and these with the rows, whatever the size of the population.
+    Fewer than ``n`` rows are an error.
     """
-    cand = df.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    cand = cand.withColumn("__h", digest(seed, tag, "draw", F.col(id_col)))
-    cand = cand.withColumn("__p", F.substring("__h", 1, 4))
-    running = Window.partitionBy("draw").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    counts = cand.groupBy("draw", "__p").agg(F.count("*").alias("__k")).withColumn("__cum", F.sum("__k").over(running))
-    last = counts.groupBy("draw").agg(
-        F.min(F.when(F.col("__cum") >= n, F.col("__p"))).alias("__last"),
-        F.max(F.when(F.col("__cum") < n, F.col("__cum"))).alias("__before"),
-        F.max("__cum").alias("__all"),
-    ).collect()
-    short = n if n and len(last) < draws else min((r["__all"] for r in last if r["__all"] < n), default=None)
-    if short is not None:
-        raise ValueError(f"{n} rows cannot be drawn without replacement: there are {min((r['__all'] for r in last), default=0)}")
-    ends = df.sparkSession.createDataFrame([tuple(r)[:3] for r in last], "draw int, __last string, __before bigint")
-    cand = cand.join(F.broadcast(ends), "draw")
-    limit = F.col("__last")
-    ranked = cand.where(F.col("__p") <= limit).withColumn(
-        "__rank", F.row_number().over(Window.partitionBy("draw", "__p").orderBy("__h", id_col))
-    )
-    inside = (F.col("__p") < limit) | (F.col("__rank") <= F.lit(n) - F.coalesce("__before", F.lit(0)))
-    return ranked.where(inside).select(*df.columns, "draw")
+    ids, total = numbered(df, id_col)
+    if n > total:
+        raise ValueError(f"{n} rows cannot be drawn without replacement: there are {total}")
+    if not n:
+        return df.where("false").withColumn("draw", F.lit(0))
+    wanted = df.sparkSession.range(n * draws).select(F.floor(F.col("id") / n).cast("int").alias("draw"), F.pmod("id", F.lit(n)).alias("__i"))
+    wanted = wanted.select("draw", shuffled(F.col("__i"), total, seed, tag, "draw").alias("__pos"))
+    chosen = durable(ids.join(wanted, "__pos").select(F.col(id_col).alias("__id"), "draw"))
+    return attach(df.withColumn("__id", F.col(id_col)), chosen, ["__id"], "inner", n * draws).select(*df.columns, "draw")
 
 
 def without(df: DataFrame, ids: Sequence, id_col: str = "id") -> DataFrame:

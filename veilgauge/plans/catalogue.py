@@ -587,9 +587,10 @@ def avg_accuracy(spark, sf_dir):
 
 
 def shadow_data(spark, sf_dir):
-    shadow = durable(_tables(spark, sf_dir, 2, "shadow"))
-    n = max(1, population(spark, sf_dir).count() // 20)
-    made = IndependentHistogram(META).fit(shadow, KEYS).generate(n, SEED, 2)
+    df = population(spark, sf_dir)
+    ids = sampling.pick_targets(df, 3, seed=SEED)
+    drawn = sampling.draw(sampling.without(df, ids), _tenth(df), SEED, 2, tag="shadow")
+    made = games.publish_variants(IndependentHistogram(META), drawn, sampling.only(df, ids), ids, 2, _tenth(df, 20), 2, SEED)
     label = F.when(F.col("dataset_id").endswith(":OUT"), 0).otherwise(1)
     return _rounded(made.withColumn("label", label))
 

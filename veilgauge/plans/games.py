@@ -122,6 +122,13 @@ def publish_tables(publisher, tables: DataFrame, n: int, copies: int, seed: int)
     return publisher.sanitise(tables, KEYS).withColumn("copy", F.lit(0))
 
 
+def publish_variants(publisher, drawn: DataFrame, targets: DataFrame, ids: Sequence, draws: int, n: int, copies: int, seed: int) -> DataFrame:
+    """:func:`publish_tables` for every draw without a target and with each. A publisher that adds up counts never sees the tables with a target as rows."""
+    if hasattr(publisher, "fit_variants"):
+        return publisher.fit_variants(drawn, targets, ids, draws).generate(n, seed, copies)
+    return publish_tables(publisher, durable(with_targets(drawn, targets, ids, draws)), n, copies, seed)
+
+
 def _where(df: DataFrame) -> DataFrame:
     """Split a dataset id into ``run`` and ``target``."""
     parts = F.split("dataset_id", ":", 2)
@@ -147,6 +154,13 @@ def _dims(tables: DataFrame, copies: int) -> DataFrame:
     return tables.select(*KEYS).distinct().withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
 
 
+def _variants(spark, ids: Sequence, draws: int, copies: int) -> DataFrame:
+    """``dataset_id, copy`` of every published copy of every draw, without a target and with each."""
+    names = F.array(*[F.lit(t) for t in [OUT, *[str(i) for i in ids]]])
+    rows = spark.range(draws * copies).select(F.floor(F.col("id") / copies).cast("string").alias("draw"), F.pmod("id", F.lit(copies)).cast("int").alias("copy"))
+    return rows.withColumn("target", F.explode(names)).select(F.concat_ws(":", "draw", "target").alias("dataset_id"), "copy")
+
+
 def _ask(tables: DataFrame, probes: DataFrame, ids: Sequence) -> DataFrame:
     """Which target is judged on which table: all of them on a table without target, otherwise the one inserted."""
     everyone = F.array(*[F.lit(str(i)) for i in ids])
@@ -174,9 +188,9 @@ def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
     facts: list[DataFrame] = []
     for pub in c.publishers:
         splits = c.n_shadows if pub.generates else c.n_shadows * c.n_syn_a
-        shadow = durable(with_targets(draw(prior, c.size_raw_t, c.seed, splits, tag="shadow"), targets, ids, splits))
+        shadow = durable(draw(prior, c.size_raw_t, c.seed, splits, tag="shadow"))
         copies_a, copies_t = (c.n_syn_a, c.n_syn_t) if pub.generates else (1, 1)
-        pub_a = durable(publish_tables(pub, shadow, c.size_syn_t, copies_a, c.seed))
+        pub_a = durable(publish_variants(pub, shadow, targets, ids, splits, c.size_syn_t, copies_a, c.seed))
         pub_t = durable(publish_tables(pub, games, c.size_syn_t, copies_t, c.seed + 1))
         linked = None
         if not pub.generates:
@@ -187,8 +201,8 @@ def linkage_game(population: DataFrame, meta: TableMeta, config: GameConfig) ->
             linked = durable(link_members(pub_t, asked, cats, KEYS).select(*KEYS, "target_id", "linked"))
         sets = list(c.feature_sets) + (["Ensemble"] if not pub.generates and "Ensemble" not in c.feature_sets else [])
         for name in sets:
-            train = durable(_where(_complete(_features(pub_a, pub, name), _dims(shadow, copies_a))))
-            play = durable(_where(_complete(_features(pub_t, pub, name), _dims(games, copies_t))))
+            train = durable(_where(_complete(_features(pub_a, pub, name), _variants(prior.sparkSession, ids, splits, copies_a))))
+            play = durable(_where(_complete(_features(pub_t, pub, name), _variants(prior.sparkSession, ids, c.n_iter, copies_t))))
             train = _for_targets(train.withColumn("label", (F.col("target") != OUT).cast("int")), ids)
             play = _for_targets(play, ids)
             if linked is not None:

@@ -359,17 +359,28 @@ def sanitised(src: str, k: int, keys: str = "") -> str:
 # ---- sampling ---------------------------------------------------------------------------------------------------
 
 
-def targets(n: int, src: str = "pop") -> str:
-    return f"tg AS (SELECT * FROM {src} ORDER BY {hashed('targets', '0', 'id')}, id LIMIT {n})"
+def drawn(src: str, n: str, draws: int, tag: str, name: str = "dr") -> str:
+    """CTE ``name``: the images of the first ``n`` positions under a keyed Feistel permutation of the rows in order of id."""
 
+    def turn(v: str) -> str:
+        left, right = f"({v} >> half)", f"({v} & mask)"
+        for i in range(4):
+            mixed = f"(CAST(CAST(concat('0x', substr({hashed(tag, 'draw', str(i), right)}, 1, 12)) AS UBIGINT) AS BIGINT) & mask)"
+            left, right = right, f"xor({left}, {mixed})"
+        return f"(({left} << half) | {right})"
 
-def drawn(src: str, n: str, draws: int, tag: str) -> str:
+    walk = f"list_reduce(list_prepend({turn('i')}, list_transform(range(128), lambda z: 0::BIGINT)), lambda v, z: CASE WHEN v < total THEN v ELSE {turn('v')} END)"
     return (
-        f"dr AS (SELECT s.*, draw FROM {src} AS s CROSS JOIN (SELECT CAST(range AS INTEGER) AS draw FROM range(0, {draws})) "
-        f"QUALIFY row_number() OVER (PARTITION BY draw ORDER BY {hashed(tag, 'draw', 'id')}, id) <= {n})"
+        f"{name}_p AS (SELECT *, (1::BIGINT << half) - 1 AS mask FROM (SELECT count(*) AS total, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2)::INTEGER AS half FROM {src})), "
+        f"{name}_w AS (SELECT draw, {walk} AS pos FROM (SELECT CAST(range AS INTEGER) AS draw FROM range(0, {draws})), (SELECT unnest(range(0, {n})) AS i), {name}_p), "
+        f"{name} AS (SELECT s.* EXCLUDE (pos), draw FROM (SELECT *, row_number() OVER (ORDER BY id) - 1 AS pos FROM {src}) AS s JOIN {name}_w USING (pos))"
     )
 
 
+def targets(n: int, src: str = "pop") -> str:
+    return f"{drawn(src, str(n), 1, 'targets', 'td')}, tg AS (SELECT * EXCLUDE (draw) FROM td)"
+
+
 TENTH = "greatest(1, (SELECT count(*) // 10 FROM pop))"
 
 
