@@ -77,7 +77,7 @@ def test_rounds_agree_with_the_tree(spark, sf_dir):
     binning = Binning(META.select(["status", "priority", "segment", "region"]), 10)
     coded = joining.durable(binning.compact(df, keys))
     facts = joining.durable(bayes.table_facts(profile(df, binning, keys), keys))
-    for epsilon in (None,):
+    for epsilon in (None, 0.7):
         a = bayes.tree_structure(coded, binning, facts, keys, 7, epsilon)
         b = bayes.network_structure(coded, binning, facts, keys, 7, 1, epsilon)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))

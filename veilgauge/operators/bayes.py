@@ -176,7 +176,7 @@ def network_structure(
     schema = T.StructType([*[coded.schema[k] for k in keys], T.StructField("cands", cand_type)])
     for step in range(1, d):
         cands = state.select(*keys, "order").mapInPandas(_candidates(degree, d, keys), schema)
-        new = candidate_information(attach(coded, cands, keys, "inner"), binning.radix, keys)
+        new = candidate_information(attach(coded, cands, keys, "inner"), binning.sizes, keys)
         scores = new if scores is None else scores.unionByName(new)
         scores = durable(scores)
         open_ = attach(scores, state.select(*keys, "order"), keys, "inner")
@@ -188,8 +188,10 @@ def network_structure(
             one = F.size("parents") == 1
             binary = F.element_at("binary", F.col("child") + 1) | (one & F.element_at("binary", F.element_at("parents", 1) + 1))
             delta = (d - 1) * sensitivity_column(F.col("rows"), binary) / epsilon
-            u = uniform(digest(seed, "edge", *keys, F.lit(step), "child", F.array_join(F.col("parents").cast("array<string>"), ",")))
-            rank = rank / (2 * delta) - F.ln(-F.ln(F.greatest(u, F.lit(1 / SCALE))))
+            named = F.array_join(F.transform("parents", lambda p: F.element_at(literal_array(names), p + 1)), ",")
+            # The noise of an edge is the same number in both searches.
+            u = uniform(digest(seed, "edge", *keys, F.lit(step), child_name, named)) + F.lit(0.5 / SCALE)
+            rank = rank / (2 * delta) - F.ln(-F.ln(u))
         best = open_.groupBy(*keys).agg(
             F.min_by(F.struct("child", "parents"), F.struct(-rank, child_name, F.col("parents"))).alias("best")
         )
@@ -219,6 +221,14 @@ def fixed_network(spark, names: Sequence[str], edges: Sequence[tuple[str, Sequen
     return spark.createDataFrame([row], T.StructType(ORDER_FIELDS))
 
 
+def check_cells(network: DataFrame, binning: Binning) -> None:
+    """Refuse networks with a table of more cells than numbers of 63 bits, which could not be listed anyway. Only the columns of a table count."""
+    sizes = literal_array([float(x) for x in binning.sizes])
+    bits = F.transform(F.arrays_zip("order", "parents"), lambda e: F.aggregate(e["parents"], F.log2(F.element_at(sizes, e["order"] + 1)), lambda acc, p: acc + F.log2(F.element_at(sizes, p + 1))))
+    if (network.agg(F.max(F.array_max(bits))).first()[0] or 0) >= 62.9:
+        raise ValueError("a table of the network has too many cells to be numbered in 63 bits; use fewer bins or a lower degree")
+
+
 # ---- conditional distributions ----------------------------------------------------------------------------------
 
 
@@ -233,7 +243,7 @@ def cell_counts(
     the same noisy counts; negative counts become 0.
     """
     keys = list(keys)
-    radix, d = binning.radix, len(binning.meta)
+    d, sizes = len(binning.meta), literal_array(binning.sizes)
     k = min(degree, d - 1)
     steps = F.sequence(F.lit(k + 1), F.lit(d - 1)) if d - 1 > k else F.array().cast("array<int>")
     tabs = F.concat(
@@ -249,25 +259,22 @@ def cell_counts(
     needs = network.select(*keys, tabs.alias("tabs"))
     facts = attach(coded, needs, keys, "inner")
     facts = facts.select(*keys, "bins", *weighted(coded), F.explode("tabs").alias("__t"))
-    cell = F.aggregate("__t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * radix + F.element_at("bins", a + 1))
+    cell = F.aggregate("__t.attrs", F.lit(0).cast("bigint"), lambda acc, a: acc * F.element_at(sizes, a + 1) + F.element_at("bins", a + 1))
     counts = facts.select(*keys, F.col("__t.tab").alias("tab"), cell.alias("cell"), *weighted(coded)).where("cell is not null")
     counts = counts.groupBy(*keys, "tab", "cell").agg(weight(coded).alias("n"))
-    sizes = literal_array(binning.sizes)
     space = needs.select(*keys, F.explode("tabs").alias("__t")).select(*keys, "__t.*")
     size_of = F.transform("attrs", lambda a: F.element_at(sizes, a + 1))
     space = space.withColumn("sizes", size_of)
     total = F.aggregate("sizes", F.lit(1).cast("bigint"), lambda acc, s: acc * s)
-    space = numbered_cells(space, total, "flat")
-    # Mixed-base digits of the flat number, last column fastest.
+    space = numbered_cells(space, total, "cell")
+    # The number of a cell in the mixed base of its columns' sizes, last column fastest; here are its digits.
     digits = F.transform(
         "sizes",
         lambda s, i: (
-            F.floor(F.col("flat") / F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1).cast("bigint"), lambda acc, x: acc * x)) % s
+            F.floor(F.col("cell") / F.aggregate(F.slice("sizes", i + 2, F.size("sizes")), F.lit(1).cast("bigint"), lambda acc, x: acc * x)) % s
         ).cast("int"),
     )
-    space = space.withColumn("codes", digits)
-    space = space.withColumn("cell", F.aggregate("codes", F.lit(0).cast("bigint"), lambda acc, c: acc * radix + c))
-    full = space.join(counts, [*keys, "tab", "cell"], "left")
+    full = space.withColumn("codes", digits).join(counts, [*keys, "tab", "cell"], "left")
     n = F.coalesce(F.col("n"), F.lit(0)).cast("double")
     if noise_scale is not None:
         names = literal_array(binning.meta.names)
@@ -283,12 +290,13 @@ def conditional_distributions(cells: DataFrame, network: DataFrame, binning: Bin
     The root has parent code 0. Steps up to ``degree`` are sums over table 0; later ones have their own table.
     """
     keys = list(keys)
-    radix, k = binning.radix, min(degree, len(binning.meta) - 1)
+    k, sizes = min(degree, len(binning.meta) - 1), literal_array(binning.sizes)
     net = network.select(*keys, F.col("order").alias("__order"), F.col("parents").alias("__parents"))
     rows = attach(cells, net, keys, "inner")
 
     def code(positions: Column) -> Column:
-        return F.aggregate(positions, F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("codes", p))
+        base = lambda p: F.element_at(sizes, F.element_at("attrs", p) + 1)
+        return F.aggregate(positions, F.lit(0).cast("bigint"), lambda acc, p: acc * base(p) + F.element_at("codes", p))
 
     shared = F.transform(
         F.sequence(F.lit(0), F.lit(k)),
@@ -303,7 +311,6 @@ def conditional_distributions(cells: DataFrame, network: DataFrame, binning: Bin
         F.struct(F.col("tab").alias("step"), code(F.sequence(F.lit(1), last - 1)).alias("parent_code"), F.element_at("codes", last).alias("child"))
     )
     rows = rows.select(*keys, "n", "__order", F.explode(F.when(F.col("tab") == 0, shared).otherwise(own)).alias("__e"))
-    sizes = literal_array(binning.sizes)
     rows = rows.withColumn("size", F.element_at(sizes, F.element_at("__order", F.col("__e.step") + 1) + 1))
     rows = rows.select(*keys, "n", "size", "__e.*")
     sums = rows.groupBy(*keys, "step", "parent_code", "child").agg(F.sum("n").alias("n"), F.first("size").alias("size"))
@@ -320,12 +327,13 @@ def distribution_rows(cpt: DataFrame, network: DataFrame, binning: Binning, keys
     """``keys, step, child, parent_codes, bin, n, prob`` with parent codes as text (``""`` for the root)."""
     keys = list(keys)
     steps = network.select(*keys, F.posexplode(F.arrays_zip("order", "parents")).alias("step", "e"))
-    steps = steps.select(*keys, "step", F.element_at(literal_array(binning.meta.names), F.col("e.order") + 1).alias("child"), F.size("e.parents").alias("np"))
+    sizes = literal_array(binning.sizes)
+    bases = F.transform("e.parents", lambda p: F.element_at(sizes, p + 1))
+    steps = steps.select(*keys, "step", F.element_at(literal_array(binning.meta.names), F.col("e.order") + 1).alias("child"), F.size("e.parents").alias("np"), bases.alias("bases"))
     rows = attach(cpt, steps, [*keys, "step"], "inner")
-    radix = binning.radix
     digits = F.transform(
-        F.sequence(F.lit(1), F.col("np")),
-        lambda i: F.floor(F.col("parent_code") / F.pow(F.lit(float(radix)), F.col("np") - i)) % radix,
+        "bases",
+        lambda s, i: F.floor(F.col("parent_code") / F.aggregate(F.slice("bases", i + 2, F.size("bases")), F.lit(1).cast("bigint"), lambda acc, x: acc * x)) % s,
     )
     text = F.when(F.col("np") == 0, F.lit("")).otherwise(F.array_join(digits.cast("array<string>"), " "))
     rows = rows.select(*keys, "step", "child", text.alias("parent_codes"), "probs", F.posexplode("counts").alias("bin", "n"))
@@ -379,9 +387,9 @@ class BayesModel:
         for step, (attr, parents) in enumerate(zip(net["order"], net["parents"])):
             code = F.lit(0).cast("bigint")
             for p in parents:
-                code = code * radix + F.col(f"__b{p}")
+                code = code * self.binning.sizes[p] + F.col(f"__b{p}")
             table = self.cpt.where(F.col("step") == step).select(F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
-            rows = attach(rows.withColumn("__code", code), table, ["__code"], bound=radix ** len(parents), width=8 * radix + 64)
+            rows = attach(rows.withColumn("__code", code), table, ["__code"], bound=math.prod(self.binning.sizes[p] for p in parents), width=8 * radix + 64)
             pick = invert_cdf(F.coalesce(F.col("__cdf"), literal_array(marginal[attr])), uniform(F.col(f"__h{attr}")))
             rows = rows.withColumn(f"__b{attr}", pick).drop("__code", "__cdf")
             if step and step % CHECKPOINT_EVERY == 0:
@@ -391,7 +399,7 @@ class BayesModel:
     def _draw_many(self, rows: DataFrame, tables: int) -> DataFrame:
         """Many tables, each with its own network: step ``s`` draws whatever column comes ``s``-th in its table."""
         keys, meta = list(self.keys), self.binning.meta
-        d, radix = len(meta), self.binning.radix
+        d, radix, sizes = len(meta), self.binning.radix, literal_array(self.binning.sizes)
         rows = attach(rows, self.network, keys, "inner", bound=tables, width=16 * d * (self.degree + 2))
         marginal = self.prof.select(*keys, "attr_idx", F.col("cdf").alias("__marginal"))
         rows = rows.withColumn("drawn", F.array().cast("array<int>"))
@@ -400,12 +408,13 @@ class BayesModel:
             parents = min(step, self.degree)
             code = F.lit(0).cast("bigint")
             for p in range(1, parents + 1):
-                at = F.array_position("order", F.element_at(F.element_at("parents", step + 1), p)).cast("int")
-                code = code * radix + F.element_at("drawn", at)
+                parent = F.element_at(F.element_at("parents", step + 1), p)
+                at = F.array_position("order", parent).cast("int")
+                code = code * F.element_at(sizes, parent + 1) + F.element_at("drawn", at)
             attr = F.element_at("order", step + 1)
             rows = rows.withColumns({"__code": code, "attr_idx": attr})
             table = self.cpt.where(F.col("step") == step).select(*keys, F.col("parent_code").alias("__code"), F.col("cdf").alias("__cdf"))
-            rows = attach(rows, table, [*keys, "__code"], bound=tables * radix**parents, width=width)
+            rows = attach(rows, table, [*keys, "__code"], bound=tables * math.prod(sorted(self.binning.sizes)[d - parents :]), width=width)
             rows = attach(rows, marginal, [*keys, "attr_idx"], bound=tables * d, width=width)
             hexed = F.element_at(F.array(*[F.col(f"__h{i}") for i in range(d)]), F.col("attr_idx") + 1)
             pick = invert_cdf(F.coalesce("__cdf", "__marginal"), uniform(hexed))
@@ -449,9 +458,6 @@ class BayesianNet:
         """Fit one network per table. A given ``network`` skips the search."""
         keys = list(keys)
         binning = Binning(self.meta, self.histogram_bins, bool(self.infer_ranges))
-        wide = min(self.degree, len(self.meta) - 1) + 1
-        if binning.radix**wide >= 2**63:
-            raise ValueError(f"codes of {wide} columns with up to {binning.radix} values do not fit into 64 bits; use fewer bins or a lower degree")
         coded = binning.compact(df, keys)
         if binning.cells <= COMPACT_CELLS:
             # Bounded by the domain, and read by the search and by the counting.
@@ -464,6 +470,7 @@ class BayesianNet:
             else:
                 network = network_structure(coded, binning, facts, keys, self.seed, self.degree, self.structure_epsilon)
         network = durable(network)
+        check_cells(network, binning)
         cells = cell_counts(coded, network, binning, keys, self.degree, self.noise_scale, self.seed)
         cpt = durable(conditional_distributions(cells, network, binning, keys, self.degree))
         return BayesModel(binning, tuple(keys), self.degree, network, cpt, prof)

@@ -123,7 +123,10 @@ def grow(
         whole = Window.partitionBy(*by, "f")
         left = F.array(*[F.sum(n).over(upto).cast("double") for n in names])
         total = F.array(*[F.sum(n).over(whole).cast("double") for n in names])
-        counts = counts.select(*by, "f", "b", left.alias("left"), total.alias("total"))
+        # No drawn row lies between a code and the next one that occurs, so the cut goes to the middle of the gap.
+        after = F.lead("b").over(Window.partitionBy(*by, "f").orderBy("b"))
+        middle = F.ceil((F.col("b") + after - 1) / 2).cast("int")
+        counts = counts.select(*by, "f", F.coalesce(middle, "b").alias("b"), left.alias("left"), total.alias("total"))
         counts = counts.withColumn("right", F.zip_with("total", "left", lambda t, x: t - x))
         gain = _purity(F.col("left")) + _purity(F.col("right")) - _purity(F.col("total"))
         counts = counts.withColumn("gain", F.when(_sum(F.col("right")) > 0, gain).otherwise(0.0))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilgauge.functions.encoding import literal_array
 from veilgauge.operators.distributions import weight, weighted
 
 
@@ -64,15 +66,19 @@ def normalised(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("nmi", F.when(both > 0, 2 * F.col("mi") / both).otherwise(1.0))
 
 
-def candidate_information(coded: DataFrame, radix: int, keys: Sequence[str] = ()) -> DataFrame:
-    """``(child, parents, mi)`` for rows that carry ``cands``, an array of ``(child, parents)`` to score."""
+def candidate_information(coded: DataFrame, sizes: Sequence[int], keys: Sequence[str] = ()) -> DataFrame:
+    """``(child, parents, mi)`` for rows that carry ``cands``, an array of ``(child, parents)`` to score; ``sizes`` are the columns' domain sizes."""
     one = coded.select(*keys, "bins", *weighted(coded), F.explode("cands").alias("__cand"))
-    x = F.aggregate(
-        F.col("__cand.parents"), F.lit(0).cast("bigint"), lambda acc, p: acc * radix + F.element_at("bins", p + 1)
-    )
-    joint = one.select(
-        *keys, F.col("__cand.child").alias("child"), F.col("__cand.parents").alias("parents"), x.alias("x"),
+    codes = F.transform("__cand.parents", lambda p: F.element_at("bins", p + 1))
+    known = ~F.exists(codes, lambda c: c.isNull()) & F.expr("element_at(bins, __cand.child + 1) is not null")
+    joint = one.where(known).select(
+        *keys, F.col("__cand.child").alias("child"), F.col("__cand.parents").alias("parents"), codes.alias("x"),
         F.expr("element_at(bins, __cand.child + 1)").alias("y"), *weighted(coded),
-    ).where("x is not null and y is not null")
+    )
+    if math.prod(sorted(sizes)) < 2**62:
+        # Any set of columns has a number in the mixed base of their sizes; it is shorter than the list of codes.
+        base = literal_array(sizes)
+        pairs = F.arrays_zip(F.col("parents").alias("p"), F.col("x").alias("c"))
+        joint = joint.withColumn("x", F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, e: acc * F.element_at(base, e["p"] + 1) + e["c"]))
     joint = joint.groupBy(*keys, "child", "parents", "x", "y").agg(weight(coded).alias("n"))
     return _score(joint, [*keys, "child", "parents"]).drop("hx", "hy")

@@ -336,7 +336,7 @@ def mi_degree2(spark, sf_dir):
     d = len(INFO_COLUMNS)
     cands = [(c, list(ps)) for c in range(d) for ps in combinations([p for p in range(d) if p != c], 2)]
     listed = F.array(*[F.struct(F.lit(c).alias("child"), enc.literal_array(ps).alias("parents")) for c, ps in cands])
-    scored = information.candidate_information(coded.withColumn("cands", listed), binning.radix)
+    scored = information.candidate_information(coded.withColumn("cands", listed), binning.sizes)
     names = enc.literal_array(INFO_COLUMNS)
     return scored.select(
         F.element_at(names, F.col("child") + 1).alias("child"),
@@ -420,6 +420,22 @@ def bayes_structure(spark, sf_dir):
     return bayes.structure_rows(net, NAMES).select("step", "child", F.array_join("parents", " ").alias("parents"))
 
 
+def _searched(model):
+    def query(spark, sf_dir):
+        net = model.fit(population(spark, sf_dir)).network
+        return bayes.structure_rows(net, NAMES).select("step", "child", F.array_join("parents", " ").alias("parents"))
+
+    return query
+
+
+def synth_bayes_many(spark, sf_dir):
+    """One network for each table, all along the fixed edges, generated together."""
+    df = _by_table(spark, sf_dir)
+    net = df.select(*KEYS).distinct().crossJoin(F.broadcast(_fixed(spark)))  # one row
+    made = bayes.BayesianNet(META).fit(df, KEYS, net).generate(_tenth(df), SEED)
+    return _rounded(made).drop("copy")
+
+
 def cpt_fit(spark, sf_dir):
     df, binning, net = population(spark, sf_dir), distributions.Binning(META, 10), _fixed(spark)
     cells = bayes.cell_counts(binning.compact(df), net, binning, [], 1)
@@ -730,7 +746,7 @@ _PLAIN = [
     sanitise_k_anonymity, sanitise_full, sample_members, drop_targets, game_members, shadow_members, new_categories,
     hist_distribution, cat_distribution, cdf, attr_profile, freq_full_domain, normalise, mi_pairs, nmi_pairs, mi_degree2,
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,
-    feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, privbayes_counts,
+    feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, synth_bayes_many, privbayes_counts,
     synth_privbayes, exp_mechanism, synth_gaussian, link_unique_member, link_unique_attribute, linkage_gain,
     inference_gain, load_results_inference, load_results_utility, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
     shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, svc_calibration, game_linkage,
@@ -741,6 +757,9 @@ _PLAIN = [
 def queries() -> dict:
     named = {f.__name__: f for f in _PLAIN}
     named["centre"] = centre_columns
+    named["bayes_structure_degree2"] = _searched(bayes.BayesianNet(META, 10, 2))
+    named["bayes_structure_private"] = _searched(bayes.PrivBayes(META, 10, 1, epsilon=2.0))
+    named["bayes_structure_private_degree2"] = _searched(bayes.PrivBayes(META, 10, 2, epsilon=2.0))
     named["attr_forest"] = _attribute_forest([], trees=10, depth=5)
     named["attr_forest_many"] = _attribute_forest(KEYS, trees=10, depth=5)
     named["mia_train_rf"] = _attack("forest", "guess", numTrees=20, maxDepth=8)

@@ -59,12 +59,13 @@ def forest(src: str, width: int, classes: int, trees: int, depth: int, keyed: bo
         out.append(f"n{level} AS MATERIALIZED (SELECT {by}, unnest(looks) AS f FROM {nodes})")
         out.append(f"c{level} AS (SELECT {by}, f, codes[f + 1] AS b, {sums} FROM a{level} JOIN n{level} USING ({by}) GROUP BY ALL)")
         left = ", ".join(f"sum(n{i}) {window} AS l{i}, sum(n{i}) {whole} AS t{i}" for i in range(classes))
+        middle = "CAST(coalesce(ceil((b + lead(b) OVER (PARTITION BY k, tree, node, f ORDER BY b) - 1) / 2e0), b) AS INTEGER)"
         right = ", ".join(f"t{i} - l{i} AS r{i}" for i in range(classes))
         gain = f"CASE WHEN {total('r')} > 0 THEN {purity('l')} + {purity('r')} - {purity('t')} ELSE 0e0 END"
         out.append(
             f"s{level} AS MATERIALIZED (SELECT {by}, f, b, [{', '.join(f't{i}' for i in range(classes))}] AS counts, "
             f"(gain > {num(LEAST_GAIN)} AND {str(level < depth).lower()}) AS split FROM (SELECT *, {gain} AS gain FROM (SELECT *, {right} FROM "
-            f"(SELECT *, {left} FROM c{level}))) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY gain DESC, f, b) = 1)"
+            f"(SELECT * REPLACE ({middle} AS b), {left} FROM c{level}))) QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY gain DESC, f, b) = 1)"
         )
         if level < depth:
             out.append(

@@ -230,6 +230,76 @@ def structure() -> str:
     return "WITH " + ",\n".join(ctes) + f"\nSELECT step, child, parents FROM v{len(NAMES) - 1}"
 
 
+def searched(degree: int, epsilon: float | None) -> str:
+    """Network search with up to ``degree`` parents, by rounds; with ``epsilon`` each round draws its edge by the exponential mechanism (Gumbel noise keyed by edge)."""
+    parts, sizes = [], range(1, degree + 1)
+    for child in NAMES:
+        for k in sizes:
+            for ps in combinations([p for p in NAMES if p != child], k):
+                ps = sorted(ps, key=NAMES.index)
+                x = " || ',' || ".join(f"CAST(b_{p} AS VARCHAR)" for p in ps)
+                known = " AND ".join(f"b_{c} >= 0" for c in (child, *ps))
+                parts.append(
+                    f"SELECT '{child}' AS child, {lst(ps)} AS ps, {lst([float(NAMES.index(p)) for p in ps])} AS pos, {x} AS x, b_{child} AS y, "
+                    f"CAST(count(*) AS DOUBLE) AS n FROM coded WHERE {known} GROUP BY ALL"
+                )
+    few = ", ".join(f"CASE WHEN count(DISTINCT b_{c}) FILTER (WHERE b_{c} >= 0) + max(CAST(b_{c} IS NULL AS INTEGER)) <= 2 THEN '{c}' ELSE '' END" for c in NAMES)
+    ctes = [
+        POP, CODED, "j AS (" + " UNION ALL ".join(parts) + ")",
+        "mi AS MATERIALIZED (SELECT child, ps, pos, round(sum(n / nn * ln(n * nn / (nx * ny))), 12) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY child, ps, x) AS nx, "
+        "sum(n) OVER (PARTITION BY child, ps, y) AS ny, sum(n) OVER (PARTITION BY child, ps) AS nn FROM j) GROUP BY ALL)",
+        f"facts AS (SELECT CAST(count(*) AS DOUBLE) AS n, [{few}] AS few FROM coded)",
+        "names AS (SELECT unnest(" + lst(NAMES) + ") AS name)",
+        f"v0 AS (SELECT 0 AS step, name AS child, CAST([] AS VARCHAR[]) AS ps FROM names ORDER BY {hashed('root', 'name')}, name LIMIT 1)",
+    ]
+    small = "(ln(n) / n + (n - 1e0) / n * ln(n / (n - 1e0)))"
+    large = "(2e0 / n * ln((n + 1e0) / 2e0) + (1 - 1e0 / n) * ln(1 + 2e0 / (n - 1)))"
+    for step in range(1, len(NAMES)):
+        p = f"v{step - 1}"
+        rank = "mi"
+        if epsilon is not None:
+            binary = "(list_contains(few, child) OR (len(ps) = 1 AND list_contains(few, ps[1])))"
+            delta = f"({num(len(NAMES) - 1)} * CASE WHEN {binary} THEN {small} ELSE {large} END / {num(epsilon)})"
+            u = f"({unif(hashed('edge', str(step), 'child', "array_to_string(ps, ',')"))} + {num(0.5 / 2**48)})"
+            rank = f"mi / (2 * {delta}) - ln(-ln({u}))"
+        ctes.append(
+            f"v{step} AS MATERIALIZED (SELECT * FROM {p} UNION ALL SELECT * FROM (SELECT {step} AS step, child, ps FROM mi, facts WHERE len(ps) = {min(step, degree)} "
+            f"AND child NOT IN (SELECT child FROM {p}) AND list_has_all((SELECT list(child) FROM {p}), ps) "
+            f"ORDER BY {rank} DESC, child, pos LIMIT 1))"
+        )
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT step, child, array_to_string(ps, ' ') AS parents FROM v{len(NAMES) - 1}"
+
+
+def keyed_network_rows(n: str) -> str:
+    """Rows of one network for each table, all along the fixed edges."""
+    coded = "coded AS (SELECT dataset_id, " + ", ".join(f"{bin_code(c)} AS b_{c.name}" for c in META.columns) + " FROM tab)"
+    ctes = [POP, tab("pop"), coded, "tabs AS (SELECT DISTINCT dataset_id FROM tab)", f"r AS (SELECT dataset_id, 0 AS copy, range AS row FROM tabs, range(0, {n}))"]
+    prev = "r"
+    for s, (child, parents) in enumerate(NETWORK):
+        size = META[child].domain_size(BINS)
+        p, psize = (f"b_{parents[0]}", META[parents[0]].domain_size(BINS)) if parents else ("0", 1)
+        # The first two columns share a table, so the root's counts are of rows in which both are known.
+        known = f"b_{child} >= 0 AND " + " AND ".join(f"b_{c} >= 0" for c in ([c for c, _ in NETWORK[:2]] if s < 2 else parents) or [child])
+        ctes.append(
+            f"c{s} AS (SELECT dataset_id, d.p, e.c, coalesce(n, 0) AS n FROM tabs CROSS JOIN (SELECT CAST(range AS BIGINT) AS p FROM range(0, {psize})) AS d "
+            f"CROSS JOIN (SELECT CAST(range AS BIGINT) AS c FROM range(0, {size})) AS e LEFT JOIN (SELECT dataset_id, CAST({p} AS BIGINT) AS p, CAST(b_{child} AS BIGINT) AS c, count(*) AS n "
+            f"FROM coded WHERE {known} GROUP BY ALL) AS x USING (dataset_id, p, c))"
+        )
+        ctes.append(
+            f"m{s} AS (SELECT dataset_id, p, list(CASE WHEN total > 0 THEN cum / CAST(total AS DOUBLE) ELSE (c + 1) / {num(size)} END ORDER BY c) AS cdf FROM "
+            f"(SELECT *, sum(n) OVER (PARTITION BY dataset_id, p) AS total, sum(n) OVER (PARTITION BY dataset_id, p ORDER BY c) AS cum FROM c{s}) GROUP BY dataset_id, p)"
+        )
+        u = unif(hashed("net", "dataset_id", "copy", "row", repr(child)))
+        on = f"m{s}.p = q.b_{parents[0]}" if parents else f"m{s}.p = 0"
+        ctes.append(f"u{s} AS (SELECT *, {u} AS u FROM {prev})")
+        ctes.append(f"r{s} AS (SELECT q.* EXCLUDE (u), {pick(f'm{s}.cdf', 'q.u')} AS b_{child} FROM u{s} AS q JOIN m{s} ON m{s}.dataset_id = q.dataset_id AND {on})")
+        prev = f"r{s}"
+    ws = ", ".join(f"{unif(hashed('net', 'dataset_id', 'copy', 'row', repr(c.name)), 1)} AS w_{c.name}" for c in META.numeric)
+    ctes.append(f"z AS (SELECT *, {ws} FROM {prev})")
+    vals = ", ".join(f"{value_of(c, f'b_{c.name}', f'w_{c.name}')} AS {c.name}" for c in META.columns)
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT dataset_id, row, {vals} FROM z"
+
+
 # ---- features ---------------------------------------------------------------------------------------------------
 
 
@@ -633,6 +703,10 @@ def oracle_sql() -> dict[str, str]:
     )
     q["cpt_fit"] = "WITH " + ", ".join(ctes) + " " + rows
     q["synth_bayes"] = network_rows()
+    q["synth_bayes_many"] = keyed_network_rows(TENTH)
+    q["bayes_structure_degree2"] = searched(2, None)
+    q["bayes_structure_private"] = searched(1, 1.0)
+    q["bayes_structure_private_degree2"] = searched(2, 1.0)
     noisy = " UNION ALL ".join(f"SELECT {s} AS tab, concat(p, ' ', c) AS codes, round(n, 6) AS n FROM t{s}" for s in [0, *range(2, len(NETWORK))])
     q["privbayes_counts"] = "WITH " + ", ".join([POP, CODED, *step_cells(24.0)]) + " " + noisy
     q["synth_privbayes"] = network_rows(24.0)
