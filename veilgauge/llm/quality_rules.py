@@ -31,7 +31,7 @@ RULES: dict[str, str] = {
     "long_words": "word_chars > 10 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "shouting": "100 * n_upper > 30 * word_chars",
-    "repeated_lines": "100 * n_dup_lines > 30 * n_lines",
+    "repeated_lines": "n_dup_lines > 2 and 100 * n_dup_lines > 30 * n_lines",
 }
 BASE = ("few_words", "repeated_runs")
 POLICIES: dict[str, tuple[str, ...]] = {

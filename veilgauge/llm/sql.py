@@ -199,7 +199,7 @@ m AS (
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR word_chars < 3 * n_words OR word_chars > 10 * n_words OR 10 * n_symbols > n_words OR 100 * n_upper > 30 * word_chars
-    OR 100 * n_dup_lines > 30 * n_lines) AS kept
+    OR (n_dup_lines > 2 AND 100 * n_dup_lines > 30 * n_lines)) AS kept
 FROM b
 """
 
