@@ -28,6 +28,30 @@ def test_linkage_round_trip(spark, tmp_path, lines):
     assert sorted(map(tuple, back.select(*facts.columns).collect())) == sorted(map(tuple, facts.collect()))
 
 
+def test_long_leaves_become_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(results, "LINE_ROWS", 10)
+    rows = [("d", "t", "M", "0", "Naive", i % 2, 0) for i in range(500)] + [("d", "t", "M", "0", "Naive", 0, g) for g in range(70)]
+    rows += [("d", None, "M", "1", "Naive", None, 1), ("e", "u", "M", "1", "Naive", 1, 1)]
+    facts = spark.createDataFrame(rows, SCHEMA).na.fill({"target_id": "none"})
+    folder = str(tmp_path / "out")
+    results.write_json(facts.repartition(5), folder, results.LINKAGE)
+    documents = spark.read.text(f"{folder}/*.json").collect()
+    sizes = [len(json.loads(r.value)[t][m][run][f]["Secret"]) for r in documents for t, m, run, f in [_path(json.loads(r.value))]]
+    assert sum(sizes) == len(rows) and max(sizes) <= 10 and len(sizes) >= 58
+    back = results.read_linkage(spark, folder, lines=True).select(*facts.columns)
+    assert sorted(map(str, back.collect())) == sorted(map(str, facts.collect()))
+    assert results.linkage_documents(facts.limit(0)).isEmpty()
+
+
+def _path(document):
+    """The only key of each level."""
+    out = []
+    for _ in range(4):
+        (key, document), = document.items()
+        out.append(key)
+    return out
+
+
 def test_other_files_round_trip(spark, tmp_path):
     folder = str(tmp_path / "out")
     inf = spark.createDataFrame([("d", "t", "RACE", "Raw", "0", "white", 0.5, 1)], "dataset string, target_id string, attribute string, model string, run string, guess string, prob_correct double, presence int")

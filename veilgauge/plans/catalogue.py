@@ -546,6 +546,16 @@ def load_results_utility(spark, sf_dir):
     return back.select(*keys, F.round("accuracy", 9).alias("accuracy"))
 
 
+def load_results_totals(spark, sf_dir):
+    """Accuracies of whole test tables, written by prediction task and label and read back."""
+    facts = _utility_facts(spark, sf_dir).withColumn("task", F.concat(F.lit("RandomForestClassifier"), "task"))
+    folder = scratch(spark, "json")
+    results.write_json(evaluate.utility_totals(facts), folder, results.UTILITY_TOTALS)
+    back = results.read_utility_totals(spark, folder, lines=True)
+    keys = ["dataset", "prediction_model", "label_var", "model", "target_id"]
+    return back.groupBy(*keys).agg(F.count("*").alias("runs"), F.round(F.avg("accuracy"), 9).alias("accuracy"))
+
+
 def _inference_columns(out: DataFrame) -> DataFrame:
     keys = ["dataset", "target_id", "attribute", "run", "model"]
     return out.select(*keys, *[F.coalesce(F.round(c, 9), F.lit(-9.0)).alias(c) for c in out.columns if c not in keys])
@@ -748,7 +758,7 @@ _PLAIN = [
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,
     feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, synth_bayes_many, privbayes_counts,
     synth_privbayes, exp_mechanism, synth_gaussian, link_unique_member, link_unique_attribute, linkage_gain,
-    inference_gain, load_results_inference, load_results_utility, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
+    inference_gain, load_results_inference, load_results_utility, load_results_totals, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
     shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, svc_calibration, game_linkage,
     game_inference, game_utility,
 ]

@@ -718,6 +718,11 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {POP}, {UTIL_FACTS} SELECT dataset, task, model, run, target_id, record_id, round(avg(score), 9) AS accuracy, 'record' AS level FROM facts GROUP BY ALL "
         "UNION ALL SELECT dataset, task, model, run, target_id, 'all' AS record_id, round(avg(score), 9), 'total' FROM facts GROUP BY ALL"
     )
+    q["load_results_totals"] = (
+        f"WITH {POP}, {UTIL_FACTS}, runs AS (SELECT dataset, task, model, run, target_id, avg(score) AS accuracy FROM facts GROUP BY ALL) "
+        "SELECT dataset, 'RandomForestClassifier' AS prediction_model, task AS label_var, model, target_id, count(*) AS runs, "
+        "round(avg(accuracy), 9) AS accuracy FROM runs GROUP BY ALL"
+    )
     q["load_results_utility"] = (
         f"WITH {POP}, {UTIL_FACTS} SELECT dataset, task, model, run, target_id, record_id, round(avg(score), 9) AS accuracy FROM facts GROUP BY ALL"
     )

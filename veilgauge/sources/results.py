@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilgauge.functions.encoding import camel
-from veilgauge.operators.joining import hold
+from veilgauge.operators.joining import attach, hold
 
 # File prefixes and prediction model names of result files.
 LINKAGE, INFERENCE = "ResultsMIA_", "ResultsMLEAI_"
 UTILITY_TARGETS, UTILITY_TOTALS = "ResultsUtilTargets_", "ResultsUtilAgg_"
 PREDICTION_MODELS = ("RandomForestClassifier", "LogisticRegression", "LinearRegression")
 
+LINE_ROWS = 65536  # a leaf with more rows becomes several lines
+
 _LINKAGE_LEAF = "struct<Secret:array<int>,AttackerGuess:array<int>>"
 _INFERENCE_LEAF = "struct<AttackerGuess:array<string>,ProbCorrect:array<double>,TargetPresence:array<int>>"
 _TARGET_LEAF = "struct<TestRecordID:array<string>,Accuracy:array<double>>"
@@ -71,26 +73,51 @@ def read_utility_totals(spark: SparkSession, folder: str, lines: bool = False) -
     return rows.select(*rows.columns, *_task_columns())
 
 
+def _pieces(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct rows of each leaf with ``__n``, how often they occur, and ``__part``, the line of the leaf that they go to.
+
+    Equal rows are counted first, and one that occurs very often is cut. The rest of a leaf is spread over as many slots as it needs and cut there
+    by a running position. So no line holds more than ``LINE_ROWS`` rows and no task more than a few of them, however large a leaf is.
+    """
+    half, rest = max(1, LINE_ROWS // 2), [c for c in facts.columns if c not in keys]
+    counted = facts.groupBy(*facts.columns).agg(F.count("*").alias("__all"))
+    starts = F.sequence(F.lit(0).cast("bigint"), F.col("__all") - 1, F.lit(half).cast("bigint"))
+    cut = counted.withColumn("__at", F.explode(starts)).withColumn("__n", F.least(F.lit(half).cast("bigint"), F.col("__all") - F.col("__at")))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("__all") / half).alias("__slots"))
+    slot = F.pmod(F.xxhash64(*[F.col(c) for c in rest], "__at"), F.col("__slots"))
+    placed = attach(cut, sizes, keys).withColumn("__slot", slot)
+    before = Window.partitionBy(*keys, "__slot").orderBy(*rest, "__at").rowsBetween(Window.unboundedPreceding, -1)
+    line = F.floor(F.coalesce(F.sum("__n").over(before), F.lit(0)) / half)
+    return placed.withColumn("__part", F.struct("__slot", line.alias("line"))).drop("__all", "__at", "__slots", "__slot")
+
+
 def _nest(facts: DataFrame, levels: list[str], leaf: Column, lines: bool) -> DataFrame:
     """Fold flat rows into nested maps, innermost level first.
 
-    With ``lines`` a document holds one game (all levels but the last are single), so no document grows with the number
-    of games. Otherwise a dataset becomes a single document, as the one-file format demands.
+    With ``lines`` a document is a leaf or, if it is long, a part of one: the reader puts the parts together. Otherwise a dataset becomes a single
+    document, as the one-file format demands.
     """
-    df = facts.groupBy("dataset", *levels).agg(leaf.alias("v"))
+    if lines:
+        df = _pieces(facts, ["dataset", *levels]).groupBy("dataset", *levels, "__part").agg(leaf.alias("v"))
+        value = F.col("v")
+        for level in reversed(levels):
+            value = F.create_map(F.col(level).cast("string"), value)
+        return df.select("dataset", F.to_json(value).alias("value"))
+    df = facts.withColumn("__n", F.lit(1)).groupBy("dataset", *levels).agg(leaf.alias("v"))
     for i in range(len(levels) - 1, -1, -1):
-        here = F.col(levels[i]).cast("string")
-        if lines and i < len(levels) - 1:
-            df = df.select("dataset", *levels[:i], F.create_map(here, "v").alias("v"))
-        else:
-            entries = F.map_from_entries(F.collect_list(F.struct(here.alias("k"), "v")))
-            df = df.groupBy("dataset", *levels[:i]).agg(entries.alias("v"))
+        entries = F.map_from_entries(F.collect_list(F.struct(F.col(levels[i]).cast("string").alias("k"), "v")))
+        df = df.groupBy("dataset", *levels[:i]).agg(entries.alias("v"))
     return df.select("dataset", F.to_json("v").alias("value"))
 
 
+def _leaves(facts: DataFrame, levels: list[str], order: list[str], lines: bool, **cols: str) -> DataFrame:
+    return _nest(facts.select("dataset", *levels, *cols.values()), levels, _zipped(order, **cols), lines)
+
+
 def _zipped(order: list[str], **cols: str) -> Column:
-    """Struct of parallel arrays, in a fixed order of rows."""
-    rows = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols.values()])])))
+    """Struct of parallel arrays, in a fixed order of rows, each row as often as its ``__n`` says."""
+    counted = F.sort_array(F.collect_list(F.struct(*[F.col(c) for c in dict.fromkeys([*order, *cols.values()])], "__n")))
+    rows = F.flatten(F.transform(counted, lambda row: F.array_repeat(row, row["__n"].cast("int"))))
     return F.struct(*[F.transform(rows, _field(c)).alias(name) for name, c in cols.items()])
 
 
@@ -100,22 +127,20 @@ def _field(name: str):
 
 def linkage_documents(facts: DataFrame, lines: bool = True) -> DataFrame:
     """``dataset, value``: JSON documents of membership guesses."""
-    leaf = _zipped(["secret", "guess"], Secret="secret", AttackerGuess="guess")
-    return _nest(facts, ["target_id", "model", "run", "feature_set"], leaf, lines)
+    return _leaves(facts, ["target_id", "model", "run", "feature_set"], ["secret", "guess"], lines, Secret="secret", AttackerGuess="guess")
 
 
 def inference_documents(facts: DataFrame, lines: bool = True) -> DataFrame:
-    leaf = _zipped(["presence"], AttackerGuess="guess", ProbCorrect="prob_correct", TargetPresence="presence")
-    return _nest(facts, ["target_id", "attribute", "model", "run"], leaf, lines)
+    cols = {"AttackerGuess": "guess", "ProbCorrect": "prob_correct", "TargetPresence": "presence"}
+    return _leaves(facts, ["target_id", "attribute", "model", "run"], ["presence"], lines, **cols)
 
 
 def utility_target_documents(facts: DataFrame, lines: bool = True) -> DataFrame:
-    leaf = _zipped(["record_id"], TestRecordID="record_id", Accuracy="accuracy")
-    return _nest(facts, ["task", "model", "run", "target_id"], leaf, lines)
+    return _leaves(facts, ["task", "model", "run", "target_id"], ["record_id"], lines, TestRecordID="record_id", Accuracy="accuracy")
 
 
 def utility_total_documents(facts: DataFrame, lines: bool = True) -> DataFrame:
-    return _nest(facts, ["task", "model"], _zipped(["target_id"], TargetID="target_id", Accuracy="accuracy"), lines)
+    return _leaves(facts, ["task", "model"], ["target_id"], lines, TargetID="target_id", Accuracy="accuracy")
 
 
 DOCUMENTS = {
@@ -126,11 +151,6 @@ DOCUMENTS = {
 }
 
 
-def write_facts(facts: DataFrame, path: str, mode: str = "error") -> None:
-    """Flat facts as parquet, one folder per dataset. This is the form to keep results in at scale."""
-    facts.write.mode(mode).partitionBy("dataset").parquet(path)
-
-
 def write_json(facts: DataFrame, folder: str, prefix: str, lines: bool = True, mode: str = "error") -> list[str]:
     """``<prefix><dataset>.json`` per dataset, written by the executors. Returns the dataset names."""
     docs = hold(DOCUMENTS[prefix](facts, lines))
