@@ -12,6 +12,7 @@ from veilgauge.operators.gaussian import Gaussian
 from veilgauge.operators.generate import candidate_keys
 from veilgauge.operators.histogram import IndependentHistogram
 from veilgauge.operators.membership import GROUPED, KINDS, MembershipAttack
+from veilgauge.operators.mixtures import Mixture
 from veilgauge.operators.neighbours import nearest
 from veilgauge.operators.predict import PredictTask
 from veilgauge.plans.population import META, as_tables, population
@@ -136,6 +137,30 @@ def test_gaussian(spark, sf_dir):
     assert Gaussian(META, 2).fit(df).generate(50).count() == 50
 
 
+def test_mixtures_of_many_tables(spark):
+    """Well separated clouds are found, a table's model does not depend on other tables or partitions, odd rows are left out."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for t, (a, b) in {"p": (20.0, 80.0), "q": (10.0, 40.0)}.items():
+        rows += [(t, float(rng.normal(a, 2)), float(rng.normal(-a, 1))) for _ in range(300)]
+        rows += [(t, float(rng.normal(b, 3)), float(rng.normal(-b, 2))) for _ in range(100)]
+    rows += [("p", None, 1.0), ("p", float("nan"), 1.0), ("p", 1.0, float("inf")), ("none", None, None), ("one", 5.0, 5.0), ("same", 7.0, 7.0), ("same", 7.0, 7.0)]
+    df = spark.createDataFrame(rows, "k string, x double, y double")
+    fit = Mixture(2, 1).fit
+    ranges = [(0.0, 100.0), (-100.0, 0.0)]
+    got = {(r["k"], r["component"]): r for r in fit(df, ["x", "y"], ranges, ["k"]).collect()}
+    assert {k for k, _ in got} == {"p", "q", "one", "same"}
+    for t, (a, b) in {"p": (20.0, 80.0), "q": (10.0, 40.0)}.items():
+        parts = sorted((got[t, c] for c in (0, 1)), key=lambda r: r["means"][0])
+        assert parts[0]["n"] == 400 and [round(p["weight"], 2) for p in parts] == [0.75, 0.25]
+        assert parts[0]["means"] == pytest.approx([a, -a], abs=0.6) and parts[1]["means"] == pytest.approx([b, -b], abs=1.5)
+        assert parts[0]["cov"][0] ** 0.5 == pytest.approx(2, rel=0.2)
+    alone = {r["component"]: r for r in fit(df.where("k = 'q'").repartition(5), ["x", "y"], ranges).collect()}
+    for c in (0, 1):
+        assert alone[c]["means"] == pytest.approx(got["q", c]["means"], rel=1e-9)
+    assert fit(df.limit(0), ["x", "y"], ranges, ["k"]).isEmpty()
+
+
 def test_candidate_keys(spark):
     assert [r[1] for r in candidate_keys(spark, 3, "Float", 1.0, 4.0).orderBy("row").collect()] == [1.0, 2.0, 3.0]
     assert candidate_keys(spark, 40, "Categorical", prefix="k").select("key").distinct().count() == 40

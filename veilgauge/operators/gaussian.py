@@ -15,6 +15,7 @@ from veilgauge.functions.keyed import invert_cdf, normal, uniform
 from veilgauge.meta import TableMeta
 from veilgauge.operators.generate import cell_digest, row_frame
 from veilgauge.operators.joining import attach, durable
+from veilgauge.operators.mixtures import Mixture
 
 REGULARISER = 1e-6  # fixed value: added to the diagonal of a covariance
 
@@ -83,11 +84,13 @@ class GaussianModel:
 
 @dataclass(frozen=True)
 class Gaussian:
-    """Gaussian mixture over the numeric columns: moments for one component, expectation maximisation for more."""
+    """Gaussian mixture over the numeric columns: moments for one component, expectation maximisation for more (:class:`Mixture`)."""
 
     meta: TableMeta
     components: int = 1
     seed: int = 42
+    steps: int = 100
+    tolerance: float = 1e-3
 
     generates = True
     name = "GaussianMixtureModel"
@@ -99,22 +102,12 @@ class Gaussian:
     def fit(self, df: DataFrame, keys: Sequence[str] = ()) -> GaussianModel:
         cols = [c.name for c in self.meta.numeric]
         if self.components == 1:
-            moments = gaussian_moments(df, cols, keys, {c.name: (c.low + c.high) / 2 for c in self.meta.numeric})
-            schema = T.StructType([*moments.schema.fields, T.StructField("factor", T.ArrayType(T.DoubleType()))])
-            parts = moments.mapInPandas(_factor, schema)
-            parts = parts.select(*keys, F.lit(0).alias("component"), F.lit(1.0).alias("weight"), "means", "factor")
-            return GaussianModel(self.meta, tuple(keys), durable(parts))
-        if keys:
-            raise ValueError("mixtures of several components are fitted to one table at a time")
-        from pyspark.ml.clustering import GaussianMixture
-        from pyspark.ml.functions import array_to_vector
-
-        data = df.select(array_to_vector(F.array(*[F.col(f"`{c}`").cast("double") for c in cols])).alias("features"))
-        fitted = GaussianMixture(k=self.components, seed=self.seed).fit(data)
-        rows = []
-        for i, (w, g) in enumerate(zip(fitted.weights, fitted.gaussians)):
-            factor = np.linalg.cholesky(np.asarray(g.cov.toArray()) + REGULARISER * np.eye(len(cols)))
-            rows.append((i, float(w), [float(m) for m in g.mean], [float(f) for f in factor.ravel()]))
-        schema = "component int, weight double, means array<double>, factor array<double>"
-        return GaussianModel(self.meta, (), df.sparkSession.createDataFrame(rows, schema))
-
+            fitted = gaussian_moments(df, cols, keys, {c.name: (c.low + c.high) / 2 for c in self.meta.numeric})
+            fitted = fitted.select(*keys, F.lit(0).alias("component"), F.lit(1.0).alias("weight"), "means", "cov")
+        else:
+            ranges = [(c.low, c.high) for c in self.meta.numeric]
+            fitted = Mixture(self.components, self.seed, self.steps, self.tolerance).fit(df, cols, ranges, keys)
+            fitted = fitted.select(*keys, "component", "weight", "means", "cov")
+        schema = T.StructType([*fitted.schema.fields, T.StructField("factor", T.ArrayType(T.DoubleType()))])
+        parts = fitted.mapInPandas(_factor, schema).select(*keys, "component", "weight", "means", "factor")
+        return GaussianModel(self.meta, tuple(keys), durable(parts))

@@ -21,6 +21,7 @@ from veilgauge.operators.joining import checkpoint_folder, durable, release
 from veilgauge.operators.linkage import link_attribute, link_members
 from veilgauge.operators.learners import platt
 from veilgauge.operators.membership import MembershipAttack
+from veilgauge.operators.mixtures import Mixture
 from veilgauge.operators.neighbours import nearest, vote
 from veilgauge.operators.predict import PredictTask
 from veilgauge.plans import games
@@ -472,9 +473,35 @@ def exp_mechanism(spark, sf_dir):
     return out.select("a", "b", F.round("score", 6).alias("score"), F.round("prob", 9).alias("prob"))
 
 
+def digits(c: ColumnMeta) -> int:
+    """Decimals that the order of summation leaves alone in drawn numbers: six places of the column's range."""
+    return 6 - len(str(int(c.high - c.low)))
+
+
+def _drawn_numbers() -> list[Column]:
+    return [F.round(c.name, digits(c)).alias(c.name) for c in META.numeric]
+
+
 def synth_gaussian(spark, sf_dir):
     df = population(spark, sf_dir)
-    return Gaussian(META).fit(df).generate(df.count(), SEED)
+    made = Gaussian(META).fit(df).generate(df.count(), SEED)
+    return made.select("copy", "row", *_drawn_numbers())
+
+
+def mixture_many(spark, sf_dir):
+    """Two Gaussians for each table after six steps."""
+    cols, ranges = [c.name for c in META.numeric], [(c.low, c.high) for c in META.numeric]
+    fitted = Mixture(2, SEED, 6, float("-inf")).fit(_by_table(spark, sf_dir, True), cols, ranges, KEYS)
+    means = [F.round(F.element_at("means", i + 1), 3).alias(f"mean_{n}") for i, n in enumerate(cols)]
+    sds = [F.round(F.sqrt(F.element_at("cov", i * len(cols) + i + 1)), 3).alias(f"sd_{n}") for i, n in enumerate(cols)]
+    return fitted.select("dataset_id", "n", F.round("fit", 7).alias("fit"), "component", F.round("weight", 7).alias("weight"), *means, *sds)
+
+
+def synth_mixture_many(spark, sf_dir):
+    """Tables drawn from the mixtures of :func:`mixture_many`, each with a tenth of the population's rows."""
+    model = Gaussian(META, 2, SEED, 6, float("-inf")).fit(_by_table(spark, sf_dir, True), KEYS)
+    made = model.generate(_tenth(population(spark, sf_dir)), SEED)
+    return made.select("dataset_id", "copy", "row", *_drawn_numbers())
 
 
 # ---- linkage and results ----------------------------------------------------------------------------------------
@@ -757,7 +784,7 @@ _PLAIN = [
     hist_distribution, cat_distribution, cdf, attr_profile, freq_full_domain, normalise, mi_pairs, nmi_pairs, mi_degree2,
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,
     feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, synth_bayes_many, privbayes_counts,
-    synth_privbayes, exp_mechanism, synth_gaussian, link_unique_member, link_unique_attribute, linkage_gain,
+    synth_privbayes, exp_mechanism, synth_gaussian, mixture_many, synth_mixture_many, link_unique_member, link_unique_attribute, linkage_gain,
     inference_gain, load_results_inference, load_results_utility, load_results_totals, utility_gain, utility_advantage, prob_removed, mia_gain_alt, avg_privacy_gain, avg_accuracy,
     shadow_data, shadow_data_sanitised, attack_knn, attr_linreg, linreg_sigma, svc_calibration, game_linkage,
     game_inference, game_utility,

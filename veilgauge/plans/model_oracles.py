@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from veilgauge.plans.model_sql import best, forest, forest_shares, linear, logistic, logistic_shares
-from veilgauge.plans.oracles import DISCRETE, NAMES, POP, POPN, code, histogram_parts, imputed, lst, num, onehot, tab, tidy
+from veilgauge.operators.gaussian import REGULARISER
+from veilgauge.operators.mixtures import RIDGE
+from veilgauge.plans.catalogue import digits
+from veilgauge.plans.model_sql import best, factored, forest, forest_shares, linear, logistic, logistic_shares, mixture
+from veilgauge.plans.oracles import DISCRETE, NAMES, POP, POPN, TENTH, code, hashed, histogram_parts, imputed, lst, num, onehot, tab, tidy, unif
 from veilgauge.plans.population import META
 
 TOL = num(1e-12)
@@ -131,6 +134,54 @@ def task(kind: str, label: str, keyed: bool, **o) -> str:
     )
 
 
+NUMBERS = META.numeric
+SPANS = [c.high - c.low for c in NUMBERS]
+MIDDLES = [(c.low + c.high) / 2 for c in NUMBERS]
+
+
+def _mixtures(steps: int) -> list[str]:
+    scaled = ", ".join(f"(CAST({c.name} AS DOUBLE) - {num(m)}) / {num(w)} AS x{i}" for i, (c, m, w) in enumerate(zip(NUMBERS, MIDDLES, SPANS)))
+    src = f"src AS (SELECT dataset_id AS k, id, {scaled} FROM tab WHERE {' AND '.join(f'{c.name} IS NOT NULL' for c in NUMBERS)})"
+    return [POPN, tab("popn"), src, *mixture("src", len(NUMBERS), 2, steps, RIDGE)]
+
+
+def mixtures(steps: int) -> str:
+    means = ", ".join(f"round(m{i} * {num(SPANS[i])} + {num(MIDDLES[i])}, 3) AS mean_{c.name}" for i, c in enumerate(NUMBERS))
+    sds = ", ".join(f"round(sqrt(s{i}_{i}) * {num(SPANS[i])}, 3) AS sd_{c.name}" for i, c in enumerate(NUMBERS))
+    return _with(*_mixtures(steps)) + f"\nSELECT k AS dataset_id, n, round(fit, 7) AS fit, c AS component, round(w, 7) AS weight, {means}, {sds} FROM mx{steps}"
+
+
+def _normals(keys: list[str]) -> str:
+    """Numeric columns of a generated row from means ``m<i>`` and factors ``l<i>_<j>``."""
+    parts = []
+    for c in NUMBERS:
+        h = hashed("normal", *keys, "copy", "row", f"'{c.name}'")
+        parts.append(f"sqrt(-2 * ln(1 - {unif(h)})) * cos(2 * pi() * {unif(h, 1)})")
+    return ", ".join(f"round(m{i}" + "".join(f" + l{i}_{j} * {parts[j]}" for j in range(i + 1)) + f", {digits(c)}) AS {c.name}" for i, c in enumerate(NUMBERS))
+
+
+def gaussian_rows() -> str:
+    d = len(NUMBERS)
+    cov = ", ".join(f"covar_pop({NUMBERS[i].name}, {NUMBERS[j].name}) + {num(REGULARISER) if i == j else '0e0'} AS s{i}_{j}" for i in range(d) for j in range(i + 1))
+    means = ", ".join(f"avg({c.name}) AS m{i}" for i, c in enumerate(NUMBERS))
+    rows = "(SELECT 0 AS copy, range AS row FROM range(0, (SELECT count(*) FROM pop)))"
+    return _with(POP, f"mom AS (SELECT *, {factored(d)} FROM (SELECT {means}, {cov} FROM pop))") + f"\nSELECT copy, row, {_normals([])} FROM {rows}, mom"
+
+
+def mixture_rows(steps: int) -> str:
+    d = len(NUMBERS)
+    means = ", ".join(f"m{i} * {num(SPANS[i])} + {num(MIDDLES[i])} AS m{i}" for i in range(d))
+    cov = ", ".join(f"s{i}_{j} * {num(SPANS[i] * SPANS[j])} + {num(REGULARISER) if i == j else '0e0'} AS s{i}_{j}" for i in range(d) for j in range(i + 1))
+    parts = f"parts AS (SELECT *, {factored(d)} FROM (SELECT k, c, w, sum(w) OVER (PARTITION BY k ORDER BY c) AS cdf, {means}, {cov} FROM mx{steps}))"
+    rows = f"ask AS (SELECT k, 0 AS copy, range AS row FROM (SELECT DISTINCT k FROM parts), range(0, {TENTH}))"
+    u = unif(hashed("component", "k", "copy", "row", "'component'"))
+    which = f"which AS (SELECT k, copy, row, {u} >= cdf AS second FROM ask JOIN parts USING (k) WHERE c = 0)"
+    return (
+        _with(*_mixtures(steps), parts, rows, which)
+        + f"\nSELECT k AS dataset_id, copy, row, {_normals(['k'])} FROM which JOIN parts USING (k) WHERE c = CAST(second AS INTEGER)"
+    )
+
+
 def linear_attack() -> list[str]:
     known = [n for n in NAMES if n != "total"]
     values = ", ".join(f"CAST({n if META[n].numeric else code(n, META[n].labels, True)} AS DOUBLE) AS x{i}" for i, n in enumerate(known))
@@ -169,6 +220,9 @@ def oracle_sql() -> dict[str, str]:
         "attr_linreg": _with(*linear_attack(), recursive=True)
         + "\nSELECT k AS dataset_id, id, round(guess, 2) AS guess, round(exp(-(total - guess) * (total - guess) / (2 * sigma)) / sqrt(2 * pi() * sigma) * 1e6, 5) AS likelihood FROM p",
         "linreg_sigma": _with(*linear_attack(), recursive=True) + f"\nSELECT k AS dataset_id, {slopes}, {tidy('my')} AS mean, {tidy('sigma / 1e6')} AS sigma FROM fit",
+        "synth_gaussian": gaussian_rows(),
+        "mixture_many": mixtures(6),
+        "synth_mixture_many": mixture_rows(6),
         "svc_calibration": _with(POP, tab("pop"), soft, *logistic("src", 1, 2, 10, 0.0, "wt"), recursive=True)
         + "\nSELECT k AS dataset_id, round(w[3], 6) AS slope, round(w[4], 6) AS offset FROM w10",
     }

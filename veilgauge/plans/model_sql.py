@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 
 from veilgauge.operators.forests import CUTS, DRAWS, LEAST_GAIN
+from veilgauge.operators.mixtures import SPREAD
 from veilgauge.plans.oracles import SEED, hashed, lst, num, unif
 
 
@@ -166,3 +167,44 @@ def linear(src: str, columns: list[str], y: str) -> list[str]:
         solved("lin_s", "lin_m", size),
         "lin AS (SELECT k, n, z AS beta, means, my, greatest(vy - list_dot_product(z, cy), 0) * n AS rest FROM lin_m JOIN lin_s USING (k))",
     ]
+
+
+def factored(d: int) -> str:
+    """Columns ``l<i>_<j>``: the lower triangle whose product with its transpose is ``s<i>_<j>`` (``i >= j``)."""
+    out = []
+    for i in range(d):
+        for j in range(i + 1):
+            rest = f"s{i}_{j}" + "".join(f" - l{i}_{m} * l{j}_{m}" for m in range(j))
+            out.append(f"sqrt({rest}) AS l{i}_{j}" if i == j else f"({rest}) / l{j}_{j} AS l{i}_{j}")
+    return ", ".join(out)
+
+
+def mixture(src: str, d: int, components: int, steps: int, ridge: float, seed: int = SEED) -> list[str]:
+    """CTE ``mx<steps>(k, n, fit, c, w, m<i>, s<i>_<j>)`` from ``k, id, x0, x1, …``: expectation maximisation from keyed means."""
+    low = [(i, j) for i in range(d) for j in range(i + 1)]
+    n = f"{components}"
+
+    def first(i: int) -> str:
+        parts = []
+        for j in range(i + 1):
+            u = unif(hashed("mixture", "c", str(j), seed=seed))
+            parts.append(f"l{i}_{j} * ({f'({u} + c) / {n}' if j == 0 else u} * {num(2 * SPREAD)} - {num(SPREAD)})")
+        return f"m{i} + {' + '.join(parts)} AS m{i}"
+
+    own = ", ".join([*[f"avg(x{j}) AS m{j}" for j in range(d)], *[f"covar_pop(x{i}, x{j}) + {num(ridge) if i == j else '0e0'} AS s{i}_{j}" for i, j in low]])
+    start = ", ".join([*[first(j) for j in range(d)], *[f"s{i}_{j} / ({n} * {n}) AS s{i}_{j}" for i, j in low]])
+    out = [
+        f"mx0 AS MATERIALIZED (SELECT k, c, n, 1e0 / {n} AS w, {start} FROM (SELECT *, {factored(d)} FROM (SELECT k, count(*) AS n, {own} FROM {src} GROUP BY k)), "
+        f"(SELECT range AS c FROM range(0, {n})))"
+    ]
+    for t in range(steps):
+        z = ", ".join(f"(x{i} - m{i}" + "".join(f" - l{i}_{j} * z{j}" for j in range(i)) + f") / l{i}_{i} AS z{i}" for i in range(d))
+        dens = "ln(w) - " + " - ".join(f"ln(l{i}_{i})" for i in range(d)) + " - (" + " + ".join(f"z{i} * z{i}" for i in range(d)) + f") / 2 - {d} * ln(2 * pi()) / 2"
+        xs = ", ".join(f"x{i}" for i in range(d))
+        out.append(f"md{t} AS (SELECT k, id, n, c, {xs}, {dens} AS g FROM (SELECT *, {z} FROM {src} JOIN (SELECT *, {factored(d)} FROM mx{t}) USING (k)))")
+        out.append(f"mt{t} AS (SELECT *, max(g) OVER (PARTITION BY k, id) AS top FROM md{t})")
+        out.append(f"me{t} AS (SELECT *, top + ln(total) AS ll, exp(g - top) / total AS r FROM (SELECT *, sum(exp(g - top)) OVER (PARTITION BY k, id) AS total FROM mt{t}))")
+        sums = ", ".join([*[f"sum(r * x{i}) / sum(r) AS m{i}" for i in range(d)], *[f"sum(r * x{i} * x{j}) / sum(r) AS q{i}_{j}" for i, j in low]])
+        cov = ", ".join(f"q{i}_{j} - m{i} * m{j} + {num(ridge) if i == j else '0e0'} AS s{i}_{j}" for i, j in low)
+        out.append(f"mx{t + 1} AS MATERIALIZED (SELECT *, {cov} FROM (SELECT k, c, n, avg(ll) AS fit, sum(r) / n AS w, {sums} FROM me{t} GROUP BY k, c, n))")
+    return out
