@@ -193,21 +193,49 @@ def test_a_unique_link_overrules_the_model(spark):
     assert got["0"] == (1, "linkage") and got["2"] == (0, "model")
 
 
-@pytest.mark.parametrize("blocks", [(512, 8192), (7, 11)])
-def test_nearest_equals_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize("sizes", [(512, 8192, 1024), (7, 11, 10), (3, 4, 30)])
+def test_nearest_equals_brute_force(spark, monkeypatch, sizes):
     from veilgauge.operators import neighbours
 
-    monkeypatch.setattr(neighbours, "TEST_BLOCK", blocks[0])
-    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", blocks[1])
+    for name, size in zip(("TEST_BLOCK", "TRAIN_BLOCK", "CELL_ROWS"), sizes):
+        monkeypatch.setattr(neighbours, name, size)
     rng = np.random.default_rng(4)
-    pts = rng.integers(0, 4, (60, 2)).astype(float)
+    # Ties, repeated points, one very common point and far ones.
+    pts = np.concatenate([rng.integers(0, 4, (60, 2)), np.full((30, 2), 9), rng.normal(1e6, 1, (20, 2))]).astype(float)
     df = spark.createDataFrame([(i, [float(v) for v in p], i % 3) for i, p in enumerate(pts)], "id int, features array<double>, label int")
+    odd = spark.createDataFrame([(900, None, 1), (901, [float("nan"), 1.0], 1), (902, [None, 1.0], 1)], df.schema)
     got = {}
-    for r in nearest(df, df, 5, same_table=True).collect():
+    for r in nearest(df.unionByName(odd), df.unionByName(odd), 5, same_table=True).collect():
         got.setdefault(r["id"], []).append((r["distance"], r["neighbour"]))
+    assert len(got) == len(pts)
     for i, p in enumerate(pts):
         want = sorted((float(((p - q) ** 2).sum()), j) for j, q in enumerate(pts) if j != i)[:5]
         assert sorted(got[i]) == want
+    few = {r["id"]: r["neighbour"] for r in nearest(df.where("id < 2"), df.where("id = 1"), 5, same_table=True).collect()}
+    assert few == {0: 1}
+    assert nearest(df, df.limit(0)).isEmpty() and nearest(df.limit(0), df).isEmpty()
+
+
+def test_far_blocks_are_ruled_out_before_the_shuffle(spark, monkeypatch):
+    """Of all pairs of a row and a block less than a tenth is compared when points lie in clouds."""
+    from veilgauge.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 50)
+    monkeypatch.setattr(neighbours, "TRAIN_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    pts = rng.uniform(0, 100, (40, 3))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.3, (4000, 3))
+    df = spark.createDataFrame([(i, [float(v) for v in p], 0) for i, p in enumerate(pts)], "id int, features array<double>, label int")
+    search = neighbours.Search(df)
+    blocks = search.rows.select("__ring", "__block").distinct().count()
+    exact = {}
+    for r in search.nearest(df, 5, same_table=True).collect():
+        exact.setdefault(r["id"], []).append(r["distance"])
+    tau = spark.createDataFrame([(i, max(d)) for i, d in exact.items()], "id int, __tau double")
+    late = search.visits(df.select("id", "features").join(tau, "id"), 6, False).count()
+    early = search.visits(df.select("id", "features"), 6, True).count()
+    assert blocks >= 40 and (early + late) / (4000 * blocks) < 0.1
+    dist = ((pts[:50, None, :] - pts[None, :, :]) ** 2).sum(axis=2)
+    assert all(sorted(exact[i]) == pytest.approx(sorted(dist[i])[1:6]) for i in range(50))
 
 
 def test_linear_attack_recovers_a_plane(spark):

@@ -66,7 +66,7 @@ class MembershipAttack:
             raise ValueError(f"attack {self.kind!r} is fitted for one target at a time")
         self.keys, self.id_col = tuple(keys), id_col
         if self.kind == "knn":
-            self.train = vectors.select(F.col(id_col).cast("string").alias("train_id"), "features", "label")
+            self.train = vectors.select(F.col(id_col).cast("string").alias("train_id"), clean(F.col("features")).alias("features"), "label")
             return self
         rows = durable(vectors.select(*keys, F.col(id_col).cast("string").alias("row"), clean(F.col("features")).alias("features"), F.col("label").cast("int").alias("label")))
         n, self.width = rows.agg(F.count("*"), F.max(F.size("features"))).first()
@@ -87,7 +87,7 @@ class MembershipAttack:
 
     def _neighbours(self, vectors: DataFrame, id_col: str) -> DataFrame:
         k = self.options.get("k", 5)
-        test = vectors.select(F.col(id_col).alias("test_id"), "features")
+        test = vectors.select(F.col(id_col).alias("test_id"), clean(F.col("features")).alias("features"))
         return nearest(test, self.train, k, "test_id", "train_id")
 
     def score(self, vectors: DataFrame, id_col: str = "dataset_id") -> DataFrame:

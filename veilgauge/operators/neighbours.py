@@ -1,67 +1,217 @@
-"""Exact k nearest neighbours by blocks."""
+"""Exact k nearest neighbours: blocks around pivots, ruled out by the triangle inequality before rows are sent to them.
+
+Training rows belong to their nearest pivot and, within a large cell, to a ring of distances from it. A first search of a test row's nearest ring gives a
+bound on its ``k``-th distance; then the row is sent only to rings that can hold something as near. Rings are cut into blocks of bounded size.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilgauge.operators.joining import attach, durable
+
 TEST_BLOCK, TRAIN_BLOCK = 512, 8192
+CELL_ROWS, MAX_PIVOTS, PIVOT_BYTES = 1024, 2048, 16 * 2**20
+RINGS = 64
+SLICE_CELLS = 2**21
+SLACK = 1e-9  # share of a distance by which bounds are widened against rounding
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.stack(vectors.to_numpy()).astype("float64")
+
+
+def _to_pivots(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    square = (x**2).sum(axis=1)[:, None] + (pivots**2).sum(axis=1)[None, :] - 2 * (x @ pivots.T)
+    return np.sqrt(np.maximum(square, 0))
+
+
+def _place(pivots: np.ndarray):
+    """Rows with their nearest pivot and the distance to it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if len(rows):
+                x = _matrix(rows["features"])
+                step = max(1, SLICE_CELLS // len(pivots))
+                near = np.concatenate([_to_pivots(x[i : i + step], pivots).argmin(axis=1) for i in range(0, len(x), step)])
+                yield rows.assign(__p=near.astype("int32"), __d=np.sqrt(((x - pivots[near]) ** 2).sum(axis=1)))
+
+    return run
 
 
-def _blocks(n: int, size: int) -> int:
-    return max(1, -(-n // size))
+@dataclass(frozen=True)
+class Rings:
+    """Numbered rings: pivot, least and greatest distance of their rows from it, and how many there are. There are at most ``MAX_PIVOTS * RINGS``."""
+
+    pivots: np.ndarray
+    at: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+
+    def home(self, dist: np.ndarray, k: int) -> np.ndarray:
+        """Rings that surely hold ``k`` rows within the least distance, by row."""
+        upper = dist + self.high
+        order = np.argsort(upper, axis=1, kind="stable")
+        before = np.cumsum(self.rows[order], axis=1) - self.rows[order]
+        out = np.zeros(upper.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out
+
+    def least(self, dist: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """A bound below the distance to every row of a ring, lowered by what rounding can do to distances taken from products."""
+        size = np.sqrt((x**2).sum(axis=1)) + np.sqrt((self.pivots**2).sum(axis=1).max(initial=0.0))
+        rounding = np.sqrt(8 * np.finfo(float).eps * (x.shape[1] + 4)) * size
+        return np.maximum(dist - self.high, self.low - dist) - SLACK * (dist + self.high) - rounding[:, None]
+
+
+def _choose(rings: Rings, k: int, first: bool):
+    """Test rows with the numbers of the rings to search: those at home at first, then all that the distance ``__tau`` does not rule out. In the second
+    round ``__from`` is 1 for rings whose first block has been searched."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step = max(1, SLICE_CELLS // max(len(rings.at), len(rings.pivots)))
+        for batch in batches:
+            for i in range(0, len(batch), step):
+                rows = batch.iloc[i : i + step]
+                x = _matrix(rows["features"])
+                dist = _to_pivots(x, rings.pivots)[:, rings.at]
+                home = rings.home(dist, k)
+                wanted = home if first else rings.least(dist, x) <= np.sqrt(rows["__tau"].to_numpy())[:, None]
+                row, ring = np.nonzero(wanted)
+                out = rows.drop(columns=[] if first else ["__tau"]).iloc[row]
+                yield out.assign(__ring=ring.astype("int32"), __from=np.zeros(len(row), "int32") if first else home[row, ring].astype("int32"))
+
+    return run
 
 
 def _nearest(k: int, test_id: str, train_id: str, same_table: bool):
-    """Grouped function: the ``k`` closest training rows of one block for each test row of one block."""
+    """Grouped function: the ``k`` closest training rows of one block for each test row of one chunk. One matrix product finds those that can be among
+    them; their distances are then computed as differences."""
 
     def search(key, test: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(test) and len(train):
-            points = np.stack(train["features"].to_numpy()).astype("float64")
+            points, asked = _matrix(train["features"]), _matrix(test["features"])
             ids, labels = train[train_id].to_numpy(), train["label"].to_numpy()
-            for tid, vec in zip(test[test_id], test["features"]):
-                dist = ((points - np.asarray(vec, dtype="float64")) ** 2).sum(axis=1)
-                if same_table:
-                    dist = np.where(ids == tid, np.inf, dist)
-                take = min(k, len(dist))
-                edge = np.partition(dist, take - 1)[take - 1]
-                near = np.flatnonzero((dist <= edge) & np.isfinite(dist))
-                near = near[np.lexsort((ids[near], dist[near]))][:k]
-                out += [(tid, ids[i], dist[i], labels[i]) for i in near]
+            norms = (points**2).sum(axis=1)
+            for start in range(0, len(asked), TEST_BLOCK):
+                part = asked[start : start + TEST_BLOCK]
+                own = (part**2).sum(axis=1)
+                rough = own[:, None] + norms[None, :] - 2 * (part @ points.T)
+                for vec, tid, size, near in zip(part, test[test_id].to_numpy()[start:], own, rough):
+                    if same_table:
+                        near = np.where(ids == tid, np.inf, near)
+                    take = min(k, len(near))
+                    edge = np.partition(near, take - 1)[take - 1]
+                    some = np.flatnonzero((near <= edge + SLACK * (size + norms.max())) & np.isfinite(near))
+                    dist = ((points[some] - vec) ** 2).sum(axis=1)
+                    best = np.lexsort((ids[some], dist))[:k]
+                    out += [(tid, ids[some[i]], dist[i], labels[some[i]]) for i in best]
         return pd.DataFrame(out, columns=[test_id, "neighbour", "distance", "label"])
 
     return search
 
 
+def _usable(df: DataFrame) -> DataFrame:
+    x = F.col("features")
+    return df.where(x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
+
+
+def _block(row_id: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit("block"), row_id), F.col("__subs")).cast("int")
+
+
+class Search:
+    """Training rows ``train_id, features, label`` placed in rings, ready to be searched by any number of test rows."""
+
+    def __init__(self, train: DataFrame, train_id: str = "id"):
+        train = durable(_usable(train.select(train_id, "features", "label")))
+        self.spark, self.train_id, self.schema = train.sparkSession, train_id, train.schema
+        self.n, width = train.agg(F.count("*"), F.max(F.size("features"))).first()
+        if self.n <= TRAIN_BLOCK:
+            self.rows = train  # one block, nothing to rule out
+            return
+        wanted = min(MAX_PIVOTS, -(-self.n // CELL_ROWS), max(1, PIVOT_BYTES // (8 * max(width, 1))))
+        # A bounded number of rows in the order of a hash of their ids.
+        drawn = train.select("features", F.xxhash64(train_id).alias("h"), train_id).orderBy("h", train_id).limit(wanted).collect()
+        pivots = np.unique(np.array([r["features"] for r in drawn], dtype="float64").reshape(len(drawn), -1), axis=0)
+        placed = durable(train.mapInPandas(_place(pivots), T.StructType([*train.schema.fields, T.StructField("__p", T.IntegerType()), T.StructField("__d", T.DoubleType())])))
+        cuts = F.percentile_approx("__d", F.array(*[F.lit(i / RINGS) for i in range(1, RINGS)]), 10000)
+        cells = placed.groupBy("__p").agg(F.count("*").alias("__n"), cuts.alias("__cuts"))
+        # As few of the cuts as leave about a block to a ring.
+        every = F.greatest(F.lit(1), F.floor(F.lit(RINGS * TRAIN_BLOCK) / F.col("__n"))).cast("int")
+        cells = cells.select("__p", F.filter("__cuts", lambda c, i: (i + 1) % every == 0).alias("__cuts"))
+        placed = attach(placed, cells, ["__p"], "inner", len(pivots), 8 * RINGS + 64)
+        placed = durable(placed.withColumn("__r", F.size(F.filter("__cuts", lambda c: c < F.col("__d")))).drop("__cuts"))
+        found = placed.groupBy("__p", "__r").agg(F.min("__d").alias("low"), F.max("__d").alias("high"), F.count("*").alias("rows")).orderBy("__p", "__r").collect()
+        self.rings = Rings(pivots, *[np.array([r[c] for r in found]) for c in ("__p", "low", "high", "rows")])
+        numbers = [(r["__p"], r["__r"], i, -(-r["rows"] // TRAIN_BLOCK)) for i, r in enumerate(found)]
+        self.numbers = self.spark.createDataFrame(numbers, "__p int, __r int, __ring int, __subs int")
+        self.rows = durable(attach(placed, self.numbers, ["__p", "__r"], "inner", len(found)).withColumn("__block", _block(train_id)).drop("__p", "__r", "__d", "__subs"))
+
+    def visits(self, test: DataFrame, k: int, first: bool) -> DataFrame:
+        """``test`` with ``__ring, __block`` for each block that a row has to be compared with; ``k`` counts the row itself if it is in the table."""
+        fields = [f for f in test.schema.fields if f.name != "__tau"] + [T.StructField("__ring", T.IntegerType()), T.StructField("__from", T.IntegerType())]
+        sent = attach(test.mapInPandas(_choose(self.rings, k, first), T.StructType(fields)), self.numbers.select("__ring", "__subs"), ["__ring"], "inner", len(self.rings.at))
+        last = F.lit(0) if first else F.col("__subs") - 1
+        blocks = F.when(F.col("__from") <= last, F.sequence(F.col("__from"), F.greatest(last, F.col("__from"))))
+        return sent.withColumn("__block", F.explode(blocks)).drop("__from", "__subs")
+
+    def compare(self, visits: DataFrame, k: int, test_id: str, same_table: bool) -> DataFrame:
+        """The ``k`` best of each visited block by test row. A block that many rows visit is searched by several tasks."""
+        visits = durable(visits)
+        on = ["__ring", "__block"]
+        chunks = visits.groupBy(*on).agg(F.ceil(F.count("*") / (8 * TEST_BLOCK)).cast("int").alias("__chunks"))
+        chunks = durable(chunks)
+        return self._meet(attach(visits, chunks, on, "inner"), attach(self.rows, chunks, on, "inner"), on, k, test_id, same_table)
+
+    def _meet(self, test: DataFrame, train: DataFrame, on: list[str], k: int, test_id: str, same_table: bool) -> DataFrame:
+        """The ``k`` best among training rows of equal ``on``; test rows are dealt to ``__chunks`` tasks."""
+        left = test.withColumn("__chunk", F.pmod(F.xxhash64(test_id), F.col("__chunks")).cast("int"))
+        right = train.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.col("__chunks") - 1)))
+        by = [*on, "__chunk"]
+        found = left.groupBy(*by).cogroup(right.groupBy(*by))
+        return found.applyInPandas(_nearest(k, test_id, self.train_id, same_table), self._fields(test, test_id))
+
+    def _fields(self, test: DataFrame, test_id: str) -> T.StructType:
+        fields = [T.StructField(test_id, test.schema[test_id].dataType), T.StructField("neighbour", self.schema[self.train_id].dataType)]
+        return T.StructType([*fields, T.StructField("distance", T.DoubleType()), T.StructField("label", self.schema["label"].dataType)])
+
+    def nearest(self, test: DataFrame, k: int, test_id: str = "id", same_table: bool = False) -> DataFrame:
+        test = _usable(test.select(test_id, "features"))
+        if self.n <= TRAIN_BLOCK:
+            chunks = F.lit(max(1, -(-test.count() // (2 * TEST_BLOCK)))).alias("__chunks")
+            both = self._meet(test.select("*", chunks), self.rows.select("*", chunks), [], k, test_id, same_table)
+        else:
+            both = self._rounds(durable(test), k, test_id, same_table)
+        merged = both.groupBy(test_id).agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "label"))), 1, k).alias("n"))
+        return merged.select(test_id, F.inline("n"))
+
+    def _rounds(self, test: DataFrame, k: int, test_id: str, same_table: bool) -> DataFrame:
+        """The best of all blocks at home, then of all that the distances found there do not rule out."""
+        reach = k + 1 if same_table else k
+        early = durable(self.compare(self.visits(test, reach, True), k, test_id, same_table))
+        tau = early.groupBy(test_id).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("distance")).alias("d"))
+        tau = tau.select(test_id, F.when(F.col("n") >= k, F.element_at(F.slice("d", k, 1), 1)).alias("__tau"))
+        asked = test.join(tau, test_id, "left").withColumn("__tau", F.coalesce("__tau", F.lit(float("inf"))))
+        return early.unionByName(self.compare(self.visits(asked, reach, False), k, test_id, same_table))
+
+
 def nearest(test: DataFrame, train: DataFrame, k: int = 5, test_id: str = "id", train_id: str = "id", same_table: bool = False) -> DataFrame:
     """``test_id, neighbour, distance, label`` of the ``k`` nearest training rows (squared distance, smaller id on ties).
 
-    Both sides are hashed into blocks and every pair of blocks is one task of bounded size. A task returns only its
-    ``k`` best per test row, and these are merged, so pairs are never materialised. With ``same_table`` a row is not its
-    own neighbour.
+    With ``same_table`` a row is not its own neighbour. Ids are unique. Rows without a vector, or with one that holds a null or a number that is not finite, take no part.
     """
-    a, b = _blocks(test.count(), TEST_BLOCK), _blocks(train.count(), TRAIN_BLOCK)
-    left = test.select(test_id, "features").withColumn("__a", F.pmod(F.xxhash64(test_id), F.lit(a)).cast("int"))
-    left = left.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
-    right = train.select(train_id, "features", "label").withColumn("__b", F.pmod(F.xxhash64(train_id), F.lit(b)).cast("int"))
-    right = right.withColumn("__a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
-    schema = T.StructType(
-        [
-            T.StructField(test_id, test.schema[test_id].dataType),
-            T.StructField("neighbour", train.schema[train_id].dataType),
-            T.StructField("distance", T.DoubleType()),
-            T.StructField("label", train.schema["label"].dataType),
-        ]
-    )
-    best = left.groupBy("__a", "__b").cogroup(right.groupBy("__a", "__b")).applyInPandas(_nearest(k, test_id, train_id, same_table), schema)
-    merged = best.groupBy(test_id).agg(F.slice(F.sort_array(F.collect_list(F.struct("distance", "neighbour", "label"))), 1, k).alias("n"))
-    return merged.select(test_id, F.inline("n"))
+    return Search(train, train_id).nearest(test, k, test_id, same_table)
 
 
 def vote(neighbours: DataFrame, test_id: str = "id") -> DataFrame:
