@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from veilgauge.operators import evaluate
 from veilgauge.plans.games import GameConfig, publishers_from
-from veilgauge.plans.population import META
-from veilgauge.sources import results
+from veilgauge.plans.population import META, WIDE
+from veilgauge.sources import results, tables
 
 FACTS = [("d", "t1", "M", "0", "Naive", s, g) for s, g in ((0, 1), (0, 0), (1, 1), (1, 1))] + [("d", "t2", "M", "0", "Naive", 0, 0)]
 SCHEMA = "dataset string, target_id string, model string, run string, feature_set string, secret int, guess int"
@@ -98,6 +98,16 @@ def test_run_configurations():
         GameConfig.from_dict({"sensitiveAttributes": {"total": "Guess"}}, META)
 
 
+def test_metadata_through_a_folder(spark, tmp_path):
+    tables.write_meta(spark, WIDE, str(tmp_path / "meta"))
+    assert tables.read_meta(spark, str(tmp_path / "meta")) == WIDE
+    (tmp_path / "one.json").write_text(json.dumps(META.to_dict(), indent=2))
+    assert tables.read_meta(spark, str(tmp_path / "one.json")) == META
+    with pytest.raises(ValueError):
+        tables.write_meta(spark, META, str(tmp_path / "meta"), "append")
+        tables.read_meta(spark, str(tmp_path / "meta"))
+
+
 def test_utility_means(spark):
     cols = "dataset string, task string, model string, run int, target_id string, record_id string, score double"
     facts = spark.createDataFrame([("d", "t", "m", 0, "OUT", r, s) for r, s in (("a", 1.0), ("a", 0.0), ("b", 1.0), ("b", 1.0))], cols)

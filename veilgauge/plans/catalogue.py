@@ -25,7 +25,7 @@ from veilgauge.operators.mixtures import Mixture
 from veilgauge.operators.neighbours import nearest, vote
 from veilgauge.operators.predict import PredictTask
 from veilgauge.plans import games
-from veilgauge.plans.population import META, PRIORITY, SEGMENT, population, population_nulls, table, as_tables
+from veilgauge.plans.population import META, PRIORITY, SEGMENT, WIDE, order_lines, population, population_nulls, table, as_tables
 from veilgauge.sources import results, tables
 
 QUIDS = ("status", "priority", "segment", "year")
@@ -332,6 +332,29 @@ def nmi_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b", F.round("nmi", 9).alias("nmi"))
 
 
+def _wide_meta(spark) -> TableMeta:
+    """The metadata of the order lines as a user has it: read from a file."""
+    path = scratch(spark, "meta")
+    tables.write_meta(spark, WIDE, path)
+    return tables.read_meta(spark, path)
+
+
+def wide_nmi_pairs(spark, sf_dir):
+    """All pairs of sixteen columns, whose domains are too many to count whole rows first."""
+    meta = _wide_meta(spark)
+    binning = distributions.Binning(meta, 10)
+    pairs = information.normalised(information.pair_information(binning.compact(order_lines(spark, sf_dir)), len(meta), binning.radix))
+    names = enc.literal_array(meta.names)
+    return pairs.select(F.element_at(names, F.col("i") + 1).alias("a"), F.element_at(names, F.col("j") + 1).alias("b"), F.round("mi", 9).alias("mi"), F.round("nmi", 9).alias("nmi"))
+
+
+def wide_distribution(spark, sf_dir):
+    meta = _wide_meta(spark)
+    df = order_lines(spark, sf_dir).withColumn("dataset_id", F.col("returned"))
+    made = features.histogram(df, meta, KEYS)
+    return made.select("dataset_id", F.posexplode("features").alias("cell", "n")).select("dataset_id", "cell", F.col("n").cast("bigint").alias("n"))
+
+
 def mi_degree2(spark, sf_dir):
     binning, coded = _info_coded(spark, sf_dir)
     d = len(INFO_COLUMNS)
@@ -781,7 +804,7 @@ _PLAIN = [
     load_results_linkage, encode_onehot, encode_scaled, encode_inferred_ranges, decode_scaled, bin_quids, bin_edges,
     bin_encode, camel_names, candidate_key, impute, impute_null_table, quantiles_refined, sanitise_cap, sanitise_drop, sanitise_rare,
     sanitise_k_anonymity, sanitise_full, sample_members, drop_targets, game_members, shadow_members, new_categories,
-    hist_distribution, cat_distribution, cdf, attr_profile, freq_full_domain, normalise, mi_pairs, nmi_pairs, mi_degree2,
+    hist_distribution, cat_distribution, cdf, attr_profile, freq_full_domain, normalise, mi_pairs, nmi_pairs, wide_nmi_pairs, wide_distribution, mi_degree2,
     feat_naive, feat_naive_array, feat_histogram, feat_histogram_sorted, feat_corr, corr_features, feat_bayes,
     feat_ensemble, synth_hist, publish_roundtrip, bayes_structure, cpt_fit, synth_bayes, synth_bayes_many, privbayes_counts,
     synth_privbayes, exp_mechanism, synth_gaussian, mixture_many, synth_mixture_many, link_unique_member, link_unique_attribute, linkage_gain,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from itertools import combinations
 
 from veilgauge.meta import INTEGER, TableMeta, bin_labels
 from veilgauge.operators import features
 from veilgauge.plans.catalogue import INFO_COLUMNS, LINK_ON, NETWORK, QUIDS, SEED
-from veilgauge.plans.population import META, PRIORITY, SEGMENT
+from veilgauge.plans.population import META, PRIORITY, SEGMENT, WIDE
 
 NAMES = META.names
 DISCRETE = [c.name for c in META.discrete]
@@ -318,10 +319,10 @@ def naive_parts() -> list[str]:
     return out
 
 
-def histogram_parts(offset: int = 0, by_count: bool = False) -> list[str]:
+def histogram_parts(offset: int = 0, by_count: bool = False, meta: TableMeta = META) -> list[str]:
     out, at = [], offset
     tables = "(SELECT DISTINCT dataset_id FROM tab)"
-    for c in [*META.numeric, *META.discrete]:
+    for c in [*meta.numeric, *meta.discrete]:
         if c.numeric:
             e = [c.low + i * (c.high - c.low) / BINS for i in range(BINS)] + [c.high]
             b = f"CASE WHEN {c.name} >= {num(e[0])} AND {c.name} <= {num(e[-1])} THEN {steps(c.name, e[1:-1], '>')} END"
@@ -520,6 +521,32 @@ def camel(x: str) -> str:
     return f"CASE WHEN contains({x}, '_') THEN {join('_')} WHEN contains({x}, '-') THEN {join('-')} ELSE {x} END"
 
 
+# Names with a space get an underscore in SQL.
+WIDE_PLAIN = TableMeta(tuple(replace(c, name=c.name.replace(" ", "_")) for c in WIDE.columns))
+LINES = POP + """,
+lines AS (
+  SELECT pop.*, CAST(l_linenumber AS BIGINT) AS line, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount, l_tax AS tax,
+         l_returnflag AS returned, l_linestatus AS line_status, CAST(month(l_shipdate) AS VARCHAR) AS ship_month, CAST(s_nationkey AS VARCHAR) AS supplier_nation
+  FROM lineitem JOIN pop ON l_orderkey = id JOIN supplier ON l_suppkey = s_suppkey)"""
+
+
+def wide_information() -> str:
+    codes = ", ".join(f"{bin_code(c, True)} AS b_{c.name}" for c in WIDE_PLAIN.columns)
+    nmi = "round(CASE WHEN hx + hy > 0 THEN 2 * mi / (hx + hy) ELSE 1e0 END, 9)"
+    return (
+        f"WITH {LINES}, coded AS (SELECT {codes} FROM lines), {information(WIDE_PLAIN.names)} "
+        f"SELECT replace(a, '_', ' ') AS a, replace(b, '_', ' ') AS b, round(mi, 9) AS mi, {nmi} AS nmi FROM info"
+    )
+
+
+def wide_cells() -> str:
+    """Counts of each cell of the histogram features, for one table for each kind of return."""
+    return (
+        f"WITH {LINES}, tab AS (SELECT *, returned AS dataset_id FROM lines), f AS ({' UNION ALL '.join(histogram_parts(meta=WIDE_PLAIN))}) "
+        "SELECT dataset_id, CAST(feature_idx AS INTEGER) AS cell, CAST(value AS BIGINT) AS n FROM f"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
     cols = ", ".join(NAMES)
@@ -718,6 +745,8 @@ def oracle_sql() -> dict[str, str]:
         f"WITH {POP}, {UTIL_FACTS} SELECT dataset, task, model, run, target_id, record_id, round(avg(score), 9) AS accuracy, 'record' AS level FROM facts GROUP BY ALL "
         "UNION ALL SELECT dataset, task, model, run, target_id, 'all' AS record_id, round(avg(score), 9), 'total' FROM facts GROUP BY ALL"
     )
+    q["wide_nmi_pairs"] = wide_information()
+    q["wide_distribution"] = wide_cells()
     q["load_results_totals"] = (
         f"WITH {POP}, {UTIL_FACTS}, runs AS (SELECT dataset, task, model, run, target_id, avg(score) AS accuracy FROM facts GROUP BY ALL) "
         "SELECT dataset, 'RandomForestClassifier' AS prediction_model, task AS label_var, model, target_id, count(*) AS runs, "

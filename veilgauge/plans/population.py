@@ -60,3 +60,32 @@ def population_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def as_tables(df: DataFrame) -> DataFrame:
     """The population as several tables: one ``dataset_id`` per order status and order year parity."""
     return df.withColumn("dataset_id", F.concat_ws("-", "status", (F.col("year") % 2).cast("string")))
+
+
+# Label domains and ranges of the order lines, a table too wide to be counted by whole rows.
+NATIONS = tuple(str(i) for i in range(25))
+WIDE = TableMeta(
+    (
+        *META.columns,
+        ColumnMeta("line", INTEGER, 1, 7),
+        ColumnMeta("quantity", FLOAT, 1, 50),
+        ColumnMeta("price", FLOAT, 900, 105000),
+        ColumnMeta("discount", FLOAT, 0, 0.1),
+        ColumnMeta("tax", FLOAT, 0, 0.08),
+        ColumnMeta("returned", CATEGORICAL, labels=("A", "N", "R")),
+        ColumnMeta("line status", CATEGORICAL, labels=("F", "O")),
+        ColumnMeta("ship month", ORDINAL, labels=tuple(str(i) for i in range(1, 13))),
+        ColumnMeta("supplier nation", CATEGORICAL, labels=NATIONS),
+    )
+)
+
+
+def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with the order, its customer and the supplier's nation; some names hold a space."""
+    line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    df = line.join(population(spark, sf_dir), line.l_orderkey == F.col("id")).join(supplier, line.l_suppkey == supplier.s_suppkey)
+    return df.select(
+        *META.names, F.col("l_linenumber").cast("bigint").alias("line"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("price"),
+        F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("returned"), F.col("l_linestatus").alias("line status"),
+        F.month("l_shipdate").cast("string").alias("ship month"), F.col("s_nationkey").cast("string").alias("supplier nation"),
+    )

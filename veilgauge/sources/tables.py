@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -161,3 +162,16 @@ def publish(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequen
 def split(df: DataFrame, train: str, test: str) -> tuple[DataFrame, DataFrame]:
     """Train and test rows from two SQL filter texts."""
     return df.where(F.expr(train)), df.where(F.expr(test))
+
+
+def write_meta(spark: SparkSession, meta: TableMeta, path: str, mode: str = "error") -> None:
+    """Metadata as one JSON document in a folder that all of a cluster can read."""
+    spark.createDataFrame([(json.dumps(meta.to_dict()),)], "value string").coalesce(1).write.mode(mode).text(path)
+
+
+def read_meta(spark: SparkSession, path: str) -> TableMeta:
+    """Metadata from a JSON file, or a folder with one, on any file system that Spark reads."""
+    documents = [r[0] for r in spark.read.text(path, wholetext=True).collect() if r[0].strip()]
+    if len(documents) != 1:
+        raise ValueError(f"{path} holds {len(documents)} metadata documents")
+    return TableMeta.from_dict(json.loads(documents[0]))
