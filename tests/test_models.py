@@ -185,6 +185,15 @@ def test_membership_attack_separates(spark, kind):
             MembershipAttack(kind).fit(df.withColumn("target_id", F.lit("a")), keys=["target_id"])
 
 
+@pytest.mark.parametrize("members, others", [(12, 0), (0, 6), (1, 9)])
+def test_confidence_of_margins_of_one_kind(spark, members, others):
+    data = [(str(i), [float(i), float(i < members)], int(i < members)) for i in range(members + others)]
+    df = spark.createDataFrame(data, "dataset_id string, features array<double>, label int")
+    got = {r["label"]: r["confidence"] for r in MembershipAttack("svc", 1, {"maxIter": 5}).fit(df).confidence(df).collect()}
+    p = (members + 1) / (members + others + 2)
+    assert got == {k: pytest.approx(v) for k, v, n in ((1, p, members), (0, 1 - p, others)) if n}
+
+
 def test_a_unique_link_overrules_the_model(spark):
     df = spark.createDataFrame([(str(i), [float(i % 2)], i % 2) for i in range(20)], "dataset_id string, features array<double>, label int")
     attack = MembershipAttack("forest", 1, {"numTrees": 5, "maxDepth": 3}).fit(df)
