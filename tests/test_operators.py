@@ -256,3 +256,32 @@ def test_inferred_metadata(spark, sf_dir):
         tables.infer_metadata(population(spark, sf_dir).select("segment"), max_labels=2)
     many = spark.range(200_000).select(F.concat(F.lit("v"), "id").alias("c"))
     assert tables.profile_columns(many).first()["size"] == 200_000
+
+
+def test_pairs_are_counted_in_tasks_and_equal_plain_counts(spark):
+    import math
+    from collections import Counter
+
+    from veilgauge.operators.information import pair_information
+
+    rows = [([i % 3, None if i % 7 == 0 else i % 4, (i * i) % 5], 1 + i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "bins array<int>, n bigint").repartition(3)
+    for frame, times in ((df, True), (df.drop("n"), False)):
+        out = pair_information(frame, 3, 5)
+        assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        found = {(r["i"], r["j"]): (r["mi"], r["hx"], r["hy"]) for r in out.collect()}
+        assert set(found) == {(0, 1), (0, 2), (1, 2)}
+        for (i, j), got in found.items():
+            joint = Counter()
+            for bins, n in rows:
+                if bins[i] is not None and bins[j] is not None:
+                    joint[bins[i], bins[j]] += n if times else 1
+            total, x, y = sum(joint.values()), Counter(), Counter()
+            for (a, b), n in joint.items():
+                x[a] += n
+                y[b] += n
+            mi = sum(n / total * math.log(n * total / (x[a] * y[b])) for (a, b), n in joint.items())
+            want = (mi, *(-sum(n / total * math.log(n / total) for n in c.values()) for c in (x, y)))
+            assert got == pytest.approx(want)
+    none = pair_information(df.where("false"), 3, 5)
+    assert none.count() == 0
