@@ -202,6 +202,19 @@ def test_a_unique_link_overrules_the_model(spark):
     assert got["0"] == (1, "linkage") and got["2"] == (0, "model")
 
 
+def test_rows_are_sent_to_many_rings_in_small_batches():
+    import pandas as pd
+
+    from veilgauge.operators import neighbours
+
+    rings = neighbours.Rings(np.zeros((1, 64)), np.zeros(400, int), np.zeros(400), np.ones(400), np.ones(400, int))
+    batch = pd.DataFrame({"id": range(200), "features": list(np.full((200, 64), 0.5)), "__tau": np.inf})
+    sent = list(neighbours._choose(rings, 5, False)([batch]))
+    assert sum(map(len, sent)) == 200 * 400
+    assert max(map(len, sent)) * 64 * 8 <= 8 * 2**20
+    assert pd.concat(sent).groupby("__ring")["id"].nunique().eq(200).all()
+
+
 @pytest.mark.parametrize("sizes", [(512, 8192, 1024), (7, 11, 10), (3, 4, 30)])
 def test_nearest_equals_brute_force(spark, monkeypatch, sizes):
     from veilgauge.operators import neighbours
