@@ -355,3 +355,27 @@ def test_first_cut_is_the_best_gini_cut(spark):
         best = max(((value(f, b), -f, -b) for f in range(3) for b in range(5)))
         assert (s.f, s.cut, s.node, s.leaf) == ([-best[1]], [-best[2]], [1], [2, 3])
     assert len(trees) == 3
+
+
+def test_forests_of_scans_and_of_rows_are_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    data = [(k, str(i), [float(rng.integers(0, 50)), None if i % 11 == 0 else float(rng.normal()), float(i % 3)], int(rng.integers(0, 3))) for k in ("a", None) for i in range(150)]
+    data += [("empty", "0", [None, None, None], 1)]
+    df = spark.createDataFrame(data, "k string, row string, features array<double>, label int").repartition(3)
+    got = []
+    # Scans only, scans and then rows, rows only.
+    for trees, cells in ((4096, 2**23), (4096, 3 * 4 * 2 * 33 * 3), (0, 0)):
+        monkeypatch.setattr(forests, "SCAN_TREES", trees)
+        monkeypatch.setattr(forests, "SCAN_CELLS", cells)
+        found = forests.grow(df, ["k"], 3, 3, 3, 3, 5, per_node=2).trees
+        got.append(sorted((tuple(map(str, r)) for r in found.collect())))
+    assert got[0] == got[1] == got[2] and len(got[0]) >= 6
+
+
+def test_scanned_forests_do_not_repeat_rows_for_trees(spark, monkeypatch):
+    seen = []
+    keep = forests.durable
+    monkeypatch.setattr(forests, "durable", lambda df: seen.append(keep(df)) or seen[-1])
+    df = spark.range(400).selectExpr("string(id) row", "array(double(id % 7), double(id % 5)) features", "int(id % 2) label")
+    forests.grow(df, [], 2, 2, 10, 3, 1)
+    assert max(x.count() for x in seen) == 400
