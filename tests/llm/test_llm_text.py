@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -166,6 +167,44 @@ def test_near_duplicates_like_plain(make_docs):
     assert sorted((tuple(r) for r in got), key=str) == plain_groups(rows, 4, 80)
 
 
+def test_bands_of_single_nodes_are_not_sorted(spark, make_docs, monkeypatch):
+    plans, plain = [], minhash_dedup.staged
+
+    def record(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df)
+
+    monkeypatch.setattr(minhash_dedup, "staged", record)
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 40, 5000)) for i in range(600)]
+    rows += [(1000, rows[0][1] + " more"), (1001, rows[1][1])]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20000")  # below the size of 600 nodes with 32 bands
+    try:
+        got = minhash_dedup.near_duplicates(make_docs(rows), k=4, percent=80).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((tuple(r) for r in got), key=str) == plain_groups(rows, 4, 80)
+    bucketed = [p for p in plans if "explode(bands" in p and "Join" in p]
+    assert len(bucketed) == 1 and "BroadcastHashJoin" in bucketed[0] and "SortMergeJoin" not in bucketed[0]
+
+
+def test_memory_of_a_batch_of_sketches():
+    rng = random.Random(10)
+    texts = [prose(rng, 300, 5000) for _ in range(2000)]
+    ids = pa.array(range(len(texts)), pa.int64())
+    batch = pa.record_batch([ids, ids, pa.array(texts, pa.string())], names=["doc_id", "key", "text"])
+    assert batch.column("text").nbytes > 2**21
+    run = minhash_dedup._sketches(4)
+    list(run([batch.slice(0, 10)]))
+    tracemalloc.start()
+    for _ in run([batch]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * 2**20
+
+
 def test_large_group_around_the_threshold(make_docs, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "BLOCK_NODES", 16)
     rng = random.Random(6)

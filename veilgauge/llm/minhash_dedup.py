@@ -31,6 +31,7 @@ from veilgauge.llm.textscan import mix, pieces, seeds, shingle_sets
 BINS, BAND_SIZE = 128, 4
 ROUNDS = 2
 BLOCK_NODES = 256
+SKETCH_BYTES = 2**20  # text sketched at once; a worker's memory goes with it
 COLUMNS = 4096
 U = np.uint64
 _ROUND_SEEDS = seeds(BINS, 11)
@@ -86,7 +87,7 @@ def _node(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _sketches(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, limit=SKETCH_BYTES):
                 values, owner, first = shingle_sets(piece.column("text"), k, True)
                 size = np.diff(first)
                 empty = size == 0
@@ -234,7 +235,8 @@ def _labelled(rows: DataFrame, comps: DataFrame | None) -> DataFrame:
 def near_links(nodes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """``node, comp`` of all nodes with a link. ``nodes``: node, bands, and doc_id and key of one row that has the set."""
     hits = nodes.select("node", F.explode("bands").alias("band"))
-    shared = hits.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    # Staged first: few of all bands are shared, and a small table spares the join the sort of 32 rows for each node.
+    shared = staged(hits.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band"))
     members = staged(hits.join(shared, "band"))
     wanted = members.select("node").distinct()
     rows = nodes.select("node", "doc_id", "key").join(wanted, "node")

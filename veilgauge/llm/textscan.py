@@ -73,8 +73,8 @@ WORD_OR_PUNCT = SPACED.copy()
 WORD_OR_PUNCT[_PUNCT] = 2
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with at most ``PIECE_BYTES`` of text and ``PIECE_DOCS`` rows, or one row with more text."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with at most ``limit`` bytes of text and ``PIECE_DOCS`` rows, or one row with more text."""
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -82,7 +82,7 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
     at = 0
     while at < batch.num_rows:
         before = total[at] - size[at]
-        end = int(np.searchsorted(total, before + PIECE_BYTES, side="right"))
+        end = int(np.searchsorted(total, before + limit, side="right"))
         end = min(max(end, at + 1), at + PIECE_DOCS, batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
