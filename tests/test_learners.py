@@ -222,3 +222,25 @@ def test_draws_are_permutations(spark):
     assert "Generate explode" not in plan
     with pytest.raises(ValueError):
         sampling.draw(df, 2001, 3)
+
+
+def test_positions_are_permuted_as_by_a_plain_network(spark):
+    import hashlib
+
+    from veilgauge.operators import sampling
+
+    def plain(draw, position, total):
+        half = max(1, -(-max(total - 1, 1).bit_length() // 2))
+        value, mask = position, 2**half - 1
+        while True:
+            left, right = value >> half, value & mask
+            for i in range(4):
+                left, right = right, left ^ (int(hashlib.md5(f"7:x:{draw}:{i}:{right}".encode()).hexdigest()[:12], 16) & mask)
+            value = left << half | right
+            if value < total:
+                return value
+
+    for total in (1, 2, 5, 17, 64, 65, 70_000):
+        rows = spark.range(min(total, 80)).selectExpr("cast(id % 2 as int) d", "id", "id p")
+        got = sampling.permuted(rows, "p", total, 7, "x", "d").collect()
+        assert {(r.id, r.p) for r in got} == {(r.id, plain(r.d, r.id, total)) for r in got} and len(got) == min(total, 80)
