@@ -260,6 +260,81 @@ def test_far_blocks_are_ruled_out_before_the_shuffle(spark, monkeypatch):
     assert all(sorted(exact[i]) == pytest.approx(sorted(dist[i])[1:6]) for i in range(50))
 
 
+def _plain_nearest(rows, k):
+    out = {}
+    for a, x, _ in rows:
+        if x is not None:
+            d = sorted(((((np.array(x) - np.array(y)) ** 2).sum(), b, lab) for b, y, lab in rows if y is not None and a != b), key=lambda r: (r[0], r[1]))
+            out[a] = sorted([*out.get(a, []), *d[:k]], key=lambda r: (r[0], r[1]))[:k]
+    return out
+
+
+@pytest.mark.parametrize("few", [0, 256])
+def test_nearest_by_packs_equals_brute_force(spark, monkeypatch, few):
+    """Clouds, far points, a point more common than a pack is large, ids that come twice, labels that are null; packs sent to each other and read in place."""
+    from veilgauge.operators import neighbours
+
+    for name, size in (("TRAIN_BLOCK", 20), ("CELL_ROWS", 10), ("PACK_ROWS", 25), ("FEW_TASKS", few), ("SPARSE", 1)):
+        monkeypatch.setattr(neighbours, name, size)
+    rng = np.random.default_rng(8)
+    pts = np.concatenate([rng.integers(-50, 50, (12, 3))[rng.integers(0, 12, 150)] + rng.normal(0, 0.1, (150, 3)), np.full((70, 3), 7.0), rng.normal(0, 1e6, (10, 3))])
+    rows = [(f"r{i:03}", [float(v) for v in p], None if i % 7 == 0 else i % 3) for i, p in enumerate(pts)]
+    rows += rows[:160:40] + [("none", None, 1)]
+    df = spark.createDataFrame(rows, "id string, features array<double>, label int").repartition(5)
+    asked = {}
+    for r in nearest(df, df, 4, same_table=True).collect():
+        asked.setdefault(r["id"], []).append((r["distance"], r["neighbour"], r["label"]))
+    want = _plain_nearest(rows, 4)
+    assert asked.keys() == want.keys()
+    for key, got in asked.items():
+        assert [(d, b, lab) for d, b, lab in sorted(got, key=lambda r: r[:2])] == want[key], key
+    # Rows of another table, ids that are the same by chance.
+    other = df.where("features is not null").dropDuplicates(["id"]).select("id", "features")
+    found = nearest(other.limit(30), df, 1)
+    assert found.count() == 30 and found.where("distance > 0").isEmpty()
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e7), (1e-25, 0.0), (1e30, 0.0), (1e-3, -1.0)])
+def test_single_precision_only_finds_candidates(scale, offset):
+    from veilgauge.operators import neighbours
+
+    rng = np.random.default_rng(9)
+    points = offset + scale * np.concatenate([rng.normal(0, 1, (300, 6)), np.repeat(rng.normal(0, 1, (20, 6)), 10, axis=0)])
+    n = len(points)
+    codes, rank = np.arange(n), np.arange(n)[::-1]
+    plain = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+    plain[codes, codes] = np.inf
+    for tau in (np.full(n, np.inf), np.sort(plain, axis=1)[:, 5], np.sort(plain, axis=1)[:, 40]):
+        blocks = neighbours._best(5, points, tau, lambda start, part: np.ones((len(part), 1), bool), points, np.zeros(n, int), rank, (codes, codes), 64)
+        row, pos, dist = (np.concatenate(parts) for parts in zip(*blocks))
+        want = [np.lexsort((rank, plain[i]))[:5] for i in range(n)]
+        assert (row == np.repeat(codes, 5)).all() and (pos == np.concatenate(want)).all()
+        assert (dist == plain[row, pos]).all()
+
+
+def test_vectors_are_not_written_for_each_ring(spark, monkeypatch):
+    """What is written grows with the rows where bounds rule nothing out, not with rows times rings."""
+    from pathlib import Path
+
+    from veilgauge.operators import neighbours
+    from veilgauge.operators.joining import checkpoint_folder, durable
+
+    folder, sizes = Path(checkpoint_folder(spark).removeprefix("file:")), []
+
+    def written(df):
+        df = durable(df)
+        sizes.append(sum(f.stat().st_size for f in folder.rglob("*") if f.is_file()))
+        return df
+
+    for name, value in (("TRAIN_BLOCK", 40), ("CELL_ROWS", 40), ("durable", written)):
+        monkeypatch.setattr(neighbours, name, value)
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.normal(0, 1, 32)], 0) for i in range(2000)], "id int, features array<double>, label int")
+    start = sum(f.stat().st_size for f in folder.rglob("*") if f.is_file())
+    assert nearest(df, df, 5, same_table=True).count() == 10_000
+    assert max(sizes) - start < 10 * 2000 * 32 * 8
+
+
 def test_linear_attack_recovers_a_plane(spark):
     rng = np.random.default_rng(5)
     x, k = rng.random(500) * 10, rng.integers(0, 3, 500)
