@@ -73,8 +73,9 @@ WORD_OR_PUNCT = SPACED.copy()
 WORD_OR_PUNCT[_PUNCT] = 2
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of whole rows with at most ``limit`` bytes of text and ``PIECE_DOCS`` rows, or one row with more text."""
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Slices of whole rows with at most ``limit`` (``PIECE_BYTES``) bytes of text and ``PIECE_DOCS`` rows, or one row with more text."""
+    limit = PIECE_BYTES if limit is None else limit
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
